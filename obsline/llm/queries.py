@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from obsline.llm.bpe import op7_byte_bpe
+from obsline.llm.packing import op10_best_fit_packing
+from obsline.llm.simhash import op1_simhash
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op7_byte_bpe": op7_byte_bpe,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
