@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from obsline.llm.ann import op9_one_bit_ann
 from obsline.llm.bpe import op7_byte_bpe
+from obsline.llm.chat import op3_chat_format
+from obsline.llm.exact_dedup import op8_exact_dedup
 from obsline.llm.packing import op10_best_fit_packing
 from obsline.llm.simhash import op1_simhash
+from obsline.llm.toxicity import op6_toxicity
+from obsline.llm.url_filter import OP2_SQL, op2_url_filter
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_url_filter": op2_url_filter,
+    "op3_chat_format": op3_chat_format,
+    "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op9_one_bit_ann": op9_one_bit_ann,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": OP2_SQL,
+}
