@@ -46,6 +46,19 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_shared(df: DataFrame) -> str:
+    """Write to a new shared folder and return its path, for tables that are soon discarded."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of write_shared once a later table stands for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text gives the fold; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

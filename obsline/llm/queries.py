@@ -6,6 +6,7 @@ from obsline.llm.ann import op9_one_bit_ann
 from obsline.llm.bpe import op7_byte_bpe
 from obsline.llm.chat import op3_chat_format
 from obsline.llm.exact_dedup import op8_exact_dedup
+from obsline.llm.language_model import op5_language_model
 from obsline.llm.packing import op10_best_fit_packing
 from obsline.llm.simhash import op1_simhash
 from obsline.llm.toxicity import op6_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
+    "op5_language_model": op5_language_model,
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_dedup": op8_exact_dedup,
