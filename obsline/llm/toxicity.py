@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -149,30 +150,29 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     return model
 
 
-def score(docs: DataFrame, model: np.ndarray, s: Settings = Settings()) -> DataFrame:
+def score(docs: DataFrame, model: np.ndarray, s: Settings = Settings(), carry: str = "") -> DataFrame:
     """doc_id, score for each row, by a broadcast of the weights that are not zero.
 
-    Null and empty texts get the intercept's score. Texts are read whole. Repeated rows stay repeated,
-    and other columns are not read.
+    Null and empty texts get the intercept's score. Texts are read whole. Repeated rows stay repeated.
+    Other columns are not read; with ``carry`` all columns pass through, and the score has that name.
     """
     small_batches(docs.sparkSession)
     at = np.flatnonzero(model)
     weights = docs.sparkSession.sparkContext.broadcast((at, model[at]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features = Features(s.bits, s.stem)
         dense = np.zeros((1 << s.bits) + 1, np.float32)
         dense[weights.value[0]] = weights.value[1]
         for batch in batches:
             z = np.full(len(batch), float(dense[-1]))
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = features(text)
+            for i, text in enumerate(batch):
+                found = features(bytes(text))
                 z[i] += dense[np.unique(found[dense[found] != 0])].sum()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], ["doc_id", "score"])
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select(*docs.columns if carry else ["doc_id"], of(text_bytes()).alias(carry or "score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
