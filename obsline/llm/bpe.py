@@ -23,7 +23,7 @@ from obsline.llm.common import small_batches, text_bytes
 #: Pieces longer than this merge by a heap in place of a matrix row, whose cost is quadratic.
 MATRIX_BYTES = 1024
 #: Chunks and pieces that a worker's caches hold before they start anew.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 NO_RANK = np.int32(2**31 - 1)
 
 

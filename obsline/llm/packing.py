@@ -15,6 +15,7 @@ import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -156,7 +157,7 @@ def library_encoder(json_path: str, pattern: str) -> ChunkEncoder:
 
         def encode(pieces: list[str]) -> list[bytes]:
             names = (p.encode().decode("latin-1").translate(shown) for p in pieces)
-            return [np.array([t.id for t in model.tokenize(name)], "<u4").tobytes() for name in names]
+            return [pack_ids("<%dI" % len(ids), *ids) for ids in ([t.id for t in model.tokenize(name)] for name in names)]
 
         _ENCODERS[json_path] = ChunkEncoder(pattern, encode)
     return _ENCODERS[json_path]
