@@ -1,4 +1,6 @@
 """Registered queries: each maps (spark, sf_dir) to a DataFrame, most with an equal SQL text."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from obsline.plans import calibration  # noqa: F401
+from obsline.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
