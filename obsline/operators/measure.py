@@ -90,14 +90,14 @@ def red_cells(measured: DataFrame, over: float = 35) -> DataFrame:
     least = F.least(base + over, F.greatest((base + F.array_max("red")) / 2, base + 1))
     corners = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(F.slice("red", i * 4 + 1, 4), lambda x: x > F.col("least"))))
     found = measured.withColumn("least", least).withColumn("hits", corners)
-    return found.select(*KEYS, F.array_compact(F.transform("hits", lambda n, i: F.when(n >= 3, i))).alias("red_cells"))
+    return found.withColumn("red_cells", F.array_compact(F.transform("hits", lambda n, i: F.when(n >= 3, i)))).drop("least", "hits")
 
 
 def hover_flag(measured: DataFrame, visible: float = 0.10, strong: float = 0.65) -> DataFrame:
     """P5: cells of which two edges are visible, or one strongly."""
     flags = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (F.size(F.filter(F.slice("edges", i * 4 + 1, 4), lambda x: x > visible)) >= 2)
                         | (F.array_max(F.slice("edges", i * 4 + 1, 4)) > strong))
-    return measured.select(*KEYS, F.array_compact(F.transform(flags, lambda f, i: F.when(f, i))).alias("hover_cells"))
+    return measured.withColumn("hover_cells", F.array_compact(F.transform(flags, lambda f, i: F.when(f, i))))
 
 
 def bright_regions(frames: DataFrame, bright: float = 200) -> DataFrame:

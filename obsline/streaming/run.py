@@ -80,8 +80,8 @@ def run_stream(df: DataFrame, machine: Callable[[], Any], ts: str = "event_time"
 
 def chunk_tumbling(df: DataFrame, every: str = "300 seconds", *aggregates: Column) -> DataFrame:
     """ST1: fixed chunks of a stream, batch or streaming."""
-    return df.groupBy(STREAM, F.window("ts", every)).agg(*(aggregates or (F.count("*").alias("n"),))).select(
-        STREAM, F.col("window.start").alias("chunk_start"), F.col("window.end").alias("chunk_end"), "*").drop("window")
+    return df.groupBy(STREAM, F.window("ts", every).alias("chunk")).agg(*(aggregates or (F.count("*").alias("n"),))).withColumn(
+        "chunk_start", F.col("chunk.start")).withColumn("chunk_end", F.col("chunk.end")).drop("chunk")
 
 
 def watermarked(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
