@@ -22,47 +22,39 @@ def _image(row) -> np.ndarray | None:
     return np.frombuffer(row.pixels, np.uint8).reshape(int(row.height), int(row.width), 3).astype(float)
 
 
-def _edges(size: int) -> np.ndarray:
-    return np.linspace(0, size, 9).astype(int)
+def _cells(plane: np.ndarray) -> np.ndarray:
+    """(64, h, w): the cells of a picture, cell 0 at the bottom left; all of one size, each from its own edge."""
+    h, w = (max(n // 8, 1) for n in plane.shape)
+    ys, xs = (np.minimum(np.linspace(0, n, 9)[:8].astype(int)[:, None] + np.arange(m), n - 1) for n, m in zip(plane.shape, (h, w), strict=True))
+    return plane[ys[::-1, None, :, None], xs[None, :, None, :]].reshape(64, h, w)
 
 
 def cell_means(gray: np.ndarray, margin: float = 0.15) -> np.ndarray:
-    """Mean of each of 64 cells inside its margins; cell 0 is the bottom left one."""
-    ys, xs = _edges(gray.shape[0]), _edges(gray.shape[1])
-    out = np.zeros(64)
-    for r in range(8):
-        for c in range(8):
-            y, x = (ys[r], ys[r + 1]), (xs[c], xs[c + 1])
-            my, mx = int((y[1] - y[0]) * margin), int((x[1] - x[0]) * margin)
-            out[(7 - r) * 8 + c] = gray[y[0] + my : max(y[1] - my, y[0] + my + 1), x[0] + mx : max(x[1] - mx, x[0] + mx + 1)].mean()
-    return out
+    """Mean of each of 64 cells inside its margins."""
+    cells = _cells(gray)
+    my, mx = (int(n * margin) for n in cells.shape[1:])
+    return cells[:, my : cells.shape[1] - my, mx : cells.shape[2] - mx].mean(axis=(1, 2))
 
 
 def corner_means(plane: np.ndarray, share: float = 0.12) -> np.ndarray:
-    """(64, 4): mean of the four corner patches of each cell, a patch being 2 to 45 per cent of it."""
-    ys, xs = _edges(plane.shape[0]), _edges(plane.shape[1])
-    out = np.zeros((64, 4))
-    for r in range(8):
-        for c in range(8):
-            cell = plane[ys[r] : ys[r + 1], xs[c] : xs[c + 1]]
-            h, w = (int(min(max(n * share, 2), max(n * 0.45, 1))) for n in cell.shape)
-            out[(7 - r) * 8 + c] = cell[:h, :w].mean(), cell[:h, -w:].mean(), cell[-h:, :w].mean(), cell[-h:, -w:].mean()
-    return out
+    """(64, 4): mean of the four corner patches of each cell, a patch of 12 per cent, two pixels at least, 45 per cent at most."""
+    cells = _cells(plane)
+    h, w = (int(min(max(n * share, 2), max(n * 0.45, 1))) for n in cells.shape[1:])
+    corners = (cells[:, :h, :w], cells[:, :h, -w:], cells[:, -h:, :w], cells[:, -h:, -w:])
+    return np.stack([c.mean(axis=(1, 2)) for c in corners], axis=1)
 
 
 def edge_ratios(gray: np.ndarray, bright: float = 200) -> np.ndarray:
     """(64, 4): share of bright pixels along the four edges of each cell."""
-    ys, xs = _edges(gray.shape[0]), _edges(gray.shape[1])
-    out = np.zeros((64, 4))
-    for r in range(8):
-        for c in range(8):
-            cell = gray[ys[r] : ys[r + 1], xs[c] : xs[c + 1]] > bright
-            out[(7 - r) * 8 + c] = cell[0].mean(), cell[-1].mean(), cell[:, 0].mean(), cell[:, -1].mean()
-    return out
+    cells = _cells(gray) > bright
+    return np.stack([c.mean(axis=1) for c in (cells[:, 0], cells[:, -1], cells[:, :, 0], cells[:, :, -1])], axis=1)
 
 
-def measure_frames(frames: DataFrame) -> DataFrame:
-    """P2-P5 in one pass: cells (64 means), highlight (64), red corners (64 x 4) and edges (64 x 4)."""
+def measure_frames(frames: DataFrame, over: float = 35) -> DataFrame:
+    """P2-P5 in one pass: cells (64 means), highlight (64), red corners (64 x 4) and edges (64 x 4).
+
+    red_threshold is the frame's median corner plus ``over``, or midway to its greatest if that is less.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -70,27 +62,26 @@ def measure_frames(frames: DataFrame) -> DataFrame:
             for row in pdf.itertuples():
                 image = _image(row)
                 if image is None:
-                    rows.append((None, None, None, None))
+                    rows.append((None, None, None, None, None))
                     continue
                 b, g, r = image[..., 0], image[..., 1], image[..., 2]
                 gray = 0.114 * b + 0.587 * g + 0.299 * r
+                red = corner_means(r - (g + b) / 2)
+                base, top = float(np.median(red)), float(red.max())
                 rows.append((cell_means(gray).tolist(), corner_means(np.minimum(r, g) - b).mean(axis=1).tolist(),
-                             corner_means(r - (g + b) / 2).ravel().tolist(), edge_ratios(gray).ravel().tolist()))
-            yield pd.concat([pdf[KEYS].reset_index(drop=True), pd.DataFrame(rows, columns=["cells", "highlight", "red", "edges"])], axis=1)
+                             red.ravel().tolist(), min(base + over, max((base + top) / 2, base + 1)), edge_ratios(gray).ravel().tolist()))
+            yield pd.concat([pdf[KEYS].reset_index(drop=True), pd.DataFrame(rows, columns=["cells", "highlight", "red", "red_threshold", "edges"])], axis=1)
 
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     return frames.select(*KEYS, "pixels", "height", "width").mapInPandas(
-        run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", cells array<double>, highlight array<double>, red array<double>, edges array<double>")
+        run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", cells array<double>, highlight array<double>, red array<double>, red_threshold double, edges array<double>")
 
 
-def red_cells(measured: DataFrame, over: float = 35) -> DataFrame:
-    """Cells of which three corners exceed a threshold, by the frame's median corner plus ``over`` or midway to its greatest."""
-    sorted_red = F.array_sort("red")
-    base = F.get(sorted_red, F.lit(128))
-    least = F.least(base + over, F.greatest((base + F.array_max("red")) / 2, base + 1))
-    corners = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.size(F.filter(F.slice("red", i * 4 + 1, 4), lambda x: x > F.col("least"))))
-    found = measured.withColumn("least", least).withColumn("hits", corners)
-    return found.withColumn("red_cells", F.array_compact(F.transform("hits", lambda n, i: F.when(n >= 3, i)))).drop("least", "hits")
+def red_cells(measured: DataFrame) -> DataFrame:
+    """Cells of which three corners exceed the frame's red_threshold, ascending."""
+    over = F.transform("red", lambda x: (x > F.col("red_threshold")).cast("int"))
+    hits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.aggregate(F.slice(over, i * 4 + 1, 4), F.lit(0), lambda a, x: a + x))
+    return measured.withColumn("red_cells", F.array_compact(F.transform(hits, lambda n, i: F.when(n >= 3, i))))
 
 
 def hover_flag(measured: DataFrame, visible: float = 0.10, strong: float = 0.65) -> DataFrame:

@@ -30,9 +30,11 @@ def _jsonl(spark: SparkSession, path: str, schema: str, stream: bool = False) ->
 
 def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, malformed lines). Blank lines are skipped; what is no object of the schema is kept as text."""
-    every = _jsonl(spark, path, EVENT_SCHEMA).withColumn("file", F.col("_metadata.file_path"))
-    text = every.select("*").filter("_corrupt IS NOT NULL OR sequence IS NOT NULL OR event IS NOT NULL")
-    return text.filter("_corrupt IS NULL").drop("_corrupt"), text.filter("_corrupt IS NOT NULL").select("file", F.col("_corrupt").alias("line"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    record = F.from_json("value", EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    parsed = lines.select("value", F.col("_metadata.file_path").alias("file"), record.alias("r"))
+    sound = F.trim("value").startswith("{") & F.col("r._corrupt").isNull()
+    return parsed.filter(sound).select("r.*", "file").drop("_corrupt"), parsed.filter(~F.coalesce(sound, F.lit(False))).select("file", F.col("value").alias("line"))
 
 
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
