@@ -35,22 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/obsline-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
+def write_shared(df: DataFrame, *partition_by: str) -> str:
+    """Write to a new shared folder and return its path."""
+    path = shared_dir(df.sparkSession)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
-def write_shared(df: DataFrame) -> str:
-    """Write to a new shared folder and return its path, for tables that are soon discarded."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return path
+def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, *partition_by))
 
 
 def discard(spark: SparkSession, path: str) -> None:
