@@ -7,6 +7,7 @@ from obsline.llm.bpe import op7_byte_bpe
 from obsline.llm.chat import op3_chat_format
 from obsline.llm.exact_dedup import op8_exact_dedup
 from obsline.llm.language_model import op5_language_model
+from obsline.llm.license_scan import OP4_SQL, op4_license_scan
 from obsline.llm.packing import op10_best_fit_packing
 from obsline.llm.simhash import op1_simhash
 from obsline.llm.toxicity import op6_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
+    "op4_license_scan": op4_license_scan,
     "op5_language_model": op5_language_model,
     "op6_toxicity": op6_toxicity,
     "op7_byte_bpe": op7_byte_bpe,
@@ -26,4 +28,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": OP2_SQL,
+    "op4_license_scan": OP4_SQL,
 }
