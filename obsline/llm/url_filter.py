@@ -34,25 +34,26 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return F.array_max(F.filter(every, lambda r: ((host == r["name"]) | host.endswith(r["below"])) & path.startswith(r["start"])))
 
 
-def normal_url(url: Column) -> Column:
-    """The form in which urls are compared: host lower-cased, no fragment; null without ://."""
-    plain = F.regexp_replace(F.trim(url), r"(?s)#.*$", "")
-    head = F.regexp_extract(plain, r"(?s)^(.*?://[^/?]*)", 1)
-    return F.when(plain.contains("://"), F.concat(F.translate(head, UPPER, LOWER), F.substring(plain, F.length(head) + 1, F.length(plain))))
-
-
-def absolute(base: Column, link: Column) -> Column:
-    """A link of a page as an absolute url."""
-    link = F.trim(link)
-    scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
-    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-            .when(link.startswith("//"), F.concat(scheme, link))
-            .when(link.startswith("/"), F.concat(site, link))
-            .when(link == "", F.lit(None).cast("string"))
-            .otherwise(F.concat(folder, link)))
+def with_normal_url(df: DataFrame, source: str, name: str) -> DataFrame:
+    """Adds the form in which urls are compared: host lower-cased, no fragment; null without ://.
+
+    In steps, so that no long expression is repeated inside another.
+    """
+    plain = df.withColumn(name, F.regexp_replace(F.trim(source), r"(?s)#.*$", ""))
+    head = plain.withColumn("head_of_url", F.regexp_extract(name, r"(?s)^(.*?://[^/?]*)", 1))
+    whole = F.concat(F.translate("head_of_url", UPPER, LOWER), F.substring(name, F.length("head_of_url") + 1, F.length(name)))
+    return head.withColumn(name, F.when(F.contains(name, F.lit("://")), whole)).drop("head_of_url")
+
+
+def with_absolute(df: DataFrame, base: str, link: str, name: str) -> DataFrame:
+    """Adds a page's link as an absolute url."""
+    parts = df.withColumns({
+        "scheme_": F.regexp_extract(base, r"(?s)^(.*?:)//", 1), "site_": F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1),
+        "folder_": F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)", 1)})
+    at = F.col(link)
+    folder = F.when(F.col("folder_").endswith("/"), F.col("folder_")).otherwise(F.concat("folder_", F.lit("/")))
+    return parts.withColumn(name, F.when(at.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), at).when(at.startswith("//"), F.concat("scheme_", link))
+                            .when(at.startswith("/"), F.concat("site_", link)).otherwise(F.concat(folder, at))).drop("scheme_", "site_", "folder_")
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
@@ -65,8 +66,9 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         F.col("tag").rlike(r"""(?is)<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""),
         F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s]+)""", 1))
     links = tags.select("url", target.alias("target")).filter("target <> ''")
-    return links.select(normal_url(F.col("url")).alias("a"), normal_url(absolute(F.col("url"), F.col("target"))).alias("b")).filter(
-        "a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
+    ends = with_normal_url(with_normal_url(with_absolute(links, "url", "target", "whole"), "url", "a"), "whole", "b")
+    # Written first: a filter would be pushed down, and repeat the expressions above for each of its terms.
+    return materialise(ends.select("a", "b").distinct()).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: DataFrame | None = None,
@@ -79,7 +81,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: Da
     """
     ties = alias_edges(pages)
     if edges is not None:
-        ties = ties.unionByName(edges.select(normal_url(F.col("a")).alias("a"), normal_url(F.col("b")).alias("b"))).distinct()
+        known = with_normal_url(with_normal_url(edges.select(F.col("a").alias("x"), F.col("b").alias("y")), "x", "a"), "y", "b")
+        ties = ties.unionByName(known.select("a", "b")).distinct()
     parts = connected_components(ties)
     action = match_rule(host_of(F.col("node")), path_of(F.col("node")), rules)["action"]
     blocked = (
@@ -88,8 +91,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, edges: Da
         .filter(F.col("block") & ~F.coalesce("allow", F.lit(False))).select("component")
     )
     aliases = materialise(parts.join(blocked, "component").select(F.col("node").alias("key"), F.lit("block").alias("alias")))
-    own = pages.select("page_id", F.col("url").alias("u")).select(
-        "page_id", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), normal_url(F.col("u")).alias("key"))
+    own = with_normal_url(pages.select("page_id", F.col("url").alias("u")), "u", "key").select(
+        "page_id", "key", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     ruled = own.withColumn("fit", match_rule(F.col("host"), F.col("path"), rules))
     return ruled.join(aliases, "key", "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
