@@ -22,7 +22,7 @@ from obsline.llm.common import small_batches, text_bytes
 
 #: Pieces longer than this merge by a heap in place of a matrix row, whose cost is quadratic.
 MATRIX_BYTES = 1024
-#: Chunks and pieces that a worker's caches hold before they start anew.
+#: Chunks that a worker's cache holds before it starts anew; pieces, which cost more, may be twice as many.
 CACHE_ENTRIES = 500_000
 NO_RANK = np.int32(2**31 - 1)
 
@@ -176,11 +176,22 @@ class ChunkEncoder:
         self.split = regex.compile(exact_spaces(pattern)).findall
         self.encode_pieces = encode_pieces
         self.entries = entries
+        # Under such a pattern a word after a space is one piece, and a mark after it another.
+        self.wordwise = r"| ?\p{L}+|" in pattern and r"| ?[^\s\p{L}\p{N}]+|" in pattern
         self.chunks: dict[str, bytes | None] = {}  # chunks that follow a space, without it
         self.pieces: dict[str, bytes] = {}
 
+    def _cut(self, chunk: str) -> list[str] | tuple[str, ...]:
+        """The pieces of a chunk that follows a space."""
+        if self.wordwise:
+            if chunk.isalpha():
+                return (" " + chunk,)
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return (" " + chunk[:-1], chunk[-1])
+        return self.split(" " + chunk)
+
     def _learn_pieces(self, lists: list[list[str]]) -> None:
-        if len(self.pieces) > self.entries:
+        if len(self.pieces) > 2 * self.entries:
             self.pieces = {}
         new = list(set().union(*lists) - self.pieces.keys())
         self.pieces.update(zip(new, self.encode_pieces(new), strict=True))
@@ -193,11 +204,11 @@ class ChunkEncoder:
         new = list({c for p in parts for c in p[1:]} - self.chunks.keys())
         # A chunk that is empty or meets its space with more white space is not safe to cut off.
         safe = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        cut = [self.split(" " + c) for c in safe]
+        cut = list(map(self._cut, safe))
         self._learn_pieces([*heads, *cut])
         find = self.pieces.__getitem__
         self.chunks.update(dict.fromkeys(new))
-        self.chunks.update((c, b"".join(map(find, p))) for c, p in zip(safe, cut, strict=True))
+        self.chunks.update((c, find(p[0]) if len(p) == 1 else b"".join(map(find, p))) for c, p in zip(safe, cut, strict=True))
         chunk, out, whole = self.chunks.__getitem__, [], []
         for i, (head, p) in enumerate(zip(heads, parts, strict=True)):
             try:

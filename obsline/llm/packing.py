@@ -156,7 +156,7 @@ def library_encoder(json_path: str, pattern: str) -> ChunkEncoder:
             b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(kept))}
 
         def encode(pieces: list[str]) -> list[bytes]:
-            names = (p.encode().decode("latin-1").translate(shown) for p in pieces)
+            names = ("\u0120" + p[1:] if p[0] == " " and p[1:].isalpha() and p.isascii() else p.encode().decode("latin-1").translate(shown) for p in pieces)
             return [pack_ids("<%dI" % len(ids), *ids) for ids in ([t.id for t in model.tokenize(name)] for name in names)]
 
         _ENCODERS[json_path] = ChunkEncoder(pattern, encode)
