@@ -284,7 +284,7 @@ def u(spark, sf):
         X.set_missing(a.select("observation_id"), b.select("observation_id")).select(F.lit("missing").alias("kind"), "observation_id")).unionByName(first)
 
 
-@query("u1_durable_union", f"WITH {T} SELECT CASE WHEN event = 'ACCEPT' THEN 'main' ELSE 'branch' END AS origin, count(*) AS n, sum(k) AS total FROM T WHERE event IN ('ACCEPT', 'CANDIDATE') GROUP BY ALL")
+@query("u1_durable_union", f"WITH {T} SELECT CASE WHEN event = 'ACCEPT' THEN 'main' ELSE 'branch' END AS origin, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM T WHERE event IN ('ACCEPT', 'CANDIDATE') GROUP BY ALL")
 def u1(spark, sf):
     t = trace(spark, sf)
     return X.durable_union(t.filter("event = 'ACCEPT'"), t.filter("event = 'CANDIDATE'")).groupBy("origin").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
