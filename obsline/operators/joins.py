@@ -73,13 +73,16 @@ def similar_state_join(obs: DataFrame, history: DataFrame, radius: int = 1, cell
     the least difference, ``most_recent`` the latest. The latest state before the observation is left out.
     """
     steps = range(-radius, radius + 1)
-    offsets = [(a, b, c, d) for a in steps for b in steps for c in steps for d in steps]
-    hb = history.select(STREAM, F.col("seq").alias("h_seq"), F.col("cells").alias("h_cells"), F.array(*(bucket_of(q) for q in quadrants(F.col("cells")))).alias("q"))
-    valid = [F.when(F.forall(F.array(*(F.col("q")[i] + o for i, o in enumerate(off))), lambda x: x.between(0, 63)),
-                    pack_buckets([F.col("q")[i] + o for i, o in enumerate(off)])) for off in offsets]
-    keyed = hb.select(STREAM, "h_seq", "h_cells", F.explode(F.array_compact(F.array(*valid))).alias("key"))
-    ob = obs.select(STREAM, "observation_id", "seq", "cells", pack_buckets([bucket_of(q) for q in quadrants(F.col("cells"))]).alias("key"))
-    pairs = ob.join(keyed, [STREAM, "key"]).filter(F.col("h_seq") < F.col("seq") - 1)
+    moves = F.array(*(F.struct(F.array(*map(F.lit, (a, b, c, d))).alias("move"), F.lit((a << 18) + (b << 12) + (c << 6) + d).alias("shift"))
+                      for a in steps for b in steps for c in steps for d in steps))
+    # Keys alone are exploded and shuffled; the cells join the pairs that meet.
+    hb = history.select(STREAM, F.col("seq").alias("h_seq"), F.array(*(bucket_of(q) for q in quadrants(F.col("cells")))).alias("q"))
+    near = hb.select(STREAM, "h_seq", "q", pack_buckets([F.col("q")[i] for i in range(4)]).alias("own"), F.inline(moves))
+    keyed = near.filter(F.forall(F.zip_with("q", "move", lambda x, m: x + m), lambda x: x.between(0, 63))).select(STREAM, "h_seq", (F.col("own") + F.col("shift")).alias("key"))
+    ob = obs.select(STREAM, "observation_id", "seq", pack_buckets([bucket_of(q) for q in quadrants(F.col("cells"))]).alias("key"))
+    met = ob.join(keyed, [STREAM, "key"]).filter(F.col("h_seq") < F.col("seq") - 1).select(STREAM, "observation_id", "seq", "h_seq")
+    pairs = met.join(history.select(STREAM, F.col("seq").alias("h_seq"), F.col("cells").alias("h_cells")), [STREAM, "h_seq"]).join(
+        obs.select(STREAM, "observation_id", "cells"), [STREAM, "observation_id"])
     checked = pairs.filter(distance_max(F.col("cells"), F.col("h_cells")) < cell).withColumn("diff", distance_mean(F.col("cells"), F.col("h_cells")))
     order = [F.asc("diff"), F.desc("h_seq")] if mode == "best" else [F.desc("h_seq")]
     w = Window.partitionBy(STREAM, "observation_id").orderBy(*order)
