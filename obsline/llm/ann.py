@@ -28,9 +28,8 @@ class Settings:
     sample: int = 20_000  # vectors that the centres are fitted on, at most
     per_list: int = 1_000  # distinct vectors to a list, on average
     most_lists: int = 4_096  # centres are broadcast: at most this many
-    probes: float = 0.6  # share of the lists that a query probes ...
-    least_probes: int = 24  # ... but at least and at most so many
-    most_probes: int = 256
+    probes: float = 0.6  # share of the lists that a query probes, however many there are ...
+    least_probes: int = 24  # ... but at least so many
     block: int = 8_192  # vectors of a list that are coded and searched as one unit
     queries: int = 2_048  # queries of a list that are searched as one unit
     error: float = 2.5  # bounds hold within so many standard deviations
@@ -156,7 +155,7 @@ def nearest(rows: DataFrame, queries: DataFrame, s: Settings = Settings()) -> Da
     sample = distinct.orderBy(F.xxhash64("v")).limit(min(s.sample, max(lists * 64, 1024))).select("v").toArrow()
     points = np.array(sample["v"].to_pylist(), float)
     centres = fit_centres(points / np.linalg.norm(points, axis=1, keepdims=True), lists, s.seed)
-    probes = int(min(lists, max(s.least_probes, min(s.most_probes, round(lists * s.probes)))))
+    probes = int(min(lists, max(s.least_probes, round(lists * s.probes))))
     shared = spark.sparkContext.broadcast((centres, rotation(width, s.seed)))
 
     def unit(column: pa.Array) -> np.ndarray:

@@ -142,6 +142,15 @@ def test_ann_recall_and_scores(spark):
     assert all([r for r, _, _ in g] == list(range(1, len(g) + 1)) and [s for *_, s in g] == sorted((s for *_, s in g), reverse=True) for g in got.values())
 
 
+def test_ann_recall_where_the_share_is_many_lists(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(3).standard_normal((6000, 256)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.nearest(df, df.filter("vec_id % 100 = 0"), ann.Settings(per_list=6)).collect()  # 600 of 1000 lists are probed
+    want = slow_nearest(rows)
+    assert len(found) == 60 * 5
+    assert sum(r.vec_id in {j for _, j in want[r.query_id]} for r in found) >= 0.95 * len(found)
+
+
 def test_ann_ties_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     same = rng.standard_normal(8).tolist()
