@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from obsline.llm.common import held_out, materialise, table
+from obsline.llm.common import held_out, materialise, table, text_bytes
 from obsline.llm.exact_dedup import exact_groups
 from obsline.llm.packing import pack
 from obsline.llm.simhash import near_duplicates
@@ -31,19 +31,23 @@ def _free(names: list[str], name: str) -> str:
 def _keep(docs: DataFrame, decisions: DataFrame, mark: Column) -> DataFrame:
     """The rows of ``docs`` whose (doc_id, mark) is in ``decisions``; one row where such a pair repeats.
 
-    Ids that repeat are rare, so only their rows are numbered, and no text is shuffled for the others.
+    Pairs that repeat are rare, so only their rows are numbered. All joins go by the whole pair, so that rows
+    with one id, or none, spread by their marks.
     """
     names = list(docs.columns)
     key, ident, at = (_free(names, n) for n in ("stage_mark", "stage_id", "stage_at"))
     kept = decisions.select(F.col("doc_id").alias(ident), F.col("mark").alias(key)).distinct()
     marked = docs.withColumn(key, mark)
-    again = docs.groupBy(F.col("doc_id").alias(ident)).agg(F.count("*").alias(at)).filter(F.col(at) > 1).select(ident)
-    same = F.col("doc_id").eqNullSafe(F.col(ident))
-    once = marked.join(again, same, "left_anti")
-    more = marked.join(again, same, "left_semi").withColumn(
+    again = marked.groupBy(F.col("doc_id").alias(ident), key).agg(F.count("*").alias(at)).filter(F.col(at) > 1).select(ident, key)
+
+    def among(df: DataFrame, pairs: DataFrame, how: str) -> DataFrame:
+        return df.join(pairs, F.col("doc_id").eqNullSafe(pairs[ident]) & (df[key] == pairs[key]), how)
+
+    stay = among(marked, kept, "left_semi")
+    once = among(stay, again, "left_anti")
+    more = among(stay, again, "left_semi").withColumn(
         at, F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.xxhash64(*docs.columns)))).filter(F.col(at) == 1).drop(at)
-    every = once.unionByName(more)
-    return every.join(kept, F.col("doc_id").eqNullSafe(kept[ident]) & (every[key] == kept[key]), "left_semi").select(*docs.columns)
+    return once.unionByName(more).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +66,15 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id stays; of null ids one row."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    kept = found.filter("doc_id <=> component_id").select("doc_id", F.lit("").alias("mark"))
-    return _keep(docs, materialise(kept), F.lit(""))
+    """Of each group of near-duplicates one row stays: that with the least doc_id, then the least hash of its text.
+
+    Ids may be null or repeat, so a row goes by its id and its text's hash; a null id comes after all others.
+    """
+    content = F.sha2(text_bytes(), 256)
+    ident = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.unhex(content).alias("content"))
+    found = near_duplicates(docs.select(ident.alias("doc_id"), "text"))
+    kept = found.filter("doc_id = component_id").select("doc_id.doc_id", F.lower(F.hex("doc_id.content")).alias("mark"))
+    return _keep(docs, materialise(kept), content)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -226,3 +226,15 @@ def test_registered_queries_with_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
     assert sorted(map(tuple, QUERIES[name](spark, SF).collect()), key=str) == sorted(con.execute(ORACLE_SQL[name]).fetchall(), key=str)
+
+
+def test_near_stage_keeps_one_row_of_each_component_whatever_the_ids(spark):
+    import corpus_pipeline as c
+
+    text = [" ".join(f"w{(i * 37 + j * j) % 997}" for j in range(60)) for i in range(20)]
+    clean = [(None, t) for t in text[:10]] + [(7, t) for t in text[10:14]] + [(1, text[14]), (8, text[15]), (9, text[16])]
+    copies = [(2, text[14].upper()), (8, text[14].title()), (None, text[14] + " "), (9, text[16]), (None, text[16].upper())]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in clean + copies], "doc_id long, text string, source string")
+    found = c.near_stage(spark, docs, "")
+    assert found.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(clean)
