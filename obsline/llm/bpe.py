@@ -1,30 +1,39 @@
-"""Byte-level BPE by padded numpy matrices (operator 7), and the chunk cache that operator 10 shares.
+"""Byte-level BPE by padded numpy matrices (operator 7), and the chunk store that operator 10 shares.
 
 A text is cut at single spaces between non-space characters, where no match of the split pattern can
-cross; chunks repeat a lot, so a bounded cache maps each to its packed ids. Chunks that are not in
-the cache are split by the pattern, and their distinct pieces are encoded together in matrices.
+cross. Arrow cuts a batch of texts and numbers its distinct chunks, so Python sees each chunk once a batch;
+a bounded store keeps the ids of chunks seen before. Chunks that are not in the store are split by the
+pattern, and their distinct pieces are encoded together in matrices. Ids of whole texts are then gathered
+by offsets.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsline.llm.common import small_batches, text_bytes
+from obsline.llm.common import byte_slices, small_batches, text_bytes
 
-#: Pieces longer than this merge by a heap in place of a matrix row, whose cost is quadratic.
-MATRIX_BYTES = 1024
-#: Chunks that a worker's cache holds before it starts anew; pieces, which cost more, may be twice as many.
-CACHE_ENTRIES = 500_000
+#: Rows up to this many columns merge one pair a round, wider ones all places of their least pair.
+SINGLE_MERGE = 64
+#: Cells of one matrix; a piece with more has a matrix of its own.
+MATRIX_CELLS = 1 << 20
+#: Bytes, as estimated, that a worker's store may hold before it starts anew.
+STORE_BYTES = 96 << 20
+#: Bytes of text that are encoded at a time (a longer text is taken alone).
+TEXT_BYTES = 4 << 20
 NO_RANK = np.int32(2**31 - 1)
+UNSAFE = -1
+_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def exact_spaces(pattern: str) -> str:
@@ -82,11 +91,10 @@ class PairTable:
 
 
 class MatrixBpe:
-    """Encodes many byte pieces at once: one padded matrix for each length bucket."""
+    """Encodes many byte pieces at once: one padded matrix for each length bucket, whatever the length."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.table = PairTable(ranks)
-        self.ranks = ranks
         self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.byte_ids < 0).any():
             raise ValueError("every single byte needs a rank")
@@ -95,28 +103,33 @@ class MatrixBpe:
         """Ids of each piece, packed as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        for i in np.flatnonzero(lengths > MATRIX_BYTES):
-            out[i] = self._long(pieces[i])
-        low, high = 0, 4
-        while low < MATRIX_BYTES:
+        low, high, most = 0, 4, lengths.max(initial=0)
+        while low < most:
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
-            step = max(1, 2_000_000 // high)
+            step = max(1, MATRIX_CELLS // high)
+            merge = self._single if high <= SINGLE_MERGE else self._every
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
-                for i, ids in zip(part, self._bucket([pieces[i] for i in part], high), strict=True):
-                    out[i] = ids
-            low, high = high, min(high * 2, MATRIX_BYTES)
+                ids, ranks = self._matrix([pieces[i] for i in part], int(lengths[part].max()))
+                for i, found in zip(part, merge(ids, ranks), strict=True):
+                    out[i] = found
+            low, high = high, high * 2
         return out
 
-    def _bucket(self, pieces: list[bytes], width: int) -> list[bytes]:
+    def _matrix(self, pieces: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, padded with -1, and the ranks of the pair that starts in each column."""
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         inside = np.arange(width) < lengths[:, None]
         ids = np.full((len(pieces), width), -1, np.int32)
         ids[inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        ranks = np.full(ids.shape, NO_RANK, np.int32)  # of the pair that starts in each column
+        ranks = np.full(ids.shape, NO_RANK, np.int32)
         ranks[:, :-1] = self.table.find(ids[:, :-1], ids[:, 1:])
-        done = [b""] * len(pieces)
-        names = np.arange(len(pieces))
+        return ids, ranks
+
+    def _single(self, ids: np.ndarray, ranks: np.ndarray) -> list[bytes]:
+        """Every row merges its leftmost least pair each round."""
+        done = [b""] * len(ids)
+        names, width = np.arange(len(ids)), ids.shape[1]
         columns = np.arange(width)
         while len(ids):
             best = ranks.argmin(axis=1)  # the leftmost of the least
@@ -142,47 +155,68 @@ class MatrixBpe:
             ranks[rows[prior], best[prior] - 1] = self.table.find(ids[rows[prior], best[prior] - 1], least[prior])
         return done
 
-    def _long(self, piece: bytes) -> bytes:
-        """The same merges over a linked list with a heap, for one very long piece."""
-        tokens: list[bytes | None] = [bytes([b]) for b in piece]
-        after, before = list(range(1, len(tokens) + 1)), list(range(-1, len(tokens) - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j < len(tokens) and (rank := self.ranks.get(both := tokens[i] + tokens[j])) is not None:
-                heapq.heappush(heap, (rank, i, both))
-
-        for i in range(len(tokens) - 1):
-            offer(i)
-        while heap:
-            _, i, both = heapq.heappop(heap)
-            j = after[i]
-            if tokens[i] is None or j >= len(tokens) or tokens[i] + tokens[j] != both:
-                continue
-            tokens[i], tokens[j], after[i] = both, None, after[j]
-            if after[i] < len(tokens):
-                before[after[i]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return np.array([self.ranks[t] for t in tokens if t is not None], "<u4").tobytes()
+    def _every(self, ids: np.ndarray, ranks: np.ndarray) -> list[bytes]:
+        """Every row merges all places of its least pair each round, from the left.
 
+        A new token stands in pairs of higher rank only, so single merges would take the same places one
+        after the other; long rows would then cost their square. Rows lose their tails as they shrink.
+        """
+        done = [b""] * len(ids)
+        names = np.arange(len(ids))
+        while len(ids):
+            least = ranks.min(axis=1)
+            over = least == NO_RANK
+            if over.any():
+                counts = (ids[over] >= 0).sum(axis=1)
+                for name, row, n in zip(names[over], ids[over].astype("<u4"), counts, strict=True):
+                    done[name] = row[:n].tobytes()
+                ids, ranks, names, least = ids[~over], ranks[~over], names[~over], least[~over]
+                if not len(ids):
+                    break
+            hit = ranks == least[:, None]
+            row, col = np.nonzero(hit)
+            # In a run such as a a a a every second place merges: count places within runs of neighbours.
+            starts = np.ones(len(row), bool)
+            starts[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)
+            at = np.arange(len(row))
+            taken = (at - np.maximum.accumulate(np.where(starts, at, 0))) % 2 == 0
+            row, col = row[taken], col[taken]
+            ids[row, col] = least[row]
+            fresh, alive = np.zeros(ids.shape, bool), ids >= 0
+            fresh[row, col] = True
+            alive[row, col + 1] = False
+            counts = alive.sum(axis=1)
+            inside = np.arange(counts.max()) < counts[:, None]
+            ids, ranks, fresh = (self._left(x, alive, inside, fill) for x, fill in ((ids, -1), (ranks, NO_RANK), (fresh, False)))
+            row, col = np.nonzero(fresh)
+            for r, c in ((row, col), (row[col > 0], col[col > 0] - 1)):
+                after = np.where(c + 1 < ids.shape[1], ids[r, np.minimum(c + 1, ids.shape[1] - 1)], -1)
+                ranks[r, c] = self.table.find(ids[r, c], after)
+        return done
 
-class ChunkEncoder:
-    """Packed ids of whole texts, by a bounded cache of chunks over an encoder of pieces."""
+    @staticmethod
+    def _left(cells: np.ndarray, alive: np.ndarray, inside: np.ndarray, fill: int | bool) -> np.ndarray:
+        out = np.full(inside.shape, fill, cells.dtype)
+        out[inside] = cells[alive]
+        return out
+
+
+#: Chunks that follow a space (without it), or the heads of texts, to their ids in one array and the number of ids of each.
+EncodeChunks = Callable[[list[str], bool], tuple[np.ndarray, np.ndarray]]
+
+
+class PieceEncoder:
+    """Encodes chunks by the pieces of the split pattern, which are kept: words repeat in many chunks."""
 
-    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
+    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[bytes]], store_bytes: int = STORE_BYTES // 2):
         self.split = regex.compile(exact_spaces(pattern)).findall
-        self.encode_pieces = encode_pieces
-        self.entries = entries
+        self.encode_pieces, self.store_bytes = encode_pieces, store_bytes
         # Under such a pattern a word after a space is one piece, and a mark after it another.
         self.wordwise = r"| ?\p{L}+|" in pattern and r"| ?[^\s\p{L}\p{N}]+|" in pattern
-        self.chunks: dict[str, bytes | None] = {}  # chunks that follow a space, without it
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def _cut(self, chunk: str) -> list[str] | tuple[str, ...]:
-        """The pieces of a chunk that follows a space."""
         if self.wordwise:
             if chunk.isalpha():
                 return (" " + chunk,)
@@ -190,48 +224,140 @@ class ChunkEncoder:
                 return (" " + chunk[:-1], chunk[-1])
         return self.split(" " + chunk)
 
-    def _learn_pieces(self, lists: list[list[str]]) -> None:
-        if len(self.pieces) > 2 * self.entries:
-            self.pieces = {}
+    def __call__(self, chunks: list[str], heads: bool) -> tuple[np.ndarray, np.ndarray]:
+        if self.held > self.store_bytes:
+            self.pieces, self.held = {}, 0
+        lists = list(map(self.split if heads else self._cut, chunks))
         new = list(set().union(*lists) - self.pieces.keys())
-        self.pieces.update(zip(new, self.encode_pieces(new), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > self.entries:
-            self.chunks = {}
-        parts = [text.split(" ") for text in texts]
-        heads = [self.split(p[0]) for p in parts]
-        new = list({c for p in parts for c in p[1:]} - self.chunks.keys())
-        # A chunk that is empty or meets its space with more white space is not safe to cut off.
-        safe = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
-        cut = list(map(self._cut, safe))
-        self._learn_pieces([*heads, *cut])
+        found = self.encode_pieces(new)
+        self.pieces.update(zip(new, found, strict=True))
+        self.held += sum(map(len, new)) + sum(map(len, found)) + 160 * len(new)
         find = self.pieces.__getitem__
-        self.chunks.update(dict.fromkeys(new))
-        self.chunks.update((c, find(p[0]) if len(p) == 1 else b"".join(map(find, p))) for c, p in zip(safe, cut, strict=True))
-        chunk, out, whole = self.chunks.__getitem__, [], []
-        for i, (head, p) in enumerate(zip(heads, parts, strict=True)):
-            try:
-                if p[0] and p[0][-1].isspace() and len(p) > 1:
-                    raise TypeError
-                out.append(b"".join(map(find, head)) + b"".join(map(chunk, p[1:])))
-            except TypeError:  # some chunk is not safe: split the text as a whole
-                out.append(b"")
-                whole.append(i)
-        for at in range(0, len(whole), 64):
-            part = whole[at : at + 64]
-            cut = [self.split(texts[i]) for i in part]
-            self._learn_pieces(cut)
-            find = self.pieces.__getitem__
-            for i, p in zip(part, cut, strict=True):
-                out[i] = b"".join(map(find, p))
-        return out
+        packed = [find(p[0]) if len(p) == 1 else b"".join(map(find, p)) for p in lists]
+        return np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
 
 
-_ENCODERS: dict[tuple, tuple[ChunkEncoder, list[bytes]]] = {}
+class ChunkEncoder:
+    """Ids of whole texts, by a bounded store of chunks over an encoder of chunks.
 
+    ``added`` are strings that have an id of their own wherever they occur; texts are split there first.
+    """
+
+    def __init__(self, encode_chunks: EncodeChunks, added: dict[str, int] | None = None, store_bytes: int = STORE_BYTES):
+        self.encode_chunks = encode_chunks
+        self.added = added or {}
+        self.added_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        self.store_bytes = store_bytes
+        self._clear()
+
+    def _clear(self) -> None:
+        self.chunks: dict[str, int] = {}  # slots of chunks that follow a space, without it
+        self.start, self.size = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.ids = np.zeros(4096, np.uint32)
+        self.slots = self.end = self.held = 0
+
+    def _put(self, chunks: list[str], heads: bool = False) -> np.ndarray:
+        """Slots of the store for new chunks."""
+        data, sizes = self.encode_chunks(chunks, heads)
+        while self.slots + len(chunks) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.end + len(data) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        slots = np.arange(self.slots, self.slots + len(chunks))
+        self.start[slots] = self.end + np.cumsum(sizes) - sizes
+        self.size[slots] = sizes
+        self.ids[self.end : self.end + len(data)] = data
+        self.slots, self.end = self.slots + len(chunks), self.end + len(data)
+        self.held += 4 * len(data) + 8 * len(chunks)
+        return slots
+
+    def _chunk_slots(self, chunks: list[str], last: bool = False) -> np.ndarray:
+        """Slots of chunks that follow a space; UNSAFE where a chunk is empty or may meet more white space.
+
+        With ``last`` chunks that end in white space are known to end their texts.
+        """
+        get = self.chunks.get
+        out = np.fromiter((get(c, -2) for c in chunks), np.int64, len(chunks))
+        new = np.flatnonzero(out == -2)
+        names = [chunks[i] for i in new]
+        safe = np.fromiter((bool(c) and not c[0].isspace() and (last or not c[-1].isspace()) for c in names), bool, len(names))
+        out[new] = UNSAFE
+        names = [c for c, ok in zip(names, safe, strict=True) if ok]
+        slots = self._put(names)
+        out[new[safe]] = slots
+        self.chunks.update((c, at) for c, at in zip(names, slots.tolist(), strict=True) if not c[-1].isspace())
+        self.held += sum(map(len, names)) + 150 * len(names)
+        return out
 
-def matrix_encoder(path: str, pattern: str) -> tuple[ChunkEncoder, list[bytes]]:
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without added tokens, and where each text's begin (and the last one's end)."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        lists = pc.split_pattern(texts, " ")
+        cuts = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        heads = lists.values.take(pa.array(cuts[:-1])).to_pylist()
+        of_code = self._chunk_slots(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sequence = of_code[codes]
+        unsafe = sequence == UNSAFE
+        unsafe[cuts[:-1]] = [bool(h) and h[-1].isspace() for h in heads]
+        counts = np.diff(cuts)
+        bad = np.logical_or.reduceat(unsafe, cuts[:-1]) & (counts > 1)
+        if bad.any():  # cut these with an eye on all white space
+            parts = [_SAFE_CUT.split(texts[int(i)].as_py()) for i in np.flatnonzero(bad)]
+            slots = self._chunk_slots([c for p in parts for c in p], last=True)
+            kept = sequence[np.repeat(~bad, counts)]
+            for i, p in zip(np.flatnonzero(bad), parts, strict=True):
+                heads[i] = p[0]
+            counts[bad] = list(map(len, parts))
+            cuts = np.concatenate([[0], np.cumsum(counts)])
+            sequence = np.empty(cuts[-1], np.int64)
+            good = np.repeat(~bad, counts)
+            sequence[good], sequence[~good] = kept, slots
+        sequence[cuts[:-1]] = self._put(heads, heads=True)
+        sizes = self.size[sequence]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        source = np.repeat(self.start[sequence] - (ends - sizes), sizes)
+        source += np.arange(len(source))
+        return self.ids.take(source), np.concatenate([[0], ends])[cuts]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a string array without nulls) in one array, and the offsets of each text's."""
+        if self.held > self.store_bytes:
+            self._clear()
+        marked = np.zeros(len(texts), bool)
+        for token in self.added:
+            marked |= np.asarray(pc.match_substring(texts, token))
+        if not marked.any():
+            return self._plain(texts)
+        parts = [self.added_cut.split(t.as_py()) if m else [t] for t, m in zip(texts, marked, strict=True)]
+        ids, cuts = self._plain(pa.array([p if isinstance(p, str) else p.as_py() for part in parts for p in part[::2]], pa.string()))
+        counts = np.array([len(p) // 2 + 1 for p in parts])
+        ends = np.cumsum(counts)
+        inner = np.ones(len(cuts) - 1, bool)
+        inner[ends - 1] = False  # the end of a text, not the place of an added token
+        ids = np.insert(ids, cuts[1:][inner], np.array([self.added[x] for part in parts for x in part[1::2]], ids.dtype))
+        return ids, np.concatenate([[0], cuts[ends] + np.cumsum(counts - 1)])
+
+
+def as_strings(texts: pa.Array) -> pa.Array:
+    """UTF-8 bytes to strings; bytes that are no UTF-8 are replaced."""
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([str(t, "utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
+def as_binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Slices of an array of bytes as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+_ENCODERS: dict[tuple, tuple[ChunkEncoder, pa.Array]] = {}
+
+
+def matrix_encoder(path: str, pattern: str) -> tuple[ChunkEncoder, pa.Array]:
     """The worker's encoder for a rank file, and the bytes of each id."""
     if (path, pattern) not in _ENCODERS:
         ranks = read_ranks(path)
@@ -240,7 +366,7 @@ def matrix_encoder(path: str, pattern: str) -> tuple[ChunkEncoder, list[bytes]]:
         for token, rank in ranks.items():
             names[rank] = token
         _ENCODERS[path, pattern] = (
-            ChunkEncoder(pattern, lambda pieces: model.encode([p.encode() for p in pieces])), names)
+            ChunkEncoder(PieceEncoder(pattern, lambda pieces: model.encode([p.encode() for p in pieces]))), pa.array(names, pa.binary()))
     return _ENCODERS[path, pattern]
 
 
@@ -256,12 +382,12 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, names = matrix_encoder(rank_path, pattern)
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                ids = encoder.encode([str(t, "utf-8", "replace") for t in part.column(1).to_pylist()])
-                decoded = [b"".join(map(names.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            for part in byte_slices(batch, 1, TEXT_BYTES):
+                ids, cuts = encoder.encode(as_strings(part.column(1)))
+                decoded = names.take(pa.array(ids))
+                ends = np.frombuffer(decoded.buffers()[1], np.int32, len(decoded) + 1) if len(decoded) else np.zeros(1, np.int32)
+                data = np.frombuffer(decoded.buffers()[2], np.uint8) if len(decoded) else np.zeros(0, np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), as_binary(ids, cuts * 4), as_binary(data, ends[cuts])], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id"), text_bytes(text).alias("text")).mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")

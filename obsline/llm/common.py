@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of text rows small enough for a worker's memory."""
+    """Keep Arrow batches of text rows small enough for a worker's memory.
+
+    Spark reads this setting when a query runs, not when it is built, so it has to stay in the session;
+    a smaller limit that the session brings is kept.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose binary column has ``most`` bytes or less (a longer value is taken alone)."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(batch):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the checkpoint directory, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from obsline.llm.bpe import ChunkEncoder
-from obsline.llm.common import materialise, small_batches, text_bytes
+from obsline.llm.bpe import TEXT_BYTES, ChunkEncoder, EncodeChunks, PieceEncoder, as_strings
+from obsline.llm.common import byte_slices, materialise, small_batches, text_bytes
 
 CAPACITY = 2048
 #: How many lengths the first document of a three-document pattern may have.
@@ -146,21 +147,73 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def library_encoder(json_path: str, pattern: str) -> ChunkEncoder:
-    """Ids by the tokenizers library's model, asked once for each distinct piece of the split."""
+    """Ids as the tokenizers library gives them for a byte-level BPE file, without its post-processing.
+
+    Its added tokens keep their ids wherever they occur. Where tokens are numbered in the order of their merges, as
+    in published files, the numbers are the ranks of the merges, and tiktoken encodes new chunks, joined by spaces,
+    from these same ranks; else the library's own model is asked for each piece.
+    """
     if json_path not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(json_path).model
+        with open(json_path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        whole, vocab = Tokenizer.from_file(json_path), model["vocab"]
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE shows as they are
         shown = {b: chr(b) for b in kept} | {
             b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(kept))}
+        added = {t.content: i for i, t in whole.get_added_tokens_decoder().items()}
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if made == sorted(made) and len(set(vocab) - set(added)) == len(made) + 256:
+            encode: EncodeChunks = _by_ranks({bytes(map({c: b for b, c in shown.items()}.__getitem__, t)): i for t, i in vocab.items() if t not in added}, pattern)
+        else:
+            def pieces(found: list[str]) -> list[bytes]:
+                names = (p.encode().decode("latin-1").translate(shown) for p in found)
+                return [pack_ids("<%dI" % len(ids), *ids) for ids in ([t.id for t in whole.model.tokenize(name)] for name in names)]
+
+            encode = PieceEncoder(pattern, pieces)
+        _ENCODERS[json_path] = ChunkEncoder(encode, added)
+    return _ENCODERS[json_path]
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            names = ("\u0120" + p[1:] if p[0] == " " and p[1:].isalpha() and p.isascii() else p.encode().decode("latin-1").translate(shown) for p in pieces)
-            return [pack_ids("<%dI" % len(ids), *ids) for ids in ([t.id for t in model.tokenize(name)] for name in names)]
 
-        _ENCODERS[json_path] = ChunkEncoder(pattern, encode)
-    return _ENCODERS[json_path]
+def _by_ranks(ranks: dict[bytes, int], pattern: str) -> EncodeChunks:
+    import tiktoken
+
+    library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    opens = np.zeros(max(ranks.values()) + 1, bool)  # tokens that begin with a space, which is where a chunk begins
+    opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+
+    def encode(chunks: list[str], heads: bool) -> tuple[np.ndarray, np.ndarray]:
+        if heads:
+            found = [library.encode_to_numpy(c, disallowed_special=()) for c in chunks]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+        # A chunk holds no space, but it may end in other white space: the last of its text, so encoded alone.
+        alone = [i for i, c in enumerate(chunks) if c[-1].isspace() or " " in c]
+        if alone:
+            found = [encode([c], True) for c in (" " + c for c in chunks)]
+            return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        if not chunks:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = library.encode_to_numpy(" " + " ".join(chunks), disallowed_special=())
+        sizes = np.diff(np.append(np.flatnonzero(opens[ids]), len(ids)))
+        if len(sizes) != len(chunks):
+            raise AssertionError("a chunk does not begin with a space")
+        return ids, sizes
+
+    return encode
+
+
+def cut_pieces(cuts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number, start and length of each piece of texts whose ids lie at ``cuts``.
+
+    A text's first piece takes the remainder, so that all the others are full.
+    """
+    total = np.diff(cuts)
+    count = -(-total // capacity)
+    row = np.repeat(np.arange(len(total)), count)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    first = ((total - 1) % capacity + 1)[row]
+    return row, piece, np.where(piece > 0, first + (piece - 1) * capacity, 0), np.where(piece > 0, capacity, first)
 
 
 def token_pieces(docs: DataFrame, json_path: str, pattern: str, capacity: int = CAPACITY, end: int = 0) -> DataFrame:
@@ -171,32 +224,27 @@ def token_pieces(docs: DataFrame, json_path: str, pattern: str, capacity: int =
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tail = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(json_path, pattern)
         task = TaskContext.get().partitionId()
-        seen = [0] * (capacity + 1)
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                row, cols = [], [[] for _ in range(5)]
-                for i, ids in enumerate(encoder.encode([str(t, "utf-8", "replace") for t in part.column(1).to_pylist()])):
-                    ids += tail
-                    total = len(ids) // 4
-                    start, stop = 0, (total - 1) % capacity + 1
-                    piece = 0
-                    while start < total:
-                        length = stop - start
-                        row.append(i)
-                        for col, value in zip(cols, (piece, start, length, zlib.crc32(ids[4 * start : 4 * stop]), seen[length]), strict=True):
-                            col.append(value)
-                        seen[length] += 1
-                        start, stop, piece = stop, stop + capacity, piece + 1
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            for part in byte_slices(batch, 1, TEXT_BYTES):
+                ids, cuts = encoder.encode(as_strings(part.column(1)))
+                ids = np.insert(ids, cuts[1:], np.uint32(end)).astype("<u4")
+                cuts = cuts + np.arange(len(cuts))
+                row, piece, start, length = cut_pieces(cuts, capacity)
+                data, at = memoryview(ids).cast("B"), 4 * (cuts[row] + start)
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                sizes, begins, counts = np.unique(length[order], return_index=True, return_counts=True)
+                nth = np.empty(len(row), np.int64)
+                nth[order] = np.arange(len(row)) + np.repeat(seen[sizes] - begins, counts)
+                seen[sizes] += counts
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int32())), *(pa.array(c, t) for c, t in zip(cols, types, strict=True)),
-                     pa.array([task] * len(row), pa.int64())],
+                    [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(nth),
+                     pa.array(np.full(len(row), task))],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "task"])
 
     return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(

@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -21,7 +22,7 @@ from obsline.llm import bpe, chat, exact_dedup, packing, simhash, toxicity
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, " "), (4, "one"), (5, "a" * 5000), (6, "one  two\n\n three　four's 123 don't"), (7, "one"), (7, "one"), (None, "one two three"), (9, "x " * 3000),
-       (10, "ONE two\tthree four"), (11, "one two three four"), (12, "\x1c \x85 \xa0 é中🙂")]
+       (10, "ONE two\tthree four"), (11, "one two three four"), (12, "\x1c \x85 \xa0 é中🙂"), (13, "a <|endoftext|> b")]
 
 
 @pytest.fixture(scope="module")
@@ -192,8 +193,29 @@ def test_bpe_random_pieces():
     enc, (own, _) = encoding(), bpe.matrix_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rng = random.Random(5)
     alphabet = [" ", "  ", "\n", " \n", "\t", "a", "the", "é", "'s", "'", "12", "٣", "\x1c", "　", "\xa0", "-", "<|endoftext|>", "🙂", "\r\n", "\x85"]
-    texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(1500)] + ["ab" * 4000, " " * 3000]
-    assert own.encode(texts) == [np.array(enc.encode_ordinary(t), "<u4").tobytes() for t in texts]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(1500)] + ["ab" * 4000, " " * 3000, "a" * 30_001, "x" + "é" * 999]
+    texts += ["".join(rng.choices("abcdefghi", k=n)) for n in (65, 500, 1023, 5000, 40_000)] + ["".join(rng.choices("ab", k=300)) for _ in range(200)]
+    ids, cuts = own.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_store_starts_anew_and_keeps_within_its_bytes():
+    enc, (own, _) = encoding(), bpe.matrix_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    small = bpe.ChunkEncoder(own.encode_chunks, store_bytes=20_000)
+    rng, most = random.Random(6), 0
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abc,", k=rng.randrange(1, 9))) for _ in range(40)) for _ in range(5)]
+        ids, cuts = small.encode(pa.array(texts))
+        most = max(most, small.slots)
+        assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [enc.encode_ordinary(t) for t in texts]
+    assert most < 500
+
+
+def test_added_tokens_are_the_librarys():
+    own, tokenizer = packing.library_encoder(P.path("byte_bpe_50k.json"), P.PATTERN), Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x ", "plain text", "", "<|endof<|endoftext|>text|>", "x  <|endoftext|>\n y"]
+    ids, cuts = own.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # ---- 8
@@ -236,7 +258,6 @@ def test_grace_compares_contents_when_hashes_agree(tmp_path):
 
 def check_packing(rows, texts):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = defaultdict(int)
     for i, t in texts:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
