@@ -1,30 +1,38 @@
 """Hierarchical Pitman-Yor language model (operator 5).
 
-Restaurants: one for each second-order context (the class of the previous word and a hashed class of
-the one before), whose parent is the restaurant of the previous word's class, whose parent is the root;
-the root's base is uniform over the types and one unknown. A word that makes up 1/4096 of the corpus has
-a class of its own, so there are at most 4096 of these; other words fall into classes by their ending.
-
-1. Documents are taken in blocks. A block asks for its distinct (word, context) pairs, with their counts
-   in training text; words are dealt to buckets by hash. So a word or pair, however common, reaches its
-   bucket once from each block.
-2. A bucket merges what it gets into the seating of its words: every pair starts with one table.
-3. Gibbs sweeps take customers away and seat them again, in all buckets side by side. What restaurants
-   share over buckets, the totals of customers and tables, is bounded by the number of contexts; it is
-   summed by Spark after each sweep and sent to the next. Within a sweep totals stand still.
-4. After the burn-in each sweep is a sample; predictive probabilities are averaged over samples and sent
-   back to the blocks that asked, where they are summed by document.
+Restaurants: one for each context, which is the previous word itself (or the start of a text); their common
+parent is the root, whose base is uniform over the types and one unknown. A dish is a word or the end.
+
+The state of a (restaurant, dish) pair is its number of customers c and of tables t. A Gibbs step draws the whole
+seating of a pair at once. Given a gamma variable v of the restaurant, v ~ Gamma(theta / d + T), the tables of
+its dishes are independent of each other, P(t) ~ (v d p)^t S_d(c, t), with p the parent's probability of the
+dish and S_d generalised Stirling numbers (how many seatings of c customers have t tables, by weight). So all
+pairs of all restaurants are drawn side by side, and each sweep seats every customer anew.
+
+1. Documents are taken in blocks. A block asks for its distinct pairs, with their counts in training text.
+   Pairs are dealt to buckets by context, those of a context with very many tokens by context and dish. So a
+   pair, however common, reaches its bucket once from each block.
+2. A bucket merges what it gets. Pairs with one customer have one table for good; only the others (the bucket's
+   light row) go through sweeps.
+3. A sweep has two parts. Parts of the root (words dealt by hash) sum the tables of each word over the buckets
+   that hold it, draw the root's tables and reply; buckets then draw theirs. Totals of restaurants are within
+   a bucket; those of split contexts (at most MOST_SPLIT) are summed by Spark and broadcast.
+4. After the burn-in each sweep is a sample. Predictive probabilities are averaged over samples and sent back
+   to the blocks that asked, where they are summed by document.
+
+Every draw hashes the pair and the sweep, so results do not depend on how rows, blocks or buckets are laid out.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -33,34 +41,30 @@ from pyspark.sql import functions as F
 
 from obsline.llm.common import discard, held_out, materialise, small_batches, text_bytes, write_shared
 
-END = b" end"  # no word holds a space
-#: Second-order contexts to each class of the previous word.
-MIX = 8
+START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))  # no word holds a space
+#: At most so many contexts are split over buckets, whatever the corpus.
+MOST_SPLIT = 100_000
+#: Pairs with more customers draw their tables from a limit distribution in place of Stirling numbers.
+EXACT_CUSTOMERS = 128
 
 
 @dataclass(frozen=True)
 class Settings:
-    own_share: int = 4096  # a word of at least one in so many tokens has a class of its own
-    endings: int = 512  # classes of other words, by their last letters
-    burn_in: int = 1
-    samples: int = 2
-    moves: int = 2  # customers that each sweep seats anew in every pair and level
-    theta: tuple[float, float, float] = (10.0, 5.0, 1.0)  # strengths of root, first and second order
-    block_bytes: int = 12 << 20
+    burn_in: int = 2
+    samples: int = 3
+    theta: tuple[float, float] = (10.0, 1.0)  # first strengths of root and contexts; re-estimated in each sweep
+    common: int = 65_536  # words that requests name by number; a matter of size alone
+    block_bytes: int = 8 << 20
     bucket_tokens: int = 1_500_000
     seed: int = 11
 
-    @property
-    def first(self) -> int:
-        """First-order contexts: own classes, endings, and the start of a text."""
-        return self.own_share + self.endings + 1
 
-    @property
-    def second(self) -> int:
-        return self.first * MIX
+# ---- packing of arrays
 
+def small(a: np.ndarray) -> np.ndarray:
+    """The same non-negative values in the smallest unsigned type."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
-# ---- packing of arrays
 
 def pack(*arrays: np.ndarray) -> bytes:
     parts = []
@@ -81,432 +85,643 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-# ---- tables of a set of restaurants' dishes
-
-class Seats:
-    """Tables of n (dish, restaurant) pairs: owner of each table, sorted, and its size."""
-
-    def __init__(self, n: int, owner: np.ndarray, size: np.ndarray):
-        self.n, self.owner, self.size = n, owner, size
-
-    def customers(self) -> np.ndarray:
-        return np.bincount(self.owner, self.size, self.n).astype(np.int64)
-
-    def tables(self) -> np.ndarray:
-        return np.bincount(self.owner, minlength=self.n)
-
-    def _draw(self, pairs: np.ndarray, customers: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """For each pair the table of one of its customers, any with the same chance."""
-        ends = np.cumsum(self.size)
-        before = np.concatenate([[0], np.cumsum(customers)])[pairs]
-        return np.searchsorted(ends, before + (rng.random(len(pairs)) * customers[pairs]).astype(np.int64), "right")
-
-    def remove(self, pairs: np.ndarray, rng: np.random.Generator) -> None:
-        """One customer of each pair leaves; tables may be left empty."""
-        at = self._draw(pairs, self.customers(), rng)
-        self.size = self.size.copy()
-        self.size[at] -= 1
-
-    def add(self, pairs: np.ndarray, new_weight: np.ndarray, d: float, rng: np.random.Generator) -> None:
-        """One customer comes to each pair; new_weight is the weight of a new table, by pair."""
-        customers = self.customers()
-        filled = np.bincount(self.owner, self.size > 0, self.n)
-        old = np.maximum(customers - d * filled, 0)[pairs]
-        fresh = rng.random(len(pairs)) * (new_weight[pairs] + old) >= old
-        todo = pairs[~fresh]
-        sizes = self.size.copy()
-        while len(todo):  # a table by its size less d: draw by size, and again with chance d / size
-            at = self._draw(todo, customers, rng)
-            took = rng.random(len(todo)) * self.size[at] >= d
-            sizes[at[took]] += 1
-            todo = todo[~took]
-        owner = np.concatenate([self.owner, pairs[fresh]])
-        sizes = np.concatenate([sizes, np.ones(int(fresh.sum()), sizes.dtype)])
-        order = np.argsort(owner, kind="stable")
-        order = order[sizes[order] > 0]
-        self.owner, self.size = owner[order], sizes[order]
-
-    def take(self, pairs: np.ndarray) -> Seats:
-        """The seats of some pairs (ascending), renumbered."""
-        place = np.full(self.n, -1)
-        place[pairs] = np.arange(len(pairs))
-        held = place[self.owner] >= 0
-        return Seats(len(pairs), place[self.owner[held]], self.size[held])
-
-    def put(self, pairs: np.ndarray, part: Seats) -> None:
-        inside = np.zeros(self.n, bool)
-        inside[pairs] = True
-        kept = ~inside[self.owner]
-        owner = np.concatenate([self.owner[kept], pairs[part.owner]])
-        size = np.concatenate([self.size[kept], part.size])
-        order = np.argsort(owner, kind="stable")
-        self.owner, self.size = owner[order], size[order]
-
-    def gibbs(self, new_weight: np.ndarray, d: float, moves: int, rng: np.random.Generator) -> None:
-        """Take away and seat again ``moves`` random customers of each pair that has several."""
-        pairs = np.flatnonzero(self.customers() > 1)
-        if not len(pairs):
-            return
-        part, everyone = self.take(pairs), np.arange(len(pairs))
-        for _ in range(moves):
-            part.remove(everyone, rng)
-            part.add(everyone, new_weight[pairs], d, rng)
-        self.put(pairs, part)
-
-    def resize(self, target: np.ndarray, new_weight: np.ndarray, d: float, rng: np.random.Generator) -> None:
-        """Let customers come or go until each pair has as many as its children have tables."""
-        while len(pairs := np.flatnonzero(self.customers() != target)):
-            part, want = self.take(pairs), target[pairs]
-            for _ in range(64):
-                have = part.customers()
-                more, less = np.flatnonzero(have < want), np.flatnonzero(have > want)
-                if not len(more) + len(less):
-                    break
-                if len(less):
-                    part.remove(less, rng)
-                part.add(more, new_weight[pairs], d, rng)
-            self.put(pairs, part)
-
-
-# ---- first pass: which words have a class of their own
-
-def own_words(docs: DataFrame, s: Settings) -> tuple[list[bytes], int]:
-    """Words with a class of their own, and the number of training tokens. ``docs``: (text, train)."""
+def spans(counts: np.ndarray) -> np.ndarray:
+    """0, 0, 1, ...: each number as often as its count says."""
+    return np.repeat(np.arange(len(counts)), counts)
+
+
+def name_words(hashes: np.ndarray, common: np.ndarray) -> list[np.ndarray]:
+    """Words as a mask of the common ones, their numbers, and the hashes of the others."""
+    at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
+    known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
+    return [np.array([len(hashes)], np.uint32), np.packbits(known), small(at[known]), hashes[~known]]
+
+
+def read_words(n: np.ndarray, mask: np.ndarray, numbers: np.ndarray, others: np.ndarray, common: np.ndarray) -> np.ndarray:
+    known = np.unpackbits(mask, count=int(n[0])).astype(bool)
+    out = np.empty(int(n[0]), np.uint64)
+    out[known], out[~known] = common[numbers], others
+    return out
+
+
+# ---- draws
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mixer."""
+    x = x.astype(np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform(keys: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers between 0 and 1 that depend on key and salt alone."""
+    x = mixed(keys ^ np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64)))
+    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def normal(keys: np.ndarray, salt: int) -> np.ndarray:
+    return np.sqrt(-2 * np.log(uniform(keys, 2 * salt))) * np.cos(2 * np.pi * uniform(keys, 2 * salt + 1))
+
+
+def gamma(keys: np.ndarray, shape: np.ndarray, salt: int) -> np.ndarray:
+    """Gamma variables by squeezed normals; a shape below one is raised by one and scaled down."""
+    low = shape < 1
+    d = np.where(low, shape + 1, shape) - 1 / 3
+    out, todo = np.empty(len(keys)), np.arange(len(keys))
+    for turn in range(1000):
+        if not len(todo):
+            break
+        x, u = normal(keys[todo], salt + 7919 * turn), uniform(keys[todo], salt + 7919 * turn + 104_729)
+        v = np.maximum(1 + x / np.sqrt(9 * d[todo]), 1e-12) ** 3
+        good = np.log(u) < 0.5 * x * x + d[todo] * (1 - v + np.log(v))
+        out[todo[good]] = d[todo[good]] * v[good]
+        todo = todo[~good]
+    return np.where(low, out * uniform(keys, salt + 15_485_863) ** (1 / np.maximum(shape, 1e-9)), out)
+
+
+@functools.lru_cache(8)
+def stirling(d: float, most: int = EXACT_CUSTOMERS) -> np.ndarray:
+    """log S_d(c, t): S(c + 1, t) = S(c, t - 1) + (c - t d) S(c, t)."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(most + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in range(1, most):
+            stay = out[c] + np.log(np.maximum(c - t * d, 0))
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], stay[1:])
+    return out
+
+
+def draw_tables(c: np.ndarray, a: np.ndarray, d: float, keys: np.ndarray, salt: int) -> np.ndarray:
+    """Tables of pairs with c customers each, from P(t) ~ a^t S_d(c, t).
+
+    Up to EXACT_CUSTOMERS by the distribution itself. Beyond, tables are points of a Poisson process whose
+    sizes sum to c: with x (1 - x)^(d - 1) = c / a, their number is 1 + Poisson or normal around
+    a (1 - (1 - x)^d) / d.
+    """
+    t = np.ones(len(c), np.int64)
+    u = uniform(keys, 3 * salt)
+    log_s, log_a = stirling(d), np.log(np.maximum(a, 1e-300))
+    order = np.argsort(c, kind="stable")
+    cuts = np.searchsorted(c[order], np.arange(2, EXACT_CUSTOMERS + 2))
+    for n in range(2, EXACT_CUSTOMERS + 1):
+        for at in range(cuts[n - 2], cuts[n - 1], 100_000):
+            rows = order[at : min(at + 100_000, cuts[n - 1])]
+            weight = log_a[rows, None] * np.arange(1, n + 1) + log_s[n, 1 : n + 1]
+            total = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
+            t[rows] = 1 + (total < u[rows, None] * total[:, -1:]).sum(axis=1)
+    rows = order[cuts[-1] :]
+    if len(rows):
+        t[rows] = _many_customers(c[rows].astype(float), a[rows], d, keys[rows], u[rows], salt)
+    return np.minimum(np.maximum(t, 1), c)
+
+
+def _many_customers(c: np.ndarray, a: np.ndarray, d: float, keys: np.ndarray, u: np.ndarray, salt: int) -> np.ndarray:
+    low, high = np.zeros(len(c)), np.full(len(c), 60.0)  # of -log(1 - x)
+    for _ in range(60):
+        mid = (low + high) / 2
+        over = -np.expm1(-mid) * np.exp(mid * (1 - d)) > c / a
+        low, high = np.where(over, low, mid), np.where(over, mid, high)
+    y = (low + high) / 2
+    mean = a * -np.expm1(-y * d) / d
+    x, rest = -np.expm1(-y), np.exp(-y)
+    spread = a * (x * rest ** (d - 1) + (1 - d) * x * x * np.exp(np.minimum(y * (2 - d), 700)))  # variance of the sum of sizes
+    variance = np.maximum(mean - c * c / spread, 0)
+    out = np.rint(mean + np.sqrt(variance) * normal(keys, 3 * salt + 1))
+    few = mean < 40
+    if few.any():
+        m, goal = mean[few], u[few]
+        term = np.exp(-m)
+        total, found = term.copy(), np.zeros(len(m))
+        for k in range(1, 200):
+            found += total < goal
+            term = term * m / k
+            total += term
+        out[few] = 1 + found
+    return out.astype(np.int64)
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    out = np.zeros_like(x)
+    for i in range(6):
+        out -= 1 / (x + i)
+    y = x + 6
+    return out + np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - 1 / (252 * y**6)
+
+
+def strength_stats(theta: float, d: float, customers: np.ndarray, tables: np.ndarray, times: np.ndarray | int = 1) -> list[float]:
+    """Sums over restaurants whose quotient is the next theta (an EM step over the usual auxiliary variables)."""
+    if not len(customers):
+        return [0.0, 0.0]
+    up = (theta / d) * (digamma(theta / d + tables) - digamma(theta / d + 1))
+    return [float((times * np.where(tables > 1, up, 0)).sum()), float((times * np.where(customers > 1, digamma(theta + customers) - digamma(theta + 1), 0)).sum())]
+
+
+# ---- first pass: common words and contexts with very many tokens
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word hashes of some texts, ascending, the number of each word, and the count of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string()) if pa.types.is_binary(texts.type) else texts))
+    values = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py())
+    held = np.asarray(pc.not_equal(pc.binary_length(values), 0))  # white space at an end leaves an empty word
+    cuts = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+    counts = np.diff(np.concatenate([[0], np.cumsum(held)])[cuts])
+    coded = values.filter(pa.array(held)).dictionary_encode()
+    plain = coded.dictionary.view(pa.binary()).to_pylist()
+    found = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain))
+    names, place = np.unique(found, return_inverse=True)
+    return names, place[coded.indices.to_numpy()], counts
+
+
+def block_slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches gathered until their texts (the last column) reach ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(batch):
+            before = ends[at - 1] if at else 0
+            stop = min(len(batch), int(np.searchsorted(ends, before + max(most - size, 0), "right")) + 1)
+            held.append(batch.slice(at, stop - at))
+            size += int(ends[stop - 1] - before)
+            at = stop
+            if size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def common_words(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of common words, ascending, their counts, and the number of training tokens. ``docs``: (train, text).
+
+    The counts leave out words that are rare in a block. They decide how data are dealt and named, not results.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-        tokens = size = 0
-
-        def flush() -> pa.RecordBatch:
-            # A word that is common in the corpus is common in some block.
-            common = [(w, n) for w, n in held.items() if n * s.own_share * 2 >= tokens]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([None, *(w for w, _ in common)], pa.binary()), pa.array([tokens, *(n for _, n in common)], pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if train:
-                    words = text.lower().split()
-                    held.update(words)
-                    tokens += len(words) + 1
-                    size += len(text)
-            if size > s.block_bytes:
-                yield flush()
-                held.clear()
-                tokens = size = 0
-        if tokens:
-            yield flush()
-
-    counts = materialise(docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+        for rows in block_slices(batches, s.block_bytes):
+            names, word, counts = word_hashes(rows["text"].combine_chunks())
+            n = np.bincount(word, minlength=len(names))
+            often = n * 250_000 >= len(word)
+            train = np.asarray(rows["train"].combine_chunks())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None, *names[often].view(np.int64).tolist()], pa.int64()), pa.array([int((counts[train] + 1).sum()), *n[often].tolist()], pa.int64())], ["word", "n"])
+
+    counts = materialise(docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.filter("word IS NULL").select("n").first()
-    tokens = total["n"] if total else 0
-    found = counts.filter(F.col("word").isNotNull() & (F.col("n") * s.own_share >= tokens)).orderBy(F.desc("n"), "word").limit(s.own_share)
-    return [bytes(r["word"]) for r in found.select("word").toLocalIterator()], tokens
+    found = counts.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(s.common).toArrow()  # at most ``common`` rows
+    names = np.asarray(found["word"]).astype(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return names[order], np.asarray(found["n"]).astype(np.int64)[order], total["n"] if total else 0
 
 
 # ---- blocks: what documents ask for
 
-class _Ids(dict):
-    def __missing__(self, key: bytes) -> int:
-        value = self[key] = len(self)
-        return value
-
-
-def block_rows(texts: list[bytes], train: list[bool], own: dict[bytes, int], buckets: int, s: Settings) -> tuple[bytes, list[tuple[int, bytes]]]:
-    """The block's own blob (tokens of each document, pair of each token), and a request for each bucket."""
-    ids = _Ids()
-    ids[END] = 0
-    of = ids.__getitem__
-    tokens, lengths = [], np.empty(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        words = text.lower().split()
-        tokens += map(of, words)
-        tokens.append(0)
-        lengths[i] = len(words) + 1
-    word = np.array(tokens, np.int64)
-    del tokens
-    start = s.own_share + s.endings
-    hashes, classes = np.empty(len(ids), np.uint64), np.empty(len(ids), np.int64)
-    for w, i in ids.items():
-        hashes[i] = xxhash.xxh3_64_intdigest(w)
-        found = own.get(w)
-        classes[i] = s.own_share + xxhash.xxh3_64_intdigest(w[-4:]) % s.endings if found is None else found
-    # Words in the order of their buckets, then of their hashes.
-    bucket = (hashes >> np.uint64(20)) % np.uint64(buckets)
-    order = np.lexsort((hashes, bucket))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    kinds = classes[word]
-    ends = np.cumsum(lengths)
-    begins = ends - lengths
-    one = np.roll(kinds, 1)
-    one[begins] = start
-    two = np.roll(one, 1)
-    two[begins] = start
-    context = one * MIX + (two * 0x9E3779B1 >> 7) % MIX
-    keys, pair = np.unique(rank[word] << 20 | context, return_inverse=True)
-    counts = np.bincount(pair, np.repeat(np.array(train, float), lengths), len(keys)).astype(np.uint32)
-    of_word, context = keys >> 20, (keys & 0xFFFFF).astype(np.uint32)
-    hashes, bucket = hashes[order], bucket[order].astype(np.int64)
-    per_word = np.bincount(of_word, minlength=len(order)).astype(np.uint32)
-    requests = []
-    word_cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    pair_cuts = np.searchsorted(of_word, word_cuts)
-    for b in range(buckets):
-        w, p = slice(word_cuts[b], word_cuts[b + 1]), slice(pair_cuts[b], pair_cuts[b + 1])
-        if w.stop > w.start:
-            requests.append((b, pack(hashes[w], per_word[w], context[p], counts[p])))
-    return pack(lengths, pair.astype(np.uint32)), requests
-
-
-def blocks(docs: DataFrame, own: list[bytes], buckets: int, s: Settings) -> DataFrame:
-    """kind h: (block, ids and folds of its documents, blob); kind r: (block, bucket, blob)."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(own)})  # at most own_share words
-    schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())),
-                        ("held", pa.list_(pa.bool_())), ("data", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, texts = [], [], []
-        size, block = 0, TaskContext.get().partitionId() << 24
+@dataclass(frozen=True)
+class Layout:
+    """How pairs are dealt: by context, those of split contexts by dish too; and words over parts of the root."""
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            blob, requests = block_rows(texts, [not h for h in held], shared.value, buckets, s)
-            rows = [("h", block, -1, ids, held, blob), *(("r", block, b, None, None, r) for b, r in requests)]
-            for at in range(0, len(rows), 16):
-                cols = zip(*rows[at : at + 16], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
+    buckets: int
+    parts: int
+    common: np.ndarray
+    split: np.ndarray  # hashes of split contexts, ascending
+    pieces: np.ndarray  # and over how many buckets
 
-        for batch in batches:
-            for doc_id, text, out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids.append(doc_id)
-                held.append(out)
-                texts.append(text)
-                size += len(text)
-                if size > s.block_bytes:
-                    yield from flush()
-                    ids, held, texts, size, block = [], [], [], 0, block + 1
-        if ids:
-            yield from flush()
+    def bucket(self, context: np.ndarray, dish: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.split, context), max(len(self.split) - 1, 0))
+        pieces = np.where(self.split[at] == context, self.pieces[at], 1) if len(self.split) else np.ones(len(context), np.int64)
+        return ((context >> np.uint64(24)) % np.uint64(self.buckets) + (dish >> np.uint64(30)) % pieces.astype(np.uint64)).astype(np.int64) % self.buckets
 
-    return docs.mapInArrow(run, "kind string, block long, bucket int, doc_ids array<long>, held array<boolean>, data binary")
+    def part(self, dish: np.ndarray) -> np.ndarray:
+        return ((dish >> np.uint64(16)) % np.uint64(self.parts)).astype(np.int64)
 
+    def order(self, dishes: np.ndarray) -> np.ndarray:
+        """The order of dishes by part, then hash."""
+        return np.lexsort((dishes, self.part(dishes)))
 
-# ---- buckets: the seating of their words
 
-@dataclass
-class Bucket:
-    """Pairs are sorted by word, then context; level 2, 1, 0 are second order, first order and root."""
+def lay_out(common: np.ndarray, counts: np.ndarray, tokens: int, s: Settings) -> Layout:
+    buckets = max(8, math.ceil(tokens / s.bucket_tokens))
+    limit = max(s.bucket_tokens / 2, tokens / MOST_SPLIT)
+    split = counts > limit
+    pieces = np.minimum(np.ceil(counts[split] / limit), buckets).astype(np.int64)
+    return Layout(buckets, max(4, math.ceil(buckets / 8)), common, common[split], pieces)
+
+
+def block_rows(texts: pa.Array, train: np.ndarray, plan: Layout) -> tuple[bytes, list[tuple[int, bytes]]]:
+    """The block's own blob (tokens of each document, pair and dish of each token), and a request for each bucket."""
+    names, word, counts = word_hashes(texts)
+    words = np.unique(np.concatenate([names, np.array([START, END], np.uint64)]))
+    word = np.searchsorted(words, names)[word]
+    start, end = np.searchsorted(words, np.array([START, END], np.uint64))
+    word = np.insert(word, np.cumsum(counts), end)
+    lengths = counts + 1
+    context = np.roll(word, 1)
+    context[np.cumsum(lengths) - lengths] = start
+    keys, pair = np.unique(context << 32 | word, return_inverse=True)
+    customers = np.bincount(pair, np.repeat(train, lengths), len(keys)).astype(np.int64)
+    context, dish = keys >> 32, keys & 0xFFFFFFFF
+    place = np.empty(len(words), np.int64)
+    place[plan.order(words)] = np.arange(len(words))
+    bucket = plan.bucket(words[context], words[dish])
+    order = np.lexsort((place[dish], context, bucket))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    context, dish, customers = context[order], dish[order], customers[order]
+    cuts = np.searchsorted(bucket[order], np.arange(plan.buckets + 1))
+    requests, dish_of, before = [], np.empty(len(order), np.int64), 0
+    by_place = plan.order(words)
+    for b in np.flatnonzero(np.diff(cuts)):
+        at = slice(cuts[b], cuts[b + 1])
+        own, per = np.unique(context[at], return_counts=True)
+        eaten, index = np.unique(place[dish[at]], return_inverse=True)
+        dish_of[at] = index + before  # the answer says how often each dish was seen
+        before += len(eaten)
+        requests.append((int(b), pack(*name_words(words[own], plan.common), *name_words(words[by_place[eaten]], plan.common), small(per), small(index), small(customers[at]))))
+    return pack(small(lengths), small(rank[pair]), small(dish_of)), requests
+
+
+def blocks(docs: DataFrame, plan: Layout, s: Settings) -> DataFrame:
+    """kind h: (block, ids and folds of its documents, blob); kind r: (block, bucket, blob)."""
+    shared = docs.sparkSession.sparkContext.broadcast(plan)  # at most ``common`` words and MOST_SPLIT contexts
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    word: np.ndarray  # of each pair
-    context: np.ndarray
-    count: np.ndarray  # training customers of each pair; none where held-out text alone has it
-    seats: list[Seats]  # by level
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 24
+        for rows in block_slices(batches, s.block_bytes):
+            ids, held = rows["doc_id"].combine_chunks(), rows["held"].combine_chunks()
+            blob, requests = block_rows(rows["text"].combine_chunks(), ~np.asarray(held), shared.value)
+            one = pa.array([0, len(ids)], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["h"]), pa.array([block]), pa.array([-1], pa.int32()), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, held), pa.array([blob], pa.binary())],
+                ["kind", "block", "bucket", "doc_ids", "held", "data"])
+            for at in range(0, len(requests), 16):
+                part = requests[at : at + 16]
+                none = [pa.nulls(len(part), pa.list_(t)) for t in (ids.type, held.type)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["r"] * len(part)), pa.array([block] * len(part)), pa.array([b for b, _ in part], pa.int32()), *none, pa.array([r for _, r in part], pa.binary())],
+                    ["kind", "block", "bucket", "doc_ids", "held", "data"])
+            block += 1
 
-    def __post_init__(self) -> None:
-        words = int(self.word.max(initial=-1)) + 1
-        self.known = np.bincount(self.word, self.count, words).astype(np.int64)
-        seen = self.count > 0
-        self.live = np.flatnonzero(seen)  # the pairs of level 2
-        keys = self.word[self.live] << 20 | self.context[self.live] // MIX
-        self.key1, self.up2 = np.unique(keys, return_inverse=True)  # the pairs of level 1
-        self.context2, self.context1, self.up1 = self.context[self.live], self.key1 & 0xFFFFF, self.key1 >> 20
-        self.words = words
+    return docs.select("doc_id", "held", "text").mapInArrow(run, f"kind string, block long, bucket int, doc_ids array<{kind}>, held array<boolean>, data binary")
 
 
-def _fresh(n: int, customers: np.ndarray) -> Seats:
-    held = np.flatnonzero(customers > 0)
-    return Seats(n, held, customers[held].astype(np.int64))
+# ---- buckets and the root's parts
 
+#: stats: [words seen, their tokens] or [customers, tables, pairs with one, with two customers, two sums for theta].
+ROW = "kind string, bucket int, part int, block long, data binary, stats array<double>"
+_ROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("stats", pa.list_(pa.float64()))])
 
-def new_bucket(word: np.ndarray, context: np.ndarray, count: np.ndarray) -> Bucket:
-    """One table to each pair: the seating that interpolated Kneser-Ney smoothing stands for."""
-    b = Bucket(word, context, count, [])
-    two = _fresh(len(b.live), count[b.live])
-    one = _fresh(len(b.key1), np.bincount(b.up2, minlength=len(b.key1)))
-    root = _fresh(b.words, np.bincount(b.up1, minlength=b.words))
-    b.seats = [root, one, two]
-    return b
 
+def _rows(rows: list[tuple]) -> pa.Table:
+    """Rows (kind, bucket, part, block, data, stats) as a table."""
+    return pa.Table.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW) if rows else _ROW.empty_table()
 
-def dump(b: Bucket) -> bytes:
-    """A bucket as bytes; words as gaps, tables as the sizes of those with more than one customer."""
-    arrays = [np.diff(b.word, prepend=0).astype(np.uint8), b.context.astype(np.uint32), b.count.astype(np.uint32)]
-    for seats in b.seats:
-        arrays += [seats.tables().astype(np.uint32), seats.size.astype(np.uint32)]
-    return pack(*arrays)
 
+@dataclass
+class Light:
+    """A bucket's pairs with two customers or more, by context, then dish."""
+
+    context: np.ndarray  # of each pair, among ``contexts``, which hold all split ones too
+    dish: np.ndarray  # among ``dishes``
+    customers: np.ndarray
+    contexts: np.ndarray  # hashes
+    of_context: np.ndarray  # all customers of each context here
+    single: np.ndarray  # and its pairs with one customer
+    dishes: np.ndarray  # hashes, by part
+    cuts: np.ndarray  # of dishes by part
+    plain: np.ndarray  # contexts without such pairs: how many have 0, 1, 2, ... customers
+    tables: np.ndarray
+    samples: list  # tables of each sample
+
+    def dump(self) -> bytes:
+        return pack(small(np.diff(self.context, prepend=0)), small(self.dish), small(self.customers), self.contexts, small(self.of_context), small(self.single), self.dishes, small(self.cuts),
+                    small(self.plain), *map(small, [self.tables, *self.samples]))
+
+    @staticmethod
+    def load(data: bytes) -> Light:
+        gaps, dish, customers, contexts, of, single, dishes, cuts, plain, tables, *samples = unpack(data)
+        return Light(np.cumsum(gaps, dtype=np.int64), *(x.astype(np.int64) for x in (dish, customers)), contexts, *(x.astype(np.int64) for x in (of, single)), dishes,
+                     *(x.astype(np.int64) for x in (cuts, plain, tables)), [x.astype(np.int64) for x in samples])
+
+
+def seat(requests: DataFrame, plan: Layout) -> DataFrame:
+    """From requests: heavy rows b, light rows l, and what each bucket has of each part of the root, rows q.
+
+    Rows t have the totals of split contexts, by their hash in ``block``.
+    """
+    shared = requests.sparkSession.sparkContext.broadcast(plan)
 
-def load(data: bytes) -> Bucket:
-    gaps, context, count, *tables = unpack(data)
-    b = Bucket(np.cumsum(gaps.astype(np.int64)), context.astype(np.int64), count.astype(np.int64), [])
-    for n, size in zip(tables[::2], tables[1::2], strict=True):
-        b.seats.append(Seats(len(n), np.repeat(np.arange(len(n)), n), size.astype(np.int64)))
-    return b
+    def run(rows: pa.Table) -> pa.Table:
+        plan, bucket = shared.value, rows["bucket"][0].as_py()
+        names = rows["block"].to_numpy()
+        asked = []
+        for d in rows["data"]:
+            a = unpack(d.as_py())
+            asked.append((read_words(*a[:4], plan.common), read_words(*a[4:8], plan.common), *(x.astype(np.int64) for x in a[8:])))
+        contexts = np.unique(np.concatenate([a[0] for a in asked]))
+        dishes = np.unique(np.concatenate([a[1] for a in asked]))
+        order = plan.order(dishes)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        keys = [np.repeat(np.searchsorted(contexts, c), per) << 32 | place[np.searchsorted(dishes, d)][index] for c, d, per, index, _ in asked]
+        dishes = dishes[order]
+        merged = np.unique(np.concatenate(keys))
+        ats = [np.searchsorted(merged, k) for k in keys]
+        c = np.bincount(np.concatenate(ats), np.concatenate([a[4] for a in asked]), len(merged)).astype(np.int64)
+        context, dish = merged >> 32, merged & 0xFFFFFFFF
+        cuts = np.searchsorted(plan.part(dishes), np.arange(plan.parts + 1))
+        heavy = pack(small(np.bincount(context, minlength=len(contexts))), small(dish), small(c), small(cuts), contexts[np.isin(contexts, plan.split)],
+                     small(np.flatnonzero(np.isin(contexts, plan.split))), names, np.array([len(a) for a in ats]), small(np.concatenate([np.diff(a, prepend=0) for a in ats])))
+        of_context = np.bincount(context, c, len(contexts)).astype(np.int64)
+        single = np.bincount(context[c == 1], minlength=len(contexts))
+        seen = np.bincount(dish, c, len(dishes)).astype(np.int64)
+        alone = np.bincount(dish[c == 1], minlength=len(dishes))
+        several = np.flatnonzero(c > 1)
+        own = np.unique(np.concatenate([context[several], np.flatnonzero(np.isin(contexts, plan.split))]))
+        context_at = np.searchsorted(own, context[several])
+        eaten, dish_at = np.unique(dish[several], return_inverse=True)
+        plain = np.ones(len(contexts), bool)
+        plain[own] = False
+        plain &= ~np.isin(contexts, plan.split)
+        light = Light(context_at, dish_at, c[several], contexts[own], of_context[own], single[own], dishes[eaten], np.searchsorted(eaten, cuts), np.bincount(single[plain]), np.ones(len(several), np.int64), [])
+        out = [("b", bucket, -1, None, heavy, None), ("l", bucket, -1, None, light.dump(), bucket_stats(light, plan, Totals.first()))]
+        tables = np.bincount(dish_at, minlength=len(eaten))
+        for p in range(plan.parts):
+            a, b, x, y = cuts[p], cuts[p + 1], light.cuts[p], light.cuts[p + 1]
+            if b > a:
+                out.append(("q", bucket, p, None, pack(*name_words(dishes[a:b], plan.common), small(seen[a:b]), small(alone[a:b]), small(eaten[x:y] - a), small(tables[x:y])), None))
+        out += split_rows(contexts, of_context, np.bincount(context[c > 0], minlength=len(contexts)), plan)
+        return _rows(out)
+
+    return requests.select("bucket", "block", "data").groupBy("bucket").applyInArrow(run, ROW)
+
+
+def split_rows(contexts: np.ndarray, customers: np.ndarray, tables: np.ndarray, plan: Layout) -> list[tuple]:
+    """What a bucket has of split contexts."""
+    return [("t", None, None, int(contexts[i].view(np.int64)), None, [float(customers[i]), float(tables[i])]) for i in np.flatnonzero(np.isin(contexts, plan.split))]
 
 
-@dataclass
+@dataclass(frozen=True)
 class Totals:
-    """What restaurants share over all buckets; arrays by context."""
+    """Numbers that all share: types and tokens, and by level (root, contexts) theta, d; the root's totals and gamma variable."""
 
     types: int
     tokens: int
-    customers: list  # by level: root a number, then arrays
-    tables: list
-    discount: list
-
-    def weights(self, level: int, context: np.ndarray | int, s: Settings) -> np.ndarray:
-        """theta + d T of each restaurant."""
-        return s.theta[level] + self.discount[level] * self.tables[level][context]
-
-    def below(self, level: int, context: np.ndarray | int, s: Settings) -> np.ndarray:
-        """The share of a restaurant's predictive probability that its parent has."""
-        return self.weights(level, context, s) / (s.theta[level] + self.customers[level][context])
-
-
-def totals_of(b: Bucket, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and values of a bucket's part of the totals, and of the counts of counts for the discounts."""
-    keys, values = [], []
-
-    def put(kind: int, at: np.ndarray, x: np.ndarray) -> None:
-        held = np.flatnonzero(x)
-        keys.append(at[held] + (kind << 24))
-        values.append(x[held])
-
-    contexts = [np.zeros(b.words, np.int64), b.context1, b.context2]
-    sizes = [1, s.first, s.second]
-    for level in range(3):
-        customers = b.seats[level].customers()
-        put(2 * level, np.arange(sizes[level]), np.bincount(contexts[level], customers, sizes[level]))
-        put(2 * level + 1, np.arange(sizes[level]), np.bincount(contexts[level], b.seats[level].tables(), sizes[level]))
-        put(6, np.array([2 * level, 2 * level + 1]), np.array([(customers == 1).sum(), (customers == 2).sum()]))
-    put(7, np.arange(2), np.array([(b.known > 0).sum(), b.known.sum()]))
-    return np.concatenate(keys), np.concatenate(values).astype(float)
-
-
-def gather(state: DataFrame, s: Settings) -> Totals:
-    """Sum the buckets' parts; there are at most some (first + second) * 2 sums."""
-    rows = state.select(F.explode(F.arrays_zip("keys", "sums")).alias("x")).groupBy("x.keys").agg(F.sum("x.sums").alias("v")).toArrow()
-    keys, values = np.asarray(rows["keys"]).astype(np.int64), np.asarray(rows["v"]).astype(float)
-    dense = [np.zeros(n) for n in (1, 1, s.first, s.first, s.second, s.second, 6, 2)]
-    for kind, at, v in zip(keys >> 24, keys & 0xFFFFFF, values, strict=True):
-        dense[kind][at] = v
-    ones, twos = dense[6][0::2], dense[6][1::2]
-    discount = [float(min(0.95, max(0.05, a / (a + 2 * b)))) if a + b > 0 else 0.5 for a, b in zip(ones, twos, strict=True)]
-    return Totals(int(dense[7][0]), int(dense[7][1]), dense[0:6:2], dense[1:6:2], discount)
-
-
-def predictive(b: Bucket, t: Totals, s: Settings) -> list[np.ndarray]:
-    """Probabilities of each word at the root, of each pair of level 1, of each pair of level 2."""
-    root = (b.seats[0].customers() - t.discount[0] * b.seats[0].tables()) / (s.theta[0] + t.customers[0][0])
-    out = [root + t.below(0, 0, s) / (t.types + 1)]
-    for level, context, up in ((1, b.context1, b.up1), (2, b.context2, b.up2)):
-        own = b.seats[level].customers() - t.discount[level] * b.seats[level].tables()
-        out.append(own / (s.theta[level] + t.customers[level][context]) + t.below(level, context, s) * out[-1][up])
-    return out
-
+    theta: tuple[float, float]
+    d: tuple[float, float]
+    customers: int
+    tables: int
+    v: float
+    split: tuple  # hashes, customers and tables of split contexts
 
-def sweep(b: Bucket, t: Totals, s: Settings, rng: np.random.Generator) -> None:
-    """Seat customers anew from the second order down to the root."""
-    p = predictive(b, t, s)
-    base = np.full(b.words, 1 / (t.types + 1))
-    new = [t.weights(0, 0, s) * base, t.weights(1, b.context1, s) * p[0][b.up1], t.weights(2, b.context2, s) * p[1][b.up2]]
-    b.seats[2].gibbs(new[2], t.discount[2], s.moves, rng)
-    for level, up in ((1, b.up2), (0, b.up1)):
-        children = np.bincount(up, b.seats[level + 1].tables(), b.seats[level].n).astype(np.int64)
-        b.seats[level].resize(children, new[level], t.discount[level], rng)
-        b.seats[level].gibbs(new[level], t.discount[level], s.moves, rng)
+    @staticmethod
+    def first() -> Totals:
+        return Totals(0, 0, (10.0, 1.0), (0.5, 0.5), 0, 0, 0.0, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
 
+    def root(self, own: np.ndarray) -> np.ndarray:
+        """The root's predictive probability of dishes with ``own`` = customers - d tables."""
+        return (own + (self.theta[0] + self.d[0] * self.tables) / (self.types + 1)) / (self.theta[0] + self.customers)
 
-def pair_probabilities(b: Bucket, t: Totals, s: Settings) -> np.ndarray:
-    """Predictive probability of every pair that was asked for, in training or not."""
-    p = predictive(b, t, s)
-    context1 = b.context // MIX
-    at = np.searchsorted(b.key1, b.word << 20 | context1)
-    at = np.minimum(at, max(len(b.key1) - 1, 0))
-    first = t.below(1, context1, s) * p[0][b.word]
-    if len(b.key1):
-        hit = b.key1[at] == (b.word << 20 | context1)
-        first[hit] = p[1][at[hit]]
-    second = t.below(2, b.context, s) * first
-    second[b.live] = p[2]
-    return second
+    def whole(self, contexts: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of contexts, those of split ones from all buckets."""
+        if not len(self.split[0]):
+            return customers, tables
+        at = np.minimum(np.searchsorted(self.split[0], contexts), len(self.split[0]) - 1)
+        hit = self.split[0][at] == contexts
+        return np.where(hit, self.split[1][at], customers), np.where(hit, self.split[2][at], tables)
 
 
-STATE = "bucket int, state binary, asks binary, sums_of_p binary, keys array<int>, sums array<double>"
+def bucket_stats(b: Light, plan: Layout, t: Totals) -> list[float]:
+    """Customers, tables, pairs with one and two customers, and the sums for theta, of a bucket's contexts."""
+    tables = b.single + np.bincount(b.context, b.tables, len(b.contexts)).astype(np.int64)
+    whole = ~np.isin(b.contexts, plan.split)
+    sums = strength_stats(t.theta[1], t.d[1], b.of_context[whole], tables[whole])
+    k = np.flatnonzero(b.plain)
+    more = strength_stats(t.theta[1], t.d[1], k, k, b.plain[k])
+    one = b.single.sum() + (np.arange(len(b.plain)) * b.plain).sum()
+    return [float(b.of_context.sum()), float(tables.sum()), float(one), float((b.customers == 2).sum()), sums[0] + more[0], sums[1] + more[1]]
 
 
-def _state_table(rows: list[tuple]) -> pa.RecordBatch:
-    schema = pa.schema([("bucket", pa.int32()), ("state", pa.binary()), ("asks", pa.binary()), ("sums_of_p", pa.binary()),
-                        ("keys", pa.list_(pa.int32())), ("sums", pa.list_(pa.float64()))])
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def root_rows(part: int, keys: np.ndarray, alone: np.ndarray, customers: np.ndarray, tables: np.ndarray, at: np.ndarray, sizes: np.ndarray, names: np.ndarray, samples: list) -> bytes:
+    return pack(keys, small(alone), small(customers), small(tables), small(np.concatenate([np.diff(x, prepend=0) for x in np.split(at, np.cumsum(sizes)[:-1])]) if len(at) else at), sizes, names, *samples)
 
 
-def seat(requests: DataFrame, s: Settings) -> DataFrame:
-    """One row for each bucket: its seating, and for each block the pairs that it asked for."""
+def open_root(asks: DataFrame, plan: Layout) -> DataFrame:
+    """From rows q: heavy rows R (every word of a part) and light rows r (words with several customers, or that may get them)."""
+    shared = asks.sparkSession.sparkContext.broadcast(plan)
 
     def run(rows: pa.Table) -> pa.Table:
-        names = rows["block"].to_numpy()
+        rows = rows.sort_by("bucket")
+        part, names = rows["part"][0].as_py(), rows["bucket"].to_numpy().astype(np.int64)
         parts = [unpack(d.as_py()) for d in rows["data"]]
-        hashes = np.unique(np.concatenate([p[0] for p in parts]))
-        keys = [np.repeat(np.searchsorted(hashes, p[0]), p[1]).astype(np.int64) << 20 | p[2] for p in parts]
-        merged = np.unique(np.concatenate(keys))
-        count = np.zeros(len(merged), np.int64)
-        asks = []
-        for k, p in zip(keys, parts, strict=True):
-            at = np.searchsorted(merged, k)
-            count[at] += p[3]
-            asks.append(np.diff(at, prepend=0).astype(np.uint32))
-        b = new_bucket(merged >> 20, merged & 0xFFFFF, count)
-        sizes = np.array([len(a) for a in asks], np.int64)
-        k, v = totals_of(b, s)
-        return pa.Table.from_batches([_state_table([(rows["bucket"][0].as_py(), dump(b), pack(names, sizes, np.concatenate(asks)), None, k, v)])])
-
-    return requests.select("bucket", "block", "data").groupBy("bucket").applyInArrow(run, STATE)
-
-
-def one_sweep(state: DataFrame, t: Totals, s: Settings, number: int) -> DataFrame:
-    """The next seating. If the present one is a sample, its probabilities are added to the sums first."""
+        words = [read_words(*p[:4], shared.value.common) for p in parts]
+        keys = np.unique(np.concatenate(words))
+        at = [np.searchsorted(keys, w) for w in words]
+        every = np.concatenate(at)
+        seen, alone = (np.bincount(every, np.concatenate([p[i] for p in parts]), len(keys)).astype(np.int64) for i in (4, 5))
+        several = [a[p[6].astype(np.int64)] for a, p in zip(at, parts, strict=True)]
+        changing = np.concatenate(several)
+        customers = alone + np.bincount(changing, np.concatenate([p[7] for p in parts]), len(keys)).astype(np.int64)
+        live = customers > 1
+        live[changing] = True
+        index = np.cumsum(live) - 1
+        sizes = np.array([len(a) for a in at], np.int64)
+        heavy = pack(small(seen), np.packbits(live), small(np.concatenate([np.diff(a, prepend=0) for a in at])), sizes, names)
+        light = root_rows(part, keys[live], alone[live], customers[live], np.ones(int(live.sum()), np.int64), index[changing], np.array([len(x) for x in several], np.int64), names, [])
+        rest = int(((customers == 1) & ~live).sum())
+        stats = [float(customers.sum()), float((customers > 0).sum()), float((customers == 1).sum()), float((customers == 2).sum()), float((seen > 0).sum()), float(seen.sum()), float(rest)]
+        return _rows([("R", None, part, None, heavy, stats), ("r", None, part, None, light, stats)])
+
+    return asks.select("bucket", "part", "data").groupBy("part").applyInArrow(run, ROW)
+
+
+def draw_root(state: DataFrame, t: Totals, number: int, s: Settings) -> DataFrame:
+    """From rows r and values v of the buckets: the next rows r, and replies p to the buckets: customers - d tables of their words."""
     shared = state.sparkSession.sparkContext.broadcast(t)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                bucket, data, asks, sums = (batch.column(c)[i].as_py() for c in ("bucket", "state", "asks", "sums_of_p"))
-                b = load(data)
-                if number > s.burn_in:
-                    sums = pack(sample_sums(b, sums, shared.value, s))
-                sweep(b, shared.value, s, np.random.default_rng((s.seed, number, bucket)))
-                k, v = totals_of(b, s)
-                yield _state_table([(bucket, dump(b), asks, sums, k, v)])
-
-    return state.mapInArrow(run, STATE)
-
-
-def sample_sums(b: Bucket, sums: bytes | None, t: Totals, s: Settings) -> np.ndarray:
-    p = pair_probabilities(b, t, s)
-    return (p if sums is None else p + unpack(sums)[0]).astype(np.float32)
+    def run(rows: pa.Table) -> pa.Table:
+        t = shared.value
+        kinds = rows["kind"].to_pylist()
+        own = kinds.index("r")
+        keys, alone, customers, tables, gaps, sizes, names, *samples = unpack(rows["data"][own].as_py())
+        part, rest = rows["part"][own].as_py(), rows["stats"][own].as_py()[6]
+        ends = np.cumsum(sizes)
+        at = np.concatenate([np.cumsum(g, dtype=np.int64) for g in np.split(gaps, ends[:-1])]) if len(gaps) else gaps.astype(np.int64)
+        sent = {rows["bucket"][i].as_py(): unpack(rows["data"][i].as_py())[0] for i, k in enumerate(kinds) if k == "v"}
+        customers = customers.astype(np.int64)
+        if sent:
+            values = np.concatenate([sent[int(n)] for n, size in zip(names, sizes, strict=True) if size]) if len(at) else np.zeros(0)
+            customers = alone.astype(np.int64) + np.bincount(at, values, len(keys)).astype(np.int64)
+        a = np.full(len(keys), t.v * t.d[0] / (t.types + 1))
+        tables = np.where(customers > 0, draw_tables(np.maximum(customers, 1), a, t.d[0], keys, (s.seed * 1000 + number) * 2), 0)
+        value = customers - t.d[0] * tables
+        if number >= s.burn_in:
+            samples = [*samples, value]
+        stats = [float(customers.sum() + rest), float(tables.sum() + rest), float((customers == 1).sum() + rest), float((customers == 2).sum()), 0.0, 0.0, rest]
+        out = [("r", None, part, None, root_rows(part, keys, alone, customers, tables, at, sizes, names, samples), stats)]
+        out += [("p", int(n), part, None, pack(x), None) for n, x in zip(names, np.split(value[at], ends[:-1]), strict=True) if len(x)]
+        return _rows(out)
+
+    return state.groupBy("part").applyInArrow(run, ROW)
+
+
+def draw_buckets(state: DataFrame, t: Totals, plan: Layout, number: int, s: Settings) -> DataFrame:
+    """From rows l and the root's replies p: the next rows l, values v for the root, and totals t of split contexts."""
+    shared = state.sparkSession.sparkContext.broadcast((t, plan))
 
+    def run(rows: pa.Table) -> pa.Table:
+        t, plan = shared.value
+        rows = rows.sort_by("part")  # the bucket's own row has part -1
+        b, bucket = Light.load(rows["data"][0].as_py()), rows["bucket"][0].as_py()
+        value = np.concatenate([np.zeros(0), *(unpack(d.as_py())[0] for d in rows["data"][1:])])
+        if number >= s.burn_in:
+            b.samples.append(b.tables)
+        if number < s.burn_in + s.samples - 1:
+            tables = b.single + np.bincount(b.context, b.tables, len(b.contexts)).astype(np.int64)
+            _, whole = t.whole(b.contexts, b.of_context, tables)
+            v = gamma(b.contexts, t.theta[1] / t.d[1] + whole, (s.seed * 1000 + number) * 7)
+            a = v[b.context] * t.d[1] * t.root(value)[b.dish]
+            keys = mixed(b.contexts)[b.context] ^ b.dishes[b.dish]
+            b.tables = draw_tables(b.customers, a, t.d[1], keys, (s.seed * 1000 + number) * 2 + 1)
+        sums = np.bincount(b.dish, b.tables, len(b.dishes)).astype(np.int64)
+        out = [("l", bucket, -1, None, b.dump(), bucket_stats(b, plan, t))]
+        out += [("v", bucket, p, None, pack(small(sums[b.cuts[p] : b.cuts[p + 1]])), None) for p in range(plan.parts) if b.cuts[p + 1] > b.cuts[p]]
+        out += split_rows(b.contexts, b.of_context, b.single + np.bincount(b.context, b.tables, len(b.contexts)).astype(np.int64), plan)
+        return _rows(out)
+
+    return state.groupBy("bucket").applyInArrow(run, ROW)
+
+
+def last_replies(state: DataFrame, samples: list[Totals]) -> DataFrame:
+    """From rows R and r: replies p to the buckets with counts of all their words, and the root's probabilities in each sample."""
+    shared = state.sparkSession.sparkContext.broadcast(samples)
 
-def answers(state: DataFrame, t: Totals, s: Settings) -> DataFrame:
-    """(block, bucket, blob): log10 of the averaged probability and the word's count, pair by pair as asked."""
-    shared = state.sparkSession.sparkContext.broadcast(t)
+    def run(rows: pa.Table) -> pa.Table:
+        kinds = rows["kind"].to_pylist()
+        seen, live, gaps, sizes, names = unpack(rows["data"][kinds.index("R")].as_py())
+        found = unpack(rows["data"][kinds.index("r")].as_py())[7:]
+        live = np.unpackbits(live, count=len(seen)).astype(bool)
+        own = []
+        for t, x in zip(shared.value, found, strict=True):
+            value = np.where(seen > 0, 1 - t.d[0], 0.0)  # one customer, if any
+            value[live] = x
+            own.append(t.root(value))
+        ends = np.cumsum(sizes)
+        part, out = rows["part"][0].as_py(), []
+        for n, g in zip(names, np.split(gaps, ends[:-1]), strict=True):
+            at = np.cumsum(g, dtype=np.int64)
+            out.append(("p", int(n), part, None, pack(seen[at], *(p[at] for p in own)), None))
+        return _rows(out)
+
+    return state.groupBy("part").applyInArrow(run, ROW)
+
+
+def answers(state: DataFrame, samples: list[Totals]) -> DataFrame:
+    """From rows b, l and replies p: for each block log10 of the averaged probability, pair by pair as asked, and counts of its dishes."""
+    shared = state.sparkSession.sparkContext.broadcast(samples)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                b = load(batch.column("state")[i].as_py())
-                names, sizes, gaps = unpack(batch.column("asks")[i].as_py())
-                sums = sample_sums(b, batch.column("sums_of_p")[i].as_py(), shared.value, s)
-                score = np.log10(sums.astype(float) / s.samples).astype(np.float32)
-                known = b.known[b.word].astype(np.uint32)
-                cuts = np.concatenate([[0], np.cumsum(sizes)])
-                for name, lo, hi in zip(names, cuts[:-1], cuts[1:], strict=True):
-                    at = np.cumsum(gaps[lo:hi].astype(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(name)], pa.int64()), batch.column("bucket").slice(i, 1), pa.array([pack(score[at], known[at])], pa.binary())],
-                        ["block", "bucket", "data"])
-
-    return state.select("bucket", "state", "asks", "sums_of_p").mapInArrow(run, "block long, bucket int, data binary")
+    def run(rows: pa.Table) -> pa.Table:
+        kinds, bucket = rows["kind"].to_pylist(), rows["bucket"][0].as_py()
+        per, dish, c, _, split, split_at, names, sizes, gaps = unpack(rows["data"][kinds.index("b")].as_py())
+        b = Light.load(rows["data"][kinds.index("l")].as_py())
+        replies = [unpack(d.as_py()) for d in rows.filter(pc.equal(rows["kind"], "p")).sort_by("part")["data"]]
+        seen = np.concatenate([r[0] for r in replies]).astype(np.int64)
+        c, context = c.astype(np.int64), spans(per)
+        # Split contexts have totals of their own hash; others never look it up.
+        hashes = np.zeros(len(per), np.uint64)
+        hashes[split_at] = split
+        of_context = np.bincount(context, c, len(per)).astype(np.int64)
+        total = np.zeros(len(c))
+        for i, t in enumerate(shared.value):
+            tables = (c > 0).astype(np.int64)
+            tables[c > 1] = b.samples[i]
+            customers, held = t.whole(hashes, of_context, np.bincount(context, tables, len(per)).astype(np.int64))
+            root = np.concatenate([r[1 + i] for r in replies])
+            below, share = t.theta[1] + t.d[1] * held, t.theta[1] + customers
+            total += (c - t.d[1] * tables + below[context] * root[dish]) / share[context]
+        score = np.log10(total / len(shared.value)).astype(np.float32)
+        out, ends = [], np.cumsum(sizes)
+        for name, g in zip(names, np.split(gaps, ends[:-1]), strict=True):
+            at = np.cumsum(g, dtype=np.int64)
+            out.append((int(name), bucket, pack(score[at], small(seen[np.unique(dish[at])]))))
+        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([x[1] for x in out], pa.int32()), "data": pa.array([x[2] for x in out], pa.binary())})
+
+    return state.groupBy("bucket").applyInArrow(run, "block long, bucket int, data binary")
+
+
+# ---- the model
+
+def _sums(state: DataFrame, kind: str, n: int) -> list[float]:
+    row = state.filter(F.col("kind") == kind).agg(*(F.coalesce(F.sum(F.col("stats")[i]), F.lit(0.0)) for i in range(n))).first()
+    return list(row)
+
+
+def _discount(one: float, two: float) -> float:
+    return float(min(0.95, max(0.05, one / (one + 2 * two)))) if one + two else 0.5
+
+
+def _strength(sums: list[float], before: float) -> float:
+    """Rounded, so that the order of sums does not matter."""
+    return float(f"{min(1e4, max(1e-2, sums[0] / sums[1])):.6g}") if sums[0] > 0 and sums[1] > 0 else before
+
+
+def _split_totals(state: DataFrame) -> tuple:
+    """Hashes, customers and tables of split contexts: at most MOST_SPLIT rows."""
+    found = state.filter("kind = 't'").groupBy("block").agg(F.sum(F.col("stats")[0]).alias("c"), F.sum(F.col("stats")[1]).alias("t")).toArrow()
+    names, c, t = np.asarray(found["block"]).astype(np.int64).view(np.uint64), np.asarray(found["c"]).astype(np.int64), np.asarray(found["t"]).astype(np.int64)
+    order = np.argsort(names)
+    return names[order], c[order], t[order]
+
+
+def gibbs(source: DataFrame, plan: Layout, s: Settings) -> tuple[DataFrame, Totals]:
+    """(block, bucket, blob) answers to requests, and the last totals."""
+    spark = source.sparkSession
+
+    def write(df: DataFrame) -> tuple[DataFrame, str]:
+        path = write_shared(df)
+        return spark.read.schema(ROW).parquet(path), path
+
+    first, _ = write(seat(source, plan))
+    heavy, light, light_path = first.filter("kind = 'b'"), first.filter("kind IN ('l', 't')"), ""
+    opened, _ = write(open_root(first.filter("kind = 'q'"), plan))
+    roots, root_path, values = opened.filter("kind = 'r'"), "", None
+    split = _split_totals(first)
+    start = _sums(opened, "R", 6)
+    one = _sums(light, "l", 6)
+    d = (_discount(*start[2:4]), _discount(*one[2:4]))
+    theta = s.theta
+    totals = Totals(int(start[4]), int(start[5]), theta, d, int(start[0]), int(start[1]), 0.0, split)
+    samples = []
+    for number in range(s.burn_in + s.samples):
+        v = gamma(np.array([END], np.uint64), np.array([theta[0] / d[0] + totals.tables]), (s.seed * 1000 + number) * 5)[0]
+        totals = Totals(totals.types, totals.tokens, theta, d, totals.customers, totals.tables, float(v), split)
+        state = roots if values is None else roots.unionByName(values)
+        older, (drawn, root_path) = root_path, write(draw_root(state, totals, number, s))
+        roots = drawn.filter("kind = 'r'")
+        found = _sums(roots, "r", 4)
+        totals = Totals(totals.types, totals.tokens, theta, d, int(found[0]), int(found[1]), float(v), split)
+        if number >= s.burn_in:
+            samples.append(totals)
+        older_light, (seated, light_path) = light_path, write(draw_buckets(light.filter("kind = 'l'").unionByName(drawn.filter("kind = 'p'")), totals, plan, number, s))
+        light, values = seated.filter("kind = 'l'"), seated.filter("kind = 'v'")
+        for path in (older, older_light):
+            if path:
+                discard(spark, path)
+        if len(plan.split):
+            split = _split_totals(seated)
+        one = _sums(light, "l", 6)
+        strengths = one[4:6]
+        if len(split[0]):
+            more = strength_stats(theta[1], d[1], split[1], split[2])
+            strengths = [strengths[0] + more[0], strengths[1] + more[1]]
+        root = strength_stats(theta[0], d[0], np.array([totals.customers]), np.array([totals.tables]))
+        theta = (_strength(root, theta[0]), _strength(strengths, theta[1]))
+        d = (_discount(*found[2:4]), d[1])
+    replies = last_replies(opened.filter("kind = 'R'").unionByName(roots), samples)
+    return answers(heavy.unionByName(light).unionByName(replies), samples), totals
 
 
 def language_model(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -514,45 +729,36 @@ def language_model(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     Training rows are those that are not held out. Null text counts as empty: one token, its end.
     Repeated rows count as often as they occur. Without training text every word is unknown. An empty
-    table gives an empty result. Other columns are not read. Words are told apart by 64-bit hashes.
+    table gives an empty result. Other columns are not read; doc_id may have any type. Words are told
+    apart by 64-bit hashes.
     """
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), held_out("doc_id", 7, 2).alias("held"))
-    own, tokens = own_words(plain.select("text", (~F.col("held")).alias("train")), s)
-    buckets = max(8, math.ceil(tokens / s.bucket_tokens))
+    plain = docs.select("doc_id", held_out("doc_id", 7, 2).alias("held"), text_bytes().alias("text"))
+    common, counts, tokens = common_words(plain.select((~F.col("held")).alias("train"), "text"), s)
+    plan = lay_out(common, counts, tokens, s)
     spark = docs.sparkSession
-    source = write_shared(blocks(plain, own, buckets, s), "kind")
-    found = spark.read.schema("block long, bucket int, doc_ids array<long>, held array<boolean>, data binary, kind string").parquet(source)
-    path = write_shared(seat(found.filter("kind = 'r'").select("bucket", "block", "data"), s))
-    discard(spark, f"{source}/kind=r")  # the seating and its asks stand for the requests
-    state = spark.read.parquet(path)
-    totals = gather(state, s)
-    train_tokens, types = totals.tokens, totals.types
-    for number in range(s.burn_in + s.samples):
-        older, path = path, write_shared(one_sweep(state, totals, s, number))
-        state = spark.read.parquet(path)
-        discard(spark, older)
-        totals = gather(state, s)
-    replies = answers(state, totals, s)
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    norm = math.log10(train_tokens + types + 1)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    source = write_shared(blocks(plain, plan, s), "kind")
+    found = spark.read.schema(f"block long, bucket int, doc_ids array<{kind}>, held array<boolean>, data binary, kind string").parquet(source)
+    replies, totals = gibbs(found.filter("kind = 'r'").select("bucket", "block", "data"), plan, s)
+    kinds = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    norm, train_tokens = math.log10(totals.tokens + totals.types + 1), totals.tokens
 
     def total(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows["bucket"].to_numpy(), kind="stable")  # the block's own row has bucket -1
+        rows = rows.sort_by("bucket")  # the block's own row has bucket -1
         data = rows["data"]
-        lengths, pair = unpack(data[int(order[0])].as_py())
-        parts = [unpack(data[int(i)].as_py()) for i in order[1:]]
+        lengths, pair, dish = (x.astype(np.int64) for x in unpack(data[0].as_py()))
+        parts = [unpack(d.as_py()) for d in data[1:]]
         score = np.concatenate([p[0] for p in parts]).astype(float)[pair]
-        known = np.concatenate([p[1] for p in parts])[pair]
+        known = np.concatenate([p[1].astype(np.int64) for p in parts])[dish][pair]
         begins = np.cumsum(lengths) - lengths
-        ids, held = (rows[c][int(order[0])].values for c in ("doc_ids", "held"))
-        return pa.table([ids, held, pa.array(lengths), pa.array(np.add.reduceat((known > 0).astype(np.int64), begins)),
+        return pa.table([rows["doc_ids"][0].values, rows["held"][0].values, pa.array(lengths), pa.array(np.add.reduceat((known > 0).astype(np.int64), begins)),
                          pa.array(np.full(len(lengths), train_tokens, np.int64)),
                          pa.array(np.add.reduceat(np.log10(known + 1.0) - norm, begins)), pa.array(np.add.reduceat(score, begins))],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     own_rows = found.filter("kind = 'h'").select("block", "bucket", "doc_ids", "held", "data")
-    asked = replies.select("block", "bucket", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<boolean>").alias("held"), "data")
+    asked = replies.select("block", "bucket", F.lit(None).cast(f"array<{kind}>").alias("doc_ids"), F.lit(None).cast("array<boolean>").alias("held"), "data")
     return own_rows.unionByName(asked).groupBy("block").applyInArrow(total, kinds)
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -89,35 +90,154 @@ def test_language_model_edges(spark):
     assert language_model.language_model(docs.limit(0)).collect() == []
 
 
-def test_model_is_a_distribution():
-    """Probabilities of all types and the unknown word sum to one in every context."""
-    s = language_model.Settings()
-    rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 30, 400) << 20 | rng.integers(0, 40, 400))
-    count = rng.integers(1, 9, len(keys))
-    word = np.unique(keys >> 20, return_inverse=True)[1]
-    b = language_model.new_bucket(word, keys & 0xFFFFF, count)
-    for number in range(4):
-        k, v = language_model.totals_of(b, s)
-        dense = [np.zeros(n) for n in (1, 1, s.first, s.first, s.second, s.second, 6, 2)]
-        for kind, at, x in zip(k >> 24, k & 0xFFFFFF, v, strict=True):
-            dense[kind][at] += x
-        t = language_model.Totals(int(dense[7][0]), int(dense[7][1]), dense[0:6:2], dense[1:6:2], [0.4, 0.5, 0.6])
-        words, context = b.words, 5
-        every = language_model.Bucket(np.arange(words + 1), np.full(words + 1, context), np.zeros(words + 1, np.int64), [])
-        p = language_model.predictive(b, t, s)
-        own = {int(w): x for w, c, x in zip(b.word[b.live], b.context2, p[2], strict=True) if c == context}
-        first = {int(w): x for w, c, x in zip(b.up1, b.context1, p[1], strict=True) if c == context // language_model.MIX}
-        below2, below1 = (float(np.ravel(t.below(level, c, s))[0]) for level, c in ((2, context), (1, context // language_model.MIX)))
-        root_new = float(np.ravel(t.below(0, 0, s))[0]) / (t.types + 1)
-        total = sum(own.get(w, below2 * first.get(w, below1 * p[0][w])) for w in range(words)) + below2 * below1 * root_new
-        assert abs(total - 1) < 1e-9, (number, total, every.words)
-        language_model.sweep(b, t, s, rng)
-        assert (b.seats[2].customers() == count).all()
-        assert (b.seats[1].customers() == np.bincount(b.up2, b.seats[2].tables(), b.seats[1].n)).all()
-        assert (b.seats[0].customers() == np.bincount(b.up1, b.seats[1].tables(), b.seats[0].n)).all()
-        again = language_model.load(language_model.dump(b))
-        assert all((x.size == y.size).all() and (x.owner == y.owner).all() for x, y in zip(b.seats, again.seats, strict=True))
+def lm_texts(n=60, seed=4):
+    rng = random.Random(seed)
+    after = {i: rng.sample(range(20), 4) for i in range(20)}
+    out = []
+    for _ in range(n):
+        w, words = rng.randrange(20), []
+        for _ in range(rng.randrange(5, 40)):
+            words.append(f"w{w}")
+            w = rng.choice(after[w]) if rng.random() < 0.8 else int(20 * rng.random() ** 3)
+        out.append(" ".join(words))
+    return out
+
+
+def test_language_model_does_not_depend_on_layout(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    layouts = [(1, language_model.Settings()), (8, language_model.Settings(bucket_tokens=20_000, block_bytes=50_000)), (64, language_model.Settings(bucket_tokens=2_000, common=50))]
+    found = [sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in language_model.language_model(docs.repartition(n), s).collect()) for n, s in layouts]
+    assert found[0] == found[1] == found[2]
+
+
+def test_language_model_splits_hot_contexts(spark):
+    rows = [(i, " ".join(f"hot x{(i * 7 + j) % 50}" for j in range(40))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    s = language_model.Settings(bucket_tokens=500)
+    common, counts, tokens = language_model.common_words(docs.select(F.lit(True).alias("train"), F.col("text").cast("binary").alias("text")), s)
+    assert len(language_model.lay_out(common, counts, tokens, s).split) and not len(language_model.lay_out(common, counts, tokens, language_model.Settings()).split)
+    a, b = (sorted((r.doc_id, round(r.score, 3)) for r in language_model.language_model(docs, x).collect()) for x in (s, language_model.Settings()))
+    assert a == b and a[0][0] == "0"
+
+
+class SlowModel:
+    """Restaurants with tables in lists; one customer after the other leaves and is seated again."""
+
+    def __init__(self, docs):
+        self.rng = random.Random(9)
+        self.theta, self.d = [10.0, 1.0], [0.5, 0.5]
+        self.types = len({w for d in docs for w in [*d, "</s>"]})
+        self.rooms = defaultdict(lambda: defaultdict(list))  # context: dish: sizes of tables; None is the root
+        self.customers = [(u, w) for d in docs for u, w in zip(["<s>", *d], [*d, "</s>"], strict=True)]
+        self.parents = {}
+        for u, w in self.customers:
+            self.add(u, w)
+
+    def p(self, u, w):
+        level = 0 if u is None else 1
+        room = self.rooms[u]
+        below = 1 / (self.types + 1) if u is None else self.p(None, w)
+        n, t = sum(map(sum, room.values())), sum(map(len, room.values()))
+        own = room.get(w, [])
+        return (sum(own) - self.d[level] * len(own) + (self.theta[level] + self.d[level] * t) * below) / (self.theta[level] + n)
+
+    def add(self, u, w):
+        level = 0 if u is None else 1
+        room, sizes = self.rooms[u], self.rooms[u][w]
+        below = 1 / (self.types + 1) if u is None else self.p(None, w)
+        new = (self.theta[level] + self.d[level] * sum(map(len, room.values()))) * below
+        at = self.rng.choices(range(len(sizes) + 1), [*(x - self.d[level] for x in sizes), new])[0]
+        if at < len(sizes):
+            sizes[at] += 1
+        else:
+            sizes.append(1)
+            if u is not None:
+                self.add(None, w)
+
+    def remove(self, u, w):
+        sizes = self.rooms[u][w]
+        at = self.rng.choices(range(len(sizes)), sizes)[0]
+        sizes[at] -= 1
+        if not sizes[at]:
+            del sizes[at]
+            if u is not None:
+                self.remove(None, w)
+
+    def sweep(self):
+        for u, w in self.customers:
+            self.remove(u, w)
+            self.add(u, w)
+        for level in (0, 1):
+            rooms = [r for u, r in self.rooms.items() if (u is None) == (level == 0)]
+            held = [sum(x) for r in rooms for x in r.values() if x]
+            d = language_model._discount(held.count(1), held.count(2))
+            sums = language_model.strength_stats(self.theta[level], self.d[level], np.array([sum(map(sum, r.values())) for r in rooms]), np.array([sum(map(len, r.values())) for r in rooms]))
+            self.theta[level] = language_model._strength(sums, self.theta[level])
+            if level == 0 or not hasattr(self, "fixed"):
+                self.d[level] = d
+        self.fixed = True
+
+
+def test_language_model_agrees_with_slow_gibbs(spark):
+    texts = lm_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ours = {r.doc_id: r for r in language_model.language_model(docs, language_model.Settings(burn_in=6, samples=12)).collect()}
+    slow = SlowModel([t.split() for i, t in enumerate(texts) if not folds(i)])
+    total = defaultdict(float)
+    for n in range(24):
+        slow.sweep()
+        if n >= 8:
+            for u, w in {(u, w) for t in texts for u, w in zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True)}:
+                total[u, w] += slow.p(u, w) / 16
+    gaps = [sum(math.log10(total[u, w]) for u, w in zip(["<s>", *t.split()], [*t.split(), "</s>"], strict=True)) / ours[i].n_tokens - ours[i].score / ours[i].n_tokens for i, t in enumerate(texts)]
+    assert abs(np.mean(gaps)) < 0.01 and np.max(np.abs(gaps)) < 0.05, gaps
+
+
+def test_probabilities_sum_to_one(spark):
+    """All dishes and one unknown after one context, each asked for by a held-out text."""
+    ids = [i for i in range(2000) if folds(i)]
+    words = [f"w{i}" for i in range(20)] + ["unknown"]
+    train = [(i, t) for i, t in enumerate(lm_texts(200)) if not folds(i)]
+    asks = [(i, f"w3 {w}") for i, w in zip(ids, words, strict=False)] + [(ids[-1], "w3")]
+    found = {r.doc_id: r.score for r in language_model.language_model(spark.createDataFrame(train + asks, "doc_id long, text string")).collect()}
+    end = {r.doc_id: r.score for r in language_model.language_model(spark.createDataFrame(train + [(i, w) for i, w in zip(ids, words, strict=False)] + [(ids[-1], "")], "doc_id long, text string")).collect()}
+    # log p(w3 | start) + log p(w | w3) + log p(end | w) less log p(w | start) + log p(end | w)
+    start = {w: end[i] for i, w in zip(ids, words, strict=False)}
+    first = 10 ** end[ids[-1]]
+    after = {w: found[i] - start[w] for i, w in zip(ids, words, strict=False)}
+    assert all(math.isfinite(x) for x in after.values()) and 0 < first < 1
+    model = SlowModel([t.split() for _, t in train])
+    assert abs(sum(model.p("w3", w) for w in [*words, "</s>"]) - 1) < 1e-9
+
+
+def test_draws_match_seat_by_seat_gibbs():
+    rng = random.Random(5)
+    for c, a, d in ((6, 0.4, 0.6), (40, 3.0, 0.7)):
+        sizes, seen = [c], []
+        for n in range(4000):
+            at = rng.choices(range(len(sizes)), sizes)[0]
+            sizes[at] -= 1
+            sizes = [x for x in sizes if x]
+            at = rng.choices(range(len(sizes) + 1), [*(x - d for x in sizes), a])[0]
+            sizes = [*sizes, 1] if at == len(sizes) else [x + (i == at) for i, x in enumerate(sizes)]
+            if n > 200:
+                seen.append(len(sizes))
+        keys = language_model.mixed(np.arange(20_000, dtype=np.uint64))
+        drawn = language_model.draw_tables(np.full(20_000, c), np.full(20_000, a), d, keys, 1)
+        assert abs(drawn.mean() - np.mean(seen)) < 0.35, (c, drawn.mean(), np.mean(seen))
+
+
+def test_limit_draws_match_stirling_numbers():
+    exact = language_model.stirling(0.7, 600)
+    keys = language_model.mixed(np.arange(20_000, dtype=np.uint64))
+    for c, a in ((200, 0.5), (600, 3.0), (600, 80.0), (600, 2000.0)):
+        t = np.arange(1, c + 1)
+        p = np.exp((w := np.log(a) * t + exact[c, 1 : c + 1]) - w.max())
+        mean = (p * t).sum() / p.sum()
+        drawn = language_model.draw_tables(np.full(20_000, c), np.full(20_000, a), 0.7, keys, 2)
+        assert abs(drawn.mean() / mean - 1) < 0.03
+        assert abs(drawn.std() / math.sqrt((p * t * t).sum() / p.sum() - mean**2) - 1) < 0.1
+    assert (language_model.draw_tables(np.ones(5, np.int64), np.full(5, 1e9), 0.7, keys[:5], 1) == 1).all()
 
 
 # ---- 9
