@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from obsline.functions.rules import FAMILIES, STRENGTHS, evidence_strength, normalize_outcome
+from obsline.operators.joins import in_interval
 from obsline.operators.windows import STREAM
 
 
@@ -92,6 +95,68 @@ def detector_quality_report(events: DataFrame, *by: str) -> DataFrame:
         F.avg("margin").alias("margin_mean"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+# Flags, choices and numbers of a record's evidence that the quality report counts.
+FLAGS = ("yellow_checked", "yellow_temporal_checked", "clock_checked", "clock_temporal_checked", "clock_ocr_skipped", "hover_checked", "hover_detected",
+         "geometry_checked", "geometry_anomaly", "yellow_arrows_checked", "red_squares_checked")
+CHOICES = ("mapper_emission_reason", "yellow_decision", "clock_decision", "clock_provenance", "clock_temporal_decision", "hover_decision", "geometry_decision",
+           "rejection_reason", "template_identity", "yellow_assessment", "hover_assessment", "clock_assessment", "geometry_assessment")
+LISTS = ("changed_squares", "yellow_candidates", "clock_candidates", "hover_measurements", "observation_tags", "yellow_arrows", "red_squares")
+#: A number counts where its condition holds.
+NUMBERS = {
+    "changed_square_count": "true", "yellow_from": "yellow_checked", "yellow_to": "yellow_checked", "yellow_temporal_sample_count": "yellow_temporal_checked",
+    "yellow_temporal_pair_pass_count": "yellow_temporal_checked", "yellow_temporal_max_from": "yellow_temporal_checked", "yellow_temporal_max_to": "yellow_temporal_checked",
+    "yellow_temporal_max_pair": "yellow_temporal_checked", "clock_temporal_sample_count": "clock_temporal_checked", "clock_temporal_observed_count": "clock_temporal_checked",
+    "clock_temporal_agreement_count": "clock_temporal_checked", "clock_top_bright_ratio": "clock_top_width > 0", "clock_bottom_bright_ratio": "clock_top_width > 0",
+    "clock_bright_ratio_delta": "clock_top_width > 0", "strongest_edge": "hover_checked", "score_margin": "legal_candidates > 0", "localization_score": "localization_score >= 0",
+    "localization_confidence": "localization_confidence BETWEEN 0 AND 1", "geometry_uncertainty": "true", "localization_scale": "localization_scale > 0",
+    "geometry_drift": "geometry_checked", "geometry_relocalization_score": "geometry_relocalization_score >= 0",
+}
+
+
+def _fields(evidence: DataFrame, names: tuple[str, ...]) -> list[str]:
+    return [n for n in names if n in evidence.columns]
+
+
+def quality_counters(evidence: DataFrame, *by: str, low: float = 10) -> DataFrame:
+    """One wide pass over evidence fields (flat columns; those that a trace lacks are left out): records, set flags,
+    records with lists and their entries, unavailable localisations and low margins."""
+    size = {n: F.greatest(F.coalesce(F.size(n), F.lit(0)), F.lit(0)) for n in _fields(evidence, LISTS)}
+    aggregates = [F.count("*").alias("records"), *(F.count_if(n).alias(n) for n in _fields(evidence, FLAGS)),
+                  *(F.count_if(c > 0).alias(f"with_{n}") for n, c in size.items()), *(F.sum(c.cast("long")).alias(f"entries_{n}") for n, c in size.items())]
+    if "localization_score" in evidence.columns:
+        aggregates.append(F.count_if(F.col("localization_score") < 0).alias("localization_unavailable"))
+    if {"score_margin", "legal_candidates"} <= set(evidence.columns):
+        aggregates.append(F.count_if((F.col("legal_candidates") > 0) & (F.col("score_margin") < low)).alias("low_score_margin"))
+    if "clock_top_width" in evidence.columns:
+        aggregates.append(F.count_if(F.col("clock_top_width") > 0).alias("clock_regions_measured"))
+    if "source_frame_index" in evidence.columns:
+        aggregates.append(F.count_if(F.col("source_frame_index") > 0).alias("with_source_frame"))
+    return evidence.groupBy(*by).agg(*aggregates)
+
+
+def quality_choices(evidence: DataFrame, *by: str) -> DataFrame:
+    """(field, value, n) of decisions, provenances, reasons, template identities and assessments that are given."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in _fields(evidence, CHOICES)))
+    return evidence.select(*by, F.explode(pairs).alias("x")).select(*by, "x.*").filter("value <> ''").groupBy(*by, "field", "value").agg(F.count("*").alias("n"))
+
+
+def quality_numbers(evidence: DataFrame, *by: str) -> DataFrame:
+    """(measure, n, least, most, mean) of numbers, each where its condition holds; rows without any value are left out."""
+    def value(name: str, condition: str) -> Column:
+        known = all(w in evidence.columns for w in re.findall(r"[a-z_]{4,}", condition) if w not in ("true",))
+        return F.when(F.expr(condition) if known else F.lit(False), F.col(name).cast("double"))
+
+    pairs = F.array(*(F.struct(F.lit(n).alias("measure"), value(n, c).alias("value")) for n, c in NUMBERS.items() if n in evidence.columns))
+    tall = evidence.select(*by, F.explode(pairs).alias("x")).select(*by, "x.*").filter("value IS NOT NULL AND NOT isnan(value)")
+    return tall.groupBy(*by, "measure").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"))
+
+
+def quality_rejections(events: DataFrame) -> DataFrame:
+    """(rejected, candidates, repeated): rejections with a candidate, their candidates, and those beyond a candidate's first."""
+    per = events.filter("event = 'VALIDATION_REJECTED' AND candidate_id IS NOT NULL").groupBy("candidate_id").agg(F.count("*").alias("c"))
+    return per.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rejected"), F.count("*").alias("candidates"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("repeated"))
+
+
 def strength_rows(events: DataFrame) -> DataFrame:
     """Each record's five families in long form, from its ``evidence`` struct."""
     s = events.withColumn("strength", evidence_strength(F.col("evidence")))
@@ -132,8 +197,9 @@ def diagnose_divergence(events: DataFrame, reports: DataFrame) -> DataFrame:
     reports: (report_id, stream_id, start, stop, move). The first rule that fits decides.
     """
     mine = F.col("e.best_move") == F.col("r.move")
-    joined = reports.alias("r").join(events.alias("e"), (F.col("r.stream_id") == F.col("e.stream_id")) & F.col("e.ts").between(F.col("r.start"), F.col("r.stop")), "left")
-    f = joined.groupBy("r.report_id").agg(
+    met = in_interval(events.select(STREAM, "ts", "event", "best_move"), reports.select("report_id", STREAM, "start", "stop")).select("report_id", "event", "best_move")
+    joined = reports.alias("r").join(met.alias("e"), "report_id", "left")
+    f = joined.groupBy("report_id").agg(
         F.count("e.event").alias("n"), F.count_if(mine).alias("candidates"), F.count_if(mine & (F.col("e.event") == "VALIDATION_REJECTED")).alias("rejected"),
         F.count_if(mine & (F.col("e.event") == "SCORE_THRESHOLD_REJECTED")).alias("below"), F.count_if(F.col("e.event") == "REVERT_APPLIED").alias("rolled"),
         F.count_if(F.col("e.event").startswith("SETTLE")).alias("deferred"), F.count_if(F.col("e.event") == "ACCEPT").alias("accepts"))
@@ -147,10 +213,9 @@ def diagnose_divergence(events: DataFrame, reports: DataFrame) -> DataFrame:
 
 def expected_status(events: DataFrame, expected: DataFrame) -> DataFrame:
     """Six-way status of each expected transition (stream_id, expected_id, move, start, stop)."""
-    e, x = events.alias("e"), expected.alias("x")
     mine = F.coalesce(F.col("e.best_move") == F.col("x.move"), F.lit(False))
-    j = x.join(e, (F.col("x.stream_id") == F.col("e.stream_id")) & F.col("e.ts").between(F.col("x.start"), F.col("x.stop")), "left")
-    f = j.groupBy("x.expected_id").agg(
+    met = in_interval(events.select(STREAM, "ts", "event", "outcome", "best_move"), expected.select("expected_id", STREAM, "start", "stop")).select("expected_id", "event", "outcome", "best_move")
+    f = expected.alias("x").join(met.alias("e"), "expected_id", "left").groupBy("expected_id").agg(
         F.bool_or(mine & (F.col("e.outcome") == "accepted")).alias("accepted"), F.bool_or(mine & (F.col("e.outcome") == "rejected")).alias("rejected"),
         F.bool_or(mine & (F.col("e.outcome") == "deferred")).alias("deferred"), F.bool_or(mine).alias("seen"), F.count("e.event").alias("n"))
     status = (F.when(F.col("accepted"), "accepted").when(F.col("rejected"), "rejected").when(F.col("deferred"), "deferred")

@@ -6,6 +6,10 @@ quadratic form, similar_state_exhaustive, is so within a stream and is there for
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +71,29 @@ def similar_state_join(obs: DataFrame, history: DataFrame, radius: int = 1, cell
                        mode: str = "best") -> DataFrame:
     """For each observation the earlier state of its stream that it returns to.
 
-    Four quadrant means in buckets of 8 make a key; the history side is exploded to all neighbours within
-    ``radius`` buckets (radius 2 misses nothing under these limits), the observation probes its own key.
-    Then the greatest cell difference, the mean difference and the mean over all cells decide. ``best`` has
+    Four quadrant means in buckets of 8 must each lie within ``radius`` buckets (radius 2 misses nothing under
+    these limits). Then the greatest cell difference, the mean difference and the mean over all cells decide. ``best`` has
     the least difference, ``most_recent`` the latest. The latest state before the observation is left out.
     """
-    steps = range(-radius, radius + 1)
-    moves = F.array(*(F.struct(F.array(*map(F.lit, (a, b, c, d))).alias("move"), F.lit((a << 18) + (b << 12) + (c << 6) + d).alias("shift"))
-                      for a in steps for b in steps for c in steps for d in steps))
-    # Keys alone are exploded and shuffled; the cells join the pairs that meet.
-    hb = history.select(STREAM, F.col("seq").alias("h_seq"), F.array(*(bucket_of(q) for q in quadrants(F.col("cells")))).alias("q"))
-    near = hb.select(STREAM, "h_seq", "q", pack_buckets([F.col("q")[i] for i in range(4)]).alias("own"), F.inline(moves))
-    keyed = near.filter(F.forall(F.zip_with("q", "move", lambda x, m: x + m), lambda x: x.between(0, 63))).select(STREAM, "h_seq", (F.col("own") + F.col("shift")).alias("key"))
-    ob = obs.select(STREAM, "observation_id", "seq", pack_buckets([bucket_of(q) for q in quadrants(F.col("cells"))]).alias("key"))
-    met = ob.join(keyed, [STREAM, "key"]).filter(F.col("h_seq") < F.col("seq") - 1).select(STREAM, "observation_id", "seq", "h_seq")
+    # Buckets are cut into blocks of 2 * radius + 1. A history state has one block, an observation looks into the one
+    # or two that its range of buckets touches in each quarter: 16 keys at most, and a pair meets once. Keys alone
+    # are exploded and shuffled; the cells join the pairs that are left.
+    width = 2 * radius + 1
+
+    def quarters(df: DataFrame, *names: Column | str) -> DataFrame:
+        return df.select(STREAM, *names, F.array(*(bucket_of(q) for q in quadrants(F.col("cells")))).alias("q"))
+
+    def block(of: Column) -> Column:
+        return F.floor(of / width).cast("long") + 1
+
+    keyed = quarters(history, F.col("seq").alias("h_seq")).select(STREAM, "h_seq", F.col("q").alias("h_q"), pack_buckets([block(F.col("q")[i]) for i in range(4)]).alias("key"))
+    ob = quarters(obs, "observation_id", "seq")
+    for i in range(4):
+        near = F.array_distinct(F.array(block(F.col("q")[i] - radius), block(F.col("q")[i] + radius)))
+        ob = ob.withColumn(f"k{i}", F.explode(near))
+    ob = ob.select(STREAM, "observation_id", "seq", "q", pack_buckets([F.col(f"k{i}") for i in range(4)]).alias("key"))
+    close = F.forall(F.zip_with("q", "h_q", lambda x, y: F.abs(x - y)), lambda d: d <= radius)
+    met = ob.join(keyed, [STREAM, "key"]).filter((F.col("h_seq") < F.col("seq") - 1) & close).select(STREAM, "observation_id", "seq", "h_seq")
     pairs = met.join(history.select(STREAM, F.col("seq").alias("h_seq"), F.col("cells").alias("h_cells")), [STREAM, "h_seq"]).join(
         obs.select(STREAM, "observation_id", "cells"), [STREAM, "observation_id"])
     checked = pairs.filter(distance_max(F.col("cells"), F.col("h_cells")) < cell).withColumn("diff", distance_mean(F.col("cells"), F.col("h_cells")))
@@ -101,12 +114,42 @@ def similar_state_exhaustive(obs: DataFrame, history: DataFrame, cell: float = 1
 
 
 def nearest_in_time(timeline: DataFrame, durable: DataFrame) -> DataFrame:
-    """The k-th entry of a transition with its k-th durable observation, and the time between them."""
-    w = Window.partitionBy(STREAM, "transition").orderBy(*ORDER)
-    a = timeline.withColumn("k", F.row_number().over(w))
-    b = durable.withColumn("k", F.row_number().over(w)).select(STREAM, "transition", "k", F.col("ts").alias("d_ts"), F.col("observation_id").alias("d_id"))
-    return a.join(b, [STREAM, "transition", "k"], "left").withColumn(
-        "distance", F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("d_ts").cast("timestamp"))) / 1e6).drop("k")
+    """Entries in time order each take the nearest durable observation of their transition that is still unused.
+
+    Adds ``d_id``, ``d_ts`` and ``distance`` in seconds; null where none is left. Ties go to the earlier observation,
+    then to the lesser id. What an entry takes depends on those before it, so a (stream, transition) passes
+    through one task in order; only times and ids do, and the unused observations are kept as sorted lists.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in timeline.schema}
+    d_kind = {f.name: f.dataType.simpleString() for f in durable.schema}
+    group = [STREAM, "transition"]
+    a = timeline.select(*group, F.lit(1).alias("side"), micros("ts").alias("us"), "observation_id", F.lit(None).cast(d_kind["observation_id"]).alias("d_id"))
+    b = durable.select(*group, F.lit(0).alias("side"), micros("ts").alias("us"), F.lit(None).cast(kind["observation_id"]).alias("observation_id"), F.col("observation_id").alias("d_id"))
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, times, ids = object(), [], []
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                key = tuple(None if x != x else x for x in row[:2])
+                if key != now:
+                    now, times, ids = key, [], []
+                if row.side == 0:
+                    times.append(row.us)
+                    ids.append(row.d_id)
+                    continue
+                if not times:
+                    continue
+                at = bisect.bisect_left(times, row.us)
+                if at == len(times) or at and row.us - times[at - 1] <= times[at] - row.us:
+                    at = bisect.bisect_left(times, times[at - 1])  # the first of equal times
+                out.append((row[0], row[1], row.observation_id, ids.pop(at), times.pop(at)))
+            yield pd.DataFrame(out, columns=[*group, "observation_id", "d_id", "d_us"])
+
+    rows = a.unionByName(b).repartition(*group).sortWithinPartitions(*group, "side", "us", F.coalesce("d_id", F.lit(0)), "observation_id")
+    taken = rows.mapInPandas(pair, f"{STREAM} {kind[STREAM]}, transition {kind['transition']}, observation_id {kind['observation_id']}, d_id {d_kind['observation_id']}, d_us long")
+    found = timeline.join(taken, [*group, "observation_id"], "left")
+    return found.withColumn("distance", F.abs(micros("ts") - F.col("d_us")) / 1e6).withColumn("d_ts", F.timestamp_micros("d_us").cast(d_kind["ts"])).drop("d_us")
 
 
 def state_key_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -128,13 +171,22 @@ def known_in(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 def contains_sequence(games: DataFrame, observed: DataFrame) -> DataFrame:
     """(stream_id, game_id, start) where a game holds the stream's whole key sequence in a row.
 
-    Both are (id, pos, key), pos from 0. Pairs meet on equal keys, and the offset with as many hits as the
-    sequence has steps is a match.
+    Both are (id, pos, key), pos from 0. Sequences meet games on their first two keys together (those of one step
+    on that), and only at these starts are the other steps compared.
     """
+    def openings(df: DataFrame, ident: str) -> DataFrame:
+        w = Window.partitionBy(ident).orderBy("pos")
+        return df.withColumn("next", F.lead("key").over(w)).withColumn("after", F.lead("pos").over(w)).withColumn("next", F.when(F.col("after") == F.col("pos") + 1, F.col("next")))
+
     sizes = observed.groupBy(STREAM).agg(F.count("*").alias("size"))
-    hits = games.select("game_id", F.col("pos").alias("g_pos"), "key").join(observed.select(STREAM, "pos", "key"), "key")
-    runs = hits.groupBy(STREAM, "game_id", (F.col("g_pos") - F.col("pos")).alias("start")).agg(F.count("*").alias("n"))
-    return runs.join(sizes, STREAM).filter((F.col("n") == F.col("size")) & (F.col("start") >= 0)).select(STREAM, "game_id", "start")
+    heads = openings(observed, STREAM).filter("pos = 0").join(sizes, STREAM).select(STREAM, "size", F.col("key").alias("h_key"), F.col("next").alias("h_next"))
+    places = openings(games, "game_id").select("game_id", F.col("pos").alias("start"), F.col("key").alias("h_key"), F.col("next").alias("h_next"))
+    starts = heads.filter("size > 1").join(places, ["h_key", "h_next"]).unionByName(heads.filter("size = 1").drop("h_next").join(places, "h_key"))
+    starts = starts.select(STREAM, "size", "game_id", "start")
+    steps = starts.filter("size > 2").join(observed.filter("pos > 1").select(STREAM, "pos", "key"), STREAM).withColumn("pos", F.col("pos") + F.col("start"))
+    agree = steps.join(games.select("game_id", "pos", "key"), ["game_id", "pos", "key"]).groupBy(STREAM, "game_id", "start", "size").agg(F.count("*").alias("n"))
+    whole = agree.filter(F.col("n") == F.col("size") - 2).select(STREAM, "game_id", "start")
+    return starts.filter("size <= 2").select(STREAM, "game_id", "start").unionByName(whole)
 
 
 def keyword_match(names: DataFrame, templates: list[tuple[str, list[str]]], fallback: str) -> DataFrame:
@@ -189,21 +241,38 @@ def multiset_delta(expected: DataFrame, actual: DataFrame, keys: list[str]) -> D
     return both.filter("delta <> 0").select(*keys, F.greatest(-F.col("delta"), F.lit(0)).alias("missing"), F.greatest("delta", F.lit(0)).alias("extra"))
 
 
-def decision_interval(events: DataFrame, bounds: DataFrame) -> DataFrame:
+def in_interval(events: DataFrame, bounds: DataFrame, ts: str = "ts", seconds: float = 86_400) -> DataFrame:
+    """Pairs of events and bounds (stream_id, start, stop, ...) with start <= ts <= stop, by time buckets of a width.
+
+    A bound has a row for each bucket that it touches, so long streams are dealt over time; choose ``seconds`` near
+    the usual length of a bound. Columns of bounds other than the stream follow those of events.
+    """
+    width = int(seconds * 1e6)
+    spread = bounds.withColumn("bucket", F.explode(F.sequence(F.floor(micros("start") / width), F.floor(micros("stop") / width)))).filter(F.col("stop") >= F.col("start"))
+    return events.withColumn("bucket", F.floor(micros(ts) / width)).join(spread, [STREAM, "bucket"]).filter(F.col(ts).between(F.col("start"), F.col("stop"))).drop("bucket")
+
+
+def decision_interval(events: DataFrame, bounds: DataFrame, seconds: float = 86_400) -> DataFrame:
     """Events between a report's last good time and its target (report_id, stream_id, start, stop)."""
-    return events.join(bounds, STREAM).filter(F.col("ts").between(F.col("start"), F.col("stop")))
+    return in_interval(events, bounds, seconds=seconds)
 
 
-def rank_history_sources(scores: DataFrame, history: DataFrame, last: int = 64, weight: float = 4) -> DataFrame:
-    """Of a stream's last states the one from which a transition explains the observation best.
+def rank_history_sources(obs: DataFrame, history: DataFrame, last: int = 64, weight: float = 4) -> DataFrame:
+    """Of the ``last`` states before an observation the one from which a transition explains it best.
 
-    scores: (stream_id, observation_id, source_seq, score, active_diff, source_diff).
+    obs: (stream_id, observation_id, seq, score, active_diff); history: (stream_id, seq, source_diff). States are
+    numbered by stream, and observations meet the blocks of ``last`` numbers that theirs and the one before are in.
     """
-    recent = history.withColumn("back", F.row_number().over(Window.partitionBy(STREAM).orderBy(F.desc("seq")))).filter(F.col("back") <= last).select(
-        STREAM, F.col("seq").alias("source_seq"))
+    both = history.select(STREAM, "seq", F.lit(1).alias("is_state"), "source_diff", F.lit(None).alias("x")).unionByName(
+        obs.select(STREAM, "seq", F.lit(0).alias("is_state"), F.lit(None).alias("source_diff"), F.struct("observation_id", "score", "active_diff").alias("x")), allowMissingColumns=True)
+    before = Window.partitionBy(STREAM).orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    counted = both.withColumn("n", F.coalesce(F.sum("is_state").over(before), F.lit(0)))  # states before it
+    states = counted.filter("is_state = 1").select(STREAM, F.col("seq").alias("source_seq"), "source_diff", F.col("n").alias("place"), F.floor(F.col("n") / last).alias("block"))
+    asks = counted.filter("is_state = 0").select(STREAM, "seq", "x.*", "n", F.explode(F.array(F.floor(F.col("n") / last), F.floor(F.col("n") / last) - 1)).alias("block"))
+    near = asks.join(states, [STREAM, "block"]).filter((F.col("place") < F.col("n")) & (F.col("place") >= F.col("n") - last))
     quality = F.col("score") + weight * (F.col("active_diff") - F.col("source_diff"))
-    w = Window.partitionBy(STREAM, "observation_id").orderBy(F.desc("quality"), F.desc("source_seq"))
-    return scores.join(recent, [STREAM, "source_seq"]).withColumn("quality", quality).withColumn("at", F.row_number().over(w)).filter("at = 1").drop("at")
+    return near.withColumn("quality", quality).groupBy(STREAM, "observation_id").agg(
+        F.max_by(F.struct("source_seq", "quality"), F.struct(F.round("quality", 9), "source_seq")).alias("b")).select(STREAM, "observation_id", "b.*")
 
 
 def best_earlier_reading(obs: DataFrame, seconds: float = 15, similar: float = 20, retained: int = 180) -> DataFrame:

@@ -140,33 +140,36 @@ def decision_counts(df: DataFrame, decision: str) -> DataFrame:
     return df.filter(F.col(decision).isNotNull() & (F.col(decision) != "")).groupBy(decision).agg(F.count("*").alias("n"))
 
 
+def _running(at: DataFrame, keys: list[str]) -> DataFrame:
+    """Running sums tp and fp of p and q from the greatest score down, with the sums pos and neg, for each key.
+
+    Sums are taken in ranges of scores, some hundred for each key: a window over ranges, then one within each. So
+    no task holds all the scores of a key.
+    """
+    part = F.floor(F.log2(F.abs(F.col("score")) + 1) * 16) * F.signum("score")  # keeps the order
+    ranged = at.withColumn("range", part)
+    sums = ranged.groupBy(*keys, "range").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*keys)
+    base = sums.select(*keys, "range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("q").over(above), F.lit(0)).alias("fp0"),
+                       F.sum("p").over(everything).alias("pos"), F.sum("q").over(everything).alias("neg"))
+    down = Window.partitionBy(*keys, "range").orderBy(F.desc("score"))
+    return ranged.join(base, [*keys, "range"]).select(
+        *keys, "score", (F.col("tp0") + F.sum("p").over(down)).alias("tp"), (F.col("fp0") + F.sum("q").over(down)).alias("fp"), "pos", "neg")
+
+
+def _by_score(scored: DataFrame, *by: str) -> DataFrame:
+    return scored.groupBy(*by, "score").agg(F.count_if(F.col("truth") == "positive").alias("p"), F.count_if(F.col("truth") == "negative").alias("q"))
+
+
 def threshold_sweep(labels: DataFrame, *by: str) -> DataFrame:
     """Metrics at every distinct score as threshold, by a running sum over distinct scores.
 
-    Rows are counted by score first, so the ordered window sees distinct scores only. Overall sums are
-    taken in bounded score ranges: a window over ranges, then within each.
+    Rows are counted by score first, so windows see distinct scores only, in bounded ranges.
     """
     scored = labels.filter("score IS NOT NULL AND truth <> 'uncertain'")
-    at = scored.groupBy(*by, "score").agg(F.count_if(F.col("truth") == "positive").alias("p"), F.count_if(F.col("truth") == "negative").alias("q"))
-    if by:
-        keys = list(by)
-        down = Window.partitionBy(*keys).orderBy(F.desc("score"))
-        whole = Window.partitionBy(*keys)
-        run = at.select(*keys, "score", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"),
-                        F.sum("p").over(whole).alias("pos"), F.sum("q").over(whole).alias("neg"))
-    else:
-        part = F.floor(F.log2(F.abs(F.col("score")) + 1) * 4) * F.signum("score")  # an order-preserving coarse range
-        ranged = at.withColumn("range", part)
-        sums = ranged.groupBy("range").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))  # some hundred rows
-        above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-        everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing).partitionBy()
-        base = sums.select("range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("q").over(above), F.lit(0)).alias("fp0"),
-                           F.sum("p").over(everything).alias("pos"), F.sum("q").over(everything).alias("neg"))
-        down = Window.partitionBy("range").orderBy(F.desc("score"))
-        keys = []
-        run = ranged.join(F.broadcast(base), "range").select(
-            "score", (F.col("tp0") + F.sum("p").over(down)).alias("tp"), (F.col("fp0") + F.sum("q").over(down)).alias("fp"), "pos", "neg")
-    full = run.select(*keys, F.col("score").alias("threshold"), "tp", (F.col("neg") - F.col("fp")).alias("tn"), "fp",
+    run = _running(_by_score(scored, *by), list(by))
+    full = run.select(*by, F.col("score").alias("threshold"), "tp", (F.col("neg") - F.col("fp")).alias("tn"), "fp",
                       (F.col("pos") - F.col("tp")).alias("fn"), (F.col("pos") + F.col("neg")).alias("labeled"))
     return with_rates(full)
 
@@ -175,18 +178,17 @@ def robust_operating_point(labels: DataFrame, target: tuple[int, float, float, f
     """Thresholds ranked by their worst supported regime; the best comes first, with its status.
 
     The curve of a regime is a step function: at a threshold between its own scores it has the value of
-    its next greater one, which a window fills in over the union of all thresholds.
+    its next greater one, as running sums over the union of all thresholds give it.
     """
     least, precision, recall, fpr = target
     scored = labels.filter("score IS NOT NULL AND truth <> 'uncertain'").withColumn("regime", F.coalesce("regime", F.lit("unspecified")))
     overall = threshold_sweep(scored)
-    sizes = scored.groupBy("regime").agg(F.count_if(F.col("truth") == "positive").alias("pos"), F.count_if(F.col("truth") == "negative").alias("neg"))
-    thresholds = overall.select("threshold")
-    grid = thresholds.join(F.broadcast(sizes), how="cross")  # distinct scores by the few regimes
-    own = threshold_sweep(scored, "regime").select("regime", "threshold", F.struct("tp", "fp").alias("at"))
-    down = Window.partitionBy("regime").orderBy(F.desc("threshold"))
-    filled = grid.join(own, ["regime", "threshold"], "left").withColumn("at", F.last("at", ignorenulls=True).over(down))
-    tp, fp = F.coalesce("at.tp", F.lit(0)), F.coalesce("at.fp", F.lit(0))
+    regimes = scored.select("regime").distinct()
+    # Distinct scores by the few regimes; a threshold that is no score of a regime counts no rows there.
+    grid = overall.select(F.col("threshold").alias("score")).join(regimes, how="cross")
+    own = grid.join(_by_score(scored, "regime"), ["regime", "score"], "left").na.fill(0, ["p", "q"])
+    filled = _running(own, ["regime"]).withColumnRenamed("score", "threshold")
+    tp, fp = F.col("tp"), F.col("fp")
     per = filled.filter(F.col("pos") + F.col("neg") >= min_regime).groupBy("threshold").agg(
         F.min(F.coalesce(rate(tp, tp + fp), F.lit(0.0))).alias("worst_precision"),
         F.min(F.coalesce(rate(tp, F.col("pos")), F.lit(0.0))).alias("worst_recall"),
@@ -275,9 +277,53 @@ def settle_quality(labels: DataFrame) -> DataFrame:
     return with_rates(found)
 
 
-def measurement_report(labels: DataFrame, *measures: str) -> DataFrame:
-    """Count, mean, median and spread of each measure by regime, in long form."""
+def measurement_report(labels: DataFrame, *measures: str, accuracy: int = 10_000) -> DataFrame:
+    """Count, mean, median and spread of each measure by regime, in long form.
+
+    The median is an element whose rank is off by at most one in ``accuracy``, so no group is held in memory.
+    """
     pairs = F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures))
     tall = labels.select(F.coalesce("regime", F.lit("unspecified")).alias("regime"), F.explode(pairs).alias("x")).select("regime", "x.*").filter("value IS NOT NULL")
     return tall.groupBy("regime", "measure").agg(F.count("*").alias("n"), F.avg("value").alias("mean"),
-                                                 F.percentile("value", 0.5).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"))
+                                                 F.percentile_approx("value", 0.5, accuracy).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+# Components and categories of the measurement report.
+COMPONENTS = ("origin", "destination", "paired")
+CATEGORIES = ("capture", "check", "promotion", "quiet", "double_pawn")
+UNKNOWN = ("", "unknown")
+
+
+def endpoint_metrics(labels: DataFrame, components: tuple[str, ...] = COMPONENTS) -> DataFrame:
+    """Metrics of each component, zero counts for one without labels, with its target's status (``detector`` as labelled)."""
+    every = labels.sparkSession.createDataFrame([(c,) for c in components], "component string")
+    found = confusion_metrics(labels.filter(F.col("component").isin(*components)), "component")
+    return with_rates(every.join(found.select("component", "tp", "tn", "fp", "fn", "uncertain", "labeled"), "component", "left").na.fill(0))
+
+
+def category_sources(labels: DataFrame, required: tuple[str, ...] = CATEGORIES) -> DataFrame:
+    """(kind, name, n): where categorised labels come from, and which required categories were seen (n rows, 0 for a missing one)."""
+    told = labels.filter(F.coalesce("case", F.lit("unspecified")) != "unspecified")
+    sources = told.groupBy(F.coalesce("category_source", F.lit("labeled_frame")).alias("name")).agg(F.count("*").alias("n")).select(F.lit("source").alias("kind"), "name", "n")
+    every = labels.sparkSession.createDataFrame([(c,) for c in required], "name string")
+    seen = told.groupBy(F.col("case").alias("name")).agg(F.count("*").alias("n"))
+    return sources.unionByName(every.join(seen, "name", "left").select(F.lit("category").alias("kind"), "name", F.coalesce("n", F.lit(0)).alias("n")))
+
+
+def occupancy_counts(labels: DataFrame, *fields: str) -> DataFrame:
+    """(field, value, n) of each field's known values."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
+    tall = labels.select(F.explode(pairs).alias("x")).select("x.*").filter(F.col("value").isNotNull() & ~F.col("value").isin(*UNKNOWN))
+    return tall.groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def method_comparison(labels: DataFrame, methods: dict[str, str], target: tuple[int, float, float, float]) -> DataFrame:
+    """For each method (name to score column) the labels that it measures and its robust operating point."""
+    out = None
+    for name, column in methods.items():
+        measured = labels.withColumn("score", F.col(column).cast("double")).filter("score IS NOT NULL")
+        rows = measured.agg(F.count("*").alias("rows"))
+        found = rows.join(robust_operating_point(measured, target), how="left").select(
+            F.lit(name).alias("method"), "rows", "threshold", "worst_precision", "worst_recall", "worst_fpr", F.coalesce("status", F.lit("insufficient_data")).alias("status"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -19,7 +19,7 @@ def finding(df: DataFrame, name: str, detail: Column) -> DataFrame:
 
 def timeline_invariants(timeline: DataFrame, states: DataFrame, branches: DataFrame) -> DataFrame:
     """V1: a stream has one state more than transitions, times do not fall, a reading that is missing has no
-    text, branches start inside the main line, and at a state equal to their root."""
+    text, branches start inside the main line, and at a state equal to their root or inside another branch."""
     n = timeline.groupBy(STREAM).agg(F.count("*").alias("n"))
     m = states.groupBy(STREAM).agg(F.count("*").alias("m"))
     counts = n.join(m, STREAM, "full_outer").filter(F.coalesce("m", F.lit(0)) != F.coalesce("n", F.lit(0)) + 1)
@@ -29,7 +29,10 @@ def timeline_invariants(timeline: DataFrame, states: DataFrame, branches: DataFr
     ends = states.groupBy(STREAM).agg(F.max("seq").alias("last"))
     outside = top.join(ends, STREAM, "left").filter((F.col("parent_seq") < 0) | (F.col("parent_seq") > F.coalesce("last", F.lit(-1))))
     parents = states.select(STREAM, F.col("seq").alias("parent_seq"), state_key(F.col("state")).alias("at"))
-    moved = top.join(parents, [STREAM, "parent_seq"]).filter(state_key(F.col("root")) != F.col("at"))
+    off = top.join(parents, [STREAM, "parent_seq"], "left").filter(~F.coalesce(state_key(F.col("root")) == F.col("at"), F.lit(False))).select(STREAM, "branch_id", state_key(F.col("root")).alias("key"))
+    inside = branches.filter("step > 0").select(STREAM, F.col("branch_id").alias("other"), state_key(F.col("state")).alias("key"))
+    nested = off.join(inside, [STREAM, "key"]).filter(F.col("other") != F.col("branch_id")).select(STREAM, "branch_id").distinct()
+    moved = off.join(nested, [STREAM, "branch_id"], "left_anti")
     return (finding(counts, "count", F.concat_ws("/", "n", "m")).unionByName(finding(falls, "time_falls", F.col("seq")))
             .unionByName(finding(contradiction, "provenance", F.col("seq"))).unionByName(finding(outside, "parent_outside", F.col("branch_id")))
             .unionByName(finding(moved, "root_differs", F.col("branch_id"))))

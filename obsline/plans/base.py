@@ -95,18 +95,22 @@ T = E + """, T AS (SELECT *, CASE event_type WHEN 'view' THEN 'QUIET' WHEN 'clic
   k % 3 AS branch_id, k % 2 AS generation, value AS score FROM E)"""
 
 
+#: Ids of moved vectors lie so far beyond their own.
+AGAIN = 1 << 40
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as 64 cells of 0 to 255 in ten streams; each vector comes back, slightly moved, 1000 places later."""
+    """Embeddings as 64 cells of 0 to 255 in ten streams; each vector comes back, slightly moved, after all others (column moved)."""
     base = table(spark, sf_dir, "embeddings").select(
         (F.col("vec_id") % 10).alias("stream_id"), F.col("vec_id").alias("seq"), F.col("vec_id").alias("observation_id"),
-        F.transform("embedding", lambda x: F.round((x.cast("double") + 0.5) * 255, 6)).alias("cells"))
-    again = base.select("stream_id", (F.col("seq") + 1_000_000).alias("seq"), (F.col("observation_id") + 1_000_000).alias("observation_id"),
-                        F.transform("cells", lambda x, i: x + (i % 5 - 2)).alias("cells"))
+        F.transform("embedding", lambda x: F.round((x.cast("double") + 0.5) * 255, 6)).alias("cells"), F.lit(False).alias("moved"))
+    again = base.select("stream_id", (F.col("seq") + AGAIN).alias("seq"), (F.col("observation_id") + AGAIN).alias("observation_id"),
+                        F.transform("cells", lambda x, i: x + (i % 5 - 2)).alias("cells"), F.lit(True).alias("moved"))
     return base.unionByName(again)
 
 
-V = """V0 AS (SELECT vec_id % 10 AS stream_id, vec_id AS seq, vec_id AS observation_id, list_transform(embedding, lambda x: round((CAST(x AS DOUBLE) + 0.5) * 255, 6)) AS cells FROM embeddings),
-V AS (SELECT * FROM V0 UNION ALL SELECT stream_id, seq + 1000000, observation_id + 1000000, list_transform(cells, lambda x, i: x + ((i - 1) % 5 - 2)) FROM V0)"""
+V = f"""V0 AS (SELECT vec_id % 10 AS stream_id, vec_id AS seq, vec_id AS observation_id, list_transform(embedding, lambda x: round((CAST(x AS DOUBLE) + 0.5) * 255, 6)) AS cells FROM embeddings),
+V AS (SELECT * FROM V0 UNION ALL SELECT stream_id, seq + {AGAIN}, observation_id + {AGAIN}, list_transform(cells, lambda x, i: x + ((i - 1) % 5 - 2)) FROM V0)"""
 
 
 def game(spark: SparkSession, sf_dir: str) -> DataFrame:

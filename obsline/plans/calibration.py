@@ -150,11 +150,54 @@ def a18(spark, sf):
 
 
 @query("a28_measurement_report", f"""WITH {L}, M AS (SELECT regime, unnest([('score', score), ('confidence', confidence)]) AS x FROM L)
-  SELECT regime, x[1] AS measure, count(*) AS n, round(avg(x[2]), 6) AS mean, round(median(x[2]), 6) AS median, round(min(x[2]), 6) AS least, round(max(x[2]), 6) AS most FROM M GROUP BY ALL""")
+  SELECT regime, x[1] AS measure, count(*) AS n, round(avg(x[2]), 6) AS mean, round(quantile_disc(x[2], 0.5), 6) AS median, round(min(x[2]), 6) AS least, round(max(x[2]), 6) AS most FROM M GROUP BY ALL""")
 def a28(spark, sf):
     return rounded(M.measurement_report(labels(spark, sf), "score", "confidence"), digits=6)
 
 
+def measured_labels(spark, sf):
+    """Labels with the fields of the measurement report."""
+    i = F.col("label_id")
+    pick = lambda *x: F.get(F.array(*(F.lit(v) for v in x)), (i % len(x)).cast("int"))
+    return labels(spark, sf).withColumns({
+        "component": pick("origin", "destination", "paired", "temporal"), "case": pick("quiet", "capture", "unspecified", "check", "other"), "category_source": pick(None, "fen"), "occupancy_before": pick("own", "", "unknown", "enemy", None),
+        "occupancy_after": pick("own", "own", "empty"), "relative": F.when(i % 7 > 0, F.col("score") / 2 + i % 3)})
+
+
+ML = L + """, ML AS (SELECT * REPLACE (['origin', 'destination', 'paired', 'temporal'][label_id % 4 + 1] AS component, ['quiet', 'capture', 'unspecified', 'check', 'other'][label_id % 5 + 1] AS "case"), [NULL, 'fen'][label_id % 2 + 1] AS category_source,
+  ['own', '', 'unknown', 'enemy', NULL][label_id % 5 + 1] AS occupancy_before, ['own', 'own', 'empty'][label_id % 3 + 1] AS occupancy_after, CASE WHEN label_id % 7 > 0 THEN score / 2 + label_id % 3 END AS relative FROM L)"""
+
+
+@query("a28_endpoint_metrics", f"""WITH {ML}, C AS (SELECT component, {COUNTS} FROM ML WHERE component <> 'temporal' GROUP BY component) SELECT *, {RATES} FROM C""")
+def a28e(spark, sf):
+    return rounded(M.endpoint_metrics(measured_labels(spark, sf)))
+
+
+@query("a28_category_sources", f"""WITH {ML}, T AS (SELECT * FROM ML WHERE "case" <> 'unspecified') SELECT 'source' AS kind, coalesce(category_source, 'labeled_frame') AS name, count(*) AS n FROM T GROUP BY ALL
+  UNION ALL SELECT 'category', name, count(T.label_id) FROM (VALUES ('capture'), ('check'), ('promotion'), ('quiet'), ('double_pawn')) v(name) LEFT JOIN T ON T."case" = name GROUP BY ALL""")
+def a28c(spark, sf):
+    return M.category_sources(measured_labels(spark, sf))
+
+
+@query("a28_occupancy_counts", f"""WITH {ML}, U AS (SELECT 'occupancy_before' AS field, occupancy_before AS value FROM ML UNION ALL SELECT 'occupancy_after', occupancy_after FROM ML) SELECT field, value, count(*) AS n FROM U WHERE value IS NOT NULL AND value NOT IN ('', 'unknown') GROUP BY ALL""")
+def a28o(spark, sf):
+    return M.occupancy_counts(measured_labels(spark, sf), "occupancy_before", "occupancy_after")
+
+
+def _method(name: str, column: str) -> str:
+    return f"""(WITH R AS (SELECT truth, regime, {column} AS score FROM ML WHERE {column} IS NOT NULL), D AS (SELECT * FROM R WHERE truth <> 'uncertain'), O AS (SELECT DISTINCT score AS threshold FROM D), Z AS (SELECT regime, count(*) FILTER (truth = 'positive') AS pos, count(*) FILTER (truth = 'negative') AS neg FROM D GROUP BY regime),
+  H AS (SELECT threshold, Z.regime, pos, neg, count(*) FILTER (truth = 'positive' AND score >= threshold) AS tp, count(*) FILTER (truth = 'negative' AND score >= threshold) AS fp FROM O CROSS JOIN Z JOIN D ON D.regime = Z.regime GROUP BY ALL),
+  K AS (SELECT threshold, min(coalesce(tp / nullif(tp + fp, 0), 0)) FILTER (pos + neg >= 5) AS wp, min(coalesce(tp / nullif(pos, 0), 0)) FILTER (pos + neg >= 5) AS wr, max(coalesce(fp / nullif(neg, 0), 0)) FILTER (pos + neg >= 5) AS wf, count(*) FILTER (pos + neg >= 5) AS n, CAST(sum(tp) AS DOUBLE) / nullif(sum(pos), 0) AS r, sum(pos + neg) AS labeled FROM H GROUP BY threshold),
+  B AS (SELECT *, coalesce(labeled >= 30 AND n > 0 AND wp >= 0.95 AND wr >= 0.95 AND wf <= 0.02, false) AS meets FROM K)
+  SELECT '{name}' AS method, (SELECT count(*) FROM R) AS rows, threshold, round(wp, 9) AS worst_precision, round(wr, 9) AS worst_recall, round(wf, 9) AS worst_fpr, CASE WHEN meets THEN 'pass' WHEN n = 0 OR labeled < 30 THEN 'insufficient_data' ELSE 'advisory' END AS status
+  FROM B ORDER BY meets DESC, coalesce(wr, -1) DESC, coalesce(wp, -1) DESC, coalesce(wf, 1), coalesce(nullif(r, 0), -1) DESC, threshold LIMIT 1)"""
+
+
+@query("a28_method_comparison", f"WITH {ML} {_method('fixed', 'score')} UNION ALL {_method('board_relative', 'relative')}")
+def a28m(spark, sf):
+    return rounded(M.method_comparison(measured_labels(spark, sf), {"fixed": "score", "board_relative": "relative"}, (30, 0.95, 0.95, 0.02)))
+
+
 @query("a27_settle_quality", f"""WITH {L}, P AS (SELECT *, "case" AS phase, score / 10 AS settle_delay, score < 5 AS premature FROM L),
   C AS (SELECT phase, {COUNTS}, avg(settle_delay) AS mean_delay, max(settle_delay) AS most_delay, count(*) FILTER (premature) AS premature_count FROM P GROUP BY phase)
   SELECT phase, tp, tn, fp, fn, uncertain, labeled, round(mean_delay, 9) AS mean_delay, round(most_delay, 9) AS most_delay, premature_count, {RATES} FROM C""")

@@ -33,29 +33,61 @@ def st3(spark, sf):
     return R.sessions(events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "6 hours").withColumn("session_start", F.col("session_start").cast("timestamp_ntz")).withColumn("session_end", F.col("session_end").cast("timestamp_ntz"))
 
 
-@query("st3_coalesce_bursts")
+#: The rows of motion() as SQL, numbered within each stream; state machines step through them by recursion.
+MOTION = E + """, MO AS (SELECT stream_id, observation_id, epoch_us(ts) / 3.6e9 AS ts, k % 3 > 0 AS has_motion, k % 10 = 0 AS motion_spike, value AS score, 'm' || CAST(k % 3 AS VARCHAR) AS move FROM E),
+N AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY ts, observation_id) AS n FROM MO)"""
+
+
+# State after each row: last emission, whether a burst is pending, quiet time; branch says which rule fitted.
+@query("st3_coalesce_bursts", f"""WITH RECURSIVE {MOTION}, S(stream_id, n, ts, observation_id, last_emit, pending, quiet, first_ts, first_id, first_reason, cap) AS (
+  SELECT stream_id, n, ts, observation_id, ts, false, CAST(0 AS DOUBLE), ts, observation_id, 'initial_frame', false FROM N WHERE n = 1
+  UNION ALL SELECT stream_id, n, ts, id, coalesce(CASE WHEN cap THEN ts END, emitted, last_emit), CASE WHEN branch = 'motion' THEN true WHEN tail THEN false ELSE pending END, CASE WHEN has_motion OR NOT (pending AND NOT tail) THEN 0.0 WHEN branch = 'quiet' THEN q ELSE quiet END,
+    CASE WHEN branch = 'spike' AND emitted IS NOT NULL THEN p_ts WHEN emitted IS NOT NULL THEN ts END, CASE WHEN branch = 'spike' AND emitted IS NOT NULL THEN p_id WHEN emitted IS NOT NULL THEN id END, CASE WHEN emitted IS NOT NULL THEN CASE branch WHEN 'spike' THEN 'motion_spike_prev_frame' WHEN 'motion' THEN 'motion_leading_edge' ELSE 'settled_tail' END END, cap
+  FROM (SELECT *, branch = 'quiet' AND q >= 0.2 - 1e-9 AS tail, CASE WHEN branch = 'spike' AND p_ts > last_emit + 0.02 THEN p_ts WHEN branch = 'motion' AND NOT pending AND ts > last_emit + 0.02 THEN ts WHEN branch = 'quiet' AND q >= 0.2 - 1e-9 THEN ts END AS emitted,
+    branch = 'motion' AND ts - CASE WHEN NOT pending AND ts > last_emit + 0.02 THEN ts ELSE last_emit END > 0.3 AS cap
+    FROM (SELECT N.stream_id, N.n, N.ts, N.observation_id AS id, N.has_motion, S.ts AS p_ts, S.observation_id AS p_id, S.last_emit, S.pending, S.quiet, S.quiet + N.ts - S.ts AS q, CASE WHEN N.motion_spike AND S.pending THEN 'spike' WHEN N.has_motion THEN 'motion' WHEN S.pending THEN 'quiet' ELSE 'none' END AS branch
+      FROM S JOIN N ON N.stream_id = S.stream_id AND N.n = S.n + 1)))
+  SELECT stream_id, round(first_ts, 6) AS ts, first_id AS observation_id, first_reason AS reason FROM S WHERE first_reason IS NOT NULL UNION ALL SELECT stream_id, round(ts, 6), observation_id, 'motion_burst_cap' FROM S WHERE cap""")
 def st3b(spark, sf):
-    return R.coalesce_bursts(motion(spark, sf))
+    return rounded(R.coalesce_bursts(motion(spark, sf)), digits=6)
 
 
-@query("st4_adaptive_sampler")
+@query("st4_adaptive_sampler", f"""WITH RECURSIVE {MOTION}, S(stream_id, n, ts, observation_id, taken, due, quiet, last, step) AS (
+  SELECT stream_id, n, ts, observation_id, true, ts + 0.1, CAST(0 AS DOUBLE), ts, CAST(0.1 AS DOUBLE) FROM N WHERE n = 1
+  UNION ALL SELECT stream_id, n, ts, id, taken, CASE WHEN taken THEN ts + CASE WHEN q >= 2 THEN 1.0 ELSE 0.1 END ELSE due END, CASE WHEN taken THEN q ELSE quiet END, CASE WHEN taken THEN ts ELSE last END, CASE WHEN q >= 2 THEN 1.0 ELSE 0.1 END
+  FROM (SELECT N.stream_id, N.n, N.ts, N.observation_id AS id, N.ts >= S.due - 1e-9 AS taken, S.due, S.quiet, S.last, CASE WHEN N.has_motion THEN 0.0 ELSE S.quiet + N.ts - S.last END AS q FROM S JOIN N ON N.stream_id = S.stream_id AND N.n = S.n + 1))
+  SELECT stream_id, round(ts, 6) AS ts, observation_id, CAST(step AS DOUBLE) AS sampling_step FROM S WHERE taken""")
 def st4(spark, sf):
-    return R.adaptive_sampler(motion(spark, sf))
+    return rounded(R.adaptive_sampler(motion(spark, sf)), digits=6)
 
 
-@query("st5_settle_hold")
+def settle_sql(hold: float, retarget: bool) -> str:
+    """A candidate held: its time, id, move and score after each row, and what each row closes."""
+    return f"""WITH RECURSIVE {MOTION}, S(stream_id, n, h_ts, h_id, h_move, h_score, x, y) AS (
+  SELECT stream_id, n, ts, observation_id, move, score, CAST(NULL AS STRUCT(ts DOUBLE, id BIGINT, move VARCHAR, score DOUBLE)), CAST(NULL AS STRUCT(ts DOUBLE, id BIGINT, move VARCHAR, score DOUBLE)) FROM N WHERE n = 1
+  UNION ALL SELECT stream_id, n, CASE WHEN same THEN NULL WHEN free THEN ts ELSE h_ts END, CASE WHEN same THEN NULL WHEN free OR better THEN id ELSE h_id END, CASE WHEN same THEN NULL WHEN free OR better THEN move ELSE h_move END,
+    CASE WHEN same THEN NULL WHEN free OR better THEN score ELSE h_score END, CASE WHEN late THEN {{'ts': h_ts, 'id': h_id, 'move': h_move, 'score': h_score}} END, CASE WHEN same THEN {{'ts': h_ts, 'id': h_id, 'move': h_move, 'score': greatest(h_score, score)}} END
+  FROM (SELECT *, NOT free AND move = h_move AS same, {str(retarget).lower()} AND NOT free AND move <> h_move AND score >= h_score + 8 AS better FROM (SELECT N.stream_id, N.n, N.ts, N.observation_id AS id, N.move, N.score, S.h_ts, S.h_id, S.h_move, S.h_score,
+    S.h_ts IS NOT NULL AND N.ts > S.h_ts + {hold} AS late, S.h_ts IS NULL OR N.ts > S.h_ts + {hold} AS free FROM S JOIN N ON N.stream_id = S.stream_id AND N.n = S.n + 1)))
+  SELECT stream_id, round(x.ts, 6) AS ts, x.id AS observation_id, x.move AS move, round(x.score, 6) AS score, 'window_expired' AS outcome FROM S WHERE x IS NOT NULL UNION ALL SELECT stream_id, round(y.ts, 6), y.id, y.move, round(y.score, 6), 'candidate_found' FROM S WHERE y IS NOT NULL
+  UNION ALL SELECT stream_id, round(h_ts, 6), h_id, h_move, round(h_score, 6), 'no_future_candidate' FROM S WHERE h_ts IS NOT NULL AND n = (SELECT max(n) FROM N WHERE N.stream_id = S.stream_id)"""
+
+
+@query("st5_settle_hold", settle_sql(12.0, True))
 def st5(spark, sf):
-    return R.settle_hold(motion(spark, sf), 12.0)
+    return rounded(R.settle_hold(motion(spark, sf), 12.0), digits=6)
 
 
-@query("st11_pending_endpoint")
+@query("st11_pending_endpoint", settle_sql(0.75, False))
 def st11(spark, sf):
-    return R.pending_endpoint(motion(spark, sf))
+    return rounded(R.pending_endpoint(motion(spark, sf)), digits=6)
 
 
-@query("st12_probe_throttle")
+@query("st12_probe_throttle", f"""WITH RECURSIVE {MOTION}, S(stream_id, n, ts, observation_id, taken, due) AS (SELECT stream_id, n, ts, observation_id, true, ts + 30 FROM N WHERE n = 1
+  UNION ALL SELECT N.stream_id, N.n, N.ts, N.observation_id, N.ts >= S.due - 1e-9, CASE WHEN N.ts >= S.due - 1e-9 THEN N.ts + 30 ELSE S.due END FROM S JOIN N ON N.stream_id = S.stream_id AND N.n = S.n + 1)
+  SELECT stream_id, round(ts, 6) AS ts, observation_id FROM S WHERE taken""")
 def st12(spark, sf):
-    return R.probe_throttle(motion(spark, sf), 30)
+    return rounded(R.probe_throttle(motion(spark, sf), 30), digits=6)
 
 
 def reducer_rows(spark, sf):
@@ -125,11 +157,14 @@ def st22(spark, sf):
     return R.adjacent_alternative(c).select("stream_id", "observation_id", "candidate")
 
 
-def frames(spark, sf):
-    """Embeddings as frames of 8 x 8 cells of 4 x 4 pixels: three equal planes, a cell's value all over it."""
+def frames(spark, sf, red: bool = False):
+    """Embeddings as frames of 8 x 8 cells of 4 x 4 pixels: three equal planes, a cell's value all over it; with ``red`` every third
+    cell has up to 100 more in its red plane."""
     v = table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("stream_id"), F.col("vec_id").alias("observation_id"), F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x + 0.5) * 255), F.lit(0)), F.lit(255)).cast("int")).alias("v"))
     # The top row of the picture shows cells 56 to 63.
-    row = lambda r: F.repeat(F.array_join(F.transform(F.slice("v", r * 8 + 1, 8), lambda x: F.repeat(F.lpad(F.hex(x), 2, "0"), F.lit(12))), ""), F.lit(4))
+    two = lambda x: F.lpad(F.hex(x), 2, "0")
+    pixel = lambda x, more: F.concat(two(x), two(x), two(F.least(x + F.when(more, 100).otherwise(0), F.lit(255))))
+    row = lambda r: F.repeat(F.array_join(F.transform(F.slice("v", r * 8 + 1, 8), lambda x, i: F.repeat(pixel(x, F.lit(red) & ((i + r * 8) % 3 == 0)), F.lit(4))), ""), F.lit(4))
     text = F.concat(*(row(r) for r in range(7, -1, -1)))
     return v.select("stream_id", "observation_id", F.unhex(text).alias("pixels"), F.lit(32).alias("height"), F.lit(32).alias("width"))
 
@@ -139,10 +174,13 @@ def p2(spark, sf):
     return rounded(P.measure_frames(frames(spark, sf)).select("observation_id", F.array_max("cells").alias("most"), F.col("cells")[0].alias("first")), digits=6)
 
 
-@query("p3_p5_cell_flags")
+@query("p3_p5_cell_flags", """WITH C AS (SELECT vec_id % 10 AS stream_id, vec_id AS observation_id, list_transform(embedding, lambda x: CAST(least(greatest(floor((x + 0.5) * 255), 0), 255) AS INT)) AS v FROM embeddings),
+  D AS (SELECT *, list_transform(v, lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN least(x + 100, 255) - x ELSE 0 END) AS r FROM C), H AS (SELECT *, least(35, greatest(list_max(r) / 2, 1)) AS over FROM D)
+  SELECT stream_id, observation_id, array_to_string(list_filter(list_transform(r, lambda x, i: CASE WHEN x > over THEN i - 1 END), lambda x: x IS NOT NULL), ',') AS red_cells,
+  array_to_string(list_filter(list_transform(v, lambda x, i: CASE WHEN x + 0.299 * r[i] > 200 THEN i - 1 END), lambda x: x IS NOT NULL), ',') AS hover_cells, CAST(0 AS DOUBLE) AS most_highlight FROM H""")
 def p3(spark, sf):
-    m = P.measure_frames(frames(spark, sf))
-    return P.hover_flag(P.red_cells(m)).select("stream_id", "observation_id", "red_cells", "hover_cells")
+    m = P.hover_flag(P.red_cells(P.measure_frames(frames(spark, sf, red=True))))
+    return m.select("stream_id", "observation_id", F.array_join("red_cells", ",").alias("red_cells"), F.array_join("hover_cells", ",").alias("hover_cells"), F.array_max("highlight").alias("most_highlight"))
 
 
 @query("p6_active_side", """WITH C AS (SELECT vec_id AS observation_id, len(list_filter(embedding[1:32], lambda x: floor((x + 0.5) * 255) > 120)) * 4 AS t, len(list_filter(embedding[33:64], lambda x: floor((x + 0.5) * 255) > 120)) * 4 AS b FROM embeddings)
@@ -155,7 +193,9 @@ def p6(spark, sf):
     return P.active_side(P.bright_regions(r, 120)).select("observation_id", "active_side", "bright_delta")
 
 
-@query("s7_game_tokens")
+@query("s7_game_tokens", f"""WITH B AS (SELECT doc_id AS stream_id, regexp_extract_all(regexp_replace(text, '(?m)^\\[[^\\n]*\\]\\s*$', '', 'g'), '{S.TOKEN}') AS t FROM documents),
+  U AS (SELECT stream_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM B), D AS (SELECT *, sum(CASE token WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY pos) AS depth FROM U)
+  SELECT stream_id, count(*) AS tokens, CAST(max(depth) AS BIGINT) AS deepest FROM D GROUP BY stream_id""")
 def s7(spark, sf):
     t = table(spark, sf, "documents").select(F.col("doc_id").alias("stream_id"), F.col("text").alias("value"))
     return S.game_tokens(t).groupBy("stream_id").agg(F.count("*").alias("tokens"), F.max("depth").alias("deepest"))
@@ -201,12 +241,15 @@ def s13(spark, sf):
 
 
 @query("v1_timeline_invariants", f"""WITH {G}, S AS (SELECT * FROM G WHERE stream_id % 5 <> 0), N AS (SELECT stream_id, count(*) AS n, max(seq) AS last FROM G GROUP BY stream_id)
-  SELECT 'count' AS finding, count(*) AS n FROM N WHERE stream_id % 5 = 0 UNION ALL SELECT 'provenance', count(*) FROM G WHERE seq = 2""")
+  SELECT * FROM (SELECT 'count' AS finding, count(*) AS n FROM N WHERE stream_id % 5 = 0 UNION ALL SELECT 'provenance', count(*) FROM G WHERE seq = 2 UNION ALL SELECT 'root_differs', count(*) FROM G WHERE seq = 0) WHERE n > 0""")
 def v1(spark, sf):
     g = game(spark, sf)
     states = g.select("stream_id", "seq", "state").unionByName(g.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq"), F.lit("end x - - 9").alias("state")).filter("stream_id % 5 <> 0"))
     t = g.withColumn("provenance", F.when(F.col("seq") == 2, "direct").otherwise("missing")).withColumn("reading", F.lit(None).cast("string"))
-    b = g.filter("seq = 1").select("stream_id", F.lit(1).alias("branch_id"), F.lit(1).alias("parent_seq"), F.lit(0).alias("step"), "state")
+    # A branch at its root, one whose root is inside it, and one whose root is nowhere.
+    b = g.filter("seq BETWEEN 1 AND 2").select("stream_id", F.lit(1).alias("branch_id"), F.lit(1).alias("parent_seq"), (F.col("seq") - 1).alias("step"), "state")
+    b = b.unionByName(g.filter("seq = 2").select("stream_id", F.lit(2).alias("branch_id"), F.lit(0).alias("parent_seq"), F.lit(0).cast("long").alias("step"), "state"))
+    b = b.unionByName(g.filter("seq = 0").select("stream_id", F.lit(3).alias("branch_id"), F.lit(0).alias("parent_seq"), F.lit(0).cast("long").alias("step"), F.lit("nowhere x - - 1").alias("state")))
     return C.timeline_invariants(t, states, b).groupBy("finding").agg(F.count("*").alias("n"))
 
 

@@ -58,12 +58,16 @@ def j5(spark, sf):
     return rounded(J.similar_state_exhaustive(v, v, mode="most_recent").select("stream_id", "observation_id", "h_seq", "diff"), digits=6)
 
 
-@query("j6_nearest_in_time", f"""WITH {T}, A AS (SELECT stream_id, state AS transition, observation_id, ts, row_number() OVER (PARTITION BY stream_id, state ORDER BY ts, observation_id) AS k FROM T WHERE side = 'w'),
-  D AS (SELECT stream_id, state AS transition, ts, row_number() OVER (PARTITION BY stream_id, state ORDER BY ts, observation_id) AS k FROM T WHERE side = 'b')
-  SELECT A.observation_id, round(abs(epoch_us(A.ts) - epoch_us(D.ts)) / 1000000, 3) AS distance FROM A LEFT JOIN D ON A.stream_id = D.stream_id AND A.transition = D.transition AND A.k = D.k""")
+@query("j6_nearest_in_time", f"""WITH RECURSIVE {T}, A AS (SELECT stream_id, state AS transition, observation_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY stream_id, state ORDER BY ts, observation_id) AS k FROM T WHERE side = 'w'),
+  D AS (SELECT stream_id, state AS transition, list({{'us': epoch_us(ts), 'id': observation_id}} ORDER BY ts, observation_id) AS free FROM T WHERE side = 'b' GROUP BY ALL),
+  P(stream_id, transition, k, observation_id, us, free, hit) AS (SELECT A.stream_id, A.transition, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), coalesce(any_value(D.free), []), CAST(NULL AS STRUCT(d BIGINT, us BIGINT, id BIGINT))
+    FROM A LEFT JOIN D ON D.stream_id = A.stream_id AND D.transition = A.transition GROUP BY ALL
+    UNION ALL SELECT stream_id, transition, k, observation_id, us, list_filter(free, lambda x: hit IS NULL OR x.id <> hit.id), hit FROM (SELECT A.stream_id, A.transition, A.k, A.observation_id, A.us, P.free,
+    list_min(list_transform(P.free, lambda x: {{'d': abs(x.us - A.us), 'us': x.us, 'id': x.id}})) AS hit FROM P JOIN A ON A.stream_id = P.stream_id AND A.transition = P.transition AND A.k = P.k + 1))
+  SELECT observation_id, round(hit.d / 1000000, 3) AS distance, hit.id AS d_id FROM P WHERE k > 0""")
 def j6(spark, sf):
     t = trace(spark, sf).withColumn("transition", F.col("state"))
-    return rounded(J.nearest_in_time(t.filter("side = 'w'"), t.filter("side = 'b'")).select("observation_id", "distance"), digits=3)
+    return rounded(J.nearest_in_time(t.filter("side = 'w'"), t.filter("side = 'b'")).select("observation_id", "distance", "d_id"), digits=3)
 
 
 @query("j7_state_key_join", f"""WITH {G}, K AS (SELECT *, split_part(state, ' ', 1) || ' ' || split_part(state, ' ', 2) AS key FROM G) SELECT a.stream_id, a.seq, b.seq AS r_seq FROM K a JOIN K b ON a.stream_id = b.stream_id AND a.key = b.key AND b.seq < a.seq""")
@@ -93,11 +97,11 @@ def j11(spark, sf):
     return J.keyword_match(names, [("blog", ["blog"]), ("net", ["example.net", "/fr/"]), ("mobile", ["m."])], "generic").select("page_id", "template")
 
 
-@query("j12_lookup_enrich", f"""WITH {T}, K AS (SELECT T.*, p_name AS name, p_brand AS code FROM T LEFT JOIN part ON p_partkey = k + 1 AND p_partkey % 3 = 0)
+@query("j12_lookup_enrich", f"""WITH {T}, K AS (SELECT T.*, p_name AS name, p_brand AS code FROM T LEFT JOIN part ON p_partkey = k * 37 - 9)
   SELECT observation_id, last_value(code IGNORE NULLS) OVER w AS code, last_value(name IGNORE NULLS) OVER w AS name FROM K WINDOW w AS (PARTITION BY stream_id ORDER BY observation_id ROWS UNBOUNDED PRECEDING)""")
 def j12(spark, sf):
-    p = table(spark, sf, "part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("state_key"), F.col("p_brand").alias("code"), F.col("p_name").alias("name"))
-    t = events(spark, sf).select("stream_id", "observation_id", F.col("observation_id").alias("seq"), (F.col("k") + 1).cast("long").alias("state_key"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("state_key"), F.col("p_brand").alias("code"), F.col("p_name").alias("name"))
+    t = events(spark, sf).select("stream_id", "observation_id", F.col("observation_id").alias("seq"), (F.col("k") * 37 - 9).cast("long").alias("state_key"))  # not all are parts
     return J.lookup_enrich(t, p).select("observation_id", "code", "name")
 
 
@@ -111,7 +115,7 @@ def j13(spark, sf):
 @query("j14_score_candidates", f"""WITH {V}, C AS (SELECT observation_id, cells, unnest([0, 1, 2]) AS c FROM V0), S AS (SELECT observation_id, c, CASE c WHEN 0 THEN cells[observation_id % 60 + 1] + cells[observation_id % 60 + 2] WHEN 1 THEN cells[1] + cells[2] + cells[3] - 10
   ELSE cells[5] + cells[6] + cells[7] + cells[8] - 20 END AS s FROM C) SELECT observation_id, 'c' || CAST(c AS VARCHAR) AS candidate, round(s, 6) AS score FROM S""")
 def j14(spark, sf):
-    v = vectors(spark, sf).filter("observation_id < 1000000")
+    v = vectors(spark, sf).filter("NOT moved")
     i = (F.col("observation_id") % 60).cast("int")
     c = v.select("observation_id", F.inline(F.array(F.struct(F.lit("c0").alias("candidate"), F.array(i, i + 1).alias("squares")), F.struct(F.lit("c1").alias("candidate"), F.array(*map(F.lit, (0, 1, 2))).alias("squares")),
                                                     F.struct(F.lit("c2").alias("candidate"), F.array(*map(F.lit, (4, 5, 6, 7))).alias("squares")))))
@@ -135,14 +139,15 @@ def j17(spark, sf):
     return J.multiset_delta(*two_runs(spark, sf), ["state"])
 
 
-REPORTS = """Q AS (SELECT o_orderkey AS report_id, o_custkey % 150 AS stream_id, TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 28) DAY AS start, TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 28 + 1) DAY AS stop, 'm' || CAST(o_orderkey % 5 AS VARCHAR) AS move FROM orders WHERE o_custkey % 7 = 0)"""
+REPORTS = """Q AS (SELECT o_orderkey AS report_id, o_custkey // 10 AS stream_id, TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 28) DAY AS start, TIMESTAMP '2024-01-01' + INTERVAL (o_orderkey % 28 + 1) DAY AS stop, 'm' || CAST(o_orderkey % 5 AS VARCHAR) AS move FROM orders)"""
 
 
 def reports(spark, sf):
+    """Every order as a report on one day of a stream; ten customers share a stream."""
     day = F.lit("2024-01-01").cast("timestamp")
-    o = table(spark, sf, "orders").filter("o_custkey % 7 = 0")
+    o = table(spark, sf, "orders")
     at = F.unix_micros(day) + (F.col("o_orderkey") % 28) * 86_400_000_000
-    return o.select(F.col("o_orderkey").alias("report_id"), (F.col("o_custkey") % 150).alias("stream_id"), F.timestamp_micros(at).cast("timestamp_ntz").alias("start"),
+    return o.select(F.col("o_orderkey").alias("report_id"), F.floor(F.col("o_custkey") / 10).alias("stream_id"), F.timestamp_micros(at).cast("timestamp_ntz").alias("start"),
                     F.timestamp_micros(at + 86_400_000_000).cast("timestamp_ntz").alias("stop"), F.concat(F.lit("m"), (F.col("o_orderkey") % 5).cast("string")).alias("move"))
 
 
@@ -151,15 +156,14 @@ def j20(spark, sf):
     return J.decision_interval(events(spark, sf), reports(spark, sf).drop("move")).select("report_id", "observation_id")
 
 
-@query("j21_rank_history_sources", f"""WITH {E}, H AS (SELECT stream_id, observation_id AS seq, row_number() OVER (PARTITION BY stream_id ORDER BY observation_id DESC) AS back FROM E),
-  S AS (SELECT a.stream_id, a.observation_id, b.seq AS source_seq, value + 4 * (a.k - b.seq % 50) AS quality FROM E a JOIN H b ON a.stream_id = b.stream_id AND back <= 64 WHERE a.k = 5),
+@query("j21_rank_history_sources", f"""WITH {E}, H AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY observation_id) AS n FROM E),
+  S AS (SELECT a.stream_id, a.observation_id, b.observation_id AS source_seq, a.value + 4 * (a.k - b.observation_id % 50) AS quality FROM H a JOIN H b ON a.stream_id = b.stream_id AND b.n BETWEEN a.n - 64 AND a.n - 1),
   R AS (SELECT *, row_number() OVER (PARTITION BY stream_id, observation_id ORDER BY round(quality, 6) DESC, source_seq DESC) AS r FROM S) SELECT observation_id, source_seq, round(quality, 6) AS quality FROM R WHERE r = 1""")
 def j21(spark, sf):
     e = events(spark, sf)
-    h = e.select("stream_id", F.col("observation_id").alias("seq"))
-    s = e.filter("k = 5").join(h.withColumnRenamed("seq", "source_seq"), "stream_id").select(
-        "stream_id", "observation_id", "source_seq", F.col("value").alias("score"), F.col("k").cast("double").alias("active_diff"), (F.col("source_seq") % 50).cast("double").alias("source_diff"))
-    return rounded(J.rank_history_sources(s, h).select("observation_id", "source_seq", "quality"), digits=6)
+    seen = e.select("stream_id", "observation_id", F.col("observation_id").alias("seq"), F.col("value").alias("score"), F.col("k").cast("double").alias("active_diff"))
+    h = e.select("stream_id", F.col("observation_id").alias("seq"), (F.col("observation_id") % 50).cast("double").alias("source_diff"))
+    return rounded(J.rank_history_sources(seen, h).select("observation_id", "source_seq", "quality"), digits=6)
 
 
 @query("j22_best_earlier_reading", f"""WITH {E}, R AS (SELECT *, CASE WHEN k % 3 > 0 THEN seconds END AS reading FROM E),
@@ -336,7 +340,11 @@ def a32(spark, sf):
     return B.weak_branch_filter(b, 80).groupBy("stream_id", "branch_id").agg(F.count("*").alias("steps"))
 
 
-@query("a31_lcs_replay_test")
+@query("a31_lcs_replay_test", f"""WITH {BR}, H AS (SELECT stream_id, branch_id, min(parent_seq) AS p, count(*) AS steps FROM B GROUP BY ALL),
+  M AS (SELECT B.stream_id, B.branch_id, step, seq FROM B JOIN H ON H.stream_id = B.stream_id AND H.branch_id = B.branch_id JOIN G ON G.stream_id = B.stream_id AND G.move = B.move AND seq >= p AND seq < p + steps + 8),
+  K AS (SELECT stream_id, branch_id, 1 AS n FROM M UNION ALL SELECT a.stream_id, a.branch_id, 2 FROM M a JOIN M b ON a.stream_id = b.stream_id AND a.branch_id = b.branch_id AND a.step < b.step AND a.seq < b.seq
+  UNION ALL SELECT a.stream_id, a.branch_id, 3 FROM M a JOIN M b ON a.stream_id = b.stream_id AND a.branch_id = b.branch_id AND a.step < b.step AND a.seq < b.seq JOIN M c ON b.stream_id = c.stream_id AND b.branch_id = c.branch_id AND b.step < c.step AND b.seq < c.seq),
+  L AS (SELECT stream_id, branch_id, max(n) AS n FROM K GROUP BY ALL) SELECT H.stream_id, H.branch_id, steps, CAST(coalesce(n, 0) AS BIGINT) AS matches, steps >= 2 AND coalesce(n, 0) >= 0.8 * steps AS replay FROM H LEFT JOIN L ON L.stream_id = H.stream_id AND L.branch_id = H.branch_id""")
 def a31(spark, sf):
     g, b = branch_tables(spark, sf)
     return B.lcs_replay_test(b, g, least=2)
@@ -348,13 +356,18 @@ def j15(spark, sf):
     return B.join_continuations(b.filter("step < 2").withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("branch_id") * 1_000_000))).select("stream_id", "branch_id", "parent_seq", "step", "move")
 
 
-@query("u5_prefix_supersede")
+@query("u5_prefix_supersede", f"""WITH {BR}, H AS (SELECT stream_id, branch_id, min(parent_seq) AS p, count(*) AS n FROM B GROUP BY ALL), C AS (SELECT s.stream_id, s.branch_id FROM H s JOIN H g ON g.stream_id = s.stream_id AND g.branch_id <> s.branch_id
+  AND (g.p <> s.p OR s.n < g.n OR g.branch_id < s.branch_id) AND NOT EXISTS (SELECT 1 FROM B x WHERE x.stream_id = s.stream_id AND x.branch_id = s.branch_id AND NOT EXISTS (SELECT 1 FROM B y WHERE y.stream_id = g.stream_id AND y.branch_id = g.branch_id AND y.step = x.step + s.p - g.p AND y.move = x.move)))
+  SELECT stream_id, branch_id, parent_seq, step, move FROM B WHERE NOT EXISTS (SELECT 1 FROM C WHERE C.stream_id = B.stream_id AND C.branch_id = B.branch_id)""")
 def u5(spark, sf):
     _, b = branch_tables(spark, sf)
     return B.prefix_supersede(b).select("stream_id", "branch_id", "parent_seq", "step", "move")
 
 
-@query("j23_flatten_orphan_forks")
+@query("j23_flatten_orphan_forks", f"""WITH {BR}, K AS (SELECT *, split_part(state, ' ', 1) || split_part(state, ' ', 2) AS key FROM B), H AS (SELECT stream_id, branch_id, min(parent_seq) AS p, arg_min(key, step) AS root FROM K GROUP BY ALL),
+  M AS (SELECT stream_id, max(seq) AS last FROM G WHERE seq < 4 GROUP BY stream_id), T AS (SELECT H.*, p > coalesce(last, -1) AS beyond FROM H LEFT JOIN M ON M.stream_id = H.stream_id),
+  O AS (SELECT T.stream_id, T.branch_id, min({{'u': K.branch_id, 's': K.step}}) AS home FROM T JOIN K ON K.stream_id = T.stream_id AND K.key = T.root AND K.branch_id <> T.branch_id AND K.step > 0 WHERE beyond GROUP BY ALL)
+  SELECT B.stream_id, B.branch_id, step, home.u AS under, home.s AS under_step FROM B JOIN T ON T.stream_id = B.stream_id AND T.branch_id = B.branch_id LEFT JOIN O ON O.stream_id = B.stream_id AND O.branch_id = B.branch_id WHERE NOT beyond OR home IS NOT NULL""")
 def j23(spark, sf):
     g, b = branch_tables(spark, sf)
     return B.flatten_orphan_forks(b, g.filter("seq < 4")).select("stream_id", "branch_id", "step", "under", "under_step")
@@ -413,7 +426,14 @@ def v6(spark, sf):
     return C.compare_mapping_runs(a, b).groupBy("layer").agg(F.count("*").alias("n"))
 
 
-@query("v7_compare_semantics")
+_FAMILY = "CASE WHEN event = 'ACCEPT' THEN 'accepted' WHEN event LIKE 'CLOCK%' THEN 'readings' WHEN event LIKE 'REVERT%' OR event LIKE 'HANDOFF%' THEN 'recovery' WHEN event LIKE 'VARIATION%' THEN 'branches' END"
+
+
+@query("v7_compare_semantics", f"""WITH {RUNS}, A1 AS (SELECT stream_id, {_FAMILY} AS family, event, event || '|' || state || '|' || move AS s, row_number() OVER (PARTITION BY stream_id, {_FAMILY} ORDER BY ts, observation_id) - 1 AS position FROM T WHERE {_FAMILY} IS NOT NULL),
+  B1 AS (SELECT stream_id, {_FAMILY} AS family, event, event || '|' || state || '|' || move AS s, row_number() OVER (PARTITION BY stream_id, {_FAMILY} ORDER BY ts, observation_id) - 1 AS position FROM B WHERE {_FAMILY} IS NOT NULL),
+  M AS (SELECT coalesce(A1.stream_id, B1.stream_id) AS stream_id, coalesce(A1.family, B1.family) AS family, coalesce(A1.position, B1.position) AS position, coalesce(A1.event, B1.event) AS event
+  FROM A1 FULL JOIN B1 ON A1.stream_id = B1.stream_id AND A1.family = B1.family AND A1.position = B1.position WHERE A1.s IS DISTINCT FROM B1.s)
+  SELECT stream_id, family, CAST(min(position) AS INT) AS position, CASE WHEN arg_min(event, position) LIKE 'CLOCK%' THEN 'detector_or_validation' WHEN arg_min(event, position) LIKE 'VARIATION%' THEN 'reducer_or_trace_contract' ELSE 'reducer' END AS layer FROM M GROUP BY stream_id, family""")
 def v7(spark, sf):
     a, b = (d.withColumn("metadata", F.concat(F.lit("kind=a;ts="), F.col("observation_id").cast("string"))) for d in two_runs(spark, sf))
     return C.compare_semantics(a, b).select("stream_id", "family", "position", "layer")

@@ -309,7 +309,7 @@ def f14(spark, sf):
   B AS (SELECT observation_id, list_transform(q, lambda m: least(greatest(CAST(floor(m / 8 + 0.5) AS BIGINT), 0), 63)) AS b FROM Q)
   SELECT observation_id, b[1] * 262144 + b[2] * 4096 + b[3] * 64 + b[4] AS key, (observation_id % 7) * 4294967296 + observation_id AS packed FROM B""")
 def f27(spark, sf):
-    v = vectors(spark, sf).filter("observation_id < 1000000")
+    v = vectors(spark, sf).filter("NOT moved")
     return v.select("observation_id", scalars.pack_buckets([scalars.bucket_of(q) for q in scalars.quadrants(F.col("cells"))]).alias("key"), scalars.pack_id(F.col("observation_id") % 7, F.col("observation_id")).alias("packed"))
 
 

@@ -215,6 +215,27 @@ def crop_frames(frames: DataFrame) -> DataFrame:
     return frames.withColumn("pixels", F.when(F.col("h") > 0, cut)).withColumn("height", F.col("h")).withColumn("width", F.col("w")).drop("x", "y", "w", "h")
 
 
-def diagnostic_bundle(events: DataFrame, reports: DataFrame) -> DataFrame:
-    """Each report's events within its window, ready for write_report."""
-    return events.join(reports.select("report_id", "stream_id", "start", "stop"), "stream_id").filter(F.col("timestamp").between(F.col("start"), F.col("stop"))).drop("start", "stop")
+def diagnostic_bundle(events: DataFrame, reports: DataFrame, compact: DataFrame | None = None, ts: str = "ts") -> DataFrame:
+    """(report_id, part, body): a report, its records, compact observations (first states by key) and summary (counts by event), of its window.
+
+    Bodies are JSON. ``compact`` has stream_id, observation_key and ts; without it that part is left out.
+    """
+    from obsline.operators.joins import in_interval
+
+    bounds = reports.select("report_id", "stream_id", "start", "stop")
+    mine = in_interval(events, bounds, ts)
+
+    def part(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        return df.select("report_id", F.lit(name).alias("part"), F.to_json(F.struct(*columns)).alias("body"))
+
+    found = part(reports, "report", *reports.columns).unionByName(part(mine, "events", *[c for c in events.columns]))
+    found = found.unionByName(part(mine.groupBy("report_id", "event").agg(F.count("*").alias("n")), "summary", "event", "n"))
+    if compact is None:
+        return found
+    seen = in_interval(compact, bounds, ts).groupBy("report_id", "observation_key").agg(F.min(ts).alias("first_ts"))
+    return found.unionByName(part(seen, "observations", "observation_key", "first_ts"))
+
+
+def write_bundle(bundle: DataFrame, path: str) -> None:
+    """A folder for each part, a line for each row."""
+    bundle.write.mode("error").partitionBy("part").json(path)
