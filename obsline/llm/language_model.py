@@ -26,9 +26,10 @@ Every draw hashes the pair and the sweep, so results do not depend on how rows,
 from __future__ import annotations
 
 import functools
+import gc
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))  # no w
 MOST_SPLIT = 100_000
 #: Pairs with more customers draw their tables from a limit distribution in place of Stirling numbers.
 EXACT_CUSTOMERS = 128
+#: Answers hold log10 probabilities in steps of 1 / SCALE.
+SCALE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -85,6 +88,16 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """Non-negative integers by rows of their bytes, which pack better; the first byte is their width."""
+    plain = small(a)
+    return np.concatenate([np.array([plain.itemsize], np.uint8), np.ascontiguousarray(plain).view(np.uint8).reshape(-1, plain.itemsize).T.ravel()])
+
+
+def from_planes(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a[1:].reshape(int(a[0]), -1).T).view(f"u{a[0]}").ravel().astype(np.int64)
+
+
 def spans(counts: np.ndarray) -> np.ndarray:
     """0, 0, 1, ...: each number as often as its count says."""
     return np.repeat(np.arange(len(counts)), counts)
@@ -221,18 +234,19 @@ def strength_stats(theta: float, d: float, customers: np.ndarray, tables: np.nda
 
 # ---- first pass: common words and contexts with very many tokens
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes of some texts, ascending, the number of each word, and the count of words of each text."""
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of some texts, the number of each word, and the count of words of each text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string()) if pa.types.is_binary(texts.type) else texts))
-    values = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py())
+    first, last = lists.offsets[0].as_py(), lists.offsets[-1].as_py()
+    values = lists.values.slice(first, last - first)
     held = np.asarray(pc.not_equal(pc.binary_length(values), 0))  # white space at an end leaves an empty word
-    cuts = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-    counts = np.diff(np.concatenate([[0], np.cumsum(held)])[cuts])
-    coded = values.filter(pa.array(held)).dictionary_encode()
-    plain = coded.dictionary.view(pa.binary()).to_pylist()
-    found = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain))
-    names, place = np.unique(found, return_inverse=True)
-    return names, place[coded.indices.to_numpy()], counts
+    counts = np.diff(np.concatenate([[0], np.cumsum(held)])[lists.offsets.to_numpy().astype(np.int64) - first])
+    coded = (values if held.all() else values.filter(pa.array(held))).dictionary_encode()
+    return coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False), coded.indices.to_numpy(), counts
+
+
+def hashed(words: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def block_slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -262,12 +276,12 @@ def common_words(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in block_slices(batches, s.block_bytes):
-            names, word, counts = word_hashes(rows["text"].combine_chunks())
+            names, word, counts = split_words(rows["text"].combine_chunks())
             n = np.bincount(word, minlength=len(names))
             often = n * 250_000 >= len(word)
             train = np.asarray(rows["train"].combine_chunks())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *names[often].view(np.int64).tolist()], pa.int64()), pa.array([int((counts[train] + 1).sum()), *n[often].tolist()], pa.int64())], ["word", "n"])
+                [pa.array([None, *hashed(names[often]).view(np.int64).tolist()], pa.int64()), pa.array([int((counts[train] + 1).sum()), *n[often].tolist()], pa.int64())], ["word", "n"])
 
     counts = materialise(docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.filter("word IS NULL").select("n").first()
@@ -311,67 +325,68 @@ def lay_out(common: np.ndarray, counts: np.ndarray, tokens: int, s: Settings) ->
 
 
 def block_rows(texts: pa.Array, train: np.ndarray, plan: Layout) -> tuple[bytes, list[tuple[int, bytes]]]:
-    """The block's own blob (tokens of each document, pair and dish of each token), and a request for each bucket."""
-    names, word, counts = word_hashes(texts)
-    words = np.unique(np.concatenate([names, np.array([START, END], np.uint64)]))
-    word = np.searchsorted(words, names)[word]
-    start, end = np.searchsorted(words, np.array([START, END], np.uint64))
-    word = np.insert(word, np.cumsum(counts), end)
+    """The block's own blob (tokens of each document, pair of each token), and a request for each bucket."""
+    names, word, counts = split_words(texts)
+    found = hashed(names)
+    words = np.unique(np.concatenate([found, np.array([START, END], np.uint64)]))
+    words = words[plan.order(words)]
+    ascending = np.argsort(words)
+    number = ascending[np.searchsorted(words, np.concatenate([found, np.array([START, END], np.uint64)]), sorter=ascending)]
+    word = np.insert(number[word], np.cumsum(counts), number[-1])
     lengths = counts + 1
     context = np.roll(word, 1)
-    context[np.cumsum(lengths) - lengths] = start
-    keys, pair = np.unique(context << 32 | word, return_inverse=True)
-    customers = np.bincount(pair, np.repeat(train, lengths), len(keys)).astype(np.int64)
-    context, dish = keys >> 32, keys & 0xFFFFFFFF
-    place = np.empty(len(words), np.int64)
-    place[plan.order(words)] = np.arange(len(words))
-    bucket = plan.bucket(words[context], words[dish])
-    order = np.lexsort((place[dish], context, bucket))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    context, dish, customers = context[order], dish[order], customers[order]
-    cuts = np.searchsorted(bucket[order], np.arange(plan.buckets + 1))
-    requests, dish_of, before = [], np.empty(len(order), np.int64), 0
-    by_place = plan.order(words)
+    context[np.cumsum(lengths) - lengths] = number[-2]
+    bucket = plan.bucket(words[context], words[word])
+    bits = len(words).bit_length()
+    if 2 * bits + plan.buckets.bit_length() < 64:
+        order = np.argsort(bucket << (2 * bits) | context << bits | word)
+    else:
+        order = np.lexsort((word, context, bucket))
+    bucket, context, dish = bucket[order], context[order], word[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (bucket[1:] != bucket[:-1]) | (context[1:] != context[:-1]) | (dish[1:] != dish[:-1])
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.cumsum(fresh) - 1
+    customers = np.bincount(pair, np.repeat(train, lengths)).astype(np.int64)
+    bucket, context, dish = bucket[fresh], context[fresh], dish[fresh]
+    cuts = np.searchsorted(bucket, np.arange(plan.buckets + 1))
+    requests = []
     for b in np.flatnonzero(np.diff(cuts)):
         at = slice(cuts[b], cuts[b + 1])
         own, per = np.unique(context[at], return_counts=True)
-        eaten, index = np.unique(place[dish[at]], return_inverse=True)
-        dish_of[at] = index + before  # the answer says how often each dish was seen
-        before += len(eaten)
-        requests.append((int(b), pack(*name_words(words[own], plan.common), *name_words(words[by_place[eaten]], plan.common), small(per), small(index), small(customers[at]))))
-    return pack(small(lengths), small(rank[pair]), small(dish_of)), requests
+        eaten, index = np.unique(dish[at], return_inverse=True)
+        requests.append((int(b), pack(*name_words(words[own], plan.common), *name_words(words[eaten], plan.common), small(per), small(index), small(customers[at]))))
+    return pack(small(lengths), planes(pair)), requests
 
 
 def blocks(docs: DataFrame, plan: Layout, s: Settings) -> DataFrame:
-    """kind h: (block, ids and folds of its documents, blob); kind r: (block, bucket, blob)."""
+    """Rows (key, block, ids and folds of documents, blob): requests by bucket; keys below zero are the blocks' own rows."""
     shared = docs.sparkSession.sparkContext.broadcast(plan)  # at most ``common`` words and MOST_SPLIT contexts
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 24
+        block, fields = TaskContext.get().partitionId() << 24, ["key", "block", "doc_ids", "held", "data"]
         for rows in block_slices(batches, s.block_bytes):
             ids, held = rows["doc_id"].combine_chunks(), rows["held"].combine_chunks()
             blob, requests = block_rows(rows["text"].combine_chunks(), ~np.asarray(held), shared.value)
             one = pa.array([0, len(ids)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["h"]), pa.array([block]), pa.array([-1], pa.int32()), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, held), pa.array([blob], pa.binary())],
-                ["kind", "block", "bucket", "doc_ids", "held", "data"])
+                [pa.array([-1 - block]), pa.array([block]), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, held), pa.array([blob], pa.binary())], fields)
             for at in range(0, len(requests), 16):
                 part = requests[at : at + 16]
                 none = [pa.nulls(len(part), pa.list_(t)) for t in (ids.type, held.type)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(["r"] * len(part)), pa.array([block] * len(part)), pa.array([b for b, _ in part], pa.int32()), *none, pa.array([r for _, r in part], pa.binary())],
-                    ["kind", "block", "bucket", "doc_ids", "held", "data"])
+                    [pa.array([b for b, _ in part]), pa.array([block] * len(part)), *none, pa.array([r for _, r in part], pa.binary())], fields)
             block += 1
 
-    return docs.select("doc_id", "held", "text").mapInArrow(run, f"kind string, block long, bucket int, doc_ids array<{kind}>, held array<boolean>, data binary")
+    return docs.select("doc_id", "held", "text").mapInArrow(run, f"key long, block long, doc_ids array<{kind}>, held array<boolean>, data binary")
 
 
 # ---- buckets and the root's parts
 
 #: stats: [words seen, their tokens] or [customers, tables, pairs with one, with two customers, two sums for theta].
 ROW = "kind string, bucket int, part int, block long, data binary, stats array<double>"
+ROW_NAMES = ["kind", "bucket", "part", "block", "data", "stats"]
 _ROW = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("stats", pa.list_(pa.float64()))])
 
 
@@ -410,24 +425,37 @@ class Light:
 def seat(requests: DataFrame, plan: Layout) -> DataFrame:
     """From requests: heavy rows b, light rows l, and what each bucket has of each part of the root, rows q.
 
-    Rows t have the totals of split contexts, by their hash in ``block``.
+    Rows t have the totals of split contexts, by their hash in ``block``; the blocks' own rows become rows h.
     """
     shared = requests.sparkSession.sparkContext.broadcast(plan)
+    kind = requests.schema["doc_ids"].dataType.simpleString()
 
     def run(rows: pa.Table) -> pa.Table:
-        plan, bucket = shared.value, rows["bucket"][0].as_py()
+        documents = [rows["doc_ids"], rows["held"]]
+        if rows["key"][0].as_py() < 0:
+            found = _rows([("h", -1, None, b.as_py(), d.as_py(), None) for b, d in zip(rows["block"], rows["data"], strict=True)])
+        else:
+            found = merge(rows)
+            documents = [pa.nulls(len(found), c.type) for c in documents]
+        for name, column in zip(("doc_ids", "held"), documents, strict=True):
+            found = found.append_column(name, column)
+        return found
+
+    def merge(rows: pa.Table) -> pa.Table:
+        plan, bucket = shared.value, rows["key"][0].as_py()
         names = rows["block"].to_numpy()
         asked = []
         for d in rows["data"]:
             a = unpack(d.as_py())
             asked.append((read_words(*a[:4], plan.common), read_words(*a[4:8], plan.common), *(x.astype(np.int64) for x in a[8:])))
-        contexts = np.unique(np.concatenate([a[0] for a in asked]))
-        dishes = np.unique(np.concatenate([a[1] for a in asked]))
-        order = plan.order(dishes)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        keys = [np.repeat(np.searchsorted(contexts, c), per) << 32 | place[np.searchsorted(dishes, d)][index] for c, d, per, index, _ in asked]
-        dishes = dishes[order]
+        # Words stand in the order of parts and hashes, as in requests, so that what a block asks for is ascending.
+        contexts, dishes = (np.unique(np.concatenate([a[i] for a in asked])) for i in (0, 1))
+        orders = [plan.order(x) for x in (contexts, dishes)]
+        places = [np.empty(len(x), np.int64) for x in orders]
+        for place, order in zip(places, orders, strict=True):
+            place[order] = np.arange(len(order))
+        keys = [np.repeat(places[0][np.searchsorted(contexts, c)], per) << 32 | places[1][np.searchsorted(dishes, d)][index] for c, d, per, index, _ in asked]
+        contexts, dishes = contexts[orders[0]], dishes[orders[1]]
         merged = np.unique(np.concatenate(keys))
         ats = [np.searchsorted(merged, k) for k in keys]
         c = np.bincount(np.concatenate(ats), np.concatenate([a[4] for a in asked]), len(merged)).astype(np.int64)
@@ -456,7 +484,7 @@ def seat(requests: DataFrame, plan: Layout) -> DataFrame:
         out += split_rows(contexts, of_context, np.bincount(context[c > 0], minlength=len(contexts)), plan)
         return _rows(out)
 
-    return requests.select("bucket", "block", "data").groupBy("bucket").applyInArrow(run, ROW)
+    return requests.groupBy("key").applyInArrow(run, f"{ROW}, doc_ids {kind}, held array<boolean>")
 
 
 def split_rows(contexts: np.ndarray, customers: np.ndarray, tables: np.ndarray, plan: Layout) -> list[tuple]:
@@ -559,7 +587,7 @@ def draw_root(state: DataFrame, t: Totals, number: int, s: Settings) -> DataFram
         tables = np.where(customers > 0, draw_tables(np.maximum(customers, 1), a, t.d[0], keys, (s.seed * 1000 + number) * 2), 0)
         value = customers - t.d[0] * tables
         if number >= s.burn_in:
-            samples = [*samples, value]
+            samples = [*samples, small(customers), small(tables)]
         stats = [float(customers.sum() + rest), float(tables.sum() + rest), float((customers == 1).sum() + rest), float((customers == 2).sum()), 0.0, 0.0, rest]
         out = [("r", None, part, None, root_rows(part, keys, alone, customers, tables, at, sizes, names, samples), stats)]
         out += [("p", int(n), part, None, pack(x), None) for n, x in zip(names, np.split(value[at], ends[:-1]), strict=True) if len(x)]
@@ -595,40 +623,38 @@ def draw_buckets(state: DataFrame, t: Totals, plan: Layout, number: int, s: Sett
     return state.groupBy("bucket").applyInArrow(run, ROW)
 
 
-def last_replies(state: DataFrame, samples: list[Totals]) -> DataFrame:
-    """From rows R and r: replies p to the buckets with counts of all their words, and the root's probabilities in each sample."""
-    shared = state.sparkSession.sparkContext.broadcast(samples)
+def last_replies(state: DataFrame) -> DataFrame:
+    """From rows R and r: replies p to the buckets with counts of all their words, and the root's customers and tables in each sample."""
 
     def run(rows: pa.Table) -> pa.Table:
         kinds = rows["kind"].to_pylist()
         seen, live, gaps, sizes, names = unpack(rows["data"][kinds.index("R")].as_py())
-        found = unpack(rows["data"][kinds.index("r")].as_py())[7:]
         live = np.unpackbits(live, count=len(seen)).astype(bool)
-        own = []
-        for t, x in zip(shared.value, found, strict=True):
-            value = np.where(seen > 0, 1 - t.d[0], 0.0)  # one customer, if any
+        own = [seen.astype(np.int64)]
+        for x in unpack(rows["data"][kinds.index("r")].as_py())[7:]:
+            value = (seen > 0).astype(np.int64)  # one customer and table, if any
             value[live] = x
-            own.append(t.root(value))
+            own.append(value)
         ends = np.cumsum(sizes)
         part, out = rows["part"][0].as_py(), []
         for n, g in zip(names, np.split(gaps, ends[:-1]), strict=True):
             at = np.cumsum(g, dtype=np.int64)
-            out.append(("p", int(n), part, None, pack(seen[at], *(p[at] for p in own)), None))
+            out.append(("p", int(n), part, None, pack(*(planes(x[at]) for x in own)), None))
         return _rows(out)
 
     return state.groupBy("part").applyInArrow(run, ROW)
 
 
 def answers(state: DataFrame, samples: list[Totals]) -> DataFrame:
-    """From rows b, l and replies p: for each block log10 of the averaged probability, pair by pair as asked, and counts of its dishes."""
+    """From rows b, l and replies p: for each block log10 of the averaged probability in steps of 1 / SCALE, and the count of the dish, pair by pair as asked."""
     shared = state.sparkSession.sparkContext.broadcast(samples)
 
     def run(rows: pa.Table) -> pa.Table:
         kinds, bucket = rows["kind"].to_pylist(), rows["bucket"][0].as_py()
         per, dish, c, _, split, split_at, names, sizes, gaps = unpack(rows["data"][kinds.index("b")].as_py())
         b = Light.load(rows["data"][kinds.index("l")].as_py())
-        replies = [unpack(d.as_py()) for d in rows.filter(pc.equal(rows["kind"], "p")).sort_by("part")["data"]]
-        seen = np.concatenate([r[0] for r in replies]).astype(np.int64)
+        replies = [list(map(from_planes, unpack(d.as_py()))) for d in rows.filter(pc.equal(rows["kind"], "p")).sort_by("part")["data"]]
+        seen, *drawn = (np.concatenate(x) for x in zip(*replies, strict=True))
         c, context = c.astype(np.int64), spans(per)
         # Split contexts have totals of their own hash; others never look it up.
         hashes = np.zeros(len(per), np.uint64)
@@ -639,14 +665,14 @@ def answers(state: DataFrame, samples: list[Totals]) -> DataFrame:
             tables = (c > 0).astype(np.int64)
             tables[c > 1] = b.samples[i]
             customers, held = t.whole(hashes, of_context, np.bincount(context, tables, len(per)).astype(np.int64))
-            root = np.concatenate([r[1 + i] for r in replies])
+            root = t.root(drawn[2 * i] - t.d[0] * drawn[2 * i + 1])
             below, share = t.theta[1] + t.d[1] * held, t.theta[1] + customers
             total += (c - t.d[1] * tables + below[context] * root[dish]) / share[context]
-        score = np.log10(total / len(shared.value)).astype(np.float32)
+        score = np.rint(-SCALE * np.log10(total / len(shared.value))).astype(np.int64)
         out, ends = [], np.cumsum(sizes)
         for name, g in zip(names, np.split(gaps, ends[:-1]), strict=True):
             at = np.cumsum(g, dtype=np.int64)
-            out.append((int(name), bucket, pack(score[at], small(seen[np.unique(dish[at])]))))
+            out.append((int(name), bucket, pack(planes(score[at]), planes(seen[dish[at]]))))
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([x[1] for x in out], pa.int32()), "data": pa.array([x[2] for x in out], pa.binary())})
 
     return state.groupBy("bucket").applyInArrow(run, "block long, bucket int, data binary")
@@ -676,52 +702,70 @@ def _split_totals(state: DataFrame) -> tuple:
     return names[order], c[order], t[order]
 
 
-def gibbs(source: DataFrame, plan: Layout, s: Settings) -> tuple[DataFrame, Totals]:
-    """(block, bucket, blob) answers to requests, and the last totals."""
-    spark = source.sparkSession
+def _release(spark: SparkSession) -> None:
+    """Ask the driver to collect garbage: Spark removes shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def gibbs(requests: DataFrame, plan: Layout, s: Settings) -> tuple[DataFrame, DataFrame, Totals]:
+    """The blocks' own rows, (block, bucket, blob) answers to requests, and the last totals."""
+    spark = requests.sparkSession
 
     def write(df: DataFrame) -> tuple[DataFrame, str]:
         path = write_shared(df)
         return spark.read.schema(ROW).parquet(path), path
 
-    first, _ = write(seat(source, plan))
-    heavy, light, light_path = first.filter("kind = 'b'"), first.filter("kind IN ('l', 't')"), ""
-    opened, _ = write(open_root(first.filter("kind = 'q'"), plan))
+    seats = seat(requests, plan)
+    first_path = write_shared(seats, "kind")
+    first = spark.read.schema(seats.schema).parquet(first_path)
+    own, heavy, light, light_path = first.filter("kind = 'h'"), first.filter("kind = 'b'").select(*ROW_NAMES), first.filter("kind = 'l'").select(*ROW_NAMES), ""
+    del seats, requests
+    _release(spark)
+    opened, opened_path = write(open_root(first.filter("kind = 'q'"), plan))
+    discard(spark, f"{first_path}/kind=q")
     roots, root_path, values = opened.filter("kind = 'r'"), "", None
-    split = _split_totals(first)
-    start = _sums(opened, "R", 6)
-    one = _sums(light, "l", 6)
-    d = (_discount(*start[2:4]), _discount(*one[2:4]))
-    theta = s.theta
+    split = _split_totals(first) if len(plan.split) else Totals.first().split
+    start, one = _sums(opened, "R", 6), _sums(light, "l", 6)
+    d, theta = (_discount(*start[2:4]), _discount(*one[2:4])), s.theta
     totals = Totals(int(start[4]), int(start[5]), theta, d, int(start[0]), int(start[1]), 0.0, split)
     samples = []
     for number in range(s.burn_in + s.samples):
         v = gamma(np.array([END], np.uint64), np.array([theta[0] / d[0] + totals.tables]), (s.seed * 1000 + number) * 5)[0]
-        totals = Totals(totals.types, totals.tokens, theta, d, totals.customers, totals.tables, float(v), split)
-        state = roots if values is None else roots.unionByName(values)
-        older, (drawn, root_path) = root_path, write(draw_root(state, totals, number, s))
+        totals = replace(totals, theta=theta, d=d, v=float(v), split=split)
+        older, (drawn, root_path) = root_path, write(draw_root(roots if values is None else roots.unionByName(values), totals, number, s))
         roots = drawn.filter("kind = 'r'")
         found = _sums(roots, "r", 4)
-        totals = Totals(totals.types, totals.tokens, theta, d, int(found[0]), int(found[1]), float(v), split)
+        totals = replace(totals, customers=int(found[0]), tables=int(found[1]))
         if number >= s.burn_in:
             samples.append(totals)
-        older_light, (seated, light_path) = light_path, write(draw_buckets(light.filter("kind = 'l'").unionByName(drawn.filter("kind = 'p'")), totals, plan, number, s))
+        older_light, (seated, light_path) = light_path, write(draw_buckets(light.unionByName(drawn.filter("kind = 'p'")), totals, plan, number, s))
         light, values = seated.filter("kind = 'l'"), seated.filter("kind = 'v'")
         for path in (older, older_light):
             if path:
                 discard(spark, path)
+        _release(spark)
         if len(plan.split):
             split = _split_totals(seated)
-        one = _sums(light, "l", 6)
-        strengths = one[4:6]
+        strengths = _sums(light, "l", 6)[4:]
         if len(split[0]):
             more = strength_stats(theta[1], d[1], split[1], split[2])
             strengths = [strengths[0] + more[0], strengths[1] + more[1]]
         root = strength_stats(theta[0], d[0], np.array([totals.customers]), np.array([totals.tables]))
         theta = (_strength(root, theta[0]), _strength(strengths, theta[1]))
         d = (_discount(*found[2:4]), d[1])
-    replies = last_replies(opened.filter("kind = 'R'").unionByName(roots), samples)
-    return answers(heavy.unionByName(light).unionByName(replies), samples), totals
+    replies, replies_path = write(last_replies(opened.filter("kind = 'R'").unionByName(roots)))
+    found = answers(heavy.unionByName(light).unionByName(replies), samples)
+    del opened, roots, values, drawn, seated
+    for path in (opened_path, root_path):
+        discard(spark, path)
+    _release(spark)
+    answered = materialise(found)
+    del found, heavy, light, replies
+    for path in (f"{first_path}/kind=b", f"{first_path}/kind=l", light_path, replies_path):
+        discard(spark, path)
+    _release(spark)
+    return own, answered, totals
 
 
 def language_model(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -730,36 +774,30 @@ def language_model(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Training rows are those that are not held out. Null text counts as empty: one token, its end.
     Repeated rows count as often as they occur. Without training text every word is unknown. An empty
     table gives an empty result. Other columns are not read; doc_id may have any type. Words are told
-    apart by 64-bit hashes.
+    apart by 64-bit hashes, and a token's log10 probability is rounded to 1 / SCALE.
     """
     small_batches(docs.sparkSession)
     plain = docs.select("doc_id", held_out("doc_id", 7, 2).alias("held"), text_bytes().alias("text"))
     common, counts, tokens = common_words(plain.select((~F.col("held")).alias("train"), "text"), s)
     plan = lay_out(common, counts, tokens, s)
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    source = write_shared(blocks(plain, plan, s), "kind")
-    found = spark.read.schema(f"block long, bucket int, doc_ids array<{kind}>, held array<boolean>, data binary, kind string").parquet(source)
-    replies, totals = gibbs(found.filter("kind = 'r'").select("bucket", "block", "data"), plan, s)
+    own, replies, totals = gibbs(blocks(plain, plan, s), plan, s)
     kinds = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     norm, train_tokens = math.log10(totals.tokens + totals.types + 1), totals.tokens
 
     def total(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("bucket")  # the block's own row has bucket -1
-        data = rows["data"]
-        lengths, pair, dish = (x.astype(np.int64) for x in unpack(data[0].as_py()))
-        parts = [unpack(d.as_py()) for d in data[1:]]
-        score = np.concatenate([p[0] for p in parts]).astype(float)[pair]
-        known = np.concatenate([p[1].astype(np.int64) for p in parts])[dish][pair]
+        lengths, pair = unpack(rows["data"][0].as_py())
+        lengths, pair = lengths.astype(np.int64), from_planes(pair)
+        score, known = (np.concatenate(x)[pair] for x in zip(*(map(from_planes, unpack(d.as_py())) for d in rows["data"][1:]), strict=True))
         begins = np.cumsum(lengths) - lengths
         return pa.table([rows["doc_ids"][0].values, rows["held"][0].values, pa.array(lengths), pa.array(np.add.reduceat((known > 0).astype(np.int64), begins)),
                          pa.array(np.full(len(lengths), train_tokens, np.int64)),
-                         pa.array(np.add.reduceat(np.log10(known + 1.0) - norm, begins)), pa.array(np.add.reduceat(score, begins))],
+                         pa.array(np.add.reduceat(np.log10(known + 1.0) - norm, begins)), pa.array(np.add.reduceat(score, begins) / -float(SCALE))],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    own_rows = found.filter("kind = 'h'").select("block", "bucket", "doc_ids", "held", "data")
     asked = replies.select("block", "bucket", F.lit(None).cast(f"array<{kind}>").alias("doc_ids"), F.lit(None).cast("array<boolean>").alias("held"), "data")
-    return own_rows.unionByName(asked).groupBy("block").applyInArrow(total, kinds)
+    return own.select("block", "bucket", "doc_ids", "held", "data").unionByName(asked).groupBy("block").applyInArrow(total, kinds)
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
