@@ -2,8 +2,8 @@
 
 Features of a text, each once: words, their stems (first letters), pairs of neighbours and pairs with
 one word between. Shards of a bounded sample of labelled rows are fitted side by side, each by FTRL
-with rates of its own per coordinate; the sums of their weights are averaged with a grouped sum, and
-the next round starts from there. L1 leaves a few thousand weights, which are broadcast.
+with rates of its own per coordinate; their weights and squared gradients are averaged with a grouped sum,
+and the next round starts from there. L1 leaves a few thousand weights, which are broadcast.
 """
 
 from __future__ import annotations
@@ -70,13 +70,16 @@ class Features:
         return ((np.concatenate(parts) * odd) >> self.shift).astype(np.int32)
 
 
-def fit_shard(rows: list[tuple[np.ndarray, int]], start: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, float]:
-    """FTRL-proximal over one shard, from weights ``start`` (its last entry is the intercept)."""
+def fit_shard(rows: list[tuple[np.ndarray, int]], start: np.ndarray, squares: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """FTRL-proximal over one shard, from weights ``start`` and sums of squared gradients ``squares``.
+
+    Gives the coordinates whose weight is not zero, their weights and squares; the last entry is the intercept.
+    """
     size = len(start)
-    n = np.zeros(size, np.float32)
-    # z that gives the starting weights while n is zero
-    z = (-start * (s.beta / s.alpha + s.l2) - np.sign(start) * s.l1).astype(np.float32)
-    z[-1] = -start[-1] * (s.beta / s.alpha)
+    n = squares.astype(np.float32)
+    # z that gives the starting weights
+    z = (-start * ((s.beta + np.sqrt(n)) / s.alpha + s.l2) - np.sign(start) * s.l1).astype(np.float32)
+    z[-1] = -start[-1] * (s.beta + np.sqrt(n[-1])) / s.alpha
     seen = np.zeros(size, bool)
 
     def weights(i: np.ndarray) -> np.ndarray:
@@ -98,17 +101,19 @@ def fit_shard(rows: list[tuple[np.ndarray, int]], start: np.ndarray, s: Settings
     held = np.flatnonzero(seen)
     held = np.append(held[held < size - 1], size - 1)
     w = weights(held)
-    return held[w != 0], w[w != 0], float(len(rows))
+    return held[w != 0], w[w != 0], n[held[w != 0]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """Dense weights (the last one is the intercept) from rows (doc_id, text) and (doc_id, toxic).
 
-    Labels that are null or no 0/1 are left out; an id with several labels is toxic if one says so.
-    Without any labelled row all weights are zero but the intercept, which then scores 0.01.
+    Labels that are null or no 0/1 are left out; an id with several labels is toxic if one says so. Rows that
+    repeat are learned from as often as they occur. Rows of a shard come by the hash of their id, ties by id and
+    text, so the order of the table does not matter. Without any labelled row all weights are zero but the
+    intercept, which then scores 0.01. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     marked = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # Bounded by ``sample`` rows of two numbers, hence small enough to broadcast.
     chosen = materialise(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample))
@@ -116,37 +121,45 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     rows = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id")
     sample = materialise(rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "text", "toxic"))
     size = (1 << s.bits) + 1
-    model = np.zeros(size, np.float32)
+    model, squares = np.zeros(size, np.float32), np.zeros(size, np.float32)
 
     for _ in range(s.rounds):
         at = np.flatnonzero(model)
-        start = spark.sparkContext.broadcast((at, model[at]))
+        start = spark.sparkContext.broadcast((at, model[at], squares[at]))
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             features = Features(s.bits, s.stem)
-            rows = []
+            shard, rows = None, []
+
+            def done() -> pa.RecordBatch:
+                begin, seen = np.zeros(size, np.float32), np.zeros(size, np.float32)
+                begin[start.value[0]], seen[start.value[0]] = start.value[1:]
+                held, w, n = fit_shard(rows, begin, seen, s)
+                many = float(len(rows))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(held, pa.int64()), *(pa.array(x.astype(float)) for x in (w * many, n * many, np.full(len(held), many)))], ["feature", "w", "squares", "n"])
+
             for batch in batches:
-                texts, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                rows += [(np.unique(features(t)), y) for t, y in zip(texts, marks, strict=True)]
-            if not rows:
-                return
-            begin = np.zeros(size, np.float32)
-            begin[start.value[0]] = start.value[1]
-            held, w, n = fit_shard(rows, begin, s)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(held, pa.int64()), pa.array(w * n, pa.float64()), pa.array([n] * len(held), pa.float64())], ["feature", "w", "n"])
-
-        dealt = sample.repartition(shards, "shard").sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-        parts = materialise(dealt.select("text", "toxic").mapInArrow(train, "feature long, w double, n double"))
-        found = parts.groupBy("feature").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+                for now, text, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if now != shard and rows:
+                        yield done()
+                        rows = []
+                    shard = now
+                    rows.append((np.unique(features(text)), mark))
+            if rows:
+                yield done()
+
+        # Ranges give every shard a task of its own, where hashes of a few numbers would meet.
+        dealt = sample.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id", F.lit(1)), "doc_id", "text")
+        parts = materialise(dealt.select("shard", "text", "toxic").mapInArrow(train, "feature long, w double, squares double, n double"))
         # L1 leaves few weights; there are at most 2^bits in any case.
-        kept = found.toArrow()
+        kept = parts.groupBy("feature").agg(*(F.sum(x).alias(x) for x in ("w", "squares", "n"))).toArrow()
+        model, squares = np.zeros(size, np.float32), np.zeros(size, np.float32)
         if kept.num_rows == 0:
             model[-1] = -4.6
             break
-        total = max(kept["n"].to_pylist())
-        model = np.zeros(size, np.float32)
-        model[np.asarray(kept["feature"])] = np.asarray(kept["w"]) / total
+        at, w, n2, n = (np.asarray(kept[x]) for x in ("feature", "w", "squares", "n"))
+        model[at], squares[at] = w / n.max(), n2 / n
     return model
 
 
