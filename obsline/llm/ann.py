@@ -25,9 +25,10 @@ from obsline.llm.common import materialise, small_batches
 @dataclass(frozen=True)
 class Settings:
     k: int = 5
-    sample: int = 20_000  # vectors that the centres are fitted on, at most
+    sample: int = 65_536  # vectors that the centres are fitted on, at most
+    sample_numbers: int = 1 << 24  # and components of them
     per_list: int = 1_000  # distinct vectors to a list, on average
-    most_lists: int = 4_096  # centres are broadcast: at most this many
+    most_lists: int = 4_096  # centres are broadcast: at most this many; beyond, lists grow and are searched in blocks
     probes: float = 0.6  # share of the lists that a query probes, however many there are ...
     least_probes: int = 24  # ... but at least so many
     block: int = 8_192  # vectors of a list that are coded and searched as one unit
@@ -36,6 +37,16 @@ class Settings:
     seed: int = 5
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Every row by a power of two, so that its largest component is below one and no square overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    v = scaled(vectors)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def rotation(size: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))
@@ -47,7 +58,7 @@ def fit_centres(sample: np.ndarray, lists: int, seed: int, rounds: int = 8) -> n
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), lists, replace=False)]
     for _ in range(rounds):
-        near = (sample @ centres.T).argmax(axis=1)
+        near = np.concatenate([(sample[at : at + 4096] @ centres.T).argmax(axis=1) for at in range(0, len(sample), 4096)])
         sums = np.zeros_like(centres)
         np.add.at(sums, near, sample)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -86,7 +97,8 @@ def search(queries: np.ndarray, vectors: np.ndarray, centre: np.ndarray, turn: n
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision on the vectors as given."""
+    """Row by row, in double precision; powers of two that keep squares finite change no digit."""
+    a, b = scaled(a), scaled(b)
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
@@ -152,15 +164,15 @@ def nearest(rows: DataFrame, queries: DataFrame, s: Settings = Settings()) -> Da
     distinct = folded.filter(F.size("v") == width)
     total = distinct.count()
     lists = int(min(s.most_lists, max(1, total // s.per_list)))
-    sample = distinct.orderBy(F.xxhash64("v")).limit(min(s.sample, max(lists * 64, 1024))).select("v").toArrow()
-    points = np.array(sample["v"].to_pylist(), float)
-    centres = fit_centres(points / np.linalg.norm(points, axis=1, keepdims=True), lists, s.seed)
+    most = max(lists, min(s.sample, max(lists * 64, 1024), s.sample_numbers // width))
+    sample = distinct.orderBy(F.xxhash64("v")).limit(most).select("v").toArrow()
+    points = sample["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    centres = fit_centres(units(points), lists, s.seed)
     probes = int(min(lists, max(s.least_probes, round(lists * s.probes))))
     shared = spark.sparkContext.broadcast((centres, rotation(width, s.seed)))
 
     def unit(column: pa.Array) -> np.ndarray:
-        v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
-        return v / np.linalg.norm(v, axis=1, keepdims=True)
+        return units(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,11 +197,11 @@ def nearest(rows: DataFrame, queries: DataFrame, s: Settings = Settings()) -> Da
     leaders = materialise(fold_equal(asked, 1).select(F.element_at("ids", 1).alias("q"), "v"))
     probed = materialise(leaders.mapInArrow(probe, "v array<double>, q long, list int"))
     groups = probed.groupBy("list").agg(F.count("*").alias("q")).select("list", F.ceil(F.col("q") / s.queries).cast("int").alias("groups"))
-    units = sizes.join(groups, "list")
-    left = filed.join(F.broadcast(units), "list").select(
+    pairs = sizes.join(groups, "list")
+    left = filed.join(F.broadcast(pairs), "list").select(
         "list", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "v", "ids", F.lit(None).cast("long").alias("q"))
-    right = probed.join(F.broadcast(units), "list").select(
+    right = probed.join(F.broadcast(pairs), "list").select(
         "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("grp"), "v", F.lit(None).cast("array<long>").alias("ids"), "q")
 
@@ -199,8 +211,7 @@ def nearest(rows: DataFrame, queries: DataFrame, s: Settings = Settings()) -> Da
         of, at, scores = [], [], []
         if len(asks) and len(held):
             a, b = (t["v"].combine_chunks().flatten().to_numpy().reshape(-1, width) for t in (asks, held))
-            found = search(a / np.linalg.norm(a, axis=1, keepdims=True), b / np.linalg.norm(b, axis=1, keepdims=True),
-                           shared.value[0][rows["list"][0].as_py()], shared.value[1], s.k, s.error)
+            found = search(units(a), units(b), shared.value[0][rows["list"][0].as_py()], shared.value[1], s.k, s.error)
             for i, positions in enumerate(found):
                 exact = cosines(np.broadcast_to(a[i], (len(positions), width)), b[positions])
                 # The k + 1 best and whatever ties with them: ids decide between ties.
