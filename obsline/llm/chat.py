@@ -85,7 +85,7 @@ class Block:
     other: list = field(default_factory=list)
 
 
-_TAG = re.compile(r"\{\{(.*?)\}\}|\{%-?\s*(.*?)\s*-?%\}", re.S)
+_TAG = re.compile(r"\{\{(.*?)\}\}|\{%(-?)\s*(.*?)\s*(-?)%\}", re.S)
 
 
 def parse(source: str) -> Block:
@@ -103,14 +103,22 @@ def parse(source: str) -> Block:
                 break
         raise TemplateError(f"end of {kind} without its start")
 
+    trim = False
+
+    def literal(text: str, before_dash: bool) -> None:
+        """Text between tags; a dash in the tag next to it takes the white space away."""
+        text = text.lstrip() if trim else text
+        text = text.rstrip() if before_dash else text
+        if text:
+            stack[-1][1].append(Text(text))
+
     for tag in _TAG.finditer(source):
-        if tag.start() > at:
-            stack[-1][1].append(Text(source[at : tag.start()]))
-        at = tag.end()
+        literal(source[at : tag.start()], tag[2] == "-")
+        at, trim = tag.end(), tag[4] == "-"
         if tag[1] is not None:
             stack[-1][1].append(Output(expression(tag[1])))
             continue
-        word, _, rest = tag[2].partition(" ")
+        word, _, rest = tag[3].partition(" ")
         if word == "for":
             if not (m := re.fullmatch(r"\s*([A-Za-z]\w*)\s+in\s+(.+)", rest, re.S)):
                 raise TemplateError(f"for: {rest}")
@@ -137,8 +145,7 @@ def parse(source: str) -> Block:
         stack.append((block, block.body))
     if len(stack) > 1:
         raise TemplateError(f"{stack[-1][0].kind} has no end")
-    if at < len(source):
-        root.body.append(Text(source[at:]))
+    literal(source[at:], False)
     return root
 
 
@@ -177,7 +184,10 @@ def fold_expression(node: ast.expr) -> ast.expr:
     if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
         parts = parts[:1]
     if parts and all(isinstance(p, ast.Constant) for p in parts):
-        return ast.Constant(value_of(node)({}))
+        try:
+            return ast.Constant(value_of(node)({}))
+        except TypeError as e:
+            raise TemplateError(f"constants that do not go together: {ast.unparse(node)}") from e
     return node
 
 
@@ -308,15 +318,21 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
 
     Rows are (conv_id, turn, role, text), ordered by turn, then role and text; null turns come first,
     null roles and texts count as empty, repeated rows are turns of their own, and rows with a null id
-    form one conversation. A part ends after the piece that fills it; most conversations have one part.
+    form one conversation. Ids may have any type. A part ends after the piece that fills it; most conversations have one part.
     """
     small_batches(rows.sparkSession)
     kind = rows.schema["conv_id"].dataType.simpleString()
-    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("text", pa.string()),
-                        ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+    fields: list = []
+
+    def schema() -> pa.Schema:
+        return pa.schema([("conv_id", fields[0]), ("part", pa.int64()), ("text", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema(), strict=True)], schema=schema())
 
     def turns(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
+            fields[:] = [batch.schema.field(0).type]
             yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     def conversations(found: Iterator[tuple]) -> Iterator[tuple[Any, Iterator[dict]]]:
@@ -353,7 +369,7 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
                     held += size
                     part, texts, size, starts, ends = part + 1, [], 0, [], []
                     if held >= PART_CHARS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                        yield table(out)
                         out, held = [], 0
             for _ in messages:  # what the template did not ask for
                 pass
@@ -361,18 +377,19 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
                 out.append((conv, part, "".join(texts), starts, ends))
                 held += size
             if held >= PART_CHARS:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield table(out)
                 out, held = [], 0
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield table(out)
 
     empty = F.lit("")
-    plain = rows.select(F.col("conv_id").cast("long"), "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
+    plain = rows.select("conv_id", "turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
     return plain.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(
         run, f"conv_id {kind}, part long, text string, starts array<long>, ends array<long>")
 
 
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+#: Possessive: no way back is kept for the characters of a long turn.
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 
 
 def read_turns(text: str) -> Iterator[tuple[str, str]]:
@@ -392,21 +409,24 @@ def read_back(formatted: DataFrame) -> DataFrame:
     Takes the rows of format_conversations as they come: the parts of a conversation follow each other
     within a partition.
     """
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()),
-                        ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    kind = formatted.schema["conv_id"].dataType.simpleString()
+    rest = pa.schema([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list | None = None
+        schema = None
 
-        def close(s: list) -> tuple:
-            return s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]
+        def table(found: list[list]) -> pa.RecordBatch:
+            rows = [(s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5]) for s in found]
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
+            schema = pa.schema([batch.schema.field(0), *rest])
             done = []
             for conv, part, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part == 0:
                     if state:
-                        done.append(close(state))
+                        done.append(state)
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, said in read_turns(text):
                     state[1] += 1
@@ -417,12 +437,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     state[4].update(said.encode())
                 state[5] += len(text)
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*done, strict=True), schema, strict=True)], schema=schema)
+                yield table(done)
         if state:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(close(state), schema, strict=True)], schema=schema)
+            yield table([state])
 
-    return formatted.mapInArrow(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

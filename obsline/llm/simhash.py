@@ -57,7 +57,12 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def ball_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b) pairs of distinct fingerprints at most ``radius`` bits apart, enough to connect all such."""
+    """(a, b) pairs of distinct fingerprints at most ``radius`` bits apart, enough to connect all such.
+
+    ``radius`` must be even: only then are all that meet on a variant within it.
+    """
+    if radius < 0 or radius % 2:
+        raise ValueError("the radius must be even")
     half = radius // 2
     ball = [0]
     for _ in range(half):

@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,6 +273,29 @@ def test_ann_recall_where_the_share_is_many_lists(spark):
     assert sum(r.vec_id in {j for _, j in want[r.query_id]} for r in found) >= 0.95 * len(found)
 
 
+def test_ann_recall_on_many_vectors_without_clusters(spark, tmp_path):
+    """Fifty lists at the production settings, twenty of which a query passes over."""
+    v = np.random.default_rng(8).standard_normal((50_000, 64)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 64).cast(pa.list_(pa.float32()))}), tmp_path / "v.parquet")
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    found = ann.nearest(df, df.filter("vec_id % 250 = 0")).collect()
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(v), 250):
+        scores = unit @ unit[q]
+        scores[q] = -2
+        hits += len(set(np.argsort(-scores)[:5].tolist()) & {r.vec_id for r in found if r.query_id == q})
+    assert len(found) == 200 * 5 and hits >= 0.9 * len(found), hits / len(found)
+
+
+def test_ann_of_very_large_and_small_components(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, (rng.standard_normal(16) * (1e200 if i % 7 == 2 else 1e-200 if i % 7 == 3 else 1)).tolist()) for i in range(140)]
+    found = ann.nearest(df := spark.createDataFrame(rows, "vec_id long, embedding array<double>"), df.filter("vec_id % 50 = 0")).collect()
+    want = {q: [j for _, j in x] for q, x in slow_nearest([(i, (np.array(v) / max(map(abs, v))).tolist()) for i, v in rows]).items()}
+    assert {q: [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] for q in want} == want
+
+
 def test_ann_ties_copies_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     same = rng.standard_normal(8).tolist()

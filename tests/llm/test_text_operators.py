@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -96,6 +96,14 @@ def test_simhash_links_all_within_two_bits(spark):
         assert (a in seen) == bool(near)
 
 
+def test_simhash_takes_even_radii_only(spark):
+    fps = spark.createDataFrame([(0,), (1,), (15,), (255,)], "fp long")
+    assert {(r.a, r.b) for r in simhash.ball_links(fps, 4).collect()} >= {(0, 1), (0, 15)}
+    for radius in (1, 3, -2):
+        with pytest.raises(ValueError):
+            simhash.ball_links(fps, radius)
+
+
 def test_simhash_of_an_empty_table(empty):
     assert simhash.near_duplicates(empty).collect() == []
 
@@ -137,6 +145,22 @@ def test_chat_long_conversation_comes_in_parts(spark):
     assert (row.n_turns, row.loss_chars) == (60, 60 * 100_000)
 
 
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_chat_ids_of_other_types(spark, kind):
+    df = spark.createDataFrame([("1", 0, "user", "a"), ("1", 1, "assistant", "b"), ("2", 0, "user", "c")], "conv_id string, turn int, role string, text string")
+    found = chat.read_back(chat.format_conversations(df.withColumn("conv_id", F.col("conv_id").cast(kind))))
+    assert found.schema["conv_id"].dataType.simpleString() == kind
+    assert sorted((str(r.conv_id), r.n_turns) for r in found.collect()) == [("1", 2), ("2", 1)]
+
+
+def test_template_trims_at_dashes_and_names_bad_constants():
+    assert "".join(t for t, _ in chat.compile_template("a {%- if x %} b {% endif -%} c")(x=1)) == "a b c"
+    for bad in ("{{ 1 < 'a' }}", "{% if 'a' in 1 %}x{% endif %}"):
+        with pytest.raises(chat.TemplateError):
+            chat.compile_template(bad)
+    assert list(chat.read_turns("### user: " + chat.escape("<\\#" * 300_000) + "</turn>\n")) == [("user", "<\\#" * 300_000)]
+
+
 def test_template_compiler_folds_and_rejects():
     tree = chat.fold(chat.parse("a{{ 'b' + 'c' | upper }}{% if 1 == 2 %}x{% elif 'q' in 'pq' %}y{% else %}z{% endif %}d").body)
     assert len(tree) == 1 and tree[0].value in ("aBCyd", "abCyd")
@@ -171,6 +195,52 @@ def test_toxicity_learns_and_scores_every_row(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def slow_ftrl(rows, weights, squares, s):
+    """One coordinate after the other, in dictionaries; -1 is the intercept."""
+    z = {i: -w * ((s.beta + squares.get(i, 0.0) ** 0.5) / s.alpha + (s.l2 if i >= 0 else 0)) - ((w > 0) - (w < 0)) * (s.l1 if i >= 0 else 0) for i, w in weights.items()}
+    n = dict(squares)
+
+    def weight(i):
+        zi, root = z.get(i, 0.0), (s.beta + n.get(i, 0.0) ** 0.5) / s.alpha
+        if i < 0:
+            return -zi / root
+        return 0.0 if abs(zi) <= s.l1 else -(zi - ((zi > 0) - (zi < 0)) * s.l1) / (root + s.l2)
+
+    for _ in range(s.epochs):
+        for features, label in rows:
+            w = {i: weight(i) for i in [*features, -1]}
+            g = float(1 / (1 + np.exp(-sum(w.values())))) - label
+            for i, wi in w.items():
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / s.alpha * wi
+                n[i] = old + g * g
+    return {i: w for i in n if (w := weight(i)) != 0}, n
+
+
+def test_ftrl_matches_a_slow_version():
+    rng, s = random.Random(2), toxicity.Settings(bits=8, l1=0.4)
+    rows = [(np.array(sorted({rng.randrange(40) for _ in range(8)}), np.int32), int(rng.random() < 0.4)) for _ in range(120)]
+    weights, squares = {}, {}
+    start, sums = np.zeros(257, np.float32), np.zeros(257, np.float32)
+    for _ in range(2):
+        weights, squares = slow_ftrl([(f.tolist(), y) for f, y in rows], weights, squares, s)
+        held, w, n = toxicity.fit_shard(rows, start, sums, s)
+        start, sums = np.zeros(257, np.float32), np.zeros(257, np.float32)
+        start[held], sums[held] = w, n
+        squares = {i: squares[i] for i in weights}
+        assert {256 if i < 0 else i for i in weights} == set(held.tolist())
+        assert all(abs(start[i] - v) < 1e-3 for i, v in weights.items()) and all(abs(sums[i] / v - 1) < 1e-3 for i, v in squares.items())
+
+
+def test_toxicity_reads_no_clashing_columns_and_takes_repeated_rows(spark):
+    rows = [(i, "vile scum" if i % 3 == 0 else "kind words here") for i in range(300)] * 2
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 1) for i in range(300)] + [(1, 0, 1)], "doc_id long, toxic int, shard int")
+    plain = spark.createDataFrame(rows, DOCS)
+    clash = plain.withColumns({"toxic": F.lit(1), "shard": F.lit(7), "score": F.lit("x"), "feature": F.lit(None).cast("int")})
+    a, b = (Counter((r.doc_id, round(r.score, 4)) for r in toxicity.toxicity(d.repartition(n), labels).collect()) for d, n in ((plain, 1), (clash, 5)))
+    assert a == b and sum(a.values()) == 600 and set(a.values()) == {2}
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {round(r.score, 6) for r in toxicity.toxicity(odd, none).collect()} == {0.009952}
