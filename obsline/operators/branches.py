@@ -52,10 +52,39 @@ def known_root_filter(branches: DataFrame, timeline: DataFrame, seconds: float =
     return branches.join(late.select(*BRANCH), BRANCH, "left_anti")
 
 
-def join_continuations(branches: DataFrame, seconds: float = 0.05, rounds: int = 20) -> DataFrame:
+def join_interiors(branches: DataFrame) -> DataFrame:
+    """J15, interior form: a branch whose root is a state inside another (its first such step from 1 on), and which has one of
+    the moves that follow there, replaces the other's rest from that step.
+
+    A branch takes part in one join at a time, the least pair of ids first; joins repeat until none is left, each round
+    written to the checkpoint folder. States are compared whole, as in exact replays.
+    """
+    current = branches.checkpoint()
+    while True:
+        top = current.groupBy(*BRANCH).agg(F.min_by("state", "step").alias("root"), F.collect_set("move").alias("moves"), F.min("parent_seq").alias("p"))
+        inside = current.filter("step > 0").select(STREAM, F.col("branch_id").alias("outer"), "step", F.col("state").alias("root"))
+        fit = top.join(inside, [STREAM, "root"]).filter("outer <> branch_id").groupBy(STREAM, "branch_id", "outer").agg(F.min("step").alias("cut"), F.first("moves").alias("moves"))
+        tail = current.select(STREAM, F.col("branch_id").alias("outer"), F.col("step").alias("t_step"), F.col("move").alias("t_move"))
+        overlaps = fit.join(tail, [STREAM, "outer"]).filter((F.col("t_step") >= F.col("cut")) & F.array_contains("moves", F.col("t_move"))).select(STREAM, "outer", "branch_id", "cut").distinct()
+        # Of all joins of a stream those whose branches occur in no lesser one.
+        names = overlaps.select(STREAM, "outer", "branch_id", "cut", F.explode(F.array("outer", "branch_id")).alias("name"), F.struct("outer", "branch_id").alias("pair"))
+        least = names.groupBy(STREAM, "name").agg(F.min("pair").alias("least"))
+        chosen = names.join(least, [STREAM, "name"]).groupBy(STREAM, "outer", "branch_id", "cut").agg(F.bool_and(F.col("pair") == F.col("least")).alias("free")).filter("free").drop("free").checkpoint()
+        if chosen.isEmpty():
+            return current
+        cuts = chosen.select(STREAM, F.col("outer").alias("branch_id"), F.col("cut").alias("stop"))
+        parents = top.select(STREAM, F.col("branch_id").alias("outer"), F.col("p").alias("outer_parent"))
+        moves = chosen.join(parents, [STREAM, "outer"]).select(STREAM, "branch_id", "outer", "outer_parent", F.col("cut").alias("shift"))
+        kept = current.join(cuts, BRANCH, "left").filter("stop IS NULL OR step < stop").drop("stop")
+        current = kept.join(moves, BRANCH, "left").select(
+            STREAM, F.coalesce("outer", "branch_id").alias("branch_id"), F.coalesce("outer_parent", "parent_seq").alias("parent_seq"), (F.col("step") + F.coalesce("shift", F.lit(0))).alias("step"),
+            *[c for c in branches.columns if c not in (*BRANCH, "parent_seq", "step")]).checkpoint()
+
+
+def join_continuations(branches: DataFrame, seconds: float = 0.05, rounds: int = 64) -> DataFrame:
     """Append a branch to the one at whose end its root is, if it starts later; until nothing changes.
 
-    Works on one row for each branch: each continuation takes the earliest such end, and chains are
+    join_interiors is the form for roots inside another branch. Works on one row for each branch: each continuation takes the earliest such end, and chains are
     shortened by doubling, so that a chain of n links takes log n rounds. The steps move once, at the end.
     """
     top = heads(branches)
@@ -70,11 +99,13 @@ def join_continuations(branches: DataFrame, seconds: float = 0.05, rounds: int =
     sizes = top.select(STREAM, "branch_id", "steps")
     links = one.select(STREAM, "branch_id", "into").join(
         sizes.select(STREAM, F.col("branch_id").alias("into"), F.col("steps").cast("long").alias("shift")), [STREAM, "into"]).checkpoint()
-    for _ in range(rounds):  # starts lie strictly after ends, so there is no ring
+    for n in range(rounds):  # starts lie strictly after ends, so there is no ring
         up = links.select(STREAM, F.col("branch_id").alias("into"), F.col("into").alias("into2"), F.col("shift").alias("shift2"))
         further = links.join(up, [STREAM, "into"], "left")
         if further.filter("into2 IS NOT NULL").isEmpty():
             break
+        if n == rounds - 1:
+            raise RuntimeError("branches still change")
         links = further.select(STREAM, "branch_id", F.coalesce("into2", "into").alias("into"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift")).checkpoint()
     parents = top.select(STREAM, F.col("branch_id").alias("into"), F.col("parent_seq").alias("into_parent"))
     moved = links.join(parents, [STREAM, "into"])

@@ -9,6 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
+
 Row = dict[str, Any]
 
 
@@ -163,25 +165,30 @@ class Limits:
     branch_seconds: float = 20
     keep_steps: int = 20
     keep_seconds: float = 60
+    touch_seconds: float = 1.0
+    long_tail: int = 8
     handoff_gain: float = 25
-    rejoin: float = 10
-    rebase_steps: int = 2
-    rebase_seconds: float = 12
+    decisive_gain: float = 30
+    rejoin: int = 10
 
 
 @dataclass
 class Reducer:
-    """ST6: the verified timeline. Rules R1-R27 in order; what each looks at comes as columns of the row.
+    """ST6: the verified timeline. Rules R1-R27 in order, but for R9, which is the machine Settle before this one;
+    what each looks at comes as columns of the row.
 
     ts, observation_id, cells, stable, move, score, origin, target (end scores), allowed, changed,
     origin_diff, target_diff, edge_score, supported (temporal highlight), hover, side, active_side, seconds
     (the reading), observed and agreeing samples, returns_soon (the active state is back in 6 s),
-    bounces (0.75 s), persists (a reverse move stays), future_drop, regression_confirmed, next_moves.
+    bounces (0.75 s), persists (a reverse move stays), captures, future_drop, regression_confirmed, source_score (of the
+    transition from the state before a vetoed one), and next_moves: further candidates of the same observation, each with
+    move, score, origin and target, and any of the columns above, the strongest first.
     Missing columns count as not known, and a rule without its columns passes.
     """
 
     limits: Limits = field(default_factory=Limits)
     history: list[Row] = field(default_factory=list)  # ST13, ST24: verified states, bounded
+    grid: np.ndarray | None = None  # their cells, a row for each
     seq: int = 0
     generation: int = 0
     branch: list[Row] = field(default_factory=list)  # ST10: vetoed transitions kept apart
@@ -197,16 +204,20 @@ class Reducer:
                  "score": row.get("score"), "generation": self.generation, "target_seq": None, "reading": None, **more}]
 
     @staticmethod
-    def _distance(a: list[float], b: list[float]) -> tuple[float, float]:
-        gaps = [abs(x - y) for x, y in zip(a, b, strict=True)]
-        return max(gaps), sum(gaps) / len(gaps)
+    def _distance(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+        gaps = np.abs(a - b)
+        return float(gaps.max()), float(gaps.mean())
+
+    def _keep(self, states: list[Row]) -> None:
+        self.history = states[-self.limits.history :]
+        self.grid = np.stack([s["cells"] for s in self.history])
 
     def step(self, row: Row) -> list[Row]:
         lim = self.limits
         cells = row.get("cells")
         if cells is None or row.get("stable") is False:
             return self._out(row, "REJECTED_FRAME", "geometry_unstable")  # R1
-        cells = list(cells)
+        cells = np.asarray(cells, float)
         if not self.history:
             self._verify(row, cells)
             return self._out(row, "INITIAL")
@@ -222,23 +233,39 @@ class Reducer:
             return out
         reason = self._reject(row, active)
         if reason is None:
-            return self._accept(row, cells)
+            return self._accept(row, cells) + self._coalesced(row, cells)
         event = "SCORE_THRESHOLD_REJECTED" if reason == "score_threshold" else "COALESCED_STOP" if reason in ("same_time", "weak_follow_up") else "VALIDATION_REJECTED"
         out = self._out(row, event, reason)
         return out + self._speculate(row, reason)
 
-    def _verify(self, row: Row, cells: list[float]) -> None:
-        self.history.append({"seq": self.seq, "cells": cells, "ts": row["ts"], "move": row.get("move"), "side": row.get("side"), "seconds": row.get("seconds"), "score": row.get("score") or 0.0})
-        del self.history[: -self.limits.history]
-
-    def _rollback(self, row: Row, cells: list[float], active_mean: float) -> list[Row] | None:
-        lim, best = self.limits, None
-        for state in self.history[:-1]:
-            top, mean = self._distance(cells, state["cells"])
-            if top < lim.match_max and mean < lim.match_mean and (best is None or mean <= best[0]):
-                best = (mean, state)
-        if best is None:
+    def _coalesced(self, row: Row, cells: np.ndarray) -> list[Row]:
+        """The loop over further transitions of one observation: R7 leaves out those that use a cell again."""
+        out: list[Row] = []
+        used = {row["move"][:2], row["move"][2:4]}
+        further = row.get("next_moves")
+        for found in [] if further is None else further:
+            candidate = dict(found) if isinstance(found, dict) else found.asDict()
+            if candidate.get("move") is None or {candidate["move"][:2], candidate["move"][2:4]} & used:
+                continue  # R7
+            now = {**row, **candidate, "coalesced": True, "next_moves": None}
+            reason = self._reject(now, self.history[-1])
+            if reason is not None:
+                return out + self._out(now, "COALESCED_STOP", reason)
+            used |= {now["move"][:2], now["move"][2:4]}
+            out += self._accept(now, cells)
+        return out
+
+    def _verify(self, row: Row, cells: np.ndarray) -> None:
+        self._keep([*self.history, {"seq": self.seq, "cells": cells, "ts": row["ts"], "move": row.get("move"), "side": row.get("side"), "seconds": row.get("seconds"), "score": row.get("score") or 0.0}])
+
+    def _rollback(self, row: Row, cells: np.ndarray, active_mean: float) -> list[Row] | None:
+        lim = self.limits
+        gaps = np.abs(self.grid[:-1] - cells)
+        means = np.where(gaps.max(axis=1, initial=0) < lim.match_max, gaps.mean(axis=1), np.inf) if len(gaps) else np.zeros(0)
+        if not (means < lim.match_mean).any():
             return None
+        at = len(means) - 1 - int(np.argmin(means[::-1]))  # the latest of the nearest
+        best = (float(means[at]), self.history[at])
         if (row.get("score") or 0) >= 100 and active_mean < best[0] - 0.5:
             return None  # R3: a strong transition from a nearer active state comes first
         steps = self.seq - best[1]["seq"]
@@ -253,18 +280,17 @@ class Reducer:
         out = self._out(row, "REVERT_APPLIED", "history_match", target_seq=target)
         for s in tail:  # ST9: the tail becomes a branch
             out += self._out({**row, "move": s["move"], "score": s["score"]}, "VARIATION", "demoted_tail", target_seq=s["seq"])
-        self.history = [s for s in self.history if s["seq"] <= target]
+        self._keep([s for s in self.history if s["seq"] <= target])
         self.seq, self.after_rollback = target, True
         self.generation += 1
         self.boundary = False
         return out
 
-    def _restore(self, row: Row, cells: list[float]) -> list[Row] | None:
+    def _restore(self, row: Row, cells: np.ndarray) -> list[Row] | None:
         if self.preserved:
             top, mean = self._distance(cells, self.preserved[0]["cells"])
             if top < self.limits.match_max and mean < self.limits.match_mean and self.preserved[0]["seq"] == self.seq + 1:
-                self.history += self.preserved
-                del self.history[: -self.limits.history]
+                self._keep(self.history + self.preserved)
                 self.seq, self.preserved = self.preserved[-1]["seq"], []
                 return self._out(row, "PRESERVED_MAINLINE_RESTORED", "next_state_returned")
         return None
@@ -287,10 +313,10 @@ class Reducer:
             firm = score >= 60 and origin >= 35 and target >= 35 and origin + target >= 75
             if not (firm and not row.get("bounces") and (row["ts"] - active["ts"] >= 10 or row.get("persists"))):
                 return "inverse_validation"  # R11
-        if active["move"] and {move[:2], move[2:4]} & {active["move"][:2], active["move"][2:4]}:
-            takes = move[2:4] == active["move"][2:4] and origin >= 25 and target >= 35 and origin + target >= 85 and score >= 60
-            follows = move[:2] == active["move"][2:4]
-            if not takes and not follows and row.get("strict_recapture"):
+        young = row["ts"] - active["ts"] < lim.touch_seconds
+        if young and active["move"] and move != active["move"] and {move[:2], move[2:4]} & {active["move"][:2], active["move"][2:4]}:
+            takes = move[2:4] == active["move"][2:4] and row.get("captures") is not False
+            if not (takes and origin >= 25 and target >= 35 and origin + target >= 85 and score >= 60):
                 return "immediate_recapture_not_strong"  # R12
         if row.get("allowed") is False:
             return "illegal_move"  # R13
@@ -335,15 +361,28 @@ class Reducer:
         lim, out = self.limits, []
         self.branch = [b for b in self.branch if row["ts"] - b["ts"] <= lim.branch_seconds]
         if "clock" in reason and row["score"] >= 80 and (row.get("origin") or 0) >= 30 and (row.get("target") or 0) >= 30 and row["origin"] + row["target"] >= 90:
-            self.branch.append({"ts": row["ts"], "move": row["move"], "cells": list(row["cells"]), "score": row["score"]})
+            self.branch.append({"ts": row["ts"], "move": row["move"], "cells": np.asarray(row["cells"], float), "score": row["score"], "seq": self.seq, "side": row.get("side"), "seconds": row.get("seconds")})
             self.boundary = reason in ("stale_clock", "pending_stale_suppressed")  # ST23
             out = self._out(row, "HANDOFF_PENDING", reason)
         return out
 
-    def _accept(self, row: Row, cells: list[float]) -> list[Row]:
-        lim, out = self.limits, []
+    def _handoff(self, row: Row, cells: np.ndarray, b: Row) -> bool:
+        """ST17: whether the line of a vetoed transition explains the observation better than the active one."""
+        lim, tail = self.limits, self.seq - b["seq"]
+        gain = (row.get("source_score") if row.get("source_score") is not None else row["score"]) - row["score"]
+        if tail >= lim.long_tail and gain < lim.handoff_gain:
+            return False
+        there, here = self._distance(cells, b["cells"])[1], self._distance(cells, self.history[-1]["cells"])[1]
+        now, before, active = row.get("seconds"), b["seconds"], self.readings.get(b["side"])
+        rejoins = None not in (now, before, active) and abs(now - before) <= lim.rejoin and now - active >= lim.regression
+        decisive = bool(self.preserved) and self.preserved[0]["seq"] == b["seq"] + 1 and gain >= lim.decisive_gain and there < here + 2
+        again = 2 <= tail <= 4 and row["move"] == b["move"] and min(row["score"], b["score"]) >= 90 and there < here + 1.75 and rejoins
+        return there + 0.5 < here or decisive or again
+
+    def _accept(self, row: Row, cells: np.ndarray) -> list[Row]:
+        out: list[Row] = []
         for b in self.branch:  # ST17: the line that continues a vetoed transition takes over
-            if row["ts"] - b["ts"] <= lim.rejoin and row["score"] >= b["score"] + lim.handoff_gain:
+            if row["ts"] - b["ts"] <= self.limits.branch_seconds and self._handoff(row, cells, b):
                 self.seq += 1
                 out += self._out({**row, "move": b["move"], "score": b["score"]}, "HISTORICAL_HANDOFF", "continued")
                 self._verify({**row, "ts": b["ts"], "move": b["move"], "score": b["score"]}, b["cells"])

@@ -52,27 +52,35 @@ def run_batch(df: DataFrame, machine: Callable[[], Any], order: tuple[str, ...]
     return df.repartition(STREAM).sortWithinPartitions(STREAM, *order).mapInPandas(run, f"{STREAM} {kind}, {schema}")
 
 
-def run_stream(df: DataFrame, machine: Callable[[], Any], ts: str = "event_time") -> DataFrame:
+def run_stream(df: DataFrame, machine: Callable[[], Any], ts: str = "event_time", idle: float = 3600.0) -> DataFrame:
     """The same machine in Structured Streaming (ST2): rows wait in state until the watermark passes them, then
     go through in order. Rows that come later than that are dropped by the watermark (ST15).
 
+    A stream without rows for ``idle`` seconds before the watermark has ended: its machine finishes, what it still
+    holds goes out, and its state is removed. A row that comes later starts the stream anew.
+
     ``df`` has a watermark on ``ts``. Output mode is append.
     """
     schema, kind = machine().SCHEMA, df.schema[STREAM].dataType.simpleString()
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, waiting = pickle.loads(state.get[0]) if state.exists else (machine(), [])
+        now, waiting, last = pickle.loads(state.get[0]) if state.exists else (machine(), [], 0.0)
         for pdf in batches:
             waiting += [{k: _plain(v) for k, v in row.items()} for row in pdf.to_dict("records")]
         mark = state.getCurrentWatermarkMs() / 1000
         waiting.sort(key=lambda r: (r["ts"], r["observation_id"]))
         ready = [r for r in waiting if r["ts"] <= mark]
+        last = max([last, *(r["ts"] for r in waiting)])
         waiting = waiting[len(ready) :]
         out = [{STREAM: key[0], **r} for row in ready for r in now.step(row)]
-        state.update((pickle.dumps((now, waiting)),))
-        if waiting:
-            state.setTimeoutTimestamp(max(int(waiting[0]["ts"] * 1000) + 1, int(mark * 1000) + 1))
+        if state.hasTimedOut and not waiting and mark >= last + idle:
+            out += [{STREAM: key[0], **r} for r in now.finish()]
+            state.remove()
+        else:
+            state.update((pickle.dumps((now, waiting, last)),))
+            due = waiting[0]["ts"] if waiting else last + idle
+            state.setTimeoutTimestamp(max(int(due * 1000) + 1, int(mark * 1000) + 1))
         yield pd.DataFrame(out, columns=[STREAM, *names])
 
     return df.groupBy(STREAM).applyInPandasWithState(run, f"{STREAM} {kind}, {schema}", "state binary", "append", GroupStateTimeout.EventTimeTimeout)

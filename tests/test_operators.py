@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +320,111 @@ def test_machines_match_one_stream_at_a_time(spark):
     assert R.coalesce_bursts(spark.createDataFrame([], MOTION)).collect() == []
 
 
+class SlowReducer(machines.Reducer):
+    """The rollback search state by state, without arrays."""
+
+    def _distance(self, a, b):
+        gaps = [abs(x - y) for x, y in zip(a, b, strict=True)]
+        return max(gaps), sum(gaps) / len(gaps)
+
+    def _rollback(self, row, cells, active_mean):
+        lim, best = self.limits, None
+        for state in self.history[:-1]:
+            top, mean = self._distance(cells, state["cells"])
+            if top < lim.match_max and mean < lim.match_mean and (best is None or mean <= best[0] + 1e-12):
+                best = (mean, state)
+        if best is None or (row["score"] >= 100 and active_mean < best[0] - 0.5):
+            return None
+        target = best[1]["seq"]
+        tail = [x for x in self.history if x["seq"] > target]
+        if self.seq - target >= lim.keep_steps and tail and tail[-1]["ts"] - tail[0]["ts"] >= lim.keep_seconds:
+            self.preserved = tail
+        out = self._out(row, "REVERT_APPLIED", "history_match", target_seq=target)
+        for x in tail:
+            out += self._out({**row, "move": x["move"], "score": x["score"]}, "VARIATION", "demoted_tail", target_seq=x["seq"])
+        self._keep([x for x in self.history if x["seq"] <= target])
+        self.seq, self.after_rollback, self.boundary = target, True, False
+        self.generation += 1
+        return out
+
+
+def test_verified_timeline_matches_a_slow_search(spark):
+    from obsline.plans.flows import reducer_rows
+
+    rows = reducer_rows(spark, "/root/testdata/sf0.001")
+    found = sorted((r.stream_id, r.observation_id, r.event, r.seq, r.move or "", r.target_seq or -1) for r in R.verified_timeline(rows).collect())
+    want = []
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r.stream_id, []).append(r.asDict())
+    for stream, own in by.items():
+        m = SlowReducer()
+        for r in sorted(own, key=lambda r: (r["ts"], r["observation_id"])):
+            want += [(stream, o["observation_id"], o["event"], o["seq"], o["move"] or "", o["target_seq"] or -1) for o in m.step(r)]
+    assert found == sorted(want) and {e for _, _, e, *_ in want} >= {"ACCEPT", "REVERT_APPLIED"}
+
+
+def test_reducer_takes_several_moves_of_one_observation():
+    m = machines.Reducer()
+    step(m, 0, 10)
+    more = [{"move": "e4e5", "score": 90.0}, {"move": "d7d5", "score": 70.0, "origin": 40.0, "target": 50.0}, {"move": "g1f3", "score": 40.0}, {"move": "a2a3", "score": 99.0}]
+    found = step(m, 7, 60, next_moves=more)
+    assert [(r["event"], r["move"], r["reason"]) for r in found] == [("ACCEPT", "e2e4", "move_accepted"), ("ACCEPT", "d7d5", "move_accepted"), ("COALESCED_STOP", "g1f3", "weak_follow_up")] and m.seq == 2
+
+
+def test_reducer_recapture_and_handoff():
+    m = machines.Reducer()
+    step(m, 0, 10)
+    step(m, 5, 60)
+    assert step(m, 5.5, 110, move="d5e4", score=50.0)[0]["reason"] == "immediate_recapture_not_strong"
+    assert step(m, 5.6, 110, move="e4e6")[0]["reason"] == "immediate_recapture_not_strong"
+    assert step(m, 5.7, 110, move="d5e4", captures=False)[0]["reason"] == "immediate_recapture_not_strong"
+    assert step(m, 5.8, 110, move="d5e4")[0]["event"] == "ACCEPT"
+    m = machines.Reducer()
+    step(m, 0, 10)
+    step(m, 1, 60, side="w", seconds=100)
+    base = {"side": "w", "active_side": "w", "observed": 2, "agreeing": 2}
+    assert [r["event"] for r in step(m, 3, 110, move="a2a3", seconds=100, **base)] == ["VALIDATION_REJECTED", "HANDOFF_PENDING"]
+    m.boundary = False
+    assert [r["event"] for r in step(m, 4, 112, move="b7b6", seconds=90, **base)] == ["HISTORICAL_HANDOFF", "ACCEPT"]
+
+
+def test_nearest_unused_observation(spark):
+    day = "2024-01-01 00:00:"
+    entries = [(1, i, f"{day}{t:02d}", "m") for i, t in enumerate((10, 12, 30, 50))] + [(2, 9, f"{day}05", "m"), (None, 8, f"{day}05", "m")]
+    seen = [(1, 100 + i, f"{day}{t:02d}", "m") for i, t in enumerate((11, 31, 9))] + [(1, 200, f"{day}10", "other"), (None, 300, f"{day}07", "m")]
+    a, b = (spark.createDataFrame(x, "stream_id long, observation_id long, t string, transition string").withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t") for x in (entries, seen))
+    found = {r.observation_id: (r.d_id, r.distance) for r in J.nearest_in_time(a, b).collect()}
+    assert {i: found[i] for i in (0, 1, 2, 3, 9)} == {0: (102, 1.0), 1: (100, 1.0), 2: (101, 1.0), 3: (None, None), 9: (None, None)}
+
+
+def test_interior_roots_join(spark):
+    def line(branch, parent, states, moves, t):
+        return [(1, branch, parent, i, s, m, f"2024-01-01 00:00:{t + i:02d}", 1.0) for i, (s, m) in enumerate(zip(states, moves, strict=True))]
+
+    rows = line(1, 0, "ABCD", "abcd", 0) + line(2, 2, "CXY", "cxy", 10) + line(3, 5, "XQ", "xq", 20) + line(4, 7, "BZ", "pr", 30) + line(5, 9, "K", "k", 40)
+    df = spark.createDataFrame(rows, "stream_id long, branch_id long, parent_seq long, step long, state string, move string, t string, score double").withColumn("ts", F.col("t").cast("timestamp")).drop("t")
+    found = {}
+    for r in B.join_interiors(df).orderBy("branch_id", "step").collect():
+        found.setdefault(r.branch_id, []).append(r.move)
+    # 2 starts inside 1 and repeats its c; 3 starts inside 2 and repeats its x; 4 starts inside 1 but shares no move with its rest.
+    assert found == {1: ["a", "b", "c", "x", "q"], 4: ["p", "r"], 5: ["k"]}
+
+
+def test_ended_streams_finish_and_leave_no_state(spark, tmp_path):
+    kinds = "stream_id long, observation_id long, ts double, move string, score double"
+    src, schema = f"{tmp_path}/src", None
+    for rows in ([(1, 1, 100.0, "a", 5.0), (2, 1, 100.0, "b", 5.0)], [(2, 2, 5000.0, "b", 9.0)], [(3, 1, 9000.0, "c", 1.0)], [(3, 2, 20000.0, "c", 1.0)], [(3, 3, 20001.0, "d", 1.0)]):
+        df = spark.createDataFrame(rows, kinds).withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
+        df.coalesce(1).write.mode("append").parquet(src)
+        schema = df.schema
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).withWatermark("event_time", "10 seconds")
+    R.bounded_replay(R.run_stream(stream, lambda: machines.Settle(hold=1.0), idle=3000.0), f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = sorted((r.stream_id, r.observation_id, r.outcome) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got[:3] == [(1, 1, "no_future_candidate"), (2, 1, "window_expired"), (2, 2, "no_future_candidate")]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = motion_rows(120)
     df = spark.createDataFrame(rows, MOTION).withColumn("event_time", F.timestamp_micros((F.col("ts") * 1e6).cast("long")))
