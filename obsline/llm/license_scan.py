@@ -22,6 +22,8 @@ SHINGLE = 5
 CONTAINED = 0.8
 #: The chance that bands miss an occurrence at the threshold.
 MISS = 1e-4
+#: Words of a text whose windows are cut together.
+SEGMENT = 4096
 #: Lengths of the classes grow by this factor.
 GROWTH = 1.5
 
@@ -99,12 +101,21 @@ def _band(hashes: str, seed: int) -> Column:
 
 
 def _windows(number: int, window: int, stride: int, wanted: Column) -> Column:
-    """The windows of a class that hold a keyword."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window + stride - 1, F.lit(0)), F.lit(stride))
-    cut = F.transform(starts, lambda i: F.struct(F.lit(number).alias("class"), i.alias("at"), F.slice("words", i + 1, window).alias("w")))
+    """The windows of a class that start in a segment (base, words, total) and hold a keyword."""
+    base = F.col("x.base")
+    first = F.ceil(base / stride).cast("int") * stride
+    last = F.least(base + SEGMENT - 1, F.greatest(F.col("x.total") - window + stride - 1, F.lit(0)))
+    starts = F.when(first <= last, F.sequence(first, last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    cut = F.transform(starts, lambda i: F.struct(F.lit(number).alias("class"), i.alias("at"), F.slice("x.words", i - base + 1, window).alias("w")))
     return F.filter(cut, lambda x: F.arrays_overlap(x["w"], wanted))
 
 
+def _segments(words: Column, reach: int) -> Column:
+    """A text's words in parts: SEGMENT starting places each, and as many words after them as a window may reach."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(SEGMENT))
+    return F.transform(starts, lambda i: F.struct(i.alias("base"), F.slice(words, i + 1, SEGMENT + reach).alias("words"), F.size(words).alias("total")))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, keywords: list[str] = KEYWORDS) -> DataFrame:
     """doc_id, license, containment, first_word: a row for each document and license that it holds.
 
@@ -124,7 +135,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, keywords
     def banded(df: DataFrame) -> DataFrame:
         return df.select("*", F.posexplode(F.array(*(_band("hashes", i) for i in range(bands)))).alias("band", "value"))
 
-    windows = held.select("doc_id", F.explode(F.concat(*(_windows(k, w, s, wanted) for k, (_, w, s, _, _) in enumerate(found)))).alias("x"))
+    # Windows are cut from segments, so that a very long text never has all of its windows in one row.
+    parts = held.select("doc_id", F.explode(_segments(F.col("words"), max(w for _, w, *_ in found))).alias("x")).filter(F.arrays_overlap("x.words", wanted))
+    windows = parts.select("doc_id", F.explode(F.concat(*(_windows(k, w, s, wanted) for k, (_, w, s, _, _) in enumerate(found)))).alias("x"))
     met = banded(windows.select("doc_id", F.col("x.class").alias("class"), F.col("x.at").alias("at"), _hashes(F.col("x.w")).alias("hashes")))
     listed = [F.struct(F.lit(k).alias("class"), F.lit(templates[i][0]).alias("license"), F.array(*map(F.lit, plain_words(templates[i][1]))).alias("t"))
               for k, (*_, members) in enumerate(found) for i in members]

@@ -73,3 +73,17 @@ def test_bands_guarantee():
             kept = -(-n * 8 // 10)
             least = kept / (window - L.SHINGLE + 1 + n - kept)
             assert (1 - least) ** bands <= L.MISS
+
+
+def test_windows_of_very_long_texts_are_cut_in_segments(spark):
+    notice = dict(L.TEMPLATES)["MPL-2.0"]
+    size = len(L.plain_words(notice))
+    rows = []
+    for i, at in enumerate((0, 1, L.SEGMENT - size, L.SEGMENT - 20, L.SEGMENT - 1, L.SEGMENT, 2 * L.SEGMENT + 7)):
+        rows.append((i, " ".join([*(f"w{j}" for j in range(at)), notice, *(f"v{j}" for j in range(3 * L.SEGMENT - at))])))
+    found = {r.doc_id: (r.license, r.containment, r.first_word) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: v[0] for k, v in found.items()} == dict.fromkeys(range(len(rows)), "MPL-2.0")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted((k, *v) for k, v in found.items()) == sorted(con.execute(L.OP4_SQL).fetchall())
