@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +67,30 @@ def write_shared(df: DataFrame, *partition_by: str) -> str:
     return path
 
 
+#: Folders of materialise, one list for each open scratch block.
+_OPEN: list[list[str]] = []
+
+
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, *partition_by))
+    """Write to the shared folder and read again: cuts the lineage, survives lost executors.
+
+    The folder stays, as the result may be read at any time, unless this happens in a scratch block.
+    """
+    path = write_shared(df, *partition_by)
+    for paths in _OPEN[-1:]:
+        paths.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What materialise writes within the block goes at its end: for steps whose results are written before that."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            discard(spark, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -92,7 +114,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star rounds: every round is a grouped minimum (combined before
     the shuffle) and an equi join whose hot keys AQE may split; no neighbourhood is ever collected.
-    Each round is written to the shared folder. Nulls and loops are ignored; nodes without an edge
+    Each round is written to the shared folder, where it takes the place of the one before. Nulls and loops are ignored; nodes without an edge
     do not appear. An empty edge table gives an empty result.
     """
     spark = edges.sparkSession
@@ -105,7 +127,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     kind = both.schema["x"].dataType.simpleString()
-    star = materialise(ordered(both, F.col("x"), F.col("y")))
+
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        path = write_shared(df)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    star, path = written(ordered(both, F.col("x"), F.col("y")))
     seen = mark(star)
     if not seen[0]:
         return spark.createDataFrame([], f"node {kind}, component {kind}")
@@ -118,7 +145,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
             least.select("u", F.col("m").alias("v")))
-        star = materialise(ordered(small, F.col("u"), F.col("v")))
+        before, (star, path) = path, written(ordered(small, F.col("u"), F.col("v")))
+        discard(spark, before)
         now = mark(star)
         if now == seen:
             break
