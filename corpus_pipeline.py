@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from obsline.llm.common import held_out, materialise, table, text_bytes
+from obsline.llm.common import discard, held_out, materialise, scratch, table, text_bytes, write_shared
 from obsline.llm.exact_dedup import exact_groups
 from obsline.llm.packing import pack
 from obsline.llm.simhash import near_duplicates
@@ -96,7 +96,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; what stages write on the way goes when the next one's input stands."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            found = stage(spark, docs, sf_dir)
+            before, path = path, write_shared(found)
+        docs = spark.read.schema(found.schema).parquet(path)
+        if before:
+            discard(spark, before)
     return docs
