@@ -350,12 +350,25 @@ def a31(spark, sf):
     return B.lcs_replay_test(b, g, least=2)
 
 
-@query("j15_join_continuations")
+@query("j15_join_continuations", f"""WITH RECURSIVE {BR}, N AS (SELECT stream_id, seq, split_part(lead(state) OVER (PARTITION BY stream_id ORDER BY seq), ' ', 1) || ' ' || split_part(lead(state) OVER (PARTITION BY stream_id ORDER BY seq), ' ', 2) AS nxt FROM G),
+  K AS (SELECT B.*, t + branch_id AS ts, split_part(state, ' ', 1) || ' ' || split_part(state, ' ', 2) AS key, nxt FROM B JOIN N ON N.stream_id = B.stream_id AND N.seq = B.parent_seq + step WHERE step < 2),
+  H AS (SELECT stream_id, branch_id, min(parent_seq) AS p, arg_min(key, step) AS root, min(ts) AS s, max(ts) AS e, count(*) AS n FROM K GROUP BY ALL), Z AS (SELECT H.*, nxt FROM H JOIN K ON K.stream_id = H.stream_id AND K.branch_id = H.branch_id AND K.step = n - 1),
+  F AS (SELECT r.stream_id, r.branch_id, z.branch_id AS into_, z.n AS shift, r.s, row_number() OVER (PARTITION BY r.stream_id, r.branch_id ORDER BY z.e, z.branch_id) AS a FROM H r JOIN Z z ON z.stream_id = r.stream_id AND z.nxt = r.root AND z.branch_id <> r.branch_id AND r.s > z.e + 0.05),
+  O AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stream_id, into_ ORDER BY s, branch_id) AS b FROM F WHERE a = 1) WHERE b = 1),
+  U(stream_id, branch_id, into_, shift) AS (SELECT stream_id, branch_id, into_, shift FROM O UNION ALL SELECT U.stream_id, U.branch_id, O.into_, U.shift + O.shift FROM U JOIN O ON O.stream_id = U.stream_id AND O.branch_id = U.into_),
+  T AS (SELECT U.*, H.p FROM U JOIN H ON H.stream_id = U.stream_id AND H.branch_id = U.into_ WHERE NOT EXISTS (SELECT 1 FROM O WHERE O.stream_id = U.stream_id AND O.branch_id = U.into_))
+  SELECT K.stream_id, coalesce(T.into_, K.branch_id) AS branch_id, coalesce(T.p, K.parent_seq) AS parent_seq, K.step + coalesce(T.shift, 0) AS step, K.move FROM K LEFT JOIN T ON T.stream_id = K.stream_id AND T.branch_id = K.branch_id""")
 def j15(spark, sf):
     g, b = branch_tables(spark, sf)
     return B.join_continuations(b.filter("step < 2").withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("branch_id") * 1_000_000))).select("stream_id", "branch_id", "parent_seq", "step", "move")
 
 
+@query("j15_join_interiors")
+def j15i(spark, sf):
+    _, b = branch_tables(spark, sf)
+    return B.join_interiors(b).select("stream_id", "branch_id", "parent_seq", "step", "move")
+
+
 @query("u5_prefix_supersede", f"""WITH {BR}, H AS (SELECT stream_id, branch_id, min(parent_seq) AS p, count(*) AS n FROM B GROUP BY ALL), C AS (SELECT s.stream_id, s.branch_id FROM H s JOIN H g ON g.stream_id = s.stream_id AND g.branch_id <> s.branch_id
   AND (g.p <> s.p OR s.n < g.n OR g.branch_id < s.branch_id) AND NOT EXISTS (SELECT 1 FROM B x WHERE x.stream_id = s.stream_id AND x.branch_id = s.branch_id AND NOT EXISTS (SELECT 1 FROM B y WHERE y.stream_id = g.stream_id AND y.branch_id = g.branch_id AND y.step = x.step + s.p - g.p AND y.move = x.move)))
   SELECT stream_id, branch_id, parent_seq, step, move FROM B WHERE NOT EXISTS (SELECT 1 FROM C WHERE C.stream_id = B.stream_id AND C.branch_id = B.branch_id)""")

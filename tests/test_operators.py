@@ -411,6 +411,34 @@ def test_interior_roots_join(spark):
     assert found == {1: ["a", "b", "c", "x", "q"], 4: ["p", "r"], 5: ["k"]}
 
 
+def slow_interiors(branches):
+    """The same joins branch by branch: in each round those pairs that are the least of all that either takes part in."""
+    branches = {k: (p, list(v)) for k, (p, v) in branches.items()}
+    while True:
+        fits = []
+        for outer, (_, own) in branches.items():
+            for inner, (_, steps) in branches.items():
+                cut = next((i for i in range(1, len(own)) if own[i][0] == steps[0][0]), None)
+                if inner != outer and cut is not None and {m for _, m in own[cut:]} & {m for _, m in steps}:
+                    fits.append((outer, inner, cut))
+        chosen = [(o, i, c) for o, i, c in fits if all((o, i) <= (x, y) for x, y, _ in fits if {x, y} & {o, i})]
+        if not chosen:
+            return branches
+        for outer, inner, cut in chosen:
+            branches[outer] = (branches[outer][0], branches[outer][1][:cut] + branches.pop(inner)[1])
+
+
+def test_interior_joins_match_a_slow_version(spark):
+    from obsline.plans.matching import branch_tables
+
+    _, b = branch_tables(spark, "/root/testdata/sf0.001")
+    by = {}
+    for r in b.orderBy("step").collect():
+        by.setdefault(r.stream_id, {}).setdefault(r.branch_id, (r.parent_seq, []))[1].append((r.state, r.move))
+    want = sorted((s, k, p, i, m) for s, own in by.items() for k, (p, steps) in slow_interiors(own).items() for i, (_, m) in enumerate(steps))
+    assert sorted((r.stream_id, r.branch_id, r.parent_seq, r.step, r.move) for r in B.join_interiors(b).collect()) == want
+
+
 def test_ended_streams_finish_and_leave_no_state(spark, tmp_path):
     kinds = "stream_id long, observation_id long, ts double, move string, score double"
     src, schema = f"{tmp_path}/src", None
