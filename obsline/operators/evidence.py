@@ -255,5 +255,5 @@ def latest_rollback(rows: DataFrame) -> DataFrame:
 
     A row survives if no later rollback goes to a place before it.
     """
-    w = Window.partitionBy(STREAM).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(STREAM).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)  # the later rows
     return rows.withColumn("cut", F.min("target_seq").over(w)).filter(F.col("target_seq").isNull() & (F.col("cut").isNull() | (F.col("seq") <= F.col("cut")))).drop("cut")

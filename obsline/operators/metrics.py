@@ -17,6 +17,7 @@ TARGETS = [
 STRESS_CONDITIONS = ("font_size", "anti_aliasing", "compression", "brightness", "low_time_formatting", "separators", "partial_changes")
 TOLERANCE = 0.02
 MIN_REGIME = 5
+MOST_REGIMES = 1000
 
 
 def rate(a: Column, b: Column) -> Column:
@@ -183,9 +184,11 @@ def robust_operating_point(labels: DataFrame, target: tuple[int, float, float, f
     least, precision, recall, fpr = target
     scored = labels.filter("score IS NOT NULL AND truth <> 'uncertain'").withColumn("regime", F.coalesce("regime", F.lit("unspecified")))
     overall = threshold_sweep(scored)
-    regimes = scored.select("regime").distinct()
-    # Distinct scores by the few regimes; a threshold that is no score of a regime counts no rows there.
-    grid = overall.select(F.col("threshold").alias("score")).join(regimes, how="cross")
+    regimes = [r["regime"] for r in scored.select("regime").distinct().limit(MOST_REGIMES + 1).collect()]
+    if len(regimes) > MOST_REGIMES:
+        raise ValueError(f"more than {MOST_REGIMES} regimes")
+    # Every distinct score for each of the few regimes; a threshold that is no score of a regime counts no rows there.
+    grid = overall.select(F.col("threshold").alias("score"), F.explode(F.array(*map(F.lit, regimes)).cast("array<string>")).alias("regime"))
     own = grid.join(_by_score(scored, "regime"), ["regime", "score"], "left").na.fill(0, ["p", "q"])
     filled = _running(own, ["regime"]).withColumnRenamed("score", "threshold")
     tp, fp = F.col("tp"), F.col("fp")
@@ -322,8 +325,8 @@ def method_comparison(labels: DataFrame, methods: dict[str, str], target: tuple[
     out = None
     for name, column in methods.items():
         measured = labels.withColumn("score", F.col(column).cast("double")).filter("score IS NOT NULL")
-        rows = measured.agg(F.count("*").alias("rows"))
-        found = rows.join(robust_operating_point(measured, target), how="left").select(
+        rows = measured.agg(F.count("*").alias("rows")).withColumn("one", F.lit(1))  # one row, and one at most to meet it
+        found = rows.join(robust_operating_point(measured, target).withColumn("one", F.lit(1)), "one", "left").select(
             F.lit(name).alias("method"), "rows", "threshold", "worst_precision", "worst_recall", "worst_fpr", F.coalesce("status", F.lit("insufficient_data")).alias("status"))
         out = found if out is None else out.unionByName(found)
     return out

@@ -94,7 +94,8 @@ def carry_forward(df: DataFrame, value: str, *order: str) -> DataFrame:
 def cue_ends(cues: DataFrame, longest: float = 5.0) -> DataFrame:
     """A cue ends after ``longest`` seconds, or at the next strictly later time that is no rollback."""
     at = F.when(~F.col("rollback"), F.col("seconds"))
-    later = Window.partitionBy(STREAM).orderBy(F.col("us")).rangeBetween(1, Window.unboundedFollowing)
+    # Later times come first in the order turned round, so the frame grows with the rows.
+    later = Window.partitionBy(STREAM).orderBy(F.desc("us")).rangeBetween(Window.unboundedPreceding, -1)
     timed = cues.withColumn("us", F.round(F.col("seconds") * 1e6).cast("long"))
     return timed.withColumn("cue_end", F.least(F.col("seconds") + longest, F.min(at).over(later))).drop("us")
 

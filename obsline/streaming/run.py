@@ -176,7 +176,9 @@ def reading_settle(df: DataFrame, wait: float = 4.0) -> DataFrame:
 def reading_backfill(df: DataFrame, limit: int = 180) -> DataFrame:
     """ST19: an unobserved reading takes the same side's next observed one if that is within ``limit`` of the last and plausible."""
     side = Window.partitionBy(STREAM, "side").orderBy("ts", "observation_id")
-    after = F.first(F.when(F.col("observed"), F.col("seconds")), ignorenulls=True).over(side.rowsBetween(1, Window.unboundedFollowing))
+    # What comes after is what came before in the order turned round: a frame up to its end would be summed anew for each row.
+    back = Window.partitionBy(STREAM, "side").orderBy(F.desc("ts"), F.desc("observation_id"))
+    after = F.last(F.when(F.col("observed"), F.col("seconds")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     before = F.last(F.when(F.col("observed"), F.col("seconds")), ignorenulls=True).over(side.rowsBetween(Window.unboundedPreceding, -1))
     fit = (F.abs(before - after) <= limit) & (after <= before + 65)
     return df.withColumn("repaired", F.when(F.col("observed"), F.col("seconds")).when(fit, after).otherwise(before))
