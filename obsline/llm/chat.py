@@ -451,3 +451,13 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     return read_back(format_conversations(rows.unionByName(probe)))
+
+
+#: The same from the turns themselves: escapes add one character each.
+OP3_SQL = r"""WITH R AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) x(n))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(regexp_replace(role, '([\\:<#])', 'x\1', 'g')) + 2 + length(regexp_replace(text, '(\\|###|</turn>)', 'x\1', 'g')) + 8) AS BIGINT) AS formatted_chars
+FROM R GROUP BY conv_id"""

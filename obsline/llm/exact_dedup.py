@@ -249,3 +249,8 @@ def exact_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP8_SQL = r"""WITH N AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS plain FROM documents),
+G AS (SELECT *, row_number() OVER (PARTITION BY plain ORDER BY doc_id NULLS LAST) = 1 AS kept FROM N)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY plain) AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size, kept, sha256(plain) AS text_sha256 FROM G"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from obsline.llm.ann import op9_one_bit_ann
 from obsline.llm.bpe import op7_byte_bpe
-from obsline.llm.chat import op3_chat_format
-from obsline.llm.exact_dedup import op8_exact_dedup
+from obsline.llm.chat import OP3_SQL, op3_chat_format
+from obsline.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from obsline.llm.language_model import op5_language_model
 from obsline.llm.license_scan import OP4_SQL, op4_license_scan
 from obsline.llm.packing import op10_best_fit_packing
@@ -28,5 +28,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": OP2_SQL,
+    "op3_chat_format": OP3_SQL,
     "op4_license_scan": OP4_SQL,
+    "op8_exact_dedup": OP8_SQL,
 }

@@ -364,12 +364,13 @@ def test_words_are_ascii_words():
     assert text.encode().lower().split() == [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
 
 
-@pytest.mark.parametrize("name", ["op2_url_filter"])
+@pytest.mark.parametrize("name", ["op2_url_filter", "op3_chat_format", "op8_exact_dedup"])
 def test_registered_queries_with_sql(spark, name):
     from obsline.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    for t in ("pages", "conversations", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     assert sorted(map(tuple, QUERIES[name](spark, SF).collect()), key=str) == sorted(con.execute(ORACLE_SQL[name]).fetchall(), key=str)
 
 
