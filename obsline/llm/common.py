@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,12 +44,30 @@ def byte_slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Re
         at = stop
 
 
+# ---- what classic sessions alone offer: the folder of setCheckpointDir, deletion, the driver's garbage
+
+def _checkpoint_dir(spark: SparkSession) -> str | None:
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get() if found.isDefined() else None
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of write_shared once a later table stands for it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Ask the driver to collect garbage: Spark removes shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+# ---- the shared folder
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the checkpoint directory, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else None
+    base = spark.conf.get("spark.checkpoint.dir", None) or _checkpoint_dir(spark)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -93,12 +112,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             discard(spark, path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder of write_shared once a later table stands for it."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text gives the fold; a null id is never held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -26,7 +26,6 @@ Every draw hashes the pair and the sweep, so results do not depend on how rows,
 from __future__ import annotations
 
 import functools
-import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -40,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsline.llm.common import discard, held_out, materialise, small_batches, text_bytes, write_shared
+from obsline.llm.common import collect_garbage, discard, held_out, materialise, small_batches, text_bytes, write_shared
 
 START, END = (xxhash.xxh3_64_intdigest(x) for x in (b" start", b" end"))  # no word holds a space
 #: At most so many contexts are split over buckets, whatever the corpus.
@@ -702,12 +701,6 @@ def _split_totals(state: DataFrame) -> tuple:
     return names[order], c[order], t[order]
 
 
-def _release(spark: SparkSession) -> None:
-    """Ask the driver to collect garbage: Spark removes shuffle files of steps that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def gibbs(requests: DataFrame, plan: Layout, s: Settings) -> tuple[DataFrame, DataFrame, Totals]:
     """The blocks' own rows, (block, bucket, blob) answers to requests, and the last totals."""
     spark = requests.sparkSession
@@ -721,7 +714,7 @@ def gibbs(requests: DataFrame, plan: Layout, s: Settings) -> tuple[DataFrame, Da
     first = spark.read.schema(seats.schema).parquet(first_path)
     own, heavy, light, light_path = first.filter("kind = 'h'"), first.filter("kind = 'b'").select(*ROW_NAMES), first.filter("kind = 'l'").select(*ROW_NAMES), ""
     del seats, requests
-    _release(spark)
+    collect_garbage(spark)
     opened, opened_path = write(open_root(first.filter("kind = 'q'"), plan))
     discard(spark, f"{first_path}/kind=q")
     roots, root_path, values = opened.filter("kind = 'r'"), "", None
@@ -744,7 +737,7 @@ def gibbs(requests: DataFrame, plan: Layout, s: Settings) -> tuple[DataFrame, Da
         for path in (older, older_light):
             if path:
                 discard(spark, path)
-        _release(spark)
+        collect_garbage(spark)
         if len(plan.split):
             split = _split_totals(seated)
         strengths = _sums(light, "l", 6)[4:]
@@ -759,12 +752,12 @@ def gibbs(requests: DataFrame, plan: Layout, s: Settings) -> tuple[DataFrame, Da
     del opened, roots, values, drawn, seated
     for path in (opened_path, root_path):
         discard(spark, path)
-    _release(spark)
+    collect_garbage(spark)
     answered = materialise(found)
     del found, heavy, light, replies
     for path in (f"{first_path}/kind=b", f"{first_path}/kind=l", light_path, replies_path):
         discard(spark, path)
-    _release(spark)
+    collect_garbage(spark)
     return own, answered, totals
 
 
