@@ -218,7 +218,8 @@ def exact_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 
     Texts are equal when they are after each run of ASCII white space became one space; null counts as
     empty. The row with the least doc_id stays; of fully repeated rows exactly one. Null ids count as
-    the greatest. An empty table gives an empty result. Other columns are not read.
+    the greatest. Ids are taken as 64-bit integers; one that is none becomes null. An empty table gives an
+    empty result. Other columns are not read.
     """
     found = materialise(local_groups(docs, budget))
     contents = found.filter("content IS NOT NULL").select("hash", "local", "doc_id", "uid", "n", "content")
