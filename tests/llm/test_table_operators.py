@@ -384,3 +384,10 @@ def test_near_stage_keeps_one_row_of_each_component_whatever_the_ids(spark):
     found = c.near_stage(spark, docs, "")
     assert found.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in found.collect()) == Counter(clean)
+
+
+def test_language_model_without_training_text(spark):
+    ids = [i for i in range(200) if folds(i)][:4]
+    odd = [(ids[0], "a b"), (ids[1], None), (ids[2], "a " * 200), (ids[3], "A")]
+    rows = language_model.language_model(spark.createDataFrame(odd, "doc_id int, text string")).collect()
+    assert {r.doc_id: (r.held_out, r.n_known, r.train_tokens, r.base_score, abs(r.score)) for r in rows} == {i: (True, 0, 0, 0.0, 0.0) for i in ids}
