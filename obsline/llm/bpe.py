@@ -28,9 +28,9 @@ SINGLE_MERGE = 64
 #: Cells of one matrix; a piece with more has a matrix of its own.
 MATRIX_CELLS = 1 << 20
 #: Bytes, as estimated, that a worker's store may hold before it starts anew.
-STORE_BYTES = 96 << 20
+STORE_BYTES = 64 << 20
 #: Bytes of text that are encoded at a time (a longer text is taken alone).
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 NO_RANK = np.int32(2**31 - 1)
 UNSAFE = -1
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -224,9 +224,12 @@ class PieceEncoder:
                 return (" " + chunk[:-1], chunk[-1])
         return self.split(" " + chunk)
 
+    def clear(self) -> None:
+        self.pieces, self.held = {}, 0
+
     def __call__(self, chunks: list[str], heads: bool) -> tuple[np.ndarray, np.ndarray]:
         if self.held > self.store_bytes:
-            self.pieces, self.held = {}, 0
+            self.clear()
         lists = list(map(self.split if heads else self._cut, chunks))
         new = list(set().union(*lists) - self.pieces.keys())
         found = self.encode_pieces(new)
@@ -256,6 +259,13 @@ class ChunkEncoder:
         self.ids = np.zeros(4096, np.uint32)
         self.slots = self.end = self.held = 0
 
+    def release(self) -> None:
+        """Give memory back at the end of a task: Spark uses a worker again, for tasks of other kinds too."""
+        self._clear()
+        if isinstance(self.encode_chunks, PieceEncoder):
+            self.encode_chunks.clear()
+        pa.default_memory_pool().release_unused()
+
     def _put(self, chunks: list[str], heads: bool = False) -> np.ndarray:
         """Slots of the store for new chunks."""
         data, sizes = self.encode_chunks(chunks, heads)
@@ -388,6 +398,7 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, text: str = "te
                 ends = np.frombuffer(decoded.buffers()[1], np.int32, len(decoded) + 1) if len(decoded) else np.zeros(1, np.int32)
                 data = np.frombuffer(decoded.buffers()[2], np.uint8) if len(decoded) else np.zeros(0, np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(0), as_binary(ids, cuts * 4), as_binary(data, ends[cuts])], ["doc_id", "ids", "decoded"])
+        encoder.release()
 
     return docs.select(F.col("doc_id"), text_bytes(text).alias("text")).mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")

@@ -246,6 +246,7 @@ def token_pieces(docs: DataFrame, json_path: str, pattern: str, capacity: int =
                     [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(nth),
                      pa.array(np.full(len(row), task))],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "nth", "task"])
+        encoder.release()
 
     return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, nth long, task long")
