@@ -8,10 +8,13 @@ from obsline.llm.chat import OP3_SQL, op3_chat_format
 from obsline.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from obsline.llm.language_model import op5_language_model
 from obsline.llm.license_scan import OP4_SQL, op4_license_scan
+from obsline.llm.merkle import OP11_SQL, op11_merkle_manifest
 from obsline.llm.packing import op10_best_fit_packing
 from obsline.llm.simhash import op1_simhash
+from obsline.llm.token_counts import op12_token_counts
 from obsline.llm.toxicity import op6_toxicity
 from obsline.llm.url_filter import OP2_SQL, op2_url_filter
+from obsline.llm.vector_codes import OP13_SQL, op13_vector_codes
 
 QUERIES = {
     "op1_simhash": op1_simhash,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_one_bit_ann": op9_one_bit_ann,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_counts": op12_token_counts,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +37,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": OP3_SQL,
     "op4_license_scan": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
