@@ -6,6 +6,7 @@ a score, and dimensions. Undefined rates are null.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ TARGETS = [
 STRESS_CONDITIONS = ("font_size", "anti_aliasing", "compression", "brightness", "low_time_formatting", "separators", "partial_changes")
 TOLERANCE = 0.02
 MIN_REGIME = 5
-MOST_REGIMES = 1000
+#: Scores to a range of a sweep.
+RANGE = 100_000
 
 
 def rate(a: Column, b: Column) -> Column:
@@ -141,22 +143,37 @@ def decision_counts(df: DataFrame, decision: str) -> DataFrame:
     return df.filter(F.col(decision).isNotNull() & (F.col(decision) != "")).groupBy(decision).agg(F.count("*").alias("n"))
 
 
+def _ranges(at: DataFrame) -> DataFrame:
+    """The rows with ``range``, a number that rises with the score: some RANGE rows each, whatever the scores are like.
+
+    Bounds come from a quantile sketch, whose error is a quarter of a range. Rows of equal score share a range.
+    """
+    ranges = -(-at.count() // RANGE)
+    if ranges <= 1:
+        return at.withColumn("range", F.lit(0.0))
+    bounds = at.select(F.col("score").cast("double").alias("score")).approxQuantile("score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
+    splits = [float("-inf"), *sorted({x for x in bounds if abs(x) != float("inf")}), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="_score", outputCol="range", handleInvalid="keep")
+    return cut.transform(at.withColumn("_score", F.col("score").cast("double"))).drop("_score")
+
+
 def _running(at: DataFrame, keys: list[str]) -> DataFrame:
-    """Running sums tp and fp of p and q from the greatest score down, with the sums pos and neg, for each key.
+    """Running sums tp and fp of p and q from the greatest score down, with the sums pos and neg, the place of
+    each score (from 0) among the ``scores`` of its key, for each key.
 
-    Sums are taken in ranges of scores, some hundred for each key: a window over ranges, then one within each. So
-    no task holds all the scores of a key.
+    A row is a score of a key. Sums are taken within ranges of scores and added to those of the ranges above, so no task holds
+    all the scores of a key.
     """
-    part = F.floor(F.log2(F.abs(F.col("score")) + 1) * 16) * F.signum("score")  # keeps the order
-    ranged = at.withColumn("range", part)
-    sums = ranged.groupBy(*keys, "range").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    ranged = _ranges(at)
+    sums = ranged.groupBy(*keys, "range").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.count("*").alias("k"))
     above = Window.partitionBy(*keys).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*keys)
-    base = sums.select(*keys, "range", F.coalesce(F.sum("p").over(above), F.lit(0)).alias("tp0"), F.coalesce(F.sum("q").over(above), F.lit(0)).alias("fp0"),
-                       F.sum("p").over(everything).alias("pos"), F.sum("q").over(everything).alias("neg"))
+    base = sums.select(*keys, "range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(n) for c, n in (("p", "tp0"), ("q", "fp0"), ("k", "k0"))],
+                       F.sum("p").over(everything).alias("pos"), F.sum("q").over(everything).alias("neg"), F.sum("k").over(everything).alias("scores"))
     down = Window.partitionBy(*keys, "range").orderBy(F.desc("score"))
     return ranged.join(base, [*keys, "range"]).select(
-        *keys, "score", (F.col("tp0") + F.sum("p").over(down)).alias("tp"), (F.col("fp0") + F.sum("q").over(down)).alias("fp"), "pos", "neg")
+        *keys, "score", (F.col("tp0") + F.sum("p").over(down)).alias("tp"), (F.col("fp0") + F.sum("q").over(down)).alias("fp"), "pos", "neg",
+        (F.col("k0") + F.row_number().over(down) - 1).alias("place"), "scores")
 
 
 def _by_score(scored: DataFrame, *by: str) -> DataFrame:
@@ -175,28 +192,71 @@ def threshold_sweep(labels: DataFrame, *by: str) -> DataFrame:
     return with_rates(full)
 
 
+def _covering(first: str, end: str, levels: int) -> Column:
+    """The nodes of a binary tree over places that make up [first, end): an array of (level, node), two a level at most."""
+    def at(k: Column) -> Column:
+        size = F.pow(F.lit(2.0), k).cast("long")
+        low, high = F.ceil(F.col(first) / size).cast("long"), F.floor(F.col(end) / size).cast("long")
+        lower = F.when((low < high) & (low % 2 == 1), F.struct(k.alias("level"), low.alias("node")))
+        upper = F.when((low < high) & (high % 2 == 1), F.struct(k.alias("level"), (high - 1).alias("node")))
+        return F.array(lower, upper)
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+    return F.filter(every, lambda x: x.isNotNull())
+
+
+def _worst(steps: DataFrame, places: int) -> DataFrame:
+    """(place, precision, recall, fpr): the least precision and recall and the greatest rate of false positives at each place.
+
+    ``steps`` is (first, end, precision, recall, fpr): values that hold on [first, end). Each is given to the nodes of a binary tree
+    that make up its places, and a place takes the worst of the nodes above it. Nodes with more than 2 ** low places below them
+    are looked up by blocks of so many places, 65,536 at most, so that no node meets more than those rows.
+    """
+    levels = max(places - 1, 1).bit_length()
+    low = max(0, levels - 16)
+    worst = [F.min("precision").alias("precision"), F.min("recall").alias("recall"), F.max("fpr").alias("fpr")]
+    nodes = steps.withColumn("at", F.explode(_covering("first", "end", levels))).groupBy("at.level", "at.node").agg(*worst)
+    spark = steps.sparkSession
+
+    def looked_up(rows: DataFrame, name: str, levels_: Column, shift: int) -> DataFrame:
+        size = F.pow(F.lit(2.0), F.col("level") - shift).cast("long")
+        above = rows.withColumn("level", F.explode(levels_)).withColumn("node", F.floor(F.col(name) / size).cast("long"))
+        return above.join(nodes, ["level", "node"]).groupBy(name).agg(*worst)
+
+    blocks = looked_up(spark.range(-(-places // (1 << low))).withColumnRenamed("id", "block"), "block", F.sequence(F.lit(low), F.lit(levels)), low)
+    if not low:
+        return blocks.withColumnRenamed("block", "place")
+    all_places = spark.range(places).withColumnRenamed("id", "place")
+    parts = looked_up(all_places, "place", F.sequence(F.lit(0), F.lit(low - 1)), 0).unionByName(
+        all_places.withColumn("block", F.floor(F.col("place") / (1 << low)).cast("long")).join(blocks, "block").drop("block"))
+    return parts.groupBy("place").agg(*worst)
+
+
 def robust_operating_point(labels: DataFrame, target: tuple[int, float, float, float], min_regime: int = MIN_REGIME) -> DataFrame:
     """Thresholds ranked by their worst supported regime; the best comes first, with its status.
 
-    The curve of a regime is a step function: at a threshold between its own scores it has the value of
-    its next greater one, as running sums over the union of all thresholds give it.
+    The curve of a regime is a step function: from one of its own scores down to the next it has one value, and above
+    the first it counts no rows. Thresholds are numbered, each step is an interval of numbers, and the worst of the steps over each
+    threshold comes from a tree of intervals; thresholds never meet regimes. There may be any number of regimes.
     """
     least, precision, recall, fpr = target
     scored = labels.filter("score IS NOT NULL AND truth <> 'uncertain'").withColumn("regime", F.coalesce("regime", F.lit("unspecified")))
-    overall = threshold_sweep(scored)
-    regimes = [r["regime"] for r in scored.select("regime").distinct().limit(MOST_REGIMES + 1).collect()]
-    if len(regimes) > MOST_REGIMES:
-        raise ValueError(f"more than {MOST_REGIMES} regimes")
-    # Every distinct score for each of the few regimes; a threshold that is no score of a regime counts no rows there.
-    grid = overall.select(F.col("threshold").alias("score"), F.explode(F.array(*map(F.lit, regimes)).cast("array<string>")).alias("regime"))
-    own = grid.join(_by_score(scored, "regime"), ["regime", "score"], "left").na.fill(0, ["p", "q"])
-    filled = _running(own, ["regime"]).withColumnRenamed("score", "threshold")
+    overall = _running(_by_score(scored), [])
+    places = overall.agg(F.max("scores")).first()[0] or 0
+    own = _running(_by_score(scored, "regime"), ["regime"]).filter(F.col("pos") + F.col("neg") >= min_regime)
     tp, fp = F.col("tp"), F.col("fp")
-    per = filled.filter(F.col("pos") + F.col("neg") >= min_regime).groupBy("threshold").agg(
-        F.min(F.coalesce(rate(tp, tp + fp), F.lit(0.0))).alias("worst_precision"),
-        F.min(F.coalesce(rate(tp, F.col("pos")), F.lit(0.0))).alias("worst_recall"),
-        F.max(F.coalesce(rate(fp, F.col("neg")), F.lit(0.0))).alias("worst_fpr"), F.count("*").alias("regime_count"))
-    joined = overall.join(per, "threshold", "left").withColumn("regime_count", F.coalesce("regime_count", F.lit(0)))
+    curve = own.join(overall.select("score", F.col("place").alias("first")), "score").select(
+        "regime", "place", "first", F.coalesce(rate(tp, tp + fp), F.lit(0.0)).alias("precision"), F.coalesce(rate(tp, F.col("pos")), F.lit(0.0)).alias("recall"),
+        F.coalesce(rate(fp, F.col("neg")), F.lit(0.0)).alias("fpr"))
+    after = curve.select("regime", (F.col("place") - 1).alias("place"), F.col("first").alias("end"))
+    ends = curve.join(after, ["regime", "place"], "left").withColumn("end", F.coalesce("end", F.lit(places)))
+    starts = curve.filter("place = 0 AND first > 0").select(F.lit(0).cast("long").alias("first"), F.col("first").alias("end"), *[F.lit(0.0).alias(c) for c in ("precision", "recall", "fpr")])
+    steps = ends.select("first", "end", "precision", "recall", "fpr").unionByName(starts)
+    regimes = curve.filter("place = 0").count()
+    per = _worst(steps, places).select("place", *[F.col(c).alias(f"worst_{c}") for c in ("precision", "recall", "fpr")])
+    joined = overall.join(per, "place", "left").select(
+        F.col("score").alias("threshold"), "worst_precision", "worst_recall", "worst_fpr", F.lit(regimes).cast("long").alias("regime_count"),
+        (F.col("pos") + F.col("neg")).alias("labeled"), rate(tp, F.col("pos")).alias("recall"))
     meets = F.coalesce((F.col("labeled") >= least) & (F.col("regime_count") > 0) & (F.col("worst_precision") >= precision)
                        & (F.col("worst_recall") >= recall) & (F.col("worst_fpr") <= fpr), F.lit(False))
     order = [F.desc("meets_target"), F.desc(F.coalesce("worst_recall", F.lit(-1.0))), F.desc(F.coalesce("worst_precision", F.lit(-1.0))),

@@ -106,6 +106,11 @@ def st6(spark, sf):
     return R.verified_timeline(reducer_rows(spark, sf)).select("stream_id", "observation_id", "event", "reason", "seq", "move", "generation")
 
 
+@query("st6_timeline_ahead")
+def st6_ahead(spark, sf):
+    return R.timeline_ahead(reducer_rows(spark, sf)).select("stream_id", "observation_id", "event", "reason", "seq", "move", "generation", "reading")
+
+
 @query("st8_rollback_confirmation", f"""WITH {E}, B AS (SELECT *, min(CASE WHEN k < 4 THEN epoch_us(ts) END) OVER (PARTITION BY stream_id ORDER BY epoch_us(ts) RANGE BETWEEN CURRENT ROW AND 86400000000 FOLLOWING) AS b FROM E)
   SELECT observation_id, b IS NOT NULL AND b > epoch_us(ts) AS returns_soon, coalesce(b > epoch_us(ts) AND b - epoch_us(ts) <= 14400000000, false) AS bounces FROM B""")
 def st8(spark, sf):

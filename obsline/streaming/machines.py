@@ -1,7 +1,12 @@
 """Small state machines over one stream's rows in time order: ST3-ST5, ST11, ST12.
 
-A machine has ``step(row)`` and ``finish()``, both giving output rows, and plain attributes that can be
-pickled; streaming.run drives the same machine in batch and in Structured Streaming.
+A machine has ``step(row)`` and ``finish()``, both giving output rows; streaming.run drives the same machine in
+batch and in Structured Streaming. A machine with ``LOOK`` above zero gets the rows of so many seconds after each as
+well: ``step(row, followers)``.
+
+What a machine remembers is typed: ``VALUES`` are single values, attributes of its own, and ``TABLES`` are entries by key;
+``dump`` gives the entries of its tables and ``load`` takes them, each as plain tuples, so that a streaming query
+writes those that have changed.
 """
 
 from __future__ import annotations
@@ -12,10 +17,28 @@ from typing import Any
 import numpy as np
 
 Row = dict[str, Any]
+Entries = dict[str, dict[tuple, tuple]]
+
+
+class Machine:
+    """What machines without tables share."""
+
+    LOOK = 0.0
+    VALUES = ""
+    TABLES: dict[str, tuple[str, str]] = {}
+
+    def dump(self) -> Entries:
+        return {}
+
+    def load(self, entries: Entries) -> None:
+        pass
+
+    def finish(self) -> list[Row]:
+        return []
 
 
 @dataclass
-class Bursts:
+class Bursts(Machine):
     """W2 / ST3: the five emission reasons, the previous row's emission before a spike included.
 
     Rows: ts (seconds), observation_id, has_motion, motion_spike.
@@ -27,9 +50,11 @@ class Bursts:
     last_emit: float | None = None
     pending: bool = False
     quiet: float = 0.0
-    before: tuple[float, int] | None = None
+    before_ts: float | None = None
+    before_id: int | None = None
 
     SCHEMA = "ts double, observation_id long, reason string"
+    VALUES = "last_emit double, pending boolean, quiet double, before_ts double, before_id long"
 
     def _emit(self, ts: float, ident: int, reason: str) -> list[Row]:
         self.last_emit = ts
@@ -39,9 +64,9 @@ class Bursts:
         ts, ident, out = row["ts"], row["observation_id"], []
         if self.last_emit is None:
             out = self._emit(ts, ident, "initial_frame")
-        elif row["motion_spike"] and self.pending and self.before:
-            if self.before[0] > self.last_emit + self.gap:
-                out = self._emit(*self.before, "motion_spike_prev_frame")
+        elif row["motion_spike"] and self.pending and self.before_ts is not None:
+            if self.before_ts > self.last_emit + self.gap:
+                out = self._emit(self.before_ts, self.before_id, "motion_spike_prev_frame")
         elif row["has_motion"]:
             if not self.pending and ts > self.last_emit + self.gap:
                 out = self._emit(ts, ident, "motion_leading_edge")
@@ -49,21 +74,18 @@ class Bursts:
             if ts - self.last_emit > self.cap:
                 out += self._emit(ts, ident, "motion_burst_cap")
         elif self.pending:
-            self.quiet += ts - self.before[0] if self.before else 0.0
+            self.quiet += ts - self.before_ts if self.before_ts is not None else 0.0
             if self.quiet >= self.settle - 1e-9:
                 out = self._emit(ts, ident, "settled_tail")
                 self.pending = False
         if row["has_motion"] or not self.pending:
             self.quiet = 0.0
-        self.before = (ts, ident)
+        self.before_ts, self.before_id = ts, ident
         return out
 
-    def finish(self) -> list[Row]:
-        return []
-
 
 @dataclass
-class Sampler:
+class Sampler(Machine):
     """ST4: rows at the fine step, or at the coarse one after a quiet while. Rows: ts, observation_id, has_motion."""
 
     fine: float = 0.1
@@ -74,6 +96,7 @@ class Sampler:
     last: float | None = None
 
     SCHEMA = "ts double, observation_id long, sampling_step double"
+    VALUES = "due double, quiet double, last double"
 
     def step(self, row: Row) -> list[Row]:
         ts = row["ts"]
@@ -84,18 +107,16 @@ class Sampler:
         self.last, self.due = ts, ts + step
         return [{"ts": ts, "observation_id": row["observation_id"], "sampling_step": step}]
 
-    def finish(self) -> list[Row]:
-        return []
-
 
 @dataclass
-class Throttle:
+class Throttle(Machine):
     """ST12: at most one row in each ``every`` seconds (1 to 30)."""
 
     every: float = 5.0
     due: float | None = None
 
     SCHEMA = "ts double, observation_id long"
+    VALUES = "due double"
 
     def step(self, row: Row) -> list[Row]:
         if self.due is not None and row["ts"] < self.due - 1e-9:
@@ -103,12 +124,9 @@ class Throttle:
         self.due = row["ts"] + min(max(self.every, 1.0), 30.0)
         return [{"ts": row["ts"], "observation_id": row["observation_id"]}]
 
-    def finish(self) -> list[Row]:
-        return []
-
 
 @dataclass
-class Settle:
+class Settle(Machine):
     """ST5: a candidate is held up to ``hold`` seconds; a better one (by ``gain``) takes its place.
 
     Rows: ts, observation_id, move, score. ST11 is the same with hold 0.75 and no retargeting.
@@ -120,6 +138,14 @@ class Settle:
     held: Row | None = None
 
     SCHEMA = "ts double, observation_id long, move string, score double, outcome string"
+    TABLES = {"held": ("n int", "ts double, observation_id long, move string, score double")}
+
+    def dump(self) -> Entries:
+        return {"held": {(0,): tuple(self.held.values())} if self.held else {}}
+
+    def load(self, entries: Entries) -> None:
+        for values in entries["held"].values():
+            self.held = dict(zip(("ts", "observation_id", "move", "score"), values, strict=True))
 
     def _close(self, outcome: str) -> list[Row]:
         row, self.held = self.held, None
@@ -173,7 +199,7 @@ class Limits:
 
 
 @dataclass
-class Reducer:
+class Reducer(Machine):
     """ST6: the verified timeline. Rules R1-R27 in order, but for R9, which is the machine Settle before this one;
     what each looks at comes as columns of the row.
 
@@ -199,6 +225,33 @@ class Reducer:
 
     SCHEMA = "ts double, observation_id long, event string, reason string, seq long, move string, score double, generation long, target_seq long, reading long"
 
+    VALUES = "seq long, generation long, boundary boolean, after_rollback boolean"
+    _LINE = ("ts", "move", "side", "seconds", "score", "cells")
+    _KIND = "ts double, move string, side string, seconds double, score double, cells array<double>"
+    TABLES = {"history": ("seq long", _KIND), "preserved": ("seq long", _KIND), "branch": ("n int", f"seq long, {_KIND}"), "readings": ("side string", "seconds double")}
+
+    def dump(self) -> Entries:
+        def line(s: Row) -> tuple:
+            return tuple(s["cells"].tolist() if c == "cells" else s.get(c) for c in self._LINE)
+
+        return {
+            "history": {(s["seq"],): line(s) for s in self.history}, "preserved": {(s["seq"],): line(s) for s in self.preserved},
+            "branch": {(n,): (b["seq"], *line(b)) for n, b in enumerate(self.branch)},
+            "readings": {("" if side is None else "=" + side,): (seconds,) for side, seconds in self.readings.items()}}
+
+    def load(self, entries: Entries) -> None:
+        def lines(name: str) -> list[Row]:
+            found = []
+            for key, values in sorted(entries[name].items()):
+                seq, rest = (values[0], values[1:]) if name == "branch" else (key[0], values)
+                found.append({"seq": seq, **dict(zip(self._LINE, rest, strict=True)), "cells": np.array(rest[-1], float)})
+            return found
+
+        self.preserved, self.branch = lines("preserved"), lines("branch")
+        if entries["history"]:
+            self._keep(lines("history"))
+        self.readings = {key[0][1:] or None: values[0] for key, values in entries["readings"].items()}
+
     def _out(self, row: Row, event: str, reason: str = "", **more: Any) -> list[Row]:
         return [{"ts": row["ts"], "observation_id": row["observation_id"], "event": event, "reason": reason, "seq": self.seq, "move": row.get("move"),
                  "score": row.get("score"), "generation": self.generation, "target_seq": None, "reading": None, **more}]
@@ -399,5 +452,85 @@ class Reducer:
         self._verify(row, cells)
         return out + self._out(row, "ACCEPT", "move_accepted", reading=reading)  # R26
 
-    def finish(self) -> list[Row]:
-        return []
+
+@dataclass
+class Look:
+    """How far the timeline looks ahead, in seconds, and what it looks for."""
+
+    resume: float = 6.0  # R4, ST8: the active state is back ...
+    resume_mean: float = 4.0  # ... within this mean difference
+    bounce: float = 0.75  # R5
+    persist_from: float = 1.0  # R11: the state after a reverse move is still there
+    persist_to: float = 4.0
+    drop: float = 20.0  # R20: a lower reading follows
+    most_drop: float = 90
+    confirm: float = 4.0  # R22: a regression is read again
+    spread: float = 90
+    settle: float = 4.0  # ST18: a changed, plausible reading
+
+    @property
+    def farthest(self) -> float:
+        return max(self.resume, self.bounce, self.persist_to, self.drop, self.confirm, self.settle)
+
+
+@dataclass
+class Timeline(Reducer):
+    """ST6 with its look-ahead: ST8, ST18 and the facts of R4, R5, R11, R20 and R22 come from the rows that follow.
+
+    Rows are those of Reducer. What a row brings itself (returns_soon, bounces, persists, future_drop, regression_confirmed)
+    is kept; what it lacks is looked up among the rows up to ``look.farthest`` seconds after it, against the states
+    and readings that are verified when its turn comes.
+    """
+
+    look: Look = field(default_factory=Look)
+
+    @property
+    def LOOK(self) -> float:  # noqa: N802
+        return self.look.farthest
+
+    def step(self, row: Row, followers: list[Row] = ()) -> list[Row]:
+        return super().step(self._with_facts(row, followers))
+
+    def _with_facts(self, row: Row, followers: list[Row]) -> Row:
+        look, lim, cells = self.look, self.limits, row.get("cells")
+        if cells is None or not self.history:
+            return row
+        seen = [(f["ts"] - row["ts"], np.asarray(f["cells"], float)) for f in followers if f.get("cells") is not None]
+        age = np.array([a for a, _ in seen])
+        grid = np.stack([c for _, c in seen]) if seen else np.zeros((0, len(cells)))
+        to_active = np.abs(grid - self.history[-1]["cells"]).mean(axis=1)
+        to_own = np.abs(grid - np.asarray(cells, float)).mean(axis=1)
+        side, now = row.get("side"), row.get("seconds")
+        before = self.readings.get(side)
+        later = [(f["ts"] - row["ts"], f["seconds"]) for f in followers if f.get("side") == side and f.get("seconds") is not None]
+        facts = {
+            "returns_soon": bool(((age <= look.resume) & (to_active < look.resume_mean)).any()),
+            "bounces": bool(((age <= look.bounce) & (to_active < lim.bounce_mean)).any()),
+            "persists": bool(((age >= look.persist_from) & (age <= look.persist_to) & (to_own < lim.bounce_mean)).any()),
+            "future_drop": before is not None and any(a <= look.drop and 0 < before - s <= look.most_drop for a, s in later),
+            "regression_confirmed": None not in (before, now) and any(
+                a <= look.confirm and s - before >= lim.regression and abs(s - now) <= look.spread for a, s in later),
+        }
+        known = {**row, **{k: v for k, v in facts.items() if row.get(k) is None}}
+        if before is not None and now is not None and (now == before or now > before + lim.slack or row.get("active_side") == side):
+            self._settle(known, followers, side, before)
+        return known
+
+    def _settle(self, row: Row, followers: list[Row], side: Any, before: float) -> None:
+        """ST18: the reading that most of the rows up to a rollback agree on, of those that have changed and are plausible."""
+        counts: dict[float, int] = {}
+        for f in followers:
+            if f["ts"] - row["ts"] > self.look.settle or (f.get("cells") is not None and self._matches(np.asarray(f["cells"], float))):
+                break
+            s = f.get("seconds")
+            if f.get("side") == side and s is not None and s != before and s <= before + self.limits.slack:
+                counts[s] = counts.get(s, 0) + 1
+        if counts:
+            agreeing, seconds = max((n, s) for s, n in counts.items())
+            if agreeing >= 2:
+                row["seconds"], row["agreeing"], row["observed"] = seconds, agreeing, sum(counts.values())
+
+    def _matches(self, cells: np.ndarray) -> bool:
+        """Whether cells are those of an earlier state."""
+        gaps = np.abs(self.grid[:-1] - cells)
+        return bool(((gaps.max(axis=1, initial=0) < self.limits.match_max) & (gaps.mean(axis=1) < self.limits.match_mean)).any()) if len(gaps) else False

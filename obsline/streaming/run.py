@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import pickle
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import takewhile
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Row as RowType
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQueryListener
 
-from obsline.streaming.machines import Bursts, Reducer, Sampler, Settle, Throttle
+from obsline.streaming.machines import Bursts, Limits, Look, Reducer, Sampler, Settle, Throttle, Timeline
 
 STREAM = "stream_id"
 
@@ -21,15 +24,65 @@ def seconds(ts: str = "ts") -> Column:
 
 
 def _plain(value: Any) -> Any:
+    """Values of a pandas row as Python's own: nested arrays as lists, structs as dictionaries, missing ones as None."""
+    if isinstance(value, np.ndarray):
+        return [_plain(v) for v in value] if value.dtype == object else value.tolist()
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    if isinstance(value, RowType):
+        return _plain(value.asDict())
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
     if isinstance(value, float) and value != value or value is pd.NaT:
         return None
-    return value.item() if hasattr(value, "item") and getattr(value, "ndim", 1) == 0 else value
+    return value.item() if hasattr(value, "item") else value
+
+
+def _rows(pdf: pd.DataFrame) -> Iterator[dict[str, Any]]:
+    names = list(pdf.columns)
+    for values in zip(*(pdf[c].tolist() if pdf[c].dtype != object else pdf[c] for c in names), strict=True):
+        yield dict(zip(names, map(_plain, values), strict=True))
+
+
+class Held:
+    """Rows in time order that wait until all rows up to ``look`` seconds after them are there."""
+
+    def __init__(self, machine: Any):
+        self.machine, self.rows = machine, deque()
+
+    def _first(self) -> list[dict[str, Any]]:
+        row = self.rows.popleft()
+        if not self.machine.LOOK:
+            return self.machine.step(row)
+        end = row["ts"] + self.machine.LOOK
+        return self.machine.step(row, list(takewhile(lambda r: r["ts"] <= end, self.rows)))
+
+    def until(self, mark: float) -> list[dict[str, Any]]:
+        """What the machine says of the rows whose look-ahead ends at ``mark`` or before."""
+        out = []
+        while self.rows and self.rows[0]["ts"] + self.machine.LOOK <= mark:
+            out += self._first()
+        return out
+
+    def step(self, row: dict[str, Any]) -> list[dict[str, Any]]:
+        """The next row in order: rows whose look-ahead ends before it go through, and so does itself if there is none."""
+        if not self.machine.LOOK:
+            return self.machine.step(row)
+        out = []
+        while self.rows and self.rows[0]["ts"] + self.machine.LOOK < row["ts"]:
+            out += self._first()
+        self.rows.append(row)
+        return out
+
+    def finish(self) -> list[dict[str, Any]]:
+        return self.until(float("inf")) + self.machine.finish()
 
 
 def run_batch(df: DataFrame, machine: Callable[[], Any], order: tuple[str, ...] = ("ts", "observation_id")) -> DataFrame:
     """A machine over every stream: rows are dealt by stream and sorted, and pass through batch by batch.
 
-    Memory is that of a batch and of the machine's state, however long a stream is. Null streams are one.
+    Memory is that of a batch, of the machine's state and of the rows within its look-ahead, however long a stream is. Null
+    streams are one; rows without a time are left out.
     """
     schema, kind = machine().SCHEMA, df.schema[STREAM].dataType.simpleString()
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
@@ -37,11 +90,10 @@ def run_batch(df: DataFrame, machine: Callable[[], Any], order: tuple[str, ...]
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, now, out = object(), None, []
         for pdf in batches:
-            for row in pdf.to_dict("records"):
-                row = {k: _plain(v) for k, v in row.items()}
+            for row in _rows(pdf):
                 if now is None or row[STREAM] != stream:
                     out += [{STREAM: stream, **r} for r in now.finish()] if now else []
-                    stream, now = row[STREAM], machine()
+                    stream, now = row[STREAM], Held(machine())
                 out += [{STREAM: stream, **r} for r in now.step(row)]
             if out:
                 yield pd.DataFrame(out, columns=[STREAM, *names])
@@ -49,41 +101,23 @@ def run_batch(df: DataFrame, machine: Callable[[], Any], order: tuple[str, ...]
         if now and (out := [{STREAM: stream, **r} for r in now.finish()]):
             yield pd.DataFrame(out, columns=[STREAM, *names])
 
-    return df.repartition(STREAM).sortWithinPartitions(STREAM, *order).mapInPandas(run, f"{STREAM} {kind}, {schema}")
+    timed = df.filter(F.col("ts").isNotNull())
+    return timed.repartition(STREAM).sortWithinPartitions(STREAM, *order).mapInPandas(run, f"{STREAM} {kind}, {schema}")
 
 
 def run_stream(df: DataFrame, machine: Callable[[], Any], ts: str = "event_time", idle: float = 3600.0) -> DataFrame:
-    """The same machine in Structured Streaming (ST2): rows wait in state until the watermark passes them, then
-    go through in order. Rows that come later than that are dropped by the watermark (ST15).
+    """The same machine in Structured Streaming (ST2): rows wait in state until the watermark has passed them and the
+    machine's look-ahead, by a timer, then go through in order. Rows that come later than the watermark are dropped (ST15; LateRows counts them).
 
     A stream without rows for ``idle`` seconds before the watermark has ended: its machine finishes, what it still
-    holds goes out, and its state is removed. A row that comes later starts the stream anew.
+    holds goes out, and its state is removed. A row that comes later starts the stream anew. Rows without a time are left out.
 
-    ``df`` has a watermark on ``ts``. Output mode is append.
+    State is typed: the waiting rows, the machine's values and each of its tables; a batch writes the entries that have
+    changed. It lives in RocksDB, whose provider is set for the session. ``df`` has a watermark on ``ts``. Output mode is append.
     """
-    schema, kind = machine().SCHEMA, df.schema[STREAM].dataType.simpleString()
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    from obsline.streaming.typed import typed_stream
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, waiting, last = pickle.loads(state.get[0]) if state.exists else (machine(), [], 0.0)
-        for pdf in batches:
-            waiting += [{k: _plain(v) for k, v in row.items()} for row in pdf.to_dict("records")]
-        mark = state.getCurrentWatermarkMs() / 1000
-        waiting.sort(key=lambda r: (r["ts"], r["observation_id"]))
-        ready = [r for r in waiting if r["ts"] <= mark]
-        last = max([last, *(r["ts"] for r in waiting)])
-        waiting = waiting[len(ready) :]
-        out = [{STREAM: key[0], **r} for row in ready for r in now.step(row)]
-        if state.hasTimedOut and not waiting and mark >= last + idle:
-            out += [{STREAM: key[0], **r} for r in now.finish()]
-            state.remove()
-        else:
-            state.update((pickle.dumps((now, waiting, last)),))
-            due = waiting[0]["ts"] if waiting else last + idle
-            state.setTimeoutTimestamp(max(int(due * 1000) + 1, int(mark * 1000) + 1))
-        yield pd.DataFrame(out, columns=[STREAM, *names])
-
-    return df.groupBy(STREAM).applyInPandasWithState(run, f"{STREAM} {kind}, {schema}", "state binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return typed_stream(df.filter(F.col("ts").isNotNull()), machine, idle)
 
 
 def chunk_tumbling(df: DataFrame, every: str = "300 seconds", *aggregates: Column) -> DataFrame:
@@ -133,6 +167,41 @@ def verified_timeline(df: DataFrame) -> DataFrame:
     return run_batch(df, Reducer)
 
 
+def timeline_ahead(df: DataFrame, limits: Limits = Limits(), look: Look = Look()) -> DataFrame:
+    """ST6 with its own look-ahead (ST8, ST18): no column of a row has to know what comes after it.
+
+    A streaming ``df`` (with a watermark on event_time) gives the events that a table of the same rows gives.
+    """
+    return (run_stream if df.isStreaming else run_batch)(df, lambda: Timeline(limits=limits, look=look))
+
+
+class LateRows(StreamingQueryListener):
+    """ST15 in a stream: how many rows each query has dropped because they came after the watermark.
+
+    Register with ``spark.streams.addListener``; ``counts`` is by the query's id, ``progress`` its batches and rows in.
+    """
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = {}
+        self.progress: dict[str, tuple[int, int]] = {}
+
+    def onQueryStarted(self, event: Any) -> None:  # noqa: N802
+        self.counts.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event: Any) -> None:  # noqa: N802
+        found = event.progress
+        key = str(found.id)
+        self.counts[key] = self.counts.get(key, 0) + sum(o.numRowsDroppedByWatermark for o in found.stateOperators)
+        batches, rows = self.progress.get(key, (0, 0))
+        self.progress[key] = batches + 1, rows + found.numInputRows
+
+    def onQueryIdle(self, event: Any) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:  # noqa: N802
+        pass
+
+
 def dedup_observations(df: DataFrame) -> DataFrame:
     """ST14: one row of each id; in a stream within its watermark."""
     if df.isStreaming:
