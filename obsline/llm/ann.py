@@ -141,7 +141,7 @@ def nearest(rows: DataFrame, queries: DataFrame, s: Settings = Settings()) -> Da
 
     Both are (vec_id, embedding); the query's own id is no candidate. Ties go to the smaller vec_id. A
     vector that is null, zero, or holds a null or non-finite component takes no part, nor does one of
-    another width than most, nor a null id (ids are taken as 64-bit integers). Rows repeated in full
+    another width than most, nor one whose id is null or no 64-bit integer. Rows repeated in full
     count once as candidates and are answered as often as they ask. No rows, or no queries,
     give an empty result. Other columns are not read.
     """
@@ -149,7 +149,7 @@ def nearest(rows: DataFrame, queries: DataFrame, s: Settings = Settings()) -> Da
     small_batches(spark, 10_000)
 
     def sound(df: DataFrame, name: str) -> DataFrame:
-        plain = df.select(F.col("vec_id").cast("long").alias(name), F.col("embedding").cast("array<double>").alias("v"))
+        plain = df.select(F.col("vec_id").try_cast("long").alias(name), F.col("embedding").cast("array<double>").alias("v"))
         return plain.filter(
             F.col(name).isNotNull() & (F.size("v") > 0)
             & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))

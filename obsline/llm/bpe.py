@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from obsline.llm.common import byte_slices, small_batches, text_bytes
 
-#: Rows up to this many columns merge one pair a round, wider ones all places of their least pair.
+#: Rows of more columns merge all places of their least pair in a round, if that is proved to give the same for the file.
 SINGLE_MERGE = 64
 #: Cells of one matrix; a piece with more has a matrix of its own.
 MATRIX_CELLS = 1 << 20
@@ -90,15 +90,62 @@ class PairTable:
         return out.reshape(shape)
 
 
+def _single_states(text: bytes, ranks: dict[bytes, int]) -> Iterator[tuple[list[bytes], int]]:
+    """The tokens of a text before each merge of the leftmost least pair, and that pair's rank."""
+    tokens = [text[i : i + 1] for i in range(len(text))]
+    while len(tokens) > 1:
+        found = [ranks.get(a + b, NO_RANK) for a, b in zip(tokens, tokens[1:], strict=False)]
+        least = min(found)
+        if least == NO_RANK:
+            return
+        yield tokens, least
+        at = found.index(least)
+        tokens = [*tokens[:at], tokens[at] + tokens[at + 1], *tokens[at + 2 :]]
+
+
+def merges_go_together(ranks: dict[bytes, int]) -> bool:
+    """Whether merging all places of a least pair at once, from the left, always gives what single merges give.
+
+    It may differ only where a merge of (x, y) leads to a token t that joins, at a lower rank, the x of a later place: then t
+    holds xy, and t x is a token with a lower rank than xy. Up to then nothing has crossed the edges of t x y, so single merges of
+    that text alone pass through the same tokens. So it is enough to see, for each such t, whether they do.
+    """
+    for whole, rank in ranks.items():
+        for cut in range(1, len(whole)):
+            t, x = whole[:cut], whole[cut:]
+            if t not in ranks or x not in ranks:
+                continue
+            at = t.find(x)
+            while at >= 0:
+                for end in range(at + len(x) + 1, len(t) + 1):
+                    y = t[at + len(x) : end]
+                    if y in ranks and ranks.get(x + y, -1) > rank:
+                        for tokens, least in _single_states(t + x + y, ranks):
+                            pairs = [pair == (x, y) for pair in zip(tokens, tokens[1:], strict=False)]
+                            if least == ranks[x + y] and pairs[-1] and sum(pairs) > 1:
+                                return False
+                at = t.find(x, at + 1)
+    return True
+
+
 class MatrixBpe:
     """Encodes many byte pieces at once: one padded matrix for each length bucket, whatever the length."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        self.given = ranks
+        self._together: bool | None = None
         self.table = PairTable(ranks)
         self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         if (self.byte_ids < 0).any():
             raise ValueError("every single byte needs a rank")
 
+    @property
+    def together(self) -> bool:
+        """merges_go_together of the ranks, looked into when a wide row comes."""
+        if self._together is None:
+            self._together = merges_go_together(self.given)
+        return self._together
+
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, packed as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
@@ -107,7 +154,7 @@ class MatrixBpe:
         while low < most:
             rows = np.flatnonzero((lengths > low) & (lengths <= high))
             step = max(1, MATRIX_CELLS // high)
-            merge = self._single if high <= SINGLE_MERGE else self._every
+            merge = self._single if high <= SINGLE_MERGE or not self.together else self._every
             for at in range(0, len(rows), step):
                 part = rows[at : at + step]
                 ids, ranks = self._matrix([pieces[i] for i in part], int(lengths[part].max()))
@@ -158,8 +205,8 @@ class MatrixBpe:
     def _every(self, ids: np.ndarray, ranks: np.ndarray) -> list[bytes]:
         """Every row merges all places of its least pair each round, from the left.
 
-        A new token stands in pairs of higher rank only, so single merges would take the same places one
-        after the other; long rows would then cost their square. Rows lose their tails as they shrink.
+        merges_go_together has proved for the ranks that single merges give the same; long rows would cost their square
+        with these. Rows lose their tails as they shrink.
         """
         done = [b""] * len(ids)
         names = np.arange(len(ids))

@@ -25,12 +25,15 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from obsline.llm.common import materialise, small_batches, text_bytes
 
 #: Bytes of distinct content that a table may hold; beyond it, its rows are dealt to spill files.
 TABLE_BYTES = 32 << 20
 FAN_OUT = 16
+#: Rows of a group that meet one copy of its least row.
+SHARE = 10_000
 SEED = 7
 
 _SPACES = re.compile(rb"[\t-\r][ \t-\r]*| [ \t-\r]+")  # runs that are not yet one space
@@ -157,15 +160,24 @@ def _unspill(name: str, level: int) -> Iterator[Row]:
             yield h << 4 * level, group, None if n < 0 else first, uid, abs(n), file.read(size)
 
 
+def _whole(docs: DataFrame) -> bool:
+    return isinstance(docs.schema["doc_id"].dataType, (ByteType, ShortType, IntegerType, LongType))
+
+
 def local_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """Member rows (doc_id, uid, local, sha) and content rows (local, first, uid, n, hash, content).
 
+    Ids that are no integers are null here and stand in the column ``own`` of the members.
+
     Local groups and uids carry the task's number, so they do not clash. When the table is full, its
     groups are closed and later copies open new ones.
     """
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("local", pa.int64()), ("sha", pa.binary()),
                         ("n", pa.int64()), ("hash", pa.int64()), ("content", pa.binary())])
+    whole = _whole(docs)
+    ident = [F.col("doc_id").cast("long"), text_bytes().alias("text")] if whole else [F.lit(None).cast("long"), text_bytes().alias("text"), F.col("doc_id").alias("own")]
+    plain = docs.select(*ident)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 36
@@ -176,15 +188,23 @@ def local_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
             for at in range(0, len(stats), 500):
                 part = stats[at : at + 500]
                 ids = range(closed + at, closed + at + len(part))
-                yield pa.RecordBatch.from_arrays(
+                yield with_own(
                     [pa.array([s[1] for s in part], pa.int64()), pa.array([s[2] for s in part], pa.int64()),
                      pa.array(ids, pa.int64()), pa.nulls(len(part), pa.binary()), pa.array([s[3] for s in part], pa.int64()),
                      pa.array([h - (1 << 64) if h >> 63 else h for h in table.hashes[at : at + len(part)]], pa.int64()),
-                     pa.array(table.contents[at : at + len(part)], pa.binary())], schema=schema)
+                     pa.array(table.contents[at : at + len(part)], pa.binary())])
+
+        def with_own(arrays: list[pa.Array], given: pa.Array | None = None) -> pa.RecordBatch:
+            names = schema.names
+            if not whole:
+                arrays, names = [*arrays, pa.nulls(len(arrays[0]), kind) if given is None else given], [*names, "own"]
+            return pa.RecordBatch.from_arrays(arrays, names)
 
+        kind = None
         for batch in batches:
             locals_, shas, uids = [], [], []
             ids = batch.column(0).to_pylist()
+            kind = None if whole else batch.column(2).type
             for doc_id, text in zip(ids, batch.column(1).to_pylist(), strict=True):
                 content = normalise(text)
                 entry, new = table.add(xxhash.xxh3_64_intdigest(content, SEED), content)
@@ -199,9 +219,9 @@ def local_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
                 uids.append(uid)
                 uid += 1
             n = len(ids)
-            yield pa.RecordBatch.from_arrays(
+            yield with_own(
                 [pa.array(ids, pa.int64()), pa.array(uids, pa.int64()), pa.array(locals_, pa.int64()), pa.array(shas, pa.binary()),
-                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], schema=schema)
+                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], None if whole else batch.column(2))
             if table.bytes > budget:
                 yield from flush()
                 closed += len(stats)
@@ -209,8 +229,20 @@ def local_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
                 table.clear()
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(
-        run, "doc_id long, uid long, local long, sha binary, n long, hash long, content binary")
+    more = "" if whole else f", own {docs.schema['doc_id'].dataType.simpleString()}"
+    return plain.mapInArrow(run, "doc_id long, uid long, local long, sha binary, n long, hash long, content binary" + more)
+
+
+def _least_own(members: DataFrame) -> DataFrame:
+    """Rows of (own, group, group_size, uid, sha) with the least of their group's own ids and the row that has it.
+
+    A group's least row is written once for each SHARE rows of the group, so that a large group's rows meet it in several tasks.
+    """
+    order = F.struct(F.col("own").isNull().alias("absent"), "own", "uid")
+    part = F.expr(f"uid % (1 + group_size DIV {SHARE})")
+    least = members.groupBy("group", "group_size").agg(F.min(order).alias("least"))
+    least = least.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"group_size DIV {SHARE}")))).drop("group_size")
+    return members.withColumn("part", part).join(least, ["group", "part"])
 
 
 def exact_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
@@ -218,7 +250,7 @@ def exact_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 
     Texts are equal when they are after each run of ASCII white space became one space; null counts as
     empty. The row with the least doc_id stays; of fully repeated rows exactly one. Null ids count as
-    the greatest. Ids are taken as 64-bit integers; one that is none becomes null. An empty table gives an
+    the greatest. Ids may have any type that has an order and keep it. An empty table gives an
     empty result. Other columns are not read.
     """
     found = materialise(local_groups(docs, budget))
@@ -242,10 +274,16 @@ def exact_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
     groups = contents.repartition(F.col("hash")).mapInArrow(run, "local long, keep_uid long, keep_id long, group_size long")
-    members = found.filter("content IS NULL").select("doc_id", "uid", "local", "sha")
-    return members.join(materialise(groups), "local").select(
-        "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"))
+    sha = F.lower(F.hex("sha")).alias("text_sha256")
+    if _whole(docs):
+        kind = docs.schema["doc_id"].dataType
+        members = found.filter("content IS NULL").select("doc_id", "uid", "local", "sha")
+        return members.join(materialise(groups), "local").select(
+            F.col("doc_id").cast(kind), F.col("keep_id").cast(kind), "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), sha)
+    members = found.filter("content IS NULL").select("own", "uid", "local", "sha").join(
+        groups.select("local", F.col("keep_uid").alias("group"), "group_size"), "local")
+    return _least_own(materialise(members)).select(
+        F.col("own").alias("doc_id"), F.col("least.own").alias("keep_id"), "group_size", (F.col("uid") == F.col("least.uid")).alias("kept"), sha)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,7 +270,8 @@ def block_slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Ta
 def common_words(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes of common words, ascending, their counts, and the number of training tokens. ``docs``: (train, text).
 
-    The counts leave out words that are rare in a block. They decide how data are dealt and named, not results.
+    The start of texts counts as a word, as it is a context of its own. The counts leave out words that are rare in a
+    block. They decide how data are dealt and named, not results.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +281,8 @@ def common_words(docs: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray,
             often = n * 250_000 >= len(word)
             train = np.asarray(rows["train"].combine_chunks())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None, *hashed(names[often]).view(np.int64).tolist()], pa.int64()), pa.array([int((counts[train] + 1).sum()), *n[often].tolist()], pa.int64())], ["word", "n"])
+                [pa.array([None, *hashed(names[often]).view(np.int64).tolist(), START - (START >> 63 << 64)], pa.int64()),
+                 pa.array([int((counts[train] + 1).sum()), *n[often].tolist(), len(train)], pa.int64())], ["word", "n"])
 
     counts = materialise(docs.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.filter("word IS NULL").select("n").first()

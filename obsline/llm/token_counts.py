@@ -333,9 +333,9 @@ class Tokens:
     def __init__(self, text: str):
         told = json.loads(text)
         model = told["model"]
-        steps, splits = told["normalizer"]["normalizers"], told["pre_tokenizer"]["pretokenizers"]
+        steps, splits = ((told[a] or {}).get(b, []) for a, b in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
         plain = (
-            model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"] and not model["ignore_merges"]
+            model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model["dropout"] and not model["ignore_merges"]
             and not model["continuing_subword_prefix"]
             and [s["type"] for s in steps] == NORMALISERS and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
             and [s["type"] for s in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"] == {"Regex": PATTERN}
