@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsline.functions.rules import canonical_record, event_layer
+from obsline.functions.rules import RUN_LOCAL, canonical_record, event_layer
 from obsline.functions.scalars import metadata_map, state_key
 from obsline.operators.joins import compare_by_position, missing_artifacts
 from obsline.operators.windows import ORDER, STREAM, duplicate_accepts, known_before, monotonic_check, mutation_check
@@ -85,6 +85,62 @@ def compare_runs(expected: DataFrame, actual: DataFrame, keys: list[str]) -> Dat
     return first_difference(plain(expected), plain(actual), keys)
 
 
+#: Types of JSON values by the names that Spark gives them; a number without a fraction is an integer.
+JSON_KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "BIGINT": "integer", "DOUBLE": "number"}
+PLACE = "array<struct<at:int,key:string>>"
+
+
+def json_nodes(records: DataFrame, keys: list[str], record: str, local: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, place, path, kind, value): every node of a JSON text, the whole first, without object keys in ``local`` at any depth.
+
+    Arrays are entered by position, ``path`` is written as $.a.b[0], ``place`` sorts as a walk that takes keys in order. ``value`` is the node as
+    JSON text, numbers as their shortest form. A text that is no JSON is one node of kind malformed. One pass a level of nesting.
+    """
+    spark = records.sparkSession
+    value = F.try_parse_json(record)
+    level = records.filter(F.col(record).isNotNull()).select(
+        *keys, F.array().cast(PLACE).alias("place"), F.lit("$").alias("path"), value.alias("v"), F.when(value.isNull(), F.col(record)).alias("raw"))
+    out = None
+    while True:
+        name = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+        whole = F.schema_of_variant("v").rlike(r"^DECIMAL\(\d+,0\)")
+        kind = F.when(F.col("v").isNull(), "malformed").when(whole, "integer").otherwise(
+            F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in JSON_KINDS.items() for x in pair]), name), F.lit("number")))
+        told = F.when(kind == "number", F.try_variant_get("v", "$", "double").cast("string")).otherwise(F.to_json("v"))
+        nodes = level.withColumn("kind", kind)
+        found = nodes.select(*keys, "place", "path", "kind", F.coalesce(told, "raw").alias("value"))
+        out = found if out is None else out.unionByName(found)
+        nested = nodes.filter("kind IN ('object', 'array')").withColumnRenamed("v", "whole")
+        inner = nested.lateralJoin(spark.tvf.variant_explode(F.col("whole").outer()))
+        step = F.struct(F.when(F.col("key").isNull(), F.col("pos")).cast("int").alias("at"), "key")
+        name = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
+        level = inner.filter(F.col("key").isNull() | ~F.col("key").isin(*local)).select(
+            *keys, F.concat("place", F.array(step)).alias("place"), F.concat("path", name).alias("path"), F.col("value").alias("v"), F.lit(None).cast("string").alias("raw"))
+        if level.isEmpty():
+            return out
+
+
+def first_json_difference(expected: DataFrame, actual: DataFrame, keys: list[str], record: str = "record", local: tuple[str, ...] = ()) -> DataFrame:
+    """F30 for nested records: the first path at which two JSON texts differ, with kinds and values of both sides.
+
+    Objects are walked by key, arrays by position, a node before what is inside it. Values of different kinds differ, 1 and 1.0 too. A path that
+    one side lacks has no kind there, which tells it from a null; so has a record that one side lacks, or that is null there. Keys are not null.
+    """
+    e, a = (json_nodes(df, keys, record, local) for df in (expected, actual))
+    e = e.withColumnsRenamed({"kind": "expected_kind", "value": "expected"})
+    a = a.withColumnsRenamed({"kind": "actual_kind", "value": "actual", "path": "a_path"})
+    leaf = ~F.coalesce(F.col("expected_kind").isin("object", "array"), F.lit(False))
+    both = e.join(a, [*keys, "place"], "full_outer")
+    off = both.filter(~F.col("expected_kind").eqNullSafe(F.col("actual_kind")) | (leaf & ~F.col("expected").eqNullSafe(F.col("actual"))))
+    found = F.struct(F.coalesce("path", "a_path").alias("path"), "expected_kind", "actual_kind", "expected", "actual")
+    return off.groupBy(*keys).agg(F.min_by(found, "place").alias("x")).select(*keys, "x.*")
+
+
+def compare_json_runs(expected: DataFrame, actual: DataFrame, keys: list[str], record: str = "record") -> DataFrame:
+    """V5 for nested records: the first path that differs in each, run-local keys left out at any depth."""
+    return first_json_difference(expected, actual, keys, record, RUN_LOCAL)
+
+
 def compare_mapping_runs(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """V6: position by position the first layer that differs: emission, evidence, scoring, then state."""
     w = Window.partitionBy(STREAM).orderBy(*ORDER)

@@ -78,6 +78,19 @@ def s6(spark, sf):
     return IO.read_labels(spark, path).select("transition_id", "truth", F.size("measures").alias("measures"), F.col("measures")["pair_score"].alias("pair_score"))
 
 
+@query("s6_free_measures", """SELECT CAST(doc_id AS VARCHAR) AS transition_id, CAST(1 + (doc_id % 2 = 0)::INT + (doc_id % 3 = 0)::INT AS INT) AS measures, CASE WHEN doc_id % 2 = 0 THEN doc_id / 4 END AS drift, CASE WHEN doc_id % 7 = 0 THEN 'note' END AS note
+  FROM labels WHERE quality IS NOT NULL""")
+def s6_free(spark, sf):
+    """Label rows with numeric fields that no schema names, texts and nested values beside them."""
+    i, path = F.col("doc_id"), shared_path(spark, "measures")
+    rows = table(spark, sf, "labels").filter("quality IS NOT NULL").select(
+        F.lit("hover").alias("detector"), F.lit("yes").alias("truth"), F.lit("no").alias("prediction"), i.cast("string").alias("transition_id"), (i / 8).alias("score"), F.when(i % 7 == 0, "note").alias("note"),
+        F.when(i % 2 == 0, i / 4).alias("drift_px"), i.alias("frame no"), F.when(i % 3 == 0, i.cast("int")).alias("retries"), F.struct(F.lit(1).alias("x")).alias("box"))
+    rows.write.json(path)
+    read = IO.read_labels(spark, path)
+    return read.select("transition_id", F.size("measures").alias("measures"), F.col("measures")["drift_px"].alias("drift"), F.try_variant_get("record", "$.note", "string").alias("note"))
+
+
 @query("s10_read_templates", """SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_nationkey % 4 = 0 THEN 'n' || CAST(n_nationkey AS VARCHAR) ELSE n_name END AS name, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE lower(n_name) || ',x' END AS keywords, n_nationkey % 2 = 0 AS built_in FROM nation""")
 def s10(spark, sf):
     k, path = F.col("n_nationkey"), shared_path(spark, "templates")

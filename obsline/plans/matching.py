@@ -431,6 +431,29 @@ def v5(spark, sf):
     return C.compare_runs(fields(a, "run1").join(both, "observation_id", "left_semi"), fields(b, "run2").join(both, "observation_id", "left_semi"), ["observation_id"])
 
 
+@query("v5_compare_json_runs", f"""WITH {RUNS} SELECT observation_id, CASE WHEN observation_id % 59 = 0 THEN '$.cells[1]' WHEN observation_id % 61 = 0 THEN '$.cells[2]' WHEN observation_id % 67 = 0 THEN '$.evidence.note' WHEN observation_id % 71 = 0 THEN '$.evidence.votes[0].n' ELSE '$.state' END AS path,
+  CASE WHEN observation_id % 59 = 0 THEN 'integer' WHEN observation_id % 61 = 0 THEN NULL WHEN observation_id % 67 = 0 THEN 'null' WHEN observation_id % 71 = 0 THEN 'integer' ELSE 'string' END AS expected_kind,
+  CASE WHEN observation_id % 59 = 0 THEN 'integer' WHEN observation_id % 61 = 0 THEN 'integer' WHEN observation_id % 67 = 0 THEN NULL WHEN observation_id % 71 = 0 THEN 'number' ELSE 'string' END AS actual_kind
+  FROM (SELECT T.observation_id, T.state <> B.state AS changed FROM T JOIN B ON T.observation_id = B.observation_id) WHERE changed OR observation_id % 59 = 0 OR observation_id % 61 = 0 OR observation_id % 67 = 0 OR observation_id % 71 = 0""")
+def v5_json(spark, sf):
+    """Nested records: array items changed or added, a null that goes, a number of another kind, a state; paths of the run differ always."""
+    a, b = two_runs(spark, sf)
+    i = F.col("observation_id")
+
+    def records(d, tag):
+        other = F.lit(tag == "run2")
+        cells = F.when(other & (i % 59 == 0), F.lit("[1,9]")).when(other & (i % 61 == 0), F.lit("[1,2,3]")).otherwise(F.lit("[1,2]"))
+        note = F.when(other & (i % 67 == 0), F.lit("")).otherwise(F.lit('"note":null,'))
+        votes = F.when(other & (i % 71 == 0), F.lit("0.5")).otherwise(F.lit("4"))
+        return d.select("observation_id", F.concat(
+            F.lit("{"), F.expr("substr(to_json(struct(state)), 2, length(to_json(struct(state))) - 2)"), F.lit(',"evidence":{"diagnostic_board_path":"'), F.lit(tag), F.lit('",'), note, F.lit('"votes":[{"n":'), votes,
+            F.lit('}]},"cells":'), cells, F.lit("}")).alias("record"))
+
+    both = b.select("observation_id").intersect(a.select("observation_id"))
+    found = C.compare_json_runs(*(records(d, t).join(both, "observation_id", "left_semi") for d, t in ((a, "run1"), (b, "run2"))), ["observation_id"])
+    return found.select("observation_id", "path", "expected_kind", "actual_kind")
+
+
 @query("v6_compare_mapping_runs", f"""WITH {RUNS}, A1 AS (SELECT stream_id, row_number() OVER ({ORD}) - 1 AS position, event, state, k FROM T), B1 AS (SELECT stream_id, row_number() OVER ({ORD}) - 1 AS position, event, state, k FROM B),
   M AS (SELECT CASE WHEN A1.event IS NULL OR B1.event IS NULL OR A1.event <> B1.event THEN 'emission' WHEN A1.k <> B1.k THEN 'evidence' WHEN A1.state <> B1.state THEN 'state' END AS layer FROM A1 FULL JOIN B1 ON A1.stream_id = B1.stream_id AND A1.position = B1.position)
   SELECT layer, count(*) AS n FROM M WHERE layer IS NOT NULL GROUP BY layer""")

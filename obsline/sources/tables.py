@@ -94,11 +94,17 @@ def write_compact_observations(compact: DataFrame, path: str) -> None:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with detector, truth and prediction; free numeric fields gathered in the map ``measures``."""
-    rows = _jsonl(spark, path, LABEL_SCHEMA).filter("_corrupt IS NULL AND detector IS NOT NULL AND truth IS NOT NULL AND prediction IS NOT NULL").drop("_corrupt")
-    numeric = ["origin_score", "destination_score", "pair_score", "settle_delay_seconds"]
-    measures = F.map_filter(F.create_map(*(x for c in numeric for x in (F.lit(c), F.col(c)))), lambda _, v: v.isNotNull())
-    return rows.withColumn("measures", measures)
+    """Rows with detector, truth and prediction. Every other numeric field of a row, whatever its name, is in the map
+    ``measures``, and the whole row in the variant ``record``.
+    """
+    known = [f.strip().split(" ")[0] for f in LABEL_SCHEMA.split(",")]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    lines = spark.read.text(path).withColumn("row", F.from_json("value", LABEL_SCHEMA, options))
+    rows = lines.filter("row._corrupt IS NULL AND row.detector IS NOT NULL AND row.truth IS NOT NULL AND row.prediction IS NOT NULL")
+    fields = F.from_json("value", "map<string,variant>")
+    numbers = F.map_filter(fields, lambda k, v: F.schema_of_variant(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & ~k.isin("confidence", "score"))
+    return rows.select(*[F.col(f"row.{f}").alias(f) for f in known if f != "_corrupt"], F.transform_values(numbers, lambda _, v: F.try_variant_get(v, "$", "double")).alias("measures"),
+                       F.parse_json("value").alias("record"))
 
 
 TOKEN = r"(\{[^}]*\}|\(|\)|\[[^\]]*\]|[^\s()\{\}\[\]]+)"
