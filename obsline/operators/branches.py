@@ -16,6 +16,8 @@ from obsline.functions.scalars import state_key
 
 STREAM = "stream_id"
 BRANCH = [STREAM, "branch_id"]
+#: Places of the main line to a block.
+PLACES = 64
 
 
 def heads(branches: DataFrame) -> DataFrame:
@@ -176,29 +178,41 @@ def move_budget(rows: DataFrame, budget: DataFrame) -> DataFrame:
     return rows.join(budget, [STREAM, "move"], "left").withColumn("kind", F.when(F.row_number().over(w) <= F.coalesce("k", F.lit(0)), "transition").otherwise("rollback")).drop("k")
 
 
+def _common(own: list[str], line: list[str]) -> int:
+    """Length of the longest common subsequence. A bit stands for a move of ``own``; a machine word does 64 of them at once.
+
+    After each move of the line, a bit that is 0 says that the subsequence is one longer from its move on.
+    """
+    places: dict[str, int] = {}
+    for i, move in enumerate(own):
+        places[move] = places.get(move, 0) | 1 << i
+    every = (1 << len(own)) - 1
+    flat = every
+    for move in line:
+        hit = flat & places.get(move, 0)
+        flat = ((flat + hit) | (flat - hit)) & every
+    return len(own) - flat.bit_count()
+
+
 def lcs_replay_test(branches: DataFrame, timeline: DataFrame, least: int = 8, extra: int = 8, share: float = 0.8) -> DataFrame:
     """(stream_id, branch_id, steps, matches, replay): ordered overlap with the main line from the parent on.
 
-    Both sides of a branch are arrays of at most its own steps, and ``extra`` more; they meet in one row.
+    A branch meets the blocks of PLACES places of the main line that it may overlap: from its parent, as many places as it has steps
+    and ``extra`` more. Both sides are arrays of one row then.
     """
     arrays = branches.groupBy(*BRANCH).agg(F.min("parent_seq").alias("parent_seq"), F.transform(F.array_sort(F.collect_list(F.struct("step", "move"))), lambda x: x["move"]).alias("own"))
-    main = timeline.select(STREAM, "seq", F.col("move").alias("m_move"))
-    near = arrays.select(*BRANCH, "parent_seq", F.size("own").alias("n")).join(main, STREAM).filter(
-        (F.col("seq") >= F.col("parent_seq")) & (F.col("seq") < F.col("parent_seq") + F.col("n") + extra))
+    block = F.floor(F.col("seq") / PLACES)
+    main = timeline.select(STREAM, "seq", F.col("move").alias("m_move"), block.alias("block"))
+    until = F.col("parent_seq") + F.size("own") + extra
+    asked = arrays.select(*BRANCH, "parent_seq", until.alias("until")).withColumn(
+        "block", F.explode(F.sequence(F.floor(F.col("parent_seq") / PLACES), F.floor((F.col("until") - 1) / PLACES))))
+    near = asked.join(main, [STREAM, "block"]).filter((F.col("seq") >= F.col("parent_seq")) & (F.col("seq") < F.col("until")))
     line = near.groupBy(*BRANCH).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "m_move"))), lambda x: x["m_move"]).alias("line"))
     rows = arrays.join(line, BRANCH, "left").select(*BRANCH, "own", F.coalesce("line", F.array().cast("array<string>")).alias("line"))
 
     def overlap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            matches = []
-            for own, line in zip(pdf["own"], pdf["line"], strict=True):
-                before = [0] * (len(line) + 1)
-                for move in own:
-                    now = [0]
-                    for j, other in enumerate(line):
-                        now.append(before[j] + 1 if move == other else max(now[j], before[j + 1]))
-                    before = now
-                matches.append(before[-1])
+            matches = [_common(list(own), list(line)) for own, line in zip(pdf["own"], pdf["line"], strict=True)]
             yield pdf[BRANCH].assign(steps=pdf["own"].map(len), matches=matches)
 
     kinds = {f.name: f.dataType.simpleString() for f in branches.schema}

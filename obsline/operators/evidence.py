@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from obsline.functions.rules import FAMILIES, STRENGTHS, evidence_strength, normalize_outcome
 from obsline.operators.joins import in_interval
+from obsline.operators.scan import SEGMENT, scan
 from obsline.operators.windows import STREAM
 
 
@@ -255,5 +256,5 @@ def latest_rollback(rows: DataFrame) -> DataFrame:
 
     A row survives if no later rollback goes to a place before it.
     """
-    w = Window.partitionBy(STREAM).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)  # the later rows
-    return rows.withColumn("cut", F.min("target_seq").over(w)).filter(F.col("target_seq").isNull() & (F.col("cut").isNull() | (F.col("seq") <= F.col("cut")))).drop("cut")
+    later = scan(rows, STREAM, ("seq",), least={"cut": F.col("target_seq")}, descending=True)
+    return later.filter(F.col("target_seq").isNull() & (F.col("cut").isNull() | (F.col("seq") <= F.col("cut")))).drop("cut", SEGMENT)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsline.functions.scalars import bucket_of, distance_max, distance_mean, pack_buckets, quadrants, state_key
+from obsline.operators.scan import scan
 from obsline.operators.windows import ORDER, STREAM, micros
 
 
@@ -202,9 +203,8 @@ def keyword_match(names: DataFrame, templates: list[tuple[str, list[str]]], fall
 
 def lookup_enrich(timeline: DataFrame, lookup: DataFrame) -> DataFrame:
     """Code and name by state, the last one found carried on along the stream."""
-    w = Window.partitionBy(STREAM).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    found = timeline.join(lookup.select("state_key", F.struct("code", "name").alias("hit")), "state_key", "left")
-    return found.withColumn("hit", F.last("hit", ignorenulls=True).over(w)).select(*timeline.columns, "hit.code", "hit.name")
+    found = timeline.join(lookup.select("state_key", F.struct("code", "name").alias("own_hit")), "state_key", "left")
+    return scan(found, STREAM, ("seq",), last={"hit": F.col("own_hit")}).select(*timeline.columns, "hit.code", "hit.name")
 
 
 def before_after_evaluation(timeline: DataFrame, evaluations: DataFrame) -> DataFrame:

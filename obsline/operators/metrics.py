@@ -6,10 +6,11 @@ a score, and dimensions. Undefined rates are null.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsline.operators.scan import SEGMENT, segments
+
 # Acceptance targets by detector (least labelled, precision, recall; most false positive rate).
 TARGETS = [
     ("yellow", 30, 0.95, 0.95, 0.02), ("clock", 30, 0.98, 0.95, 0.02),
@@ -144,17 +145,8 @@ def decision_counts(df: DataFrame, decision: str) -> DataFrame:
 
 
 def _ranges(at: DataFrame) -> DataFrame:
-    """The rows with ``range``, a number that rises with the score: some RANGE rows each, whatever the scores are like.
-
-    Bounds come from a quantile sketch, whose error is a quarter of a range. Rows of equal score share a range.
-    """
-    ranges = -(-at.count() // RANGE)
-    if ranges <= 1:
-        return at.withColumn("range", F.lit(0.0))
-    bounds = at.select(F.col("score").cast("double").alias("score")).approxQuantile("score", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
-    splits = [float("-inf"), *sorted({x for x in bounds if abs(x) != float("inf")}), float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="_score", outputCol="range", handleInvalid="keep")
-    return cut.transform(at.withColumn("_score", F.col("score").cast("double"))).drop("_score")
+    """The rows with ``range``, a number that rises with the score: some RANGE rows each, whatever the scores are like."""
+    return segments(at, "score", RANGE).withColumnRenamed(SEGMENT, "range")
 
 
 def _running(at: DataFrame, keys: list[str]) -> DataFrame:

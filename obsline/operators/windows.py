@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from obsline.operators.scan import SEGMENT, scan
+
 STREAM, ORDER = "stream_id", ("ts", "observation_id")
 
 
@@ -34,10 +36,9 @@ def coalesce_bursts(obs: DataFrame, gap_seconds: float = 0.2) -> DataFrame:
 
     The exact emission rules keep state and are in streaming.bursts.
     """
-    w = along()
-    since = micros() - F.lag(micros()).over(w)
-    marked = obs.withColumn("new", F.coalesce(since > gap_seconds * 1e6, F.lit(True)).cast("int"))
-    isles = marked.withColumn("burst", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    timed = scan(obs, STREAM, ORDER, previous={"before_us": micros()})
+    marked = timed.withColumn("new", F.coalesce(micros() - F.col("before_us") > gap_seconds * 1e6, F.lit(True)).cast("int"))
+    isles = scan(marked, STREAM, ORDER, sums={"burst": F.col("new")})
     return isles.groupBy(STREAM, "burst").agg(
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"),
         F.min_by("observation_id", F.struct(*ORDER)).alias("first_id"), F.max_by("observation_id", F.struct(*ORDER)).alias("last_id"))
@@ -86,8 +87,8 @@ def stale_tail(rows: DataFrame, low: int = 600, least_seconds: float = 1.0) -> D
 
 def carry_forward(df: DataFrame, value: str, *order: str) -> DataFrame:
     """The last known value and whether it is direct, inherited or missing."""
-    last = F.last(value, ignorenulls=True).over(along(STREAM, *order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("carried", last).withColumn(
+    found = scan(df, STREAM, order or ORDER, last={"carried": F.col(value)}).drop(SEGMENT)
+    return found.withColumn(
         "provenance", F.when(F.col(value).isNotNull(), "direct").when(F.col("carried").isNotNull(), "inherited").otherwise("missing"))
 
 
@@ -122,8 +123,8 @@ def score_margin(candidates: DataFrame, low: float = 10) -> DataFrame:
 
 def monotonic_check(rows: DataFrame, value: str, *order: str) -> DataFrame:
     """Rows whose value is below the previous row's."""
-    before = F.lag(value).over(along(STREAM, *order))
-    return rows.withColumn("previous", before).filter(F.col(value) < F.col("previous"))
+    found = scan(rows, STREAM, order or ORDER, previous={"previous": F.col(value)}).drop(SEGMENT)
+    return found.filter(F.col(value) < F.col("previous"))
 
 
 def duplicate_accepts(accepts: DataFrame) -> DataFrame:
