@@ -2,11 +2,14 @@
 
 Equal vectors are folded first: a content keeps its least ids, as many as an answer can use, so that a
 vector which a third of all rows share is coded, searched and answered once. Every distinct vector is
-assigned to the list of its nearest centre (fitted on a bounded sample), and coded there: the residual
-to the centre, rotated at random, keeps one bit per dimension and two correction scalars. A query probes
-the lists nearest to it. In each, the codes give an estimate of every inner product with an error bound;
-vectors whose upper bound stays below the k-th best exact score are passed over, the rest are reranked
-with the original vectors in double precision.
+coded once, at the list of its nearest centre (fitted on a bounded sample): the residual to the centre,
+rotated at random, keeps one packed bit a dimension, its length and its agreement with the code.
+
+Vectors are dealt over shelves at random, so each shelf has its share of every list, and none is written twice. Queries
+travel as packed matrices, one copy a shelf. Within a shelf a query probes the lists nearest to it. Packed codes give an
+estimate of each inner product, by tables of the partial sums of a byte, with an error bound. The two nearest lists give
+a first floor: the k-th best exact score. Lists whose centre and radius keep them below the floor are passed over, then
+vectors whose upper bound stays below it; only the rest are measured on the original vectors, in double precision.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ class Settings:
     sample: int = 65_536  # vectors that the centres are fitted on, at most
     sample_numbers: int = 1 << 24  # and components of them
     per_list: int = 1_000  # distinct vectors to a list, on average
-    most_lists: int = 4_096  # centres are broadcast: at most this many; beyond, lists grow and are searched in blocks
+    most_lists: int = 4_096  # centres are broadcast: at most this many; beyond, lists grow
     probes: float = 0.6  # share of the lists that a query probes, however many there are ...
     least_probes: int = 24  # ... but at least so many
-    block: int = 8_192  # vectors of a list that are coded and searched as one unit
-    queries: int = 2_048  # queries of a list that are searched as one unit
+    shelf: int = 1 << 18  # vectors that a task holds, at most; queries are copied once a shelf ...
+    least_shelf: int = 2_048  # ... and shelves are as many as tasks, down to this size
+    pack: int = 128  # queries to a packed matrix
     error: float = 2.5  # bounds hold within so many standard deviations
     seed: int = 5
 
@@ -66,34 +70,110 @@ def fit_centres(sample: np.ndarray, lists: int, seed: int, rounds: int = 8) -> n
     return centres
 
 
-def encode(vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode(rest: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits of the rotated residuals, the residuals' lengths, and <code, residual> of unit vectors."""
-    rest = (vectors - centre) @ turn
+    rest = rest @ turn
     length = np.linalg.norm(rest, axis=1)
-    bits = rest > 0
     agree = np.abs(rest).sum(axis=1) / np.sqrt(rest.shape[1]) / np.maximum(length, 1e-300)
-    return np.packbits(bits, axis=1), length, np.maximum(agree, 1e-6)
-
-
-def search(queries: np.ndarray, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, error: float) -> list[np.ndarray]:
-    """For each query, the positions of the unit vectors that may be among the k best of one list block."""
-    size = vectors.shape[1]
-    codes, length, agree = encode(vectors, centre, turn)
-    signs = (np.unpackbits(codes, axis=1, count=size).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(size))
-    turned = (queries @ turn).astype(np.float32)
-    scale = length / agree
-    few = min(k, len(vectors))
-    # The part of a query across the code spreads with deviation sqrt((1 - agree^2) / (size - 1)).
-    spread = error * scale * np.sqrt(np.maximum(1 - agree**2, 0) / max(size - 1, 1))
-    out = []
-    for at in range(0, len(queries), 256):
-        part = queries[at : at + 256]
-        estimate = (turned[at : at + 256] @ signs.T) * scale + (part @ centre)[:, None]
-        first = np.argpartition(-estimate, few - 1, axis=1)[:, :few]
-        for query, guess, best in zip(part, estimate, first, strict=True):
-            floor = (vectors[best] @ query).min()  # exact scores of the k best estimates
-            out.append(np.union1d(best, np.flatnonzero(guess + spread >= floor)))
-    return out
+    return np.packbits(rest > 0, axis=1), length, np.maximum(agree, 1e-6)
+
+
+#: What rounding may take from an estimate.
+SLACK = 1e-5
+#: Of each byte value, its bits as signs, the first bit first.
+SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).T
+
+
+def byte_tables(turned: np.ndarray) -> np.ndarray:
+    """(bytes, queries, 256): what each value of each code byte adds to a query's inner product with the code."""
+    size = turned.shape[1]
+    padded = np.pad(turned, ((0, 0), (0, -size % 8))).reshape(len(turned), -1, 8).astype(np.float32)
+    return np.ascontiguousarray((padded @ SIGNS).transpose(1, 0, 2)) / np.float32(np.sqrt(size))
+
+
+@dataclass
+class Shelf:
+    """Vectors of one task, by list: unit vectors, packed codes, lengths and agreements."""
+
+    vectors: np.ndarray
+    codes: np.ndarray
+    length: np.ndarray
+    agree: np.ndarray
+    lists: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.lists, kind="stable")
+        self.vectors, self.codes, self.length, self.agree, self.lists = (
+            x[self.order] for x in (self.vectors, self.codes, self.length, self.agree, self.lists))
+        self.names, self.starts = np.unique(self.lists, return_index=True)
+        self.ends = np.append(self.starts[1:], len(self.lists))
+        self.radius = np.maximum.reduceat(self.length, self.starts) if len(self.starts) else np.zeros(0)
+        self.measured = 0  # exact scores so far
+
+    def search(self, queries: np.ndarray, centres: np.ndarray, turn: np.ndarray, probes: int, k: int, error: float) -> tuple[np.ndarray, np.ndarray]:
+        """(query, position) pairs of the unit vectors that may be among the k best of their query in this shelf."""
+        size = queries.shape[1]
+        to_centre = queries @ centres.T
+        asked = np.zeros(to_centre.shape, bool)
+        near = np.argpartition(-to_centre, min(probes, len(centres)) - 1, axis=1)[:, :probes]
+        np.put_along_axis(asked, near, True, axis=1)
+        to_centre, asked = to_centre[:, self.names], asked[:, self.names]  # the lists that have vectors here
+        tables = byte_tables(queries @ turn)
+        best = np.full((len(queries), k), -np.inf)
+        scale = self.length / self.agree
+        # The part of a query across the code spreads with deviation sqrt((1 - agree^2) / (size - 1)).
+        spread = error * scale * np.sqrt(np.maximum(1 - self.agree**2, 0) / max(size - 1, 1))
+        of, at = [], []
+
+        def look(n: int, rows: np.ndarray, first: bool) -> None:
+            start, end = self.starts[n], self.ends[n]
+            codes = self.codes[start:end]
+            estimate = np.zeros((len(rows), end - start), np.float32)
+            for table, byte in zip(tables, codes.T, strict=True):
+                estimate += table[rows][:, byte]
+            estimate = estimate * scale[start:end] + to_centre[rows, n][:, None]
+            if first:
+                few = min(k, end - start)
+                hit = np.zeros(estimate.shape, bool)
+                np.put_along_axis(hit, np.argpartition(-estimate, few - 1, axis=1)[:, :few], True, axis=1)
+            else:
+                hit = estimate + spread[start:end] + SLACK >= best[rows, -1][:, None]
+            row, place = np.nonzero(hit)
+            if not len(row):
+                return
+            exact = np.einsum("ij,ij->i", queries[rows[row]], self.vectors[start + place])
+            self.measured += len(exact)
+            counts = np.bincount(row, minlength=len(rows))
+            scores = np.full((len(rows), k + counts.max()), -np.inf)
+            if not first:
+                scores[:, :k] = best[rows]
+            scores[row, k + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = exact
+            if first:
+                firsts.append((rows, -np.sort(-scores, axis=1)[:, :k]))
+            else:
+                best[rows] = -np.sort(-scores, axis=1)[:, :k]
+                of.append(rows[row])
+                at.append(start + place)
+
+        # A first floor from the two nearest lists: their k best estimates, measured.
+        firsts: list[tuple[np.ndarray, np.ndarray]] = []
+        ranked = np.argsort(-np.where(asked, to_centre, -np.inf), axis=1)[:, :2]
+        for n in np.unique(ranked):
+            rows = np.flatnonzero((ranked == n).any(axis=1) & asked[:, n])
+            if len(rows):
+                look(n, rows, True)
+        floors = np.full((len(queries), 2 * k), -np.inf)
+        for rows, found in firsts:
+            both = np.concatenate([floors[rows], found], axis=1)
+            floors[rows] = -np.sort(-both, axis=1)[:, : 2 * k]
+        best[:] = floors[:, k - 1 : k]  # the floor alone: its vectors come again below
+        for n in range(len(self.names)):
+            rows = np.flatnonzero(asked[:, n] & (to_centre[:, n] + self.radius[n] + SLACK >= best[:, -1]))
+            if len(rows):
+                look(n, rows, False)
+        if not of:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(of), self.order[np.concatenate(at)]
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,6 +182,15 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
+CODED = ["v", "ids", "list", "code", "length", "agree"]
+
+
+def _vectors_at(column: pa.Array, at: np.ndarray, width: int) -> np.ndarray:
+    """Rows of a list column, each once however often it is asked for."""
+    few, back = np.unique(at, return_inverse=True)
+    return column.take(pa.array(few)).flatten().to_numpy(zero_copy_only=False).reshape(len(few), width)[back]
+
+
 def fold_equal(found: DataFrame, keep: int) -> DataFrame:
     """(v, ids): each distinct vector with its ``keep`` least ids.
 
@@ -146,11 +235,11 @@ def nearest(rows: DataFrame, queries: DataFrame, s: Settings = Settings()) -> Da
     give an empty result. Other columns are not read.
     """
     spark = rows.sparkSession
-    small_batches(spark, 10_000)
+    small_batches(spark)
 
     def sound(df: DataFrame, name: str) -> DataFrame:
-        plain = df.select(F.col("vec_id").try_cast("long").alias(name), F.col("embedding").cast("array<double>").alias("v"))
-        return plain.filter(
+        cast = df.select(F.col("vec_id").try_cast("long").alias(name), F.col("embedding").cast("array<double>").alias("v"))
+        return cast.filter(
             F.col(name).isNotNull() & (F.size("v") > 0)
             & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
 
@@ -171,59 +260,82 @@ def nearest(rows: DataFrame, queries: DataFrame, s: Settings = Settings()) -> Da
     probes = int(min(lists, max(s.least_probes, round(lists * s.probes))))
     shared = spark.sparkContext.broadcast((centres, rotation(width, s.seed)))
 
-    def unit(column: pa.Array) -> np.ndarray:
-        return units(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width))
+    def plain(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, turn = shared.value
         for batch in batches:
             if len(batch):
-                near = (unit(batch.column(0)) @ shared.value[0].T).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], ["v", "ids", "list"])
+                vectors = units(plain(batch.column(0)))
+                near = (vectors @ centres.T).argmax(axis=1)
+                codes, length, agree = encode(vectors - centres[near], turn)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(near, pa.int32()), pa.array(map(bytes, codes), pa.binary()), pa.array(length), pa.array(agree)], CODED)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                at = np.argpartition(-(unit(batch.column(1)) @ shared.value[0].T), min(probes, lists) - 1, axis=1)[:, :probes]
-                rows = np.repeat(np.arange(len(batch)), probes)
+            for at in range(0, len(batch), s.pack):
+                part = batch.slice(at, s.pack)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).take(pa.array(rows)), batch.column(0).take(pa.array(rows)), pa.array(at.ravel(), pa.int32())],
-                    ["v", "q", "list"])
+                    [pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([plain(part.column(1)).tobytes()], pa.binary())], ["ids", "code"])
 
-    filed = materialise(distinct.select("v", "ids").mapInArrow(assign, "v array<double>, ids array<long>, list int"))
-    # A list is cut into blocks, and its queries into groups; each pair of them is one unit of work.
-    sizes = filed.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / s.block).cast("int").alias("blocks"))
     # Equal queries are searched once, under the least of their ids.
     asked = sound(queries, "query_id").filter(F.size("v") == width)
     leaders = materialise(fold_equal(asked, 1).select(F.element_at("ids", 1).alias("q"), "v"))
-    probed = materialise(leaders.mapInArrow(probe, "v array<double>, q long, list int"))
-    groups = probed.groupBy("list").agg(F.count("*").alias("q")).select("list", F.ceil(F.col("q") / s.queries).cast("int").alias("groups"))
-    pairs = sizes.join(groups, "list")
-    left = filed.join(F.broadcast(pairs), "list").select(
-        "list", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("grp"), "v", "ids", F.lit(None).cast("long").alias("q"))
-    right = probed.join(F.broadcast(pairs), "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("grp"), "v", F.lit(None).cast("array<long>").alias("ids"), "q")
-
-    def scan(rows: pa.Table) -> pa.Table:
-        is_query = np.asarray(rows["q"].is_valid())
-        asks, held = rows.filter(pa.array(is_query)).combine_chunks(), rows.filter(pa.array(~is_query)).combine_chunks()
-        of, at, scores = [], [], []
-        if len(asks) and len(held):
-            a, b = (t["v"].combine_chunks().flatten().to_numpy().reshape(-1, width) for t in (asks, held))
-            found = search(units(a), units(b), shared.value[0][rows["list"][0].as_py()], shared.value[1], s.k, s.error)
-            for i, positions in enumerate(found):
-                exact = cosines(np.broadcast_to(a[i], (len(positions), width)), b[positions])
-                # The k + 1 best and whatever ties with them: ids decide between ties.
-                keep = exact >= np.sort(exact)[-min(s.k + 1, len(exact))]
-                of.append(np.full(int(keep.sum()), i))
-                at.append(positions[keep])
-                scores.append(exact[keep])
-        of, at = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (of, at))
-        return pa.table({"q": asks["q"].take(pa.array(of)), "ids": held["ids"].take(pa.array(at)),
-                         "score": pa.array(np.concatenate(scores) if scores else np.zeros(0))})
-
-    hits = left.unionByName(right).groupBy("list", "block", "grp").applyInArrow(scan, "q long, ids array<long>, score double")
+    shelves = max(-(-total // s.shelf), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // s.least_shelf)))
+    coded = distinct.select("v", "ids").mapInArrow(assign, "v array<double>, ids array<long>, list int, code binary, length double, agree double")
+    shelved = coded.select(F.pmod(F.xxhash64("v"), F.lit(shelves)).cast("int").alias("shelf"), F.lit(0).alias("kind"), *CODED)
+    packed = leaders.select("q", "v").mapInArrow(pack, "ids array<long>, code binary")
+    sent = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shelves - 1))).alias("shelf"), F.lit(1).alias("kind"), F.lit(None).cast("array<double>").alias("v"), "ids",
+                         F.lit(None).cast("int").alias("list"), "code", F.lit(None).cast("double").alias("length"), F.lit(None).cast("double").alias("agree"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by shelf, vectors before queries; a shelf's vectors are held while its queries pass."""
+        centres, turn = shared.value
+        now, held, shelf, whole = None, [], None, None
+        for batch in batches:
+            names = np.asarray(batch.column(0))
+            kinds = np.asarray(batch.column(1))
+            cuts = np.flatnonzero((np.diff(names) != 0) | (np.diff(kinds) != 0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, len(names)], strict=True):
+                if start == end:
+                    continue
+                part = batch.slice(start, end - start)
+                if names[start] != now:
+                    now, held, shelf = names[start], [], None
+                if kinds[start] == 0:
+                    held.append(part)
+                    continue
+                if shelf is None and held:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    vectors, length, agree, lists = (whole[c].combine_chunks() for c in ("v", "length", "agree", "list"))
+                    codes = np.frombuffer(b"".join(whole["code"].to_pylist()), np.uint8).reshape(len(whole), -1)
+                    shelf = Shelf(units(plain(vectors)), codes, np.asarray(length), np.asarray(agree), np.asarray(lists))
+                    held = []
+                if shelf is None:
+                    continue
+                for ids, data in zip(part.column("ids").to_pylist(), part.column("code").to_pylist(), strict=True):
+                    asks = np.frombuffer(data).reshape(len(ids), width)
+                    of, at = shelf.search(units(asks), centres, turn, probes, s.k + 1, s.error)
+                    yield from answered(np.array(ids), asks, of, at, whole)
+
+    def answered(ids: np.ndarray, asks: np.ndarray, of: np.ndarray, at: np.ndarray, whole: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The k + 1 best of each query and whatever ties with them: ids decide between ties."""
+        if not len(of):
+            return
+        rows = _vectors_at(whole["v"].combine_chunks(), at, width)
+        exact = cosines(asks[of], rows)
+        order = np.lexsort((-exact, of))
+        of, at, exact = of[order], at[order], exact[order]
+        begins = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        sizes = np.diff(np.append(begins, len(of)))
+        floor = exact[begins + np.minimum(sizes, s.k + 1) - 1]
+        keep = exact >= np.repeat(floor, sizes)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[of[keep]]), whole["ids"].combine_chunks().take(pa.array(at[keep])), pa.array(exact[keep])], ["q", "ids", "score"])
+
+    hits = shelved.unionByName(sent).repartition(shelves, "shelf").sortWithinPartitions("shelf", "kind").mapInArrow(scan, "q long, ids array<long>, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = (
         hits.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= s.k + 1)

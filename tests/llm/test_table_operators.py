@@ -318,10 +318,12 @@ def test_ann_ties_copies_and_bad_vectors(spark):
 def test_bounds_hold_for_nearly_all():
     rng = np.random.default_rng(2)
     v, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.standard_normal((2000, 64)), rng.standard_normal((40, 64))))
-    found = ann.search(q, v, np.zeros(64), ann.rotation(64, 1), 5, 2.5)
+    turn = ann.rotation(64, 1)
+    shelf = ann.Shelf(v, *ann.encode(v, turn), np.zeros(len(v), np.int32))
+    of, at = shelf.search(q, np.zeros((1, 64)), turn, 1, 5, 2.5)
     best = np.argsort(-(q @ v.T), axis=1)[:, :5]
-    assert np.mean([len(set(b) & set(f)) / 5 for b, f in zip(best, found, strict=True)]) > 0.95
-    assert np.mean([len(f) for f in found]) < 0.6 * len(v)
+    assert np.mean([len(set(b) & set(at[of == i])) / 5 for i, b in enumerate(best)]) > 0.95
+    assert shelf.measured < 0.6 * len(v) * len(q)
 
 
 # ---- pipeline
