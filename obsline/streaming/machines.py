@@ -200,8 +200,8 @@ class Limits:
 
 @dataclass
 class Reducer(Machine):
-    """ST6: the verified timeline. Rules R1-R27 in order, but for R9, which is the machine Settle before this one;
-    what each looks at comes as columns of the row.
+    """ST6: the verified timeline. Rules R1-R27 in order, but for R9, which needs the rows that follow (Timeline has it, and
+    Settle is its form before this machine); what each looks at comes as columns of the row.
 
     ts, observation_id, cells, stable, move, score, origin, target (end scores), allowed, changed,
     origin_diff, target_diff, edge_score, supported (temporal highlight), hover, side, active_side, seconds
@@ -405,8 +405,9 @@ class Reducer(Machine):
             if any(b["move"] == row["move"] and row["ts"] - b["ts"] <= lim.branch_seconds for b in self.branch):
                 return "pending_clock_vetoed_replay"  # R23
             return "confirmed_clock_regression"  # R22
-        if self.branch and before < 120 and now == before:
-            return "pending_stale_suppressed"  # R24
+        if self.branch and before < 600 and (now == before or now > before + lim.slack):  # R24: low on time, and a line vetoed before is pending
+            before_it = next((s["move"] for s in reversed(self.history) if s["seq"] == self.branch[-1]["seq"]), None)
+            return "pending_stale_reference" if before_it and row["move"][:2] == before_it[2:4] else "pending_stale_suppressed"
         return None
 
     def _speculate(self, row: Row, reason: str) -> list[Row]:
@@ -415,7 +416,7 @@ class Reducer(Machine):
         self.branch = [b for b in self.branch if row["ts"] - b["ts"] <= lim.branch_seconds]
         if "clock" in reason and row["score"] >= 80 and (row.get("origin") or 0) >= 30 and (row.get("target") or 0) >= 30 and row["origin"] + row["target"] >= 90:
             self.branch.append({"ts": row["ts"], "move": row["move"], "cells": np.asarray(row["cells"], float), "score": row["score"], "seq": self.seq, "side": row.get("side"), "seconds": row.get("seconds")})
-            self.boundary = reason in ("stale_clock", "pending_stale_suppressed")  # ST23
+            self.boundary = reason in ("stale_clock", "pending_stale_suppressed", "pending_stale_reference")  # ST23
             out = self._out(row, "HANDOFF_PENDING", reason)
         return out
 
@@ -453,6 +454,11 @@ class Reducer(Machine):
         return out + self._out(row, "ACCEPT", "move_accepted", reading=reading)  # R26
 
 
+def _cell(name: str) -> int:
+    """The cell that a name such as e4 stands for; -1 for other names."""
+    return ord(name[0]) - 97 + 8 * (ord(name[1]) - 49) if len(name) == 2 and "a" <= name[0] <= "h" and "1" <= name[1] <= "8" else -1
+
+
 @dataclass
 class Look:
     """How far the timeline looks ahead, in seconds, and what it looks for."""
@@ -467,15 +473,18 @@ class Look:
     confirm: float = 4.0  # R22: a regression is read again
     spread: float = 90
     settle: float = 4.0  # ST18: a changed, plausible reading
+    follow: float = 1.0  # R9, ST5: a candidate is followed until it has settled ...
+    gain: float = 8.0  # ... and a later one takes its place if it is better by so much
+    unrelated: float = 25.0  # ... unless another cell moves by more than this
 
     @property
     def farthest(self) -> float:
-        return max(self.resume, self.bounce, self.persist_to, self.drop, self.confirm, self.settle)
+        return max(self.resume, self.bounce, self.persist_to, self.drop, self.confirm, self.settle, self.follow)
 
 
 @dataclass
 class Timeline(Reducer):
-    """ST6 with its look-ahead: ST8, ST18 and the facts of R4, R5, R11, R20 and R22 come from the rows that follow.
+    """ST6 with its look-ahead: R9 (ST5), ST8, ST18 and the facts of R4, R5, R11, R20 and R22 come from the rows that follow.
 
     Rows are those of Reducer. What a row brings itself (returns_soon, bounces, persists, future_drop, regression_confirmed)
     is kept; what it lacks is looked up among the rows up to ``look.farthest`` seconds after it, against the states
@@ -489,7 +498,44 @@ class Timeline(Reducer):
         return self.look.farthest
 
     def step(self, row: Row, followers: list[Row] = ()) -> list[Row]:
-        return super().step(self._with_facts(row, followers))
+        row, out = self._followed(row, followers)
+        return out + super().step(self._with_facts(row, followers))
+
+    def _followed(self, row: Row, followers: list[Row]) -> tuple[Row, list[Row]]:
+        """R9, ST5: the candidate that the rows of the next second settle on, with SETTLE_PROBE and SETTLE_RETARGET events.
+
+        A retargeted row keeps its time and id and takes the later row's cells and candidate. Outcomes: window_expired, candidate_found, accepted_retarget,
+        rejected_unrelated_motion, below_threshold, no_future_candidate.
+        """
+        look, lim = self.look, self.limits
+        if not self.history or row.get("cells") is None or row.get("stable") is False or row.get("move") is None or (row.get("score") or 0) <= lim.score:
+            return row, []
+        active = self.history[-1]["cells"]
+        if self._distance(np.asarray(row["cells"], float), active)[0] < lim.quiet:
+            return row, []
+        best, outcome, out = row, None, []
+        for f in followers:
+            if f["ts"] - row["ts"] > look.follow:
+                outcome = outcome or "window_expired"
+                break
+            if f.get("cells") is None or f.get("stable") is False:
+                continue
+            kept = outcome == "accepted_retarget"
+            if f.get("move") is None or (f.get("score") or 0) <= lim.score:
+                outcome = outcome if kept else "below_threshold"
+                continue
+            own = {_cell(m[i : i + 2]) for m in (best["move"], f["move"]) for i in (0, 2)}
+            gaps = np.abs(np.asarray(f["cells"], float) - active)
+            if any(gap > look.unrelated and i not in own for i, gap in enumerate(gaps.tolist())):
+                outcome = outcome if kept else "rejected_unrelated_motion"
+                break
+            if f["move"] != best["move"] and f["score"] >= best["score"] + look.gain:
+                best = {**best, **{k: f.get(k) for k in ("move", "score", "origin", "target", "cells")}}
+                outcome = "accepted_retarget"
+                out += self._out(best, "SETTLE_RETARGET", outcome)
+            elif not kept:
+                outcome = "candidate_found"
+        return best, self._out(best, "SETTLE_PROBE", outcome or "no_future_candidate") + out
 
     def _with_facts(self, row: Row, followers: list[Row]) -> Row:
         look, lim, cells = self.look, self.limits, row.get("cells")

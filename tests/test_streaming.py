@@ -75,7 +75,7 @@ def test_facts_match_a_slow_look_ahead():
 
     def spied(self, row, followers):
         known = keep(self, row, followers)
-        if self.history and row["stable"]:
+        if self.history and row["stable"] and row["cells"] == rows[row["observation_id"]]["cells"]:
             at = row["observation_id"]
             rest = [f for f in rows[at + 1 :] if f["ts"] <= row["ts"] + self.LOOK]
             want = facts_by_hand(self, row, rest)
@@ -100,7 +100,7 @@ def test_look_ahead_defers_bounces_and_settles_readings():
     def events(rows):
         held = R.Held(machines.Timeline())
         out = [o for r in rows for o in held.step(r)] + held.finish()
-        return [(o["event"], o["reason"]) for o in out], held.machine
+        return [(o["event"], o["reason"]) for o in out if not o["event"].startswith("SETTLE")], held.machine
 
     line = [row(0, 10), row(5, 60), row(9, 110, move="d7d5")]
     assert events([*line, row(20, 61), row(20.5, 110)])[0][3] == ("REVERT_SEARCH", "bounce")
@@ -113,6 +113,47 @@ def test_look_ahead_defers_bounces_and_settles_readings():
     assert found[2] == ("ACCEPT", "move_accepted") and machine.readings["w"] == 93.0  # ST18
 
 
+def cells_with(base, **moved):
+    out = flat(base)
+    for name, value in moved.items():
+        out[machines._cell(name)] = float(value)
+    return out
+
+
+def test_candidates_are_followed_until_they_settle():
+    """All outcomes of R9; a retargeted row is accepted with the later cells, so that these are quiet when their turn comes."""
+    def row(ts, cells, move=None, score=None):
+        return {"ts": ts, "observation_id": int(ts * 10), "cells": cells, "stable": True, "move": move, "score": score, "origin": 40.0, "target": 50.0}
+
+    def events(*rest):
+        held = R.Held(machines.Timeline())
+        out = [o for r in (row(0, flat(10)), *rest) for o in held.step(r)] + held.finish()
+        return [(o["event"], o["reason"], o["move"]) for o in out]
+
+    moving = row(5, cells_with(10, e2=60, e3=60), "e2e3", 50.0)
+    landed = row(5.4, cells_with(10, e2=60, e4=60), "e2e4", 90.0)
+    assert events(moving, landed) == [("INITIAL", "", None), ("SETTLE_PROBE", "accepted_retarget", "e2e4"), ("SETTLE_RETARGET", "accepted_retarget", "e2e4"), ("ACCEPT", "move_accepted", "e2e4"), ("QUIET", "", "e2e4")]
+    assert events(moving)[1] == ("SETTLE_PROBE", "no_future_candidate", "e2e3")
+    assert events(moving, row(7, flat(10)))[1] == ("SETTLE_PROBE", "window_expired", "e2e3")
+    assert events(moving, row(5.4, moving["cells"], "e2e3", 10.0))[1] == ("SETTLE_PROBE", "below_threshold", "e2e3")
+    assert events(moving, row(5.4, moving["cells"], "e2e3", 60.0))[1] == ("SETTLE_PROBE", "candidate_found", "e2e3")
+    assert events(moving, row(5.4, cells_with(10, e2=60, e4=60, a7=60), "e2e4", 90.0))[1] == ("SETTLE_PROBE", "rejected_unrelated_motion", "e2e3")
+    assert events(row(5, flat(12), "e2e3", 90.0))[1:] == [("QUIET", "", "e2e3")]
+
+
+def test_a_pending_stale_line_is_told_from_its_reference():
+    def step(m, ts, level, move, **more):
+        return m.step({"ts": ts, "observation_id": int(ts), "cells": flat(level), "stable": True, "move": move, "score": 80.0, "origin": 40.0, "target": 50.0, "side": "w", "observed": 2, "agreeing": 2, **more})
+
+    for move, reason in (("e4e5", "pending_stale_reference"), ("a2a3", "pending_stale_suppressed")):
+        m = machines.Reducer()
+        step(m, 0, 10, None)
+        step(m, 5, 60, "e2e4", seconds=100)
+        assert step(m, 10, 110, "d7d5", seconds=100, active_side="w")[0]["reason"] == "stale_clock"
+        m.boundary = False
+        assert step(m, 15, 112, move, seconds=100, active_side="b")[0]["reason"] == reason
+
+
 def test_only_changed_entries_are_written():
     assert changes({(1,): (1,), (2,): (2,)}, {(2,): (3,), (3,): (3,)}) == ({(2,): (3,), (3,): (3,)}, [(1,)])
     m = machines.Reducer()
