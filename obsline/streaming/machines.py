@@ -272,7 +272,7 @@ class Reducer(Machine):
             return self._out(row, "REJECTED_FRAME", "geometry_unstable")  # R1
         cells = np.asarray(cells, float)
         if not self.history:
-            self._verify(row, cells)
+            self._verify({**row, "move": None, "score": None}, cells)  # no transition led here
             return self._out(row, "INITIAL")
         active = self.history[-1]
         top, mean = self._distance(cells, active["cells"])
