@@ -39,7 +39,7 @@ STREAM = 1 << 16
 #: States that are kept; beyond, the transducer starts anew.
 MOST_STATES = 1 << 15
 #: Tokens whose followers are kept.
-KEPT = 1 << 11
+KEPT = 1 << 14
 NEVER = 1 << 30
 
 # ---- the first transducer: where words end
@@ -191,8 +191,8 @@ class Merges:
             sound[512 + rank] = fine
         return sound
 
-    def after(self, last: int) -> bytes:
-        """By place: 1 for tokens that can stand after the token ``last``, which the merges keep apart from it.
+    def after(self, last: int) -> np.ndarray:
+        """A packed bit by place: 1 for tokens that can stand after the token ``last``, which the merges keep apart from it.
 
         At any rank one symbol of the left token's right edge meets one of the right token's left edge. They merge if
         their pair's rank comes before both go into their own tokens; of equal ranks the pair further left goes first.
@@ -203,7 +203,7 @@ class Merges:
             joined[tokens] = joined[left] | (first[left] <= self.rank[tokens])
         out = np.zeros(len(self.rank), np.uint8)
         out[self.place] = self.sound & ~joined & (first == NEVER)
-        return out.tobytes()
+        return np.packbits(out)
 
 
 class Counter:
@@ -225,9 +225,9 @@ class Counter:
         self.adds = np.zeros((64, 512), np.int8)
         self.kinds: dict[tuple[int, int], int] = {}
         self.first_of: dict[tuple[int, bytes], int] = {}
-        self.after_of: dict[int, bytes] = {}
+        self.after_of: dict[int, np.ndarray] = {}
 
-    def _after(self, last: int) -> bytes:
+    def _after(self, last: int) -> np.ndarray:
         found = self.after_of.get(last)
         if found is None:
             if len(self.after_of) >= KEPT:
@@ -235,6 +235,10 @@ class Counter:
             found = self.after_of[last] = self.merges.after(last)
         return found
 
+    def _follows(self, last: int, token: int) -> int:
+        at = int(self.merges.place[token])
+        return self._after(last)[at >> 3] >> (7 - (at & 7)) & 1
+
     def _kind(self, last: int, node: int) -> int:
         """The first token that leaves the same choice below the node as ``last`` does; -2 if there is none."""
         m = self.merges
@@ -242,8 +246,9 @@ class Counter:
             return -1 if m.low[node] < m.high[node] else -2
         kind = self.kinds.get((last, node))
         if kind is None:
-            below = self._after(last)[m.low[node] : m.high[node]]
-            kind = self.kinds[last, node] = self.first_of.setdefault((node, _digest(below)), last) if 1 in below else -2
+            low, high = m.low[node], m.high[node]
+            below = np.unpackbits(self._after(last)[low >> 3 : (high + 7) >> 3])[low & 7 :][: high - low]
+            kind = self.kinds[last, node] = self.first_of.setdefault((node, _digest(np.packbits(below).tobytes())), last) if below.any() else -2
         return kind
 
     def _step(self, state: int, symbol: int) -> None:
@@ -255,7 +260,7 @@ class Counter:
             if child is None:
                 continue
             own = m.token_at[child]
-            if token < 0 and own >= 0 and m.sound[own] and (last < 0 or self._after(last)[m.place[own]]):
+            if token < 0 and own >= 0 and (m.sound[own] if last < 0 else self._follows(last, own)):
                 token, count = own, tokens + 1
             reached.append((child, last, tokens))
         if symbol >= 256:
