@@ -335,7 +335,7 @@ def nearest(rows: DataFrame, queries: DataFrame, s: Settings = Settings()) -> Da
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids[of[keep]]), whole["ids"].combine_chunks().take(pa.array(at[keep])), pa.array(exact[keep])], ["q", "ids", "score"])
 
-    hits = shelved.unionByName(sent).repartition(shelves, "shelf").sortWithinPartitions("shelf", "kind").mapInArrow(scan, "q long, ids array<long>, score double")
+    hits = shelved.unionByName(sent).repartitionById(shelves, "shelf").sortWithinPartitions("shelf", "kind").mapInArrow(scan, "q long, ids array<long>, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     best = (
         hits.select("q", "score", F.explode("ids").alias("vec_id")).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= s.k + 1)
