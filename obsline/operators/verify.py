@@ -94,7 +94,8 @@ def json_nodes(records: DataFrame, keys: list[str], record: str, local: tuple[st
     """(keys, place, path, kind, value): every node of a JSON text, the whole first, without object keys in ``local`` at any depth.
 
     Arrays are entered by position, ``path`` is written as $.a.b[0], ``place`` sorts as a walk that takes keys in order. ``value`` is the node as
-    JSON text, numbers as their shortest form. A text that is no JSON is one node of kind malformed. One pass a level of nesting.
+    JSON text, numbers as their shortest form. A text that is no JSON is one node of kind malformed. One pass a level of nesting, each
+    written to the checkpoint folder.
     """
     spark = records.sparkSession
     value = F.try_parse_json(record)
@@ -115,7 +116,7 @@ def json_nodes(records: DataFrame, keys: list[str], record: str, local: tuple[st
         step = F.struct(F.when(F.col("key").isNull(), F.col("pos")).cast("int").alias("at"), "key")
         name = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
         level = inner.filter(F.col("key").isNull() | ~F.col("key").isin(*local)).select(
-            *keys, F.concat("place", F.array(step)).alias("place"), F.concat("path", name).alias("path"), F.col("value").alias("v"), F.lit(None).cast("string").alias("raw"))
+            *keys, F.concat("place", F.array(step)).alias("place"), F.concat("path", name).alias("path"), F.col("value").alias("v"), F.lit(None).cast("string").alias("raw")).checkpoint()
         if level.isEmpty():
             return out
 
