@@ -54,33 +54,100 @@ def known_root_filter(branches: DataFrame, timeline: DataFrame, seconds: float =
     return branches.join(late.select(*BRANCH), BRANCH, "left_anti")
 
 
+def _chains(links: DataFrame, rounds: int = 64) -> DataFrame:
+    """(stream_id, branch_id, into, shift, rank): the head of each link's chain, the way and the number of links to it.
+
+    Links (stream_id, branch_id, into, shift) have no ring, and no branch has two. Pointers double: a chain of n links takes log n rounds.
+    """
+    links = links.select(*BRANCH, "into", F.col("shift").cast("long").alias("shift"), F.lit(1).cast("long").alias("rank"))
+    for _ in range(rounds):
+        up = links.select(STREAM, F.col("branch_id").alias("into"), F.col("into").alias("into2"), F.col("shift").alias("shift2"), F.col("rank").alias("rank2"))
+        further = links.join(up, [STREAM, "into"], "left").select(
+            *BRANCH, F.coalesce("into2", "into").alias("into"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift"),
+            (F.col("rank") + F.coalesce("rank2", F.lit(0))).alias("rank"), F.col("into2").isNotNull().alias("moved")).checkpoint()
+        links = further.drop("moved")
+        if further.filter("moved").isEmpty():
+            return links
+    raise RuntimeError("branches still change")
+
+
+def _interior_links(current: DataFrame, turn: int) -> DataFrame:
+    """Links (stream_id, branch_id, into, shift) without rings: a branch has at most one, and at most one leads into it.
+
+    A branch asks one of those that fit it, and these take one of those that ask. They meet by stream, root and a shared move, and in large
+    groups in drawn buckets of some two, so that no group makes pairs; who finds none in its bucket asks the group's first or last. The
+    first turn prefers least ids, later ones draw lots, so that of many branches with one root a fixed share joins in each turn.
+    """
+    def lot(name: str):
+        return F.lit(0).cast("long") if turn == 0 else F.xxhash64(F.lit(turn), F.col(name))
+
+    key = [STREAM, "root", "move"]
+    top = current.groupBy(*BRANCH).agg(F.min_by("state", "step").alias("root"))
+    last = current.filter("move IS NOT NULL").groupBy(*BRANCH, "move").agg(F.max("step").alias("last"))
+    asks = top.join(last, BRANCH).select(*key, F.col("branch_id").alias("inner"))
+    roots = top.select(STREAM, F.col("root").alias("state")).distinct()
+    cuts = current.filter("step > 0").join(roots, [STREAM, "state"], "left_semi").groupBy(*BRANCH, F.col("state").alias("root")).agg(F.min("step").alias("cut"))
+    offers = cuts.join(last, BRANCH).filter("last >= cut").select(*key, F.struct(lot("branch_id").alias("lot"), F.col("branch_id").alias("outer"), "cut").alias("offer")).checkpoint()
+    groups = offers.groupBy(*key).agg(F.count("*").alias("n"), F.min("offer").alias("first"), F.max("offer").alias("last"))
+
+    def bucket(name: str):
+        return F.pmod(F.xxhash64(F.lit("bucket"), F.lit(turn), F.col(name)), F.greatest(F.lit(1), F.floor(F.col("n") / 2)))
+
+    near = offers.join(groups.select(*key, "n"), key).groupBy(*key, bucket("offer.outer").alias("bucket")).agg(F.min("offer").alias("low"), F.max("offer").alias("high"))
+    found = asks.join(groups, key).withColumn("bucket", bucket("inner")).join(near, [*key, "bucket"], "left")
+    other = [F.when(F.col(f"{c}.outer") != F.col("inner"), F.col(c)) for c in ("low", "high", "first", "last")]
+    chosen = found.withColumn("offer", F.coalesce(*other)).filter("offer IS NOT NULL").groupBy(STREAM, "inner").agg(
+        F.min(F.struct(F.coalesce(other[0], other[1]).isNull().alias("far"), "offer")).alias("x")).select(STREAM, "inner", "x.offer.*")
+    links = chosen.groupBy(STREAM, F.col("outer").alias("into")).agg(F.min(F.struct(lot("inner").alias("lot"), F.col("inner").alias("branch_id"), F.col("cut").alias("shift"))).alias("x")).select(
+        STREAM, "x.branch_id", "into", "x.shift").checkpoint()
+    # Every ring has a branch whose id is less than both its neighbours'; such links go, wherever they are.
+    child = links.select(STREAM, F.col("into").alias("branch_id"), F.col("branch_id").alias("child"))
+    return links.join(child, BRANCH, "left").filter("child IS NULL OR branch_id > into OR branch_id > child").drop("child").checkpoint()
+
+
+def _unclean(current: DataFrame, links: DataFrame, chains: DataFrame) -> DataFrame:
+    """Branches whose root already lies, past its first step, in what their chain keeps before the place where they would go."""
+    stops = links.select(STREAM, F.col("into").alias("branch_id"), F.col("shift").alias("stop"))
+    long = chains.filter("rank > 1").select(STREAM, "into").distinct()
+    placed = current.select(*BRANCH, "step", "state").join(stops, BRANCH, "left").filter("stop IS NULL OR step < stop").join(chains, BRANCH, "left").select(
+        STREAM, F.coalesce("into", "branch_id").alias("into"), "state", (F.col("step") + F.coalesce("shift", F.lit(0))).alias("place"))
+    first = placed.filter("place > 0").join(long, [STREAM, "into"], "left_semi").groupBy(STREAM, "into", "state").agg(F.min("place").alias("first"))
+    roots = current.groupBy(*BRANCH).agg(F.min_by("state", "step").alias("state"))
+    return chains.filter("rank > 1").join(roots, BRANCH).join(first, [STREAM, "into", "state"]).filter("first < shift").select(*BRANCH).checkpoint()
+
+
 def join_interiors(branches: DataFrame) -> DataFrame:
     """J15, interior form: a branch whose root is a state inside another (its first such step from 1 on), and which has one of
-    the moves that follow there, replaces the other's rest from that step.
-
-    A branch takes part in one join at a time, the least pair of ids first; joins repeat until none is left, each round
-    written to the checkpoint folder. States are compared whole, as in exact replays.
+    the moves that follow there, replaces the other's rest from that step; until no branch fits another.
+
+    In each turn a branch goes into one other and takes one in. Chains of such joins are made at once, as if the outermost took the others
+    in one after another; where one would then go to an earlier place of its chain, the chain breaks, and of what is left there every second
+    link is joined alone. So n branches in a chain, or with one root, take log n turns, each written to the checkpoint folder, and no
+    branches meet in pairs: a branch of k steps that are roots and m different moves costs k m rows. States are compared whole, as in exact
+    replays; null states and moves fit nothing. What joins first decides where several orders end differently; ids and states alone
+    decide that here, not partitions.
     """
-    current = branches.checkpoint()
+    current, turn = branches.checkpoint(), 0
     while True:
-        top = current.groupBy(*BRANCH).agg(F.min_by("state", "step").alias("root"), F.collect_set("move").alias("moves"), F.min("parent_seq").alias("p"))
-        inside = current.filter("step > 0").select(STREAM, F.col("branch_id").alias("outer"), "step", F.col("state").alias("root"))
-        fit = top.join(inside, [STREAM, "root"]).filter("outer <> branch_id").groupBy(STREAM, "branch_id", "outer").agg(F.min("step").alias("cut"), F.first("moves").alias("moves"))
-        tail = current.select(STREAM, F.col("branch_id").alias("outer"), F.col("step").alias("t_step"), F.col("move").alias("t_move"))
-        overlaps = fit.join(tail, [STREAM, "outer"]).filter((F.col("t_step") >= F.col("cut")) & F.array_contains("moves", F.col("t_move"))).select(STREAM, "outer", "branch_id", "cut").distinct()
-        # Of all joins of a stream those whose branches occur in no lesser one.
-        names = overlaps.select(STREAM, "outer", "branch_id", "cut", F.explode(F.array("outer", "branch_id")).alias("name"), F.struct("outer", "branch_id").alias("pair"))
-        least = names.groupBy(STREAM, "name").agg(F.min("pair").alias("least"))
-        chosen = names.join(least, [STREAM, "name"]).groupBy(STREAM, "outer", "branch_id", "cut").agg(F.bool_and(F.col("pair") == F.col("least")).alias("free")).filter("free").drop("free").checkpoint()
-        if chosen.isEmpty():
+        links = _interior_links(current, turn)
+        if links.isEmpty():
             return current
-        cuts = chosen.select(STREAM, F.col("outer").alias("branch_id"), F.col("cut").alias("stop"))
-        parents = top.select(STREAM, F.col("branch_id").alias("outer"), F.col("p").alias("outer_parent"))
-        moves = chosen.join(parents, [STREAM, "outer"]).select(STREAM, "branch_id", "outer", "outer_parent", F.col("cut").alias("shift"))
-        kept = current.join(cuts, BRANCH, "left").filter("stop IS NULL OR step < stop").drop("stop")
-        current = kept.join(moves, BRANCH, "left").select(
-            STREAM, F.coalesce("outer", "branch_id").alias("branch_id"), F.coalesce("outer_parent", "parent_seq").alias("parent_seq"), (F.col("step") + F.coalesce("shift", F.lit(0))).alias("step"),
+        chains = _chains(links)
+        bad = None if chains.filter("rank > 1").isEmpty() else _unclean(current, links, chains)
+        if bad is not None and not bad.isEmpty():
+            marked = links.join(chains.select(*BRANCH, "rank"), BRANCH).join(bad.withColumn("bad", F.lit(True)), BRANCH, "left").withColumn("bad", F.coalesce("bad", F.lit(False)))
+            above = marked.select(STREAM, F.col("branch_id").alias("into"), F.col("bad").alias("above"))
+            below = marked.select(STREAM, F.col("into").alias("branch_id"), F.col("bad").alias("below"))
+            alone = (F.col("rank") % 2 == 1) & F.coalesce("above", F.lit(True)) & F.coalesce("below", F.lit(True))
+            links = marked.join(above, [STREAM, "into"], "left").join(below, BRANCH, "left").filter(~F.col("bad") | alone).select(*BRANCH, "into", "shift").checkpoint()
+            chains = _chains(links)
+        stops = links.select(STREAM, F.col("into").alias("branch_id"), F.col("shift").alias("stop"))
+        parents = current.groupBy(STREAM, F.col("branch_id").alias("into")).agg(F.min("parent_seq").alias("into_parent"))
+        moved = chains.drop("rank").join(parents, [STREAM, "into"])
+        current = current.join(stops, BRANCH, "left").filter("stop IS NULL OR step < stop").join(moved, BRANCH, "left").select(
+            STREAM, F.coalesce("into", "branch_id").alias("branch_id"), F.coalesce("into_parent", "parent_seq").alias("parent_seq"), (F.col("step") + F.coalesce("shift", F.lit(0))).alias("step"),
             *[c for c in branches.columns if c not in (*BRANCH, "parent_seq", "step")]).checkpoint()
+        turn += 1
 
 
 def join_continuations(branches: DataFrame, seconds: float = 0.05, rounds: int = 64) -> DataFrame:
@@ -99,18 +166,9 @@ def join_continuations(branches: DataFrame, seconds: float = 0.05, rounds: int =
     one = fit.withColumn("a", F.row_number().over(Window.partitionBy(STREAM, "branch_id").orderBy("end_ts", "into"))).filter("a = 1")
     one = one.withColumn("b", F.row_number().over(Window.partitionBy(STREAM, "into").orderBy("start_ts", "branch_id"))).filter("b = 1")
     sizes = top.select(STREAM, "branch_id", "steps")
-    links = one.select(STREAM, "branch_id", "into").join(
-        sizes.select(STREAM, F.col("branch_id").alias("into"), F.col("steps").cast("long").alias("shift")), [STREAM, "into"]).checkpoint()
-    for n in range(rounds):  # starts lie strictly after ends, so there is no ring
-        up = links.select(STREAM, F.col("branch_id").alias("into"), F.col("into").alias("into2"), F.col("shift").alias("shift2"))
-        further = links.join(up, [STREAM, "into"], "left")
-        if further.filter("into2 IS NOT NULL").isEmpty():
-            break
-        if n == rounds - 1:
-            raise RuntimeError("branches still change")
-        links = further.select(STREAM, "branch_id", F.coalesce("into2", "into").alias("into"), (F.col("shift") + F.coalesce("shift2", F.lit(0))).alias("shift")).checkpoint()
+    links = _chains(one.select(STREAM, "branch_id", "into").join(sizes.select(STREAM, F.col("branch_id").alias("into"), F.col("steps").alias("shift")), [STREAM, "into"]), rounds)
     parents = top.select(STREAM, F.col("branch_id").alias("into"), F.col("parent_seq").alias("into_parent"))
-    moved = links.join(parents, [STREAM, "into"])
+    moved = links.drop("rank").join(parents, [STREAM, "into"])  # starts lie strictly after ends, so there is no ring
     return branches.join(moved, BRANCH, "left").select(
         STREAM, F.coalesce("into", "branch_id").alias("branch_id"), F.coalesce("into_parent", "parent_seq").alias("parent_seq"),
         (F.col("step") + F.coalesce("shift", F.lit(0))).alias("step"), *[c for c in branches.columns if c not in (*BRANCH, "parent_seq", "step")])

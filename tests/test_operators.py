@@ -411,32 +411,78 @@ def test_interior_roots_join(spark):
     assert found == {1: ["a", "b", "c", "x", "q"], 4: ["p", "r"], 5: ["k"]}
 
 
-def slow_interiors(branches):
-    """The same joins branch by branch: in each round those pairs that are the least of all that either takes part in."""
-    branches = {k: (p, list(v)) for k, (p, v) in branches.items()}
-    while True:
-        fits = []
-        for outer, (_, own) in branches.items():
-            for inner, (_, steps) in branches.items():
-                cut = next((i for i in range(1, len(own)) if own[i][0] == steps[0][0]), None)
-                if inner != outer and cut is not None and {m for _, m in own[cut:]} & {m for _, m in steps}:
-                    fits.append((outer, inner, cut))
-        chosen = [(o, i, c) for o, i, c in fits if all((o, i) <= (x, y) for x, y, _ in fits if {x, y} & {o, i})]
-        if not chosen:
-            return branches
-        for outer, inner, cut in chosen:
-            branches[outer] = (branches[outer][0], branches[outer][1][:cut] + branches.pop(inner)[1])
-
-
-def test_interior_joins_match_a_slow_version(spark):
+def fits(branches):
+    """All joins that a set of branches {id: (parent, steps)} allows: (outer, inner, cut)."""
+    for outer, (_, own) in branches.items():
+        for inner, (_, steps) in branches.items():
+            cut = next((i for i in range(1, len(own)) if own[i][0] == steps[0][0]), None)
+            if inner != outer and cut is not None and {m for _, m in own[cut:]} & {m for _, m in steps}:
+                yield outer, inner, cut
+
+
+def ends(branches):
+    """What every order of joins, one at a time, can end in."""
+    found, seen, todo = set(), set(), [branches]
+    while todo:
+        now = todo.pop()
+        form = tuple(sorted((k, p, tuple(v)) for k, (p, v) in now.items()))
+        if form in seen:
+            continue
+        seen.add(form)
+        moves = list(fits(now))
+        if not moves:
+            found.add(form)
+        for outer, inner, cut in moves:
+            then = {k: v for k, v in now.items() if k != inner}
+            then[outer] = (now[outer][0], now[outer][1][:cut] + now[inner][1])
+            todo.append(then)
+    return found
+
+
+def by_stream(df):
+    by = {}
+    for r in df.orderBy("step").collect():
+        own = by.setdefault(r.stream_id, {}).setdefault(r.branch_id, (r.parent_seq, []))[1]
+        assert r.step == len(own)
+        own.append((r.state, r.move))
+    return by
+
+
+def interior_frame(spark, streams):
+    rows = [(s, k, p, i, state, move) for s, own in streams.items() for k, (p, steps) in own.items() for i, (state, move) in enumerate(steps)]
+    return spark.createDataFrame(rows, "stream_id long, branch_id long, parent_seq long, step long, state string, move string")
+
+
+def test_interior_joins_end_as_some_order_of_single_joins_in_few_turns(spark, monkeypatch):
+    rng = random.Random(4)
+    streams = {s: {k: (k, [(rng.choice("ABCD"), rng.choice("mnop")) for _ in range(rng.randint(1, 4))]) for k in range(4)} for s in range(10)}
+    n, chains = 8, {}
+    for s, ids in ((100, list(range(n))[::-1]), (101, rng.sample(range(n), n))):
+        # Each branch starts inside the one before it, with the move that was made there.
+        chains[s] = {ids[i]: (i, [(f"s{i}", f"m{i}"), (f"s{i + 1}", f"m{i + 1}"), (f"t{i}", "stale")]) for i in range(n)}
+        streams[s] = chains[s]
+    streams[102] = {k: (k, [("X", "a"), (f"y{k}", "b"), ("X", "a"), (f"z{k}", "c")]) for k in range(4)}  # one root, inside of all
+    turns, real = [], B._interior_links
+    monkeypatch.setattr(B, "_interior_links", lambda current, turn: turns.append(turn) or real(current, turn))
+    found = by_stream(B.join_interiors(interior_frame(spark, streams).repartition(5, "state")))
+    for s in range(10):
+        assert tuple(sorted((k, p, tuple(v)) for k, (p, v) in found[s].items())) in ends(streams[s]), streams[s]
+    for s, own in chains.items():
+        head = next(k for k, (p, _) in own.items() if p == 0)
+        assert found[s] == {head: (0, [*((f"s{i}", f"m{i}") for i in range(n + 1)), (f"t{n - 1}", "stale")])}
+    assert len(found[102]) == 1 and not list(fits(found[102]))
+    assert len(turns) <= 6
+
+
+def test_interior_joins_of_the_tables_are_complete(spark):
     from obsline.plans.matching import branch_tables
 
     _, b = branch_tables(spark, "/root/testdata/sf0.001")
-    by = {}
-    for r in b.orderBy("step").collect():
-        by.setdefault(r.stream_id, {}).setdefault(r.branch_id, (r.parent_seq, []))[1].append((r.state, r.move))
-    want = sorted((s, k, p, i, m) for s, own in by.items() for k, (p, steps) in slow_interiors(own).items() for i, (_, m) in enumerate(steps))
-    assert sorted((r.stream_id, r.branch_id, r.parent_seq, r.step, r.move) for r in B.join_interiors(b).collect()) == want
+    before, found = by_stream(b), by_stream(B.join_interiors(b))
+    assert sum(map(len, found.values())) < sum(map(len, before.values()))
+    for s, own in found.items():
+        assert not list(fits(own))
+        assert all(p == before[s][k][0] and v[0] == before[s][k][1][0] for k, (p, v) in own.items())
 
 
 def test_ended_streams_finish_and_leave_no_state(spark, tmp_path):
