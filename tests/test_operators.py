@@ -169,6 +169,39 @@ def test_complete_radius_equals_exhaustive(spark):
     assert a == b and len(a) >= 30
 
 
+def slow_similar(rows, mode, last=None):
+    found = {}
+    for s, seq, i, cells in rows:
+        for s2, h_seq, _, other in rows:
+            if s2 != s or not h_seq < seq - 1 or last is not None and h_seq < seq - last:
+                continue
+            diff = 0.0
+            for x, y in zip(cells, other, strict=True):
+                diff += abs(x - y)
+            diff /= 64
+            if diff < 3.5 and max(abs(x - y) for x, y in zip(cells, other, strict=True)) < 15:
+                found.setdefault((s, i), []).append((diff, -h_seq) if mode == "best" else (-h_seq, diff))
+    return {k: (-min(v)[1], min(v)[0]) if mode == "best" else (-min(v)[0], min(v)[1]) for k, v in found.items()}
+
+
+def crowded(spark):
+    """Three states and many near and equal ones, in one bucket."""
+    rng = random.Random(11)
+    heads = [[rng.uniform(110, 130) for _ in range(64)] for _ in range(3)]
+    rows = [(i % 2, i, i, [c + (0 if i % 3 else rng.uniform(-6, 6)) for c in rng.choice(heads)]) for i in range(160)]
+    return rows, spark.createDataFrame(rows, "stream_id long, seq long, observation_id long, cells array<double>")
+
+
+@pytest.mark.parametrize("mode", ["best", "most_recent"])
+def test_similar_states_of_a_crowded_bucket_meet_in_blocks(spark, monkeypatch, mode):
+    rows, v = crowded(spark)
+    monkeypatch.setattr("obsline.operators.similar.LEAST", 7)
+    df = J.similar_state_join(v, v, radius=2, mode=mode)
+    assert {(r.stream_id, r.observation_id): (r.h_seq, r["diff"]) for r in df.collect()} == slow_similar(rows, mode)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2  # with sizes of blocks; pairs are not joined
+
+
 def test_lookahead_pairs_meet_once(spark):
     df = spark.createDataFrame([(1, i, at(s)) for i, s in enumerate((0, 0.5, 0.75, 0.76, 1.5))], "stream_id long, observation_id long, ts timestamp")
     pairs = sorted((r.observation_id, r.r_observation_id) for r in J.lookahead_join(df, df, 0.75).collect())
