@@ -202,6 +202,16 @@ def test_similar_states_of_a_crowded_bucket_meet_in_blocks(spark, monkeypatch, m
     assert plan.count("Join ") == 2  # with sizes of blocks; pairs are not joined
 
 
+@pytest.mark.parametrize("last", [None, 40])
+def test_exhaustive_search_meets_in_blocks(spark, monkeypatch, last):
+    rows, v = crowded(spark)
+    monkeypatch.setattr("obsline.operators.similar.LEAST", 7)
+    odd = spark.createDataFrame([(0, 500, 500, [float("nan")] * 64), (0, 600, 600, None), (0, 700, 700, [1.0])], v.schema)
+    df = J.similar_state_exhaustive(v.unionByName(odd), v.unionByName(odd), mode="most_recent", last=last)
+    assert {(r.stream_id, r.observation_id): (r.h_seq, r["diff"]) for r in df.collect()} == slow_similar(rows, "most_recent", last)
+    assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_lookahead_pairs_meet_once(spark):
     df = spark.createDataFrame([(1, i, at(s)) for i, s in enumerate((0, 0.5, 0.75, 0.76, 1.5))], "stream_id long, observation_id long, ts timestamp")
     pairs = sorted((r.observation_id, r.r_observation_id) for r in J.lookahead_join(df, df, 0.75).collect())
