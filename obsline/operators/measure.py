@@ -7,13 +7,23 @@ row by row, cut to the board. Rows whose bytes do not fit height x width give nu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["stream_id", "observation_id"]
+#: Frames whose measures are held at once, and bytes of a batch that Spark sends to Python.
+AT_ONCE, BATCH_BYTES = 64, 8 << 20
+
+
+class _Frame(NamedTuple):
+    pixels: bytes | None
+    height: int | None
+    width: int | None
 
 
 def _image(row) -> np.ndarray | None:
@@ -56,24 +66,38 @@ def measure_frames(frames: DataFrame, over: float = 35) -> DataFrame:
     red_threshold is the frame's median corner plus ``over``, or midway to its greatest if that is less.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples():
-                image = _image(row)
-                if image is None:
-                    rows.append((None, None, None, None, None))
-                    continue
-                b, g, r = image[..., 0], image[..., 1], image[..., 2]
-                gray = 0.114 * b + 0.587 * g + 0.299 * r
-                red = corner_means(r - (g + b) / 2)
-                base, top = float(np.median(red)), float(red.max())
-                rows.append((cell_means(gray).tolist(), corner_means(np.minimum(r, g) - b).mean(axis=1).tolist(),
-                             red.ravel().tolist(), min(base + over, max((base + top) / 2, base + 1)), edge_ratios(gray).ravel().tolist()))
-            yield pd.concat([pdf[KEYS].reset_index(drop=True), pd.DataFrame(rows, columns=["cells", "highlight", "red", "red_threshold", "edges"])], axis=1)
-
+    names = ["cells", "highlight", "red", "edges"]
+
+    def measures(row) -> tuple[list[np.ndarray], float] | None:
+        image = _image(row)
+        if image is None:
+            return None
+        b, g, r = image[..., 0], image[..., 1], image[..., 2]
+        gray = 0.114 * b + 0.587 * g + 0.299 * r
+        red = corner_means(r - (g + b) / 2)
+        base, top = float(np.median(red)), float(red.max())
+        found = [cell_means(gray), corner_means(np.minimum(r, g) - b).mean(axis=1), red.ravel(), edge_ratios(gray).ravel()]
+        return found, min(base + over, max((base + top) / 2, base + 1))
+
+    def part(rows: pa.RecordBatch) -> pa.RecordBatch:
+        found = [measures(_Frame(*(rows.column(n)[i].as_py() for n in ("pixels", "height", "width")))) for i in range(rows.num_rows)]
+        lists = []
+        for k in range(len(names)):
+            ends = np.cumsum([0, *(0 if f is None else len(f[0][k]) for f in found)])
+            starts = pa.array(ends, pa.int32(), mask=np.array([*(f is None for f in found), False]))
+            lists.append(pa.ListArray.from_arrays(starts, pa.array(np.concatenate([np.empty(0), *(f[0][k] for f in found if f is not None)]))))
+        cut = pa.array([None if f is None else f[1] for f in found], pa.float64())
+        return pa.RecordBatch.from_arrays([*(rows.column(k) for k in KEYS), *lists[:3], cut, lists[3]], names=[*KEYS, *names[:3], "red_threshold", names[3]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                yield part(batch.slice(start, AT_ONCE))
+
+    # Batches are bounded by bytes, as a row is a picture.
+    frames.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
-    return frames.select(*KEYS, "pixels", "height", "width").mapInPandas(
+    return frames.select(*KEYS, "pixels", "height", "width").mapInArrow(
         run, ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", cells array<double>, highlight array<double>, red array<double>, red_threshold double, edges array<double>")
 
 

@@ -14,6 +14,7 @@ from obsline.functions import rules, scalars
 from obsline.operators import branches as B
 from obsline.operators import evidence as X
 from obsline.operators import joins as J
+from obsline.operators import measure as P
 from obsline.operators import metrics as M
 from obsline.operators import verify as C
 from obsline.operators import windows as W
@@ -212,6 +213,18 @@ def test_exhaustive_search_meets_in_blocks(spark, monkeypatch, last):
     assert "MapInArrow" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_frames_are_measured_in_small_parts(spark):
+    rows = [(1, i, bytes([i % 200] * 768), 16, 16) if i % 7 else (1, i, b"short", 16, 16) for i in range(300)]
+    df = spark.createDataFrame(rows, "stream_id long, observation_id long, pixels binary, height int, width int").coalesce(1)
+    m = P.measure_frames(df)
+    got = {r.observation_id: r for r in m.collect()}
+    assert len(got) == 300 and all((got[i].cells is None) == (i % 7 == 0) == (got[i].red_threshold is None) for i in got)
+    assert all([round(c, 6) for c in got[i].cells] == [i % 200] * 64 and len(got[i].red) == 256 == len(got[i].edges) for i in got if i % 7)
+    # Rows leave as Arrow in parts, not as a batch of Python lists; what comes in is bounded by bytes.
+    assert "MapInArrow" in m._jdf.queryExecution().optimizedPlan().toString()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
 def test_lookahead_pairs_meet_once(spark):
     df = spark.createDataFrame([(1, i, at(s)) for i, s in enumerate((0, 0.5, 0.75, 0.76, 1.5))], "stream_id long, observation_id long, ts timestamp")
     pairs = sorted((r.observation_id, r.r_observation_id) for r in J.lookahead_join(df, df, 0.75).collect())
