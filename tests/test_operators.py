@@ -237,6 +237,17 @@ def test_sequence_containment(spark):
     assert sorted(map(tuple, J.contains_sequence(g, o).collect())) == [(1, "g", 0), (1, "g", 3)]
 
 
+def test_sequences_of_one_key_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(J, "MEETINGS", 1_000, raising=False)
+    g = spark.createDataFrame([(f"g{i}", p, k) for i in range(200) for p, k in enumerate("abab")], "game_id string, pos long, key string")
+    o = spark.createDataFrame([(i, p, k) for i in range(60) for p, k in enumerate("ab" if i % 3 else "b")], "stream_id long, pos long, key string")
+    df = J.contains_sequence(g, o)
+    tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 60 * 400 and max(tasks) < 60 * 400 / 3
+    got = {(r.stream_id, r.game_id, r.start) for r in df.collect()}
+    assert got == {(i, f"g{n}", p + (0 if i % 3 else 1)) for i in range(60) for n in range(200) for p in (0, 2)}
+
+
 def test_order_and_partitions_do_not_matter(spark):
     rng = random.Random(7)
     rows = [(i % 4, i, at(i // 3), float(i % 11)) for i in range(200)]
