@@ -118,8 +118,7 @@ def s16(spark, sf):
     bundle = IO.diagnostic_bundle(t, reports(spark, sf), compact)
     path = shared_path(spark, "bundle")
     IO.write_bundle(bundle, path)
-    read = spark.read.json(path)
-    return read.groupBy("report_id", "part").agg(F.count("*").alias("n"))
+    return IO.read_bundle(spark, path).groupBy("report_id", "part").agg(F.count("*").alias("n"))
 
 
 # ---- scalars

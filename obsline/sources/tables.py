@@ -243,5 +243,10 @@ def diagnostic_bundle(events: DataFrame, reports: DataFrame, compact: DataFrame
 
 
 def write_bundle(bundle: DataFrame, path: str) -> None:
-    """A folder for each part, a line for each row."""
-    bundle.write.mode("error").partitionBy("part").json(path)
+    """A folder for each part, a line for each row, compressed, as bodies repeat their field names."""
+    bundle.write.mode("error").partitionBy("part").json(path, compression="gzip")
+
+
+def read_bundle(spark: SparkSession, path: str, report_id: str = "long") -> DataFrame:
+    """(report_id, part, body) as written; with its types given, as finding them takes a pass over all bodies."""
+    return spark.read.schema(f"report_id {report_id}, body string, part string").json(path)

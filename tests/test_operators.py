@@ -248,6 +248,14 @@ def test_sequences_of_one_key_meet_in_parts(spark, monkeypatch):
     assert got == {(i, f"g{n}", p + (0 if i % 3 else 1)) for i in range(60) for n in range(200) for p in (0, 2)}
 
 
+def test_bundles_are_written_compressed_and_whole(spark, tmp_path):
+    rows = [(i, ("report", "events", "summary")[i % 3], '{"event": "ACCEPT", "state": "x\\"y", "n": %d}' % i) for i in range(3_000)]
+    S.write_bundle(spark.createDataFrame(rows, "report_id long, part string, body string").coalesce(1), str(tmp_path / "b"))
+    size = sum(f.stat().st_size for f in (tmp_path / "b").rglob("part-*"))
+    assert size < sum(len(body) for _, _, body in rows) / 3
+    assert sorted((r.report_id, r.part, r.body) for r in S.read_bundle(spark, str(tmp_path / "b")).collect()) == rows
+
+
 def test_order_and_partitions_do_not_matter(spark):
     rng = random.Random(7)
     rows = [(i % 4, i, at(i // 3), float(i % 11)) for i in range(200)]
