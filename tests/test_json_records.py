@@ -71,6 +71,18 @@ def test_records_that_are_missing_or_malformed(spark):
     assert C.first_json_difference(e.limit(0), a.limit(0), ["i"]).collect() == []
 
 
+def test_only_records_that_may_differ_are_walked(spark, monkeypatch):
+    pairs = [('{"p":"1","a":%d}' % i, '{"p":"2","a":%d}' % i) for i in range(40)]
+    pairs += [('{"a":"\\"p\\":\\"1\\""}', '{"a":"\\"p\\":\\"2\\""}'), ('{"a":["p","1"]}', '{"a":["p","2"]}'), ('{"a":"p","b":"1"}', '{"a":"p","b":"2"}'), ('{"p":"1"', '{"p":"2"'),
+              ('{"p":"1"}', '{"p":"1","p":"1"}'), ('{"p": "1", "a": 1}', '{"a":1,"p":"2"}'), ('{"p":{"x":1},"a":[1]}', '{"a":[1]}'), ('{"q":{"p":"x"}}', '{"q":{}}'), ('{"a":1}', '{"a":1.5}')]
+    walked, walk = [], C.json_nodes
+    monkeypatch.setattr(C, "json_nodes", lambda df, *rest: walked.append(df.count()) or walk(df, *rest))
+    e, a = (spark.createDataFrame([(i, p[side]) for i, p in enumerate(pairs)], "i long, record string") for side in (0, 1))
+    got = {r.i: r.path for r in C.first_json_difference(e, a, ["i"], local=("p",)).collect()}
+    assert got == {40: "$.a", 41: "$.a[1]", 42: "$.b", 43: "$", 44: "$", 48: "$.a"}
+    assert sum(walked) == 2 * 9
+
+
 def test_label_rows_keep_numbers_of_any_name(spark, tmp_path):
     rows = [{"detector": "d", "truth": "yes", "prediction": "no", "score": 1.5, "pair_score": 2, "new one": 0.25, "flag": True, "text": "7", "deep": {"x": 3}, "list": [1]},
             {"detector": "d", "truth": "yes"}, {"detector": "d", "truth": "yes", "prediction": "no"}]
