@@ -162,10 +162,16 @@ def st22(spark, sf):
     return R.adjacent_alternative(c).select("stream_id", "observation_id", "candidate")
 
 
+def as_byte(x):
+    """A component as 0 to 255, in its own precision as in SQL: a float that is widened first can fall on the other side of a whole number. NaN is the greatest."""
+    single = lambda v: F.lit(v).cast("float")
+    return F.floor(F.least(F.greatest((x + single(0.5)) * single(255), single(0)), single(255))).cast("int")
+
+
 def frames(spark, sf, red: bool = False):
     """Embeddings as frames of 8 x 8 cells of 4 x 4 pixels: three equal planes, a cell's value all over it; with ``red`` every third
     cell has up to 100 more in its red plane."""
-    v = table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("stream_id"), F.col("vec_id").alias("observation_id"), F.transform("embedding", lambda x: F.least(F.greatest(F.floor((x + 0.5) * 255), F.lit(0)), F.lit(255)).cast("int")).alias("v"))
+    v = table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("stream_id"), F.col("vec_id").alias("observation_id"), F.transform("embedding", as_byte).alias("v"))
     # The top row of the picture shows cells 56 to 63.
     two = lambda x: F.lpad(F.hex(x), 2, "0")
     pixel = lambda x, more: F.concat(two(x), two(x), two(F.least(x + F.when(more, 100).otherwise(0), F.lit(255))))
@@ -192,7 +198,7 @@ def p3(spark, sf):
   SELECT observation_id, CASE WHEN t < 50 AND b < 50 THEN 'none' WHEN t >= b THEN 'top' ELSE 'bottom' END AS active_side, (t - b) / 128 AS bright_delta FROM C""")
 def p6(spark, sf):
     def region(lo):
-        return F.unhex(F.array_join(F.transform(F.slice("embedding", lo, 32), lambda x: F.repeat(F.lpad(F.hex(F.least(F.greatest(F.floor((x + 0.5) * 255), F.lit(0)), F.lit(255)).cast("int")), 2, "0"), F.lit(4))), ""))
+        return F.unhex(F.array_join(F.transform(F.slice("embedding", lo, 32), lambda x: F.repeat(F.lpad(F.hex(as_byte(x)), 2, "0"), F.lit(4))), ""))
 
     r = table(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("stream_id"), F.col("vec_id").alias("observation_id"), region(1).alias("top"), region(33).alias("bottom"))
     return P.active_side(P.bright_regions(r, 120)).select("observation_id", "active_side", "bright_delta")
